@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from meadow.llm import mixing
+from meadow.llm import chat, mixing, pii, quality
 
-QUERIES = {"op7_mixing": mixing.op7_mixing}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op7_mixing": mixing.op7_mixing,
+    "op8_quality": quality.op8_quality,
+    "op9_chat": chat.op9_chat,
+    "op10_pii": pii.op10_pii,
+}
+ORACLE = {"op9_chat": chat.OP9_SQL}
