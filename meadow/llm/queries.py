@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from meadow.llm import chat, mixing, pii, quality
+from meadow.llm import chat, mixing, packing, pii, quality, tokens
 
 QUERIES = {
+    "op4_tokens": tokens.op4_tokens,
+    "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality": quality.op8_quality,
     "op9_chat": chat.op9_chat,
