@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from meadow.llm import chat, mixing, neardup, packing, pii, quality, tokens
+from meadow.llm import chat, mixing, neardup, packing, pii, quality, tokens, vectors
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
+    "op2_vectors": vectors.op2_vectors,
     "op4_tokens": tokens.op4_tokens,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
