@@ -24,6 +24,8 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(at)
     back = spark.read.schema(df.schema).parquet(at)
     back._meadow_path = at
+    # Shuffle files go when the driver's JVM collects the frames that made them.
+    spark.sparkContext._jvm.System.gc()
     return back
 
 
