@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from meadow.llm import chat, lines, mixing, neardup, packing, pii, quality, tokens, vectors
+from meadow.llm import chat, lines, mixing, neardup, packing, pii, quality, search, tokens, vectors
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
     "op2_vectors": vectors.op2_vectors,
     "op3_lines": lines.op3_lines,
     "op4_tokens": tokens.op4_tokens,
+    "op5_search": search.op5_search,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality": quality.op8_quality,
     "op9_chat": chat.op9_chat,
     "op10_pii": pii.op10_pii,
 }
-ORACLE = {"op3_lines": lines.OP3_SQL, "op9_chat": chat.OP9_SQL}
+ORACLE = {"op3_lines": lines.OP3_SQL, "op5_search": search.OP5_SQL, "op9_chat": chat.OP9_SQL}
