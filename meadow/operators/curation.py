@@ -267,7 +267,7 @@ def distribution(rows: DataFrame, by: str) -> DataFrame:
 
 
 def matrix(rows: DataFrame, by: str, across: str, values: list) -> DataFrame:
-    return rows.groupBy(by).pivot(across, values).agg(F.count("*")).fillna(0)
+    return rows.groupBy(by).pivot(across, values).agg(F.count(F.lit(1))).fillna(0)
 
 
 def imbalance(counts: DataFrame, n: str = "n", most_ratio: float = 10.0, most_gini: float = 0.4) -> DataFrame:

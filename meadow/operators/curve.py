@@ -69,10 +69,10 @@ def fitted(bins: DataFrame, by: tuple[str, ...] = ("crop",), p: DoseParams = DOS
             grid = bins.withColumn("k", F.explode(F.array(*[F.lit(k) for k in _log_grid(p.k_min, p.k_max, points)])))
         else:
             near = F.array(*[F.col("k0") * math.exp(step * (2 * i / (points - 1) - 1)) for i in range(points)])
-            grid = bins.join(F.broadcast(best.select(*by_, F.col("k").alias("k0"))), by_).withColumn("k", _clamped(F.explode(near), p.k_min, p.k_max))
+            grid = bins.join(F.broadcast(best.select(*by_, F.col("k").alias("k0"))), by_).withColumn("k", F.explode(near)).withColumn("k", _clamped(F.col("k"), p.k_min, p.k_max))
             step *= 2 / (points - 1)
         all_ = _solved(grid, by_, f0, fmax)
-        best = all_.groupBy(*by_).agg(F.min_by(F.struct("F0", "Fmax", "k", "loss"), F.struct(F.round("loss", 12), "k")).alias("b")).select(*by_, "b.*")
+        best = all_.groupBy(*by_).agg(F.min_by(F.struct("F0", "Fmax", "k", "loss"), F.struct(F.round("loss", 12), "k")).alias("_best")).select(*by_, "_best.*")
     return best
 
 

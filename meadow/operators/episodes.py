@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meadow.functions.rounding import half_up
 from meadow.params import LANDING, LandingParams
 
 
@@ -28,7 +29,7 @@ def landings(rows: DataFrame, types: DataFrame | None = None, p: LandingParams =
         F.round(F.min("t"), 2).alias("t_enter_s"),
         F.round(F.max("t"), 2).alias("t_exit_s"),
         F.max("fi").alias("last_fi"),
-        F.round(F.avg(F.coalesce("conf", F.lit(0.0))), 3).alias("conf_mean"),
+        half_up(F.avg(F.coalesce("conf", F.lit(0.0))), 3).alias("conf_mean"),
     )
     out = out.withColumn("landing_s", F.round(F.col("t_exit_s") - F.col("t_enter_s"), 2)).withColumn("is_real_landing", (F.col("landing_s") >= p.real_s).cast("int"))
     out = out.withColumn("flower_detected", F.lit("detected"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meadow.functions import geometry as g
+from meadow.functions.rounding import half_up
 from meadow.params import INSECT_TYPES, LANDING, POLLINATORS, POLLINATORS_LEGACY, LandingParams
 
 
@@ -24,7 +25,7 @@ def flower_summary(landings: DataFrame, flowers: DataFrame | None = None, p: Lan
         F.count_if(real).alias("n_real_landings"),
         *[F.count_if(real & (F.col("insect_type") == t)).alias(f"n_{t}") for t in INSECT_TYPES],
         F.round(total, 2).alias("total_landing_s"),
-        F.coalesce(F.round(F.try_divide(total, F.count_if(real)), 2), F.lit(0.0)).alias("mean_landing_s"),
+        F.coalesce(half_up(F.try_divide(total, F.count_if(real)), 2), F.lit(0.0)).alias("mean_landing_s"),
         F.round(F.sum(F.when(real, score).otherwise(0.0)), 2).alias("pollination_score"),
     )
     if flowers is None:

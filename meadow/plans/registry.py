@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meadow.plans import curating, landing, reporting, yields
+
+PARTS = (landing, yields, curating, reporting)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return landing.flagship_top_flowers(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in PARTS for k, f in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for p in PARTS for k, s in p.ORACLE.items()}
