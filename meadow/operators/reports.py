@@ -45,7 +45,7 @@ def species_warnings(reports: DataFrame, key: str, species: tuple[str, ...] = SP
 
     The species are a fixed short list, so each sentence is tested against an array, not joined."""
     said = reports.select(key, "present", F.explode(sentences(F.col("text"))).alias("sentence"))
-    named = F.filter(F.array(*[F.lit(s) for s in species]), lambda s: F.lower("sentence").rlike(F.concat(F.lit(r"\b"), s, F.lit(r"s?\b"))))
+    named = F.filter(F.array(*[F.lit(s) for s in species]), lambda s: F.rlike(F.lower("sentence"), F.concat(F.lit(r"\b"), s, F.lit(r"s?\b"))))
     return said.select(key, "sentence", F.explode(F.array_except(named, "present")).alias("species"))
 
 

@@ -38,19 +38,12 @@ def _iou(a: tuple, b: tuple) -> float:
     return inter / (_area(a) + _area(b) - inter) if inter else 0.0
 
 
-@dataclass
-class Episode:
-    flower: str
-    enter: float
-    last: float
-    conf: float
-    n: int
-    votes: dict[str, float]
-
-
 @dataclass
 class Camera:
-    """State of one camera. `frame` takes one frame's detections and returns the landings that end with it."""
+    """State of one camera. `frame` takes one frame's detections and returns the landings that end with it.
+
+    An episode is a dict: flower, enter, last (times), conf (sum), n, votes (those of its track).
+    """
 
     p: LandingParams = LANDING
     iou: float = 0.3
@@ -60,7 +53,7 @@ class Camera:
     idle_s: float = 5.0
     flowers: dict[str, list] = field(default_factory=dict)  # id: [box, last seen, hits]
     tracks: dict[int, dict] = field(default_factory=dict)  # id: votes, episode, where and when last seen, area
-    parked: list[tuple[Episode, tuple, float, float]] = field(default_factory=list)  # episode, where, when, area
+    parked: list[tuple[dict, tuple, float, float]] = field(default_factory=list)  # episode, where, when, area
     made: int = 0
     written: int = 0
 
@@ -80,13 +73,17 @@ class Camera:
         self.flowers = {k: f for k, f in self.flowers.items() if t - f[1] <= self.forget_s}
         return [(k, f[0]) for k, f in self.flowers.items() if t - f[1] <= self.draw_s and f[2] >= self.least_hits]
 
-    def _landed(self, e: Episode) -> tuple:
+    def _landed(self, e: dict) -> tuple:
         self.written += 1
-        s = round(e.last - e.enter, 2)
-        kind = max(e.votes, key=e.votes.get)
-        return self.written, e.enter, e.last, s, int(s >= self.p.real_s), e.flower, kind, kind.lower() in POLLINATORS, "detected", round(e.conf / e.n, 3)
+        s = round(e["last"] - e["enter"], 2)
+        kind = max(e["votes"], key=e["votes"].get)
+        return self.written, e["enter"], e["last"], s, int(s >= self.p.real_s), e["flower"], kind, kind.lower() in POLLINATORS, "detected", round(e["conf"] / e["n"], 3)
+
+    def kept(self) -> dict:
+        """All that changes, as plain values."""
+        return {k: getattr(self, k) for k in ("flowers", "tracks", "parked", "made", "written")}
 
-    def _resumed(self, at: tuple, area: float) -> Episode | None:
+    def _resumed(self, at: tuple, area: float) -> dict | None:
         """The nearest parked episode in reach of a track that is new."""
         reach = self.p.relink_k * area**0.5
         near = [(((at[0] - c[0]) ** 2 + (at[1] - c[1]) ** 2) ** 0.5, i) for i, (_, c, _, _) in enumerate(self.parked)]
@@ -104,7 +101,7 @@ class Camera:
             at, area = _mid(b), _area(b)
             if track not in self.tracks:
                 e = self._resumed(at, area)
-                self.tracks[track] = {"votes": e.votes if e else {}, "episode": e}
+                self.tracks[track] = {"votes": e["votes"] if e else {}, "episode": e}
             s = self.tracks[track]
             s["votes"][kind] = s["votes"].get(kind, 0.0) + conf
             s |= {"at": at, "area": area, "t": t}
@@ -112,16 +109,16 @@ class Camera:
             on = next((k for k, f in there if f[0] - (f[2] - f[0]) * pad <= at[0] <= f[2] + (f[2] - f[0]) * pad and f[1] - (f[3] - f[1]) * pad <= at[1] <= f[3] + (f[3] - f[1]) * pad), None)
             e = s["episode"]
             if on is not None and e is None:
-                s["episode"] = Episode(on, t, t, conf, 1, s["votes"])
+                s["episode"] = {"flower": on, "enter": t, "last": t, "conf": conf, "n": 1, "votes": s["votes"]}
             elif on is not None:
-                e.flower, e.last, e.conf, e.n = on, t, e.conf + conf, e.n + 1
-            elif e is not None and t - e.last > self.p.grace_s:
+                e |= {"flower": on, "last": t, "conf": e["conf"] + conf, "n": e["n"] + 1}
+            elif e is not None and t - e["last"] > self.p.grace_s:
                 out.append(self._landed(e))
                 s["episode"] = None
         for track in [k for k in self.tracks if k not in seen]:
             s = self.tracks[track]
             e = s["episode"]
-            if e is not None and t - e.last > self.p.grace_s:
+            if e is not None and t - e["last"] > self.p.grace_s:
                 self.parked.append((e, s["at"], t, s["area"]))
                 del self.tracks[track]
             elif e is None and t - s["t"] > self.idle_s:
@@ -163,7 +160,8 @@ class Landings(StatefulProcessor):
         self.state = handle.getValueState("camera", StructType([StructField("data", BinaryType())]))
 
     def _load(self) -> dict:
-        return pickle.loads(self.state.get()[0]) if self.state.exists() else {"camera": Camera(self.p), "waiting": [], "start": None}
+        s = pickle.loads(self.state.get()[0]) if self.state.exists() else {"camera": {}, "waiting": [], "start": None}
+        return s | {"camera": Camera(self.p, **s["camera"])}
 
     def _run(self, key: tuple, s: dict, upto: float, end: bool) -> pd.DataFrame:
         ready = [r for r in s["waiting"] if end or r[0] <= upto]
@@ -175,7 +173,7 @@ class Landings(StatefulProcessor):
             out += [(s["start"], x) for x in s["camera"].frame(round(ts - s["start"], 2), insects, flowers)]
         if end:
             out += [(s["start"], x) for x in s["camera"].close()]
-        self.state.update((pickle.dumps(s),))
+        self.state.update((pickle.dumps(s | {"camera": s["camera"].kept()}),))
         return _table(key[0], out)
 
     def _alarm(self, at_ms: int) -> None:
