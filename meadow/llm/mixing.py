@@ -121,9 +121,9 @@ def copies(docs: DataFrame, size: str = "size", weights: tuple[float, ...] = (5,
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs with each document as often as the mix takes it; the columns stay the same."""
     marked = docs.withColumn("_size", n_words(F.col("text")))
-    got = copies(marked, "_size", **how).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies").where("copies > 0")
+    got = copies(marked, "_size", **how).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_copies")).where("_copies > 0")
     same = marked["doc_id"].eqNullSafe(got["_d"]) & marked["source"].eqNullSafe(got["_s"]) & (marked["_size"] == got["_z"])
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
     return marked.join(got, same).withColumn("_t", times).select(*docs.columns)
 
 
