@@ -1,7 +1,7 @@
 """Best-fit packing with certified bin counts.
 
 A document longer than a sequence is cut into pieces of full length; its first piece takes what is left over. Pieces of
-full length are sequences of their own. The others are dealt by a hash to partitions of about `per_part` pieces, each
+full length are sequences of their own. The others are dealt by length to partitions of about `per_part` pieces, each
 packed by best-fit decreasing (largest piece first, into the fullest sequence that has room). Dual feasible functions
 give a lower bound on the sequences a partition needs; one that meets its bound is certified and stays. Partitions with
 a gap send the documents of their emptiest sequences to an exchange, where they are dealt to new partitions, packed and
@@ -124,6 +124,33 @@ def _packer(size: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.Da
     return lambda rows: _pack(rows, size, level, last)
 
 
+def _dealt(rows: DataFrame, parts: int, held: int = 100_000) -> DataFrame:
+    """rows with part: every `held` rows are sorted by length and dealt in turn, so that partitions get like lengths and
+    their bounds add up to little more than the bound of all."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn, full = 0, []
+
+        def out() -> pd.DataFrame:
+            nonlocal turn
+            rows = pd.concat(full).sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="mergesort")
+            turn = turn or int(rows["ids_crc32"].iat[0])
+            rows["part"] = (turn + np.arange(len(rows))) % parts
+            turn += len(rows)
+            return rows
+
+        for b in batches:
+            if len(b):
+                full.append(b)
+            if sum(map(len, full)) >= held:
+                yield out()
+                full = []
+        if full:
+            yield out()
+
+    return rows.select(*[c.split()[0] for c in PIECES.split(", ")]).mapInPandas(deal, f"{PIECES}, part long")
+
+
 def packed(cut: DataFrame, size: int = 1024, per_part: int = 4096, rounds: int = 3) -> DataFrame:
     """Pieces (as of `pieces`) with sequence_id and offset."""
     rows = staged(cut.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
@@ -132,10 +159,9 @@ def packed(cut: DataFrame, size: int = 1024, per_part: int = 4096, rounds: int =
     done = [full.select("*", single, F.lit(0).cast("long").alias("offset"))]
     rest = rows.where(F.col("length") < size)
     parts = max(1, -(-rest.count() // per_part))
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
     schema = f"{PIECES}, part long, sequence_id long, offset long, open boolean, gap long"
     names = [c.split()[0] for c in PACKED.split(", ")]
-    left = rest.withColumn("part", part)
+    left = _dealt(rest, parts)
     for level in range(rounds + 1):
         last = level == rounds or parts == 1
         got = staged(left.groupBy("part").applyInPandas(_packer(size, level, last), schema), "packed")
@@ -147,7 +173,7 @@ def packed(cut: DataFrame, size: int = 1024, per_part: int = 4096, rounds: int =
         if not n:
             break
         parts = -(-n // per_part)
-        left = sent.select(*[c.split()[0] for c in PIECES.split(", ")]).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(parts)))
+        left = _dealt(sent, parts)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
