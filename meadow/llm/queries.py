@@ -16,4 +16,10 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_pii": pii.op10_pii,
 }
-ORACLE = {"op3_lines": lines.OP3_SQL, "op5_search": search.OP5_SQL, "op9_chat": chat.OP9_SQL}
+ORACLE = {
+    "op1_neardup": neardup.OP1_SQL,
+    "op2_vectors": vectors.OP2_SQL,
+    "op3_lines": lines.OP3_SQL,
+    "op5_search": search.OP5_SQL,
+    "op9_chat": chat.OP9_SQL,
+}

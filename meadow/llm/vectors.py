@@ -174,3 +174,14 @@ def _found(classes: DataFrame, grid: Grid, cosine: float, schema: str) -> DataFr
 
 def op2_vectors(spark, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP2_SQL = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+), reach AS (SELECT vec_id, vec_id AS t FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.t
+), counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT r.vec_id, coalesce(any_value(c.n), 0)::BIGINT AS n_links, min(t) AS component_id, r.vec_id = min(t) AS kept FROM reach r LEFT JOIN counts c ON c.a = r.vec_id GROUP BY r.vec_id
+"""
