@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: With it, the shuffle files of a query go when it ends; once a table is written, nothing reads them again.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one where the session names none (local tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,11 +25,14 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a cut lineage that survives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/meadow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    was = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.unset(CLEAN_UP) if was is None else spark.conf.set(CLEAN_UP, was)
     back = spark.read.schema(df.schema).parquet(at)
     back._meadow_path = at
-    # Shuffle files go when the driver's JVM collects the frames that made them.
-    spark.sparkContext._jvm.System.gc()
     return back
 
 
