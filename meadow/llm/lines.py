@@ -4,7 +4,9 @@ Lines of at least `min_chars` characters take part; shorter ones are never touch
 length L is cut into edits + 1 segments of nearly equal length, each indexed by (L, which segment, its text). Two lines
 within `edits` edits share a segment at a place shifted by a few characters; a line probes the indexes of its own length
 and of those up to `edits` shorter with the substrings at the shifts that the edits left and right of the segment allow.
-Pairs of classes found are verified by Spark's banded edit distance, which gives up beyond the threshold.
+Rows carry the parities of the line's character counts as bits; pairs whose bits differ in more places than `edits` edits
+can change are no candidates. The others are verified by Spark's banded edit distance, which gives up beyond the
+threshold.
 
 A line stays if it is the first of its class (by doc_id, then place in the text) and no class with an earlier first line
 is within `edits` edits of it. The others leave their documents. A text without removed lines is unchanged; one without
@@ -26,30 +28,44 @@ from meadow.llm.common import read
 EDITS, MIN_CHARS = 2, 40
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment; the last ones are longer by one if the line can't be cut evenly."""
-    n = edits + 1
-    base, short = F.floor(length / n), F.lit(n) - length % n
-    return i * base + F.greatest(F.lit(0), F.lit(i) - short), base + (F.lit(i) >= short).cast("int")
+def _hashes() -> list[Column]:
+    """Two hashes that together name a line."""
+    return [F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g")]
 
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), F.substr(line, (start + 1).cast("int"), size.cast("int")))
+def _specs(edits: int, probe: bool) -> Column:
+    """(less, i, shift): probe segment i of lines `less` shorter, moved by `shift`. The index has shift and less 0."""
+    all_ = [(0, i, 0) for i in range(edits + 1)]
+    if probe:
+        all_ = [(d, i, s) for d in range(edits + 1) for i in range(edits + 1) for s in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)]
+    return F.explode(F.array(*[F.struct(F.lit(d).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in all_]))
 
 
-def _index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*[_key(line, length, i, *_segment(length, i, edits)) for i in range(edits + 1)])
+def _keys(classes: DataFrame, edits: int, probe: bool) -> DataFrame:
+    """id, parity, key: a row for each segment (or shifted substring) of each line.
 
+    One row for each spec first and one key in each row then, as a single expression with all keys would be too large
+    to be compiled.
+    """
+    rows = classes.select("id", "parity", "line", "n", _specs(edits, probe).alias("s")).select("id", "parity", "line", "n", "s.less", "s.i", "s.shift")
+    length = F.col("n") - F.col("less")
+    short = F.lit(edits + 1) - length % (edits + 1)
+    base = F.expr(f"(n - less) div {edits + 1}")
+    start = F.col("i") * base + F.greatest(F.lit(0), F.col("i") - short) + F.col("shift")
+    size = base + (F.col("i") >= short).cast("int")
+    fits = (start >= 0) & (start + size <= F.col("n"))
+    key = F.xxhash64(length.cast("int"), F.col("i"), F.substr("line", (start + 1).cast("int"), size.cast("int")))
+    out = rows.where(fits) if probe else rows
+    return out.select("id", "parity", key.alias("key"))
 
-def _probe_keys(line: Column, length: Column, edits: int) -> Column:
-    keys = []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = _segment(length - less, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                at = start + shift
-                keys.append(F.when((at >= 0) & (at + size <= length), _key(line, length - less, i, at, size)))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+def _parity(line: Column) -> Column:
+    """64 bits: of which characters (taken modulo 64) the line has an odd number.
+
+    An edit adds a character, takes one away, or does both, so it turns two bits at most.
+    """
+    one = F.lit(1).cast("long")
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, F.ascii(c))))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -58,35 +74,37 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(doc, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
 
 
-def _named(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64("line", F.lit(1)))
+#: Where a line stands as one number that sorts by document, then place.
+PLACE = "CAST(doc AS DECIMAL(20, 0)) * 2147483648 + pos"
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h, g (two hashes of a line), first (doc, pos), shadowed: an earlier line is within `edits` edits."""
+    """h, g (two hashes of a line), first (its place), shadowed: an earlier line is within `edits` edits."""
     if min_chars <= 2 * edits:
         raise ValueError("min_chars must be over twice the edits, or segments would be empty")
-    first = F.min(F.struct("doc", "pos")).alias("first")
-    classes = _named(_lines(docs, min_chars)).groupBy("h", "g").agg(first, F.min("line").alias("line"))
-    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "lines")
-    length = F.length("line")
-    index = classes.select("id", F.explode(_index_keys(F.col("line"), length, edits)).alias("key"))
-    probe = classes.select(F.col("id").alias("other"), F.explode(_probe_keys(F.col("line"), length, edits)).alias("key"))
-    met = probe.join(index, "key").where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    pairs = staged(met.distinct(), "pairs")
+    classes = _lines(docs, min_chars).groupBy("line").agg(F.min(F.expr(PLACE)).alias("first"))
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), F.length("line").alias("n"), "first", "line", *_hashes())
+    classes = staged(classes.withColumn("parity", _parity(F.col("line"))), "lines")
+    index = _keys(classes, edits, False)
+    probe = _keys(classes, edits, True).select(F.col("id").alias("other"), F.col("parity").alias("other_parity"), "key")
+    # Lines of one family share segments without being near; the parity test keeps their pairs from being listed.
+    close = F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= 2 * edits
+    met = probe.join(index, (probe["key"] == index["key"]) & (F.col("id") != F.col("other")) & close)
+    pairs = staged(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    wanted = staged(classes.select("id", "line", "first").join(ids, "id"), "texts")
+    side = {a: wanted.select(F.col("id").alias(a), F.col("line").alias(f"line_{a}"), F.col("first").alias(f"first_{a}")) for a in "ab"}
     near = F.levenshtein("line_a", "line_b", edits).between(0, edits)
     later = F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a"))
-    wanted = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(classes, "id"), "texts")
-    sides = {a: wanted.select(F.col("id").alias(a), F.col("line").alias(f"line_{a}"), F.col("first").alias(f"first_{a}")) for a in "ab"}
-    shadowed = pairs.join(sides["a"], "a").join(sides["b"], "b").where(near).select(later.alias("id")).distinct().withColumn("shadowed", F.lit(True))
-    return classes.drop("line").join(shadowed, "id", "left").select("h", "g", "first", F.coalesce("shadowed", F.lit(False)).alias("shadowed"))
+    shadowed = pairs.join(side["a"], "a").join(side["b"], "b").where(near).select(later.alias("id")).distinct().withColumn("shadowed", F.lit(True))
+    return classes.select("id", "h", "g", "first").join(shadowed, "id", "left").select("h", "g", "first", F.coalesce("shadowed", F.lit(False)).alias("shadowed"))
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc, gone: the places of the lines that leave each document."""
     classes = staged(line_classes(docs, edits, min_chars), "classes")
-    lines = _named(_lines(docs, min_chars)).select("doc", "pos", "h", "g")
-    gone = lines.join(classes, ["h", "g"]).where(F.col("shadowed") | (F.col("first") != F.struct("doc", "pos")))
+    lines = _lines(docs, min_chars).select("doc", "pos", F.expr(PLACE).alias("place"), *_hashes())
+    gone = lines.join(classes, ["h", "g"]).where(F.col("shadowed") | (F.col("first") != F.col("place")))
     return gone.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
 
 
