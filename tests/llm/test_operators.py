@@ -235,7 +235,7 @@ def test_pruning_loses_nothing():
     for _ in range(700):
         w = np.unique(rng.zipf(1.3, 60).astype(np.uint64) % np.uint64(500))
         counted.append((w, rng.integers(1, 5, len(w))))
-    shard = search.Shard(list(range(700)), counted, 60.0)
+    shard = search.Shard(list(range(700)), list(counted), 60.0)
     for _ in range(20):
         words = np.unique(rng.integers(0, 500, 30).astype(np.uint64))
         weight = rng.random(len(words))
