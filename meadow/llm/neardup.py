@@ -1,4 +1,4 @@
-"""Near-duplicate documents by an LSH forest over MinHash signatures, confirmed on full shingle sets.
+"""Near-duplicate documents by an LSH forest over MinHash signatures, compared on full shingle sets.
 
 Words are lower-cased (A-Z) runs of anything but ASCII white space; a document's set holds its distinct shingles of
 `width` words, or the whole sequence where it has fewer. Documents are linked where |A & B| / |A | B| >= num / den.
@@ -6,13 +6,12 @@ Words are lower-cased (A-Z) runs of anything but ASCII white space; a document's
 1. Every whole text becomes a set, a fingerprint of it and `TREES` * `DEPTH` minimum hashes. Equal sets form a class;
    only one document of each class goes on, so exact copies cost one row each.
 2. The forest: each tree orders the signatures by its own sequence of hashes. Documents that agree on the first
-   `START` of them form a region. A region with up to `ROOM` documents is taken as it is. A larger one goes to its full
-   depth, where documents with the longest common prefixes meet, and is also cut into chunks by a hash; the chunks'
-   leaders (the documents closest to the chunk's most common hashes) meet again, level by level, until one chunk is left.
-3. In a region or chunk, candidates are pairs whose signatures agree in a share of at least `LEAST`: each document with
-   its `NEAR` closest ones and with the `LEADERS` leaders. Up to NEAR + 1 documents, these are all pairs; beyond, every
-   tree deals other chunks, and copies of one text all meet its leaders. No pair of a region is ever listed as a whole.
-4. Candidates are confirmed on the sets of the whole texts, and links are joined to components.
+   `START` of them form a region. The sets of the whole texts go to the regions. In a region with up to `ROOM` documents
+   all pairs are compared, and a spanning forest of the links comes back, so rows stay linear in the documents.
+3. A larger region is cut into chunks by a hash, each compared like a region; the `LEADERS` documents with the most links
+   of each chunk meet again, level by level, until one chunk is left, and documents that agree to the full depth meet too.
+4. Links are joined to components. What is left of a larger region are pairs across components: all documents outside
+   its largest component meet all others, chunk by chunk. Pairs within a component can't change it.
 
 Recall: a pair at similarity 0.8 shares a region of one tree with probability 0.41, of any of 16 trees with 0.9998.
 
@@ -29,7 +28,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meadow.functions.shared import staged
@@ -37,7 +36,7 @@ from meadow.llm.common import read, small_batches
 from meadow.operators.components import connected_components
 
 TREES, DEPTH, START = 16, 6, 4
-ROOM, FEW, NEAR, LEADERS, LEAST = 256, 12, 4, 3, 0.62
+ROOM, LEADERS = 256, 3
 #: Odd multipliers that mix the hashes of the words of a shingle.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -103,43 +102,74 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n long, fp binary, sig binary")
 
 
-PAIRS = "region long, chunk long, a long, b long"
-
-
-def _meet(rows: list[tuple[int, bytes]], lead: bool) -> list[tuple[int, int | None]]:
-    """Candidate pairs of a chunk; (leader, None) for the next level if there is one."""
-    ids = np.array([r[0] for r in rows])
-    sig = np.array([np.frombuffer(r[1], np.uint32) for r in rows])
-    m, width = sig.shape
-    same = np.empty((m, m), np.float32)
-    for i in range(m):
-        same[i] = (sig == sig[i]).mean(1)
-    np.fill_diagonal(same, -1)
-    wanted = np.zeros((m, m), bool)
-    leaders: list[int] = []
-    if m > FEW:
-        top = np.argpartition(-same, NEAR - 1, axis=1)[:, :NEAR]
-        np.put_along_axis(wanted, top, True, 1)
-        # Agreement with the most common hash of each place.
-        ordered = np.sort(sig, 0)
-        votes = np.zeros(m)
-        for k in range(width):
-            values, counts = np.unique(ordered[:, k], return_counts=True)
-            votes += sig[:, k] == values[np.argmax(counts)]
-        leaders = np.argsort(-votes, kind="stable")[:LEADERS].tolist()
-        wanted[:, leaders] = True
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, set: the sorted hashes of each non-empty text of the documents `ids`.
+
+    Both sides of the join grow with the documents, so it is a sort-merge join at every size.
+    """
+    small_batches(docs.sparkSession, 256)
+    kind = pa.schema([("id", pa.int64()), ("set", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = shingler(width)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], schema=kind)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.distinct().hint("merge"), "id")
+    return texts.select("id", "text").mapInArrow(work, "id long, set binary").where("length(set) > 0")
+
+
+def _alike(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which pairs of sets are similar enough."""
+    m, sizes = len(sets), np.array([len(s) for s in sets])
+    if m == 2:
+        both = np.zeros((2, 2), np.int64)
+        both[0, 1] = both[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
     else:
-        wanted[:] = True
-        leaders = list(range(min(m, 1)))
-    wanted = np.triu((wanted | wanted.T) & (same >= LEAST), 1)
-    found: list[tuple[int, int | None]] = [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for i, j in zip(*np.nonzero(wanted))]
-    if lead:
-        found += [(int(ids[k]), None) for k in leaders]
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(m), sizes)
+        # Elements of one set only are in no intersection.
+        place = np.cumsum(count > 1) - 1
+        shared = count[code] > 1
+        owner, code = owner[shared], place[code[shared]]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        counts = np.zeros((m, m), np.float64)
+        for low in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            i, j = np.searchsorted(code, (low, low + 4096))
+            has = np.zeros((m, 4096), np.float32)
+            has[owner[i:j], code[i:j] - low] = 1
+            counts += has @ has.T
+        both = counts.astype(np.int64)
+    out = (both > 0) & (den * both >= num * (sizes[:, None] + sizes[None] - both))
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _forest(ids: np.ndarray, joined: np.ndarray, alike: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what `alike` joins, beyond members of one value in `joined`."""
+    near = alike | (joined[:, None] == joined[None])
+    seen = np.zeros(len(ids), bool)
+    found: list[tuple[int, int]] = []
+    for start in range(len(ids)):
+        if seen[start]:
+            continue
+        seen[start] = True
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            more = np.nonzero(near[i] & ~seen)[0]
+            seen[more] = True
+            todo += more.tolist()
+            found += [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in more if joined[i] != joined[j]]
     return found
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """rows(region, chunk, chunks, id, sig) to pairs; rows without b are leaders of regions with more than one chunk."""
+def _met(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """rows(region, chunk, chunks, id, joined) to region, chunk and links a, b.
+
+    Rows without b are leaders of regions with more than one chunk. Members of one value in `joined` are already linked.
+    """
     kind = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +179,15 @@ def _met(rows: DataFrame) -> DataFrame:
 
         out: list[tuple] = []
         for (region, chunk, chunks), group in groupby(stream(), key=lambda r: r[:3]):
-            members = list({r[3]: r[4] for r in group}.items())
-            if len(members) > 1 or chunks > 1:
-                out += [(region, chunk, a, b) for a, b in _meet(members, chunks > 1)]
+            members = list({(r[3], r[5]): r[4] for r in group}.items())
+            ids, joined = np.array([k[0] for k, _ in members]), np.array([j for _, j in members])
+            most: list[int] = [0]
+            if len(members) > 1 and (joined != joined[0]).any():
+                alike = _alike([np.frombuffer(k[1], np.uint64) for k, _ in members], num, den)
+                out += [(region, chunk, a, b) for a, b in _forest(ids, joined, alike)]
+                most = np.argsort(-alike.sum(1), kind="stable")[:LEADERS].tolist()
+            if chunks > 1:
+                out += [(region, chunk, i, None) for i in {int(ids[k]) for k in most}]
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=kind)
                 out = []
@@ -159,11 +195,16 @@ def _met(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=kind)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("region", "chunk", "chunks", "id", "sig").repartition(n, "region", "chunk").sortWithinPartitions("region", "chunk", "id").mapInArrow(work, PAIRS)
+    full = rows.hint("merge").join(sets, "id").select("region", "chunk", "chunks", "id", "joined", "set")
+    return staged(full.repartition(n, "region", "chunk").sortWithinPartitions("region", "chunk", "id").mapInArrow(work, "region long, chunk long, a long, b long"), "links")
+
+
+def _chunks(n: str) -> Column:
+    return F.ceil(F.col(n) / ROOM)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """classes(rep, sig) to distinct pairs (a, b), a < b."""
+def _linked(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """links(a, b) within regions and chunks; the larger regions (region, id, n), if any; the sets of all members."""
     step = DEPTH * 4
     at = lambda t, depth: F.xxhash64(F.substring("sig", t * step + 1, depth * 4), F.lit(t * 8 + depth))
     trees = F.array(*[F.struct(at(t, START).alias("wide"), at(t, DEPTH).alias("deep")) for t in range(TREES)])
@@ -171,64 +212,48 @@ def candidates(classes: DataFrame) -> DataFrame:
     shared = staged(rows.join(rows.groupBy("wide").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), "wide"), "regions")
     small, large = shared.where(F.col("n") <= ROOM), shared.where(F.col("n") > ROOM)
     deep = large.join(large.groupBy("deep").agg(F.count("*").alias("m")).where("m > 1"), "deep")
-    chunks = lambda n: F.ceil(F.col(n) / ROOM)
-    part = lambda n, key: F.pmod(F.xxhash64("id", key), chunks(n))
-    none = F.lit(0).cast("long")
+    part = lambda n, key: F.pmod(F.xxhash64("id", key), _chunks(n))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     dealt = (
-        small.select(F.col("wide").alias("region"), none.alias("chunk"), F.lit(1).cast("long").alias("chunks"), "id")
-        .unionByName(large.select(F.col("wide").alias("region"), part("n", "wide").alias("chunk"), chunks("n").alias("chunks"), "id"))
-        .unionByName(deep.select(F.col("deep").alias("region"), part("m", "deep").alias("chunk"), F.lit(1).cast("long").alias("chunks"), "id"))
+        small.select(F.col("wide").alias("region"), none.alias("chunk"), one.alias("chunks"), "id")
+        .unionByName(large.select(F.col("wide").alias("region"), part("n", "wide").alias("chunk"), _chunks("n").alias("chunks"), "id"))
+        .unionByName(deep.select(F.col("deep").alias("region"), part("m", "deep").alias("chunk"), one.alias("chunks"), "id"))
     )
-    sigs = classes.select(F.col("rep").alias("id"), "sig").dropDuplicates(["id"])
+    sets = staged(_sets(docs, shared.select("id"), width), "sets")
     deepest = large.agg(F.max("n")).first()[0] or 0
-    met = staged(_met(dealt.hint("merge").join(sigs, "id")), "pairs")
-    found = [met.where("b IS NOT NULL")]
+    met = _met(dealt.withColumn("joined", F.col("id")), sets, num, den)
+    links = met.where("b IS NOT NULL")
     left = -(-deepest // ROOM)
     while left > 1:
         # Leaders of one region meet in chunks of ROOM again.
         fan = ROOM // LEADERS
         left = -(-left // fan)
-        more = F.lit(left).cast("long")
-        again = met.where("b IS NULL").select("region", F.floor(F.col("chunk") / fan).alias("chunk"), more.alias("chunks"), F.col("a").alias("id"))
-        met = staged(_met(again.join(sigs, "id")), "pairs")
-        found.append(met.where("b IS NOT NULL"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.select("a", "b").distinct()
+        again = met.where("b IS NULL").select("region", F.floor(F.col("chunk") / fan).alias("chunk"), F.lit(left).cast("long").alias("chunks"), F.col("a").alias("id"))
+        met = _met(again.withColumn("joined", F.col("id")), sets, num, den)
+        links = links.unionByName(met.where("b IS NOT NULL"))
+    return links.select("a", "b").distinct(), large.select(F.col("wide").alias("region"), "id", "n") if deepest else None, sets
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs whose whole texts' sets are similar enough.
+def _across(large: DataFrame, parts: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components (node, component) that meet in a larger region.
 
-    Both sides of these joins grow with the documents, so they are sort-merge joins at every size.
+    Its documents outside the largest component are dealt to `q` chunks, those of this component to `t`. Each of the
+    first meets every other chunk, so the block (i, j), i < q, i < j < q + t, holds the chunks i and j.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id"), "texts")
-    a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    small_batches(docs.sparkSession, 256)
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(width)
-        known: dict[str, np.ndarray] = {}
-        for batch in batches:
-            out = []
-            for x, y, tx, ty in zip(*[c.to_pylist() for c in batch.columns]):
-                sets = []
-                for t in (tx, ty):
-                    if t not in known:
-                        if len(known) >= 64:
-                            known.clear()
-                        known[t] = shingles(t)
-                    sets.append(known[t])
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                if both and den * both >= num * (len(sets[0]) + len(sets[1]) - both):
-                    out.append((x, y))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=kind)
-
-    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    of = large.join(parts, large["id"] == parts["node"], "left").select("region", "id", F.coalesce("component", "id").alias("joined"))
+    of = staged(of.distinct(), "members")
+    sizes = of.groupBy("region", "joined").agg(F.count("*").alias("k")).groupBy("region").agg(F.sum("k").alias("n"), F.max(F.struct("k", "joined")).alias("top"))
+    sizes = sizes.select("region", F.col("top.joined").alias("top"), (F.col("n") - F.col("top.k")).alias("rest"), F.col("top.k").alias("k")).where("rest > 0")
+    at = of.join(sizes, "region").withColumn("q", _chunks("rest")).withColumn("t", _chunks("k"))
+    mine = F.when(F.col("joined") == F.col("top"), F.col("q") + F.pmod(F.xxhash64("id", "region"), F.col("t"))).otherwise(F.pmod(F.xxhash64("id", "region"), F.col("q")))
+    at = at.withColumn("x", mine).withColumn("all", F.col("q") + F.col("t"))
+    # Blocks as one number, i * all + j.
+    first = F.transform(F.sequence(F.lit(0).cast("long"), F.least("x", "q") - 1), lambda i: i * F.col("all") + F.col("x"))
+    second = F.transform(F.sequence(F.col("x") + 1, F.col("all") - 1), lambda j: F.col("x") * F.col("all") + j)
+    none = F.array().cast("array<bigint>")
+    blocks = F.concat(F.when(F.col("x") > 0, first).otherwise(none), F.when(F.col("x") < F.col("q"), second).otherwise(none))
+    rows = at.select("region", F.explode(blocks).alias("chunk"), F.lit(1).cast("long").alias("chunks"), "id", "joined")
+    return _met(rows, sets, num, den).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -236,12 +261,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     signed = staged(signatures(docs, width), "signatures")
     full = signed.where("doc_id IS NOT NULL AND fp IS NOT NULL")
     classes = staged(full.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
-    links = staged(confirmed(staged(candidates(classes), "candidates"), docs, width, num, den), "links")
+    links, large, sets = _linked(classes, docs, width, num, den)
     # A doc_id with several texts ties their classes together.
     rows = full.select("doc_id", "fp").distinct()
     split = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     ties = rows.join(split, "doc_id").join(classes.select("fp", "rep"), "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     parts = connected_components(links.unionByName(ties))
+    if large is not None:
+        more = _across(large, parts, sets, num, den)
+        if not more.isEmpty():
+            parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))

@@ -77,6 +77,21 @@ def test_crowded_regions_keep_their_links(spark):
     assert wrong <= 7
 
 
+@pytest.mark.parametrize("size", [81, 400])
+def test_one_link_between_crowded_families(spark, size):
+    """Members of a family are at 0.99, those of two at 0.799; one pair that shares its last word is at 0.807."""
+    rows = []
+    for i in range(2 * size):
+        w = [f"w{k}" for k in range(200)]
+        if i >= size:
+            for k in (0, 20, 40, 60, 80, 100):
+                w[k] = f"b{k}"
+        w[199] = "bridge" if i % size == size - 1 else f"x{i}"
+        rows.append((i, " ".join(w), "a"))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), 4).collect()}
+    assert got == dict.fromkeys(range(2 * size), 0)
+
+
 def test_near_duplicates_of_hard_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, HARD), 4).collect()), key=str)
     assert (1, 0, 1, True) in got and (2, 0, 2, True) in got and (None, 1, None, True) in got
