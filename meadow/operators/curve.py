@@ -151,14 +151,17 @@ def yield_band(draws: DataFrame, dose: float, n_flowers: int, mass_kg: float, no
 
 def orchard_yield(draws: DataFrame, flowers: DataFrame, mass_kg: float, gain: float = 0.0, noise: bool = False, seed: int = 42, by: str = "crop") -> DataFrame:
     """Yield summed over flowers(by, V), each at its own dose, fruit mass rising with its set; and how far the set at the
-    mean dose lies above the mean set. Flowers are summed to distinct doses first, then meet the (bounded) draws."""
+    mean dose lies above the mean set. Flowers are summed to distinct doses first, then meet the distinct draws, which
+    count as often as they occur; with noise, each b has its own."""
     doses = flowers.groupBy(by, "V").agg(F.count("*").alias("n"))
-    at = doses.join(F.broadcast(draws), by).withColumn("f", response(F.col("V"), F.col("F0"), F.col("Fmax"), F.col("k")))
+    key = [by, "F0", "Fmax", "k"] + (["b"] if noise else [])
+    at = doses.join(draws.groupBy(*key).agg(F.count("*").alias("w")), by).withColumn("f", response(F.col("V"), F.col("F0"), F.col("Fmax"), F.col("k")))
     mass = mass_kg * (1 + gain * (F.col("f") - F.col("F0")))
     z = F.sqrt(F.col("n") * F.col("f") * (1 - F.col("f"))) * normal(F.col(by), F.col("b"), F.col("V"), F.lit(seed)) if noise else F.lit(0.0)
-    one = at.groupBy(by, "b", "F0", "Fmax", "k").agg(F.sum((F.col("n") * F.col("f") + z) * mass).alias("kg"), F.sum(F.col("n") * F.col("f")).alias("sf"), F.sum(F.col("n") * F.col("V")).alias("sv"), F.sum("n").alias("n"))
+    one = at.groupBy(*key, "w").agg(F.sum((F.col("n") * F.col("f") + z) * mass).alias("kg"), F.sum(F.col("n") * F.col("f")).alias("sf"), F.sum(F.col("n") * F.col("V")).alias("sv"), F.sum("n").alias("n"))
     jensen = response(F.col("sv") / F.col("n"), F.col("F0"), F.col("Fmax"), F.col("k")) - F.col("sf") / F.col("n")
-    return one.groupBy(by).agg(F.avg("kg").alias("mean_kg"), F.percentile("kg", F.lit(0.025)).alias("lo_kg"), F.percentile("kg", F.lit(0.975)).alias("hi_kg"), F.avg(jensen).alias("jensen"), F.max("n").alias("n_flowers"))
+    mean = lambda c: F.sum(c * F.col("w")) / F.sum("w")
+    return one.groupBy(by).agg(mean(F.col("kg")).alias("mean_kg"), F.percentile("kg", F.lit(0.025), F.col("w")).alias("lo_kg"), F.percentile("kg", F.lit(0.975), F.col("w")).alias("hi_kg"), mean(jensen).alias("jensen"), F.max("n").alias("n_flowers"))
 
 
 def crop_params(rows: DataFrame, crops: dict = CROPS) -> DataFrame:

@@ -189,7 +189,7 @@ def m9_yield_band_noise(spark, d):
 @query()
 def m10_orchard_yield(spark, d):
     flowers = b.trial(spark, d).select(F.when(F.col("crop") == "F", "pomegranate").otherwise("cucumber").alias("crop"), F.round("V", 0).alias("V"))
-    return rounded(curve.orchard_yield(_draws(spark, d).where("b % 97 = 0"), flowers, 0.3, 0.25), n=4)
+    return rounded(curve.orchard_yield(_draws(spark, d), flowers, 0.3, 0.25), n=4)
 
 
 @query()
