@@ -1,239 +1,304 @@
 """Landings from an endless stream of detections, and what is counted over them.
 
-Rows are (camera, ts, fi, kind, track_id, cls, conf, x1, y1, x2, y2); kind is 'flower' or 'insect'. Time is event time.
-A camera is one key of a stateful operator: `Camera` holds the flowers in view, the open episode of each track and the
-episodes parked when their track vanished. Rows wait in the state until the watermark has passed them, so each frame is
-seen once and in order; a timer closes what is left when a camera falls silent.
+Rows are (camera, ts, fi, kind, track_id, cls, conf, x1, y1, x2, y2); kind is 'flower' or 'insect'. All rules are in event
+time, so a stream and a replay of its rows give the same landings:
+
+* Flowers. A box is the known flower it overlaps most, by at least `same_iou`, best pairs of a moment first, each flower
+  once; else it is a new flower. Known boxes follow by an exponential mean. A flower counts from its second box on, for
+  `shown_s` after its last one, and is forgotten after `forgotten_s`.
+* Sightings. The rows of a track with no pause above the grace are one sighting. Its landing opens with a row on a flower
+  (the first known one whose padded box holds the centre) and closes with a row off every flower that comes more than the
+  grace after the last one on; it belongs to the last flower touched.
+* Taking up. A sighting that ends while landed leaves its landing open for `relink_s` after the grace. A sighting that
+  begins on a flower takes up the open landing that was last seen nearest, within `relink_k` roots of the box's area.
+* The type is that of the largest sum of confidence over the rows since the insect came in sight; a landing that is taken
+  up brings its sums along, and a track that is back within `idle_s` goes on with its own.
+
+A camera is one key of a stateful operator. Its state are tables: rows that the watermark hasn't passed yet, the flowers,
+the sightings by number, and the last sighting of each track. A timer fires when the next open landing runs out.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from meadow.params import INSECT_TYPES, LANDING, POLLINATORS, LandingParams
 
 LANDED = "camera string, seq long, ts timestamp, t_enter_s double, t_exit_s double, landing_s double, is_real_landing int, flower_id string, insect_type string, is_pollinator boolean, flower_detected string, conf_mean double"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What the state holds of a row, a flower and a sighting.
+ROW = "ts double, kind string, track long, insect string, conf double, x1 double, y1 double, x2 double, y2 double"
+FLOWER = "x1 double, y1 double, x2 double, y2 double, seen double, hits int"
+SIGHTING = "track long, seen double, x double, y double, flower string, enter double, last double, conf double, n int, kinds array<string>, sums array<double>"
+FACTS = "start double, flowers long, sightings long, written long"
+SIDES = ["x1", "y1", "x2", "y2"]
 
 
-def _mid(b: tuple) -> tuple[float, float]:
-    return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
+@dataclass(frozen=True)
+class LiveParams:
+    """What only live streams need."""
 
-
-def _area(b: tuple) -> float:
-    return max(1.0, (b[2] - b[0]) * (b[3] - b[1]))
+    same_iou: float = 0.3
+    shown_s: float = 0.6
+    forgotten_s: float = 1.5
+    least_hits: int = 2
+    idle_s: float = 5.0
 
 
-def _iou(a: tuple, b: tuple) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    inter = max(0.0, w) * max(0.0, h)
-    return inter / (_area(a) + _area(b) - inter) if inter else 0.0
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of every box of a with every box of b, areas floored at 1."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    shared = np.clip(high - low, 0, None).prod(2)
+    size = lambda x: np.maximum(1.0, (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1]))
+    return shared / (size(a)[:, None] + size(b)[None] - shared)
+
+
+def flower_under(rows: pd.DataFrame, known: dict[int, tuple], made: int, p: LandingParams = LANDING, q: LiveParams = LiveParams()) -> tuple[pd.Series, dict[int, tuple], int]:
+    """Flower number (or none) of each insect row of one camera, in time order; the flowers known after them, and how many there ever were."""
+    under: dict[int, int] = {}
+    for t, now in rows.groupby("ts", sort=True):
+        known = {k: f for k, f in known.items() if t - f[4] <= q.forgotten_s}
+        boxes = now.loc[now["kind"] == "flower", SIDES].to_numpy(float)
+        if len(boxes):
+            ids = list(known)
+            owner = np.zeros(len(boxes), int)
+            if ids:
+                iou = overlaps(boxes, np.array([known[k][:4] for k in ids]))
+                while iou.size and iou.max() >= q.same_iou:
+                    i, j = np.unravel_index(iou.argmax(), iou.shape)
+                    owner[i] = ids[j]
+                    iou[i], iou[:, j] = -1, -1
+            for box, k in zip(boxes, owner.tolist()):
+                if k:
+                    mean = p.flower_ema * np.array(known[k][:4]) + (1 - p.flower_ema) * box
+                    known[k] = (*mean.tolist(), t, known[k][5] + 1)
+                else:
+                    made += 1
+                    known[made] = (*box.tolist(), t, 1)
+        ids = sorted(k for k, f in known.items() if t - f[4] <= q.shown_s and f[5] >= q.least_hits)
+        insects = now[now["kind"] == "insect"]
+        if ids and len(insects):
+            f = np.array([known[k][:4] for k in ids])
+            pad = (f[:, 2:] - f[:, :2]) * p.touch_pad
+            c = (insects[["x1", "y1"]].to_numpy(float) + insects[["x2", "y2"]].to_numpy(float)) / 2
+            inside = ((c[:, None] >= f[None, :, :2] - pad) & (c[:, None] <= f[None, :, 2:] + pad)).all(2)
+            under |= {at: ids[hit.argmax()] for at, hit in zip(insects.index, inside) if hit.any()}
+    return rows.index.to_series().map(under), known, made
 
 
 @dataclass
-class Camera:
-    """State of one camera. `frame` takes one frame's detections and returns the landings that end with it.
+class Sighting:
+    track: int
+    seen: float
+    x: float
+    y: float
+    flower: str | None = None
+    enter: float | None = None
+    last: float | None = None
+    conf: float = 0.0
+    n: int = 0
+    sums: dict[str, float] = field(default_factory=dict)
 
-    An episode is a dict: flower, enter, last (times), conf (sum), n, votes (those of its track).
-    """
+    def row(self) -> tuple:
+        return self.track, self.seen, self.x, self.y, self.flower, self.enter, self.last, self.conf, self.n, list(self.sums), list(self.sums.values())
 
-    p: LandingParams = LANDING
-    iou: float = 0.3
-    draw_s: float = 0.6
-    forget_s: float = 1.5
-    least_hits: int = 2
-    idle_s: float = 5.0
-    flowers: dict[str, list] = field(default_factory=dict)  # id: [box, last seen, hits]
-    tracks: dict[int, dict] = field(default_factory=dict)  # id: votes, episode, where and when last seen, area
-    parked: list[tuple[dict, tuple, float, float]] = field(default_factory=list)  # episode, where, when, area
+    @staticmethod
+    def of(r: tuple) -> "Sighting":
+        return Sighting(*r[:9], dict(zip(r[9] or [], r[10] or [])))
+
+    def landing(self) -> tuple:
+        return self.enter, self.last, self.flower, max(self.sums, key=self.sums.get), self.conf / self.n
+
+
+@dataclass
+class Sightings:
+    """Those of one camera: by number, and the last one of each track."""
+
+    table: dict[int, Sighting] = field(default_factory=dict)
+    current: dict[int, int] = field(default_factory=dict)
     made: int = 0
-    written: int = 0
-
-    def _flowers(self, t: float, boxes: list[tuple]) -> list[tuple[str, tuple]]:
-        used: set[str] = set()
-        for b in boxes:
-            score, name = max(((_iou(b, f[0]), k) for k, f in self.flowers.items() if k not in used), default=(0.0, ""))
-            if score >= self.iou:
-                f = self.flowers[name]
-                keep = self.p.flower_ema
-                self.flowers[name] = [tuple(keep * o + (1 - keep) * x for o, x in zip(f[0], b)), t, f[2] + 1]
-            else:
-                self.made += 1
-                name = f"flower_{self.made}"
-                self.flowers[name] = [b, t, 1]
-            used.add(name)
-        self.flowers = {k: f for k, f in self.flowers.items() if t - f[1] <= self.forget_s}
-        return [(k, f[0]) for k, f in self.flowers.items() if t - f[1] <= self.draw_s and f[2] >= self.least_hits]
-
-    def _landed(self, e: dict) -> tuple:
-        self.written += 1
-        s = round(e["last"] - e["enter"], 2)
-        kind = max(e["votes"], key=e["votes"].get)
-        return self.written, e["enter"], e["last"], s, int(s >= self.p.real_s), e["flower"], kind, kind.lower() in POLLINATORS, "detected", round(e["conf"] / e["n"], 3)
-
-    def kept(self) -> dict:
-        """All that changes, as plain values."""
-        return {k: getattr(self, k) for k in ("flowers", "tracks", "parked", "made", "written")}
-
-    def _resumed(self, at: tuple, area: float) -> dict | None:
-        """The nearest parked episode in reach of a track that is new."""
-        reach = self.p.relink_k * area**0.5
-        near = [(((at[0] - c[0]) ** 2 + (at[1] - c[1]) ** 2) ** 0.5, i) for i, (_, c, _, _) in enumerate(self.parked)]
-        best = min((x for x in near if x[0] <= reach), default=None)
-        return self.parked.pop(best[1])[0] if best else None
-
-    def frame(self, t: float, insects: list[tuple], flowers: list[tuple]) -> list[tuple]:
-        """insects: (track, box, class, confidence); flowers: boxes."""
-        there = self._flowers(t, flowers)
-        out = [self._landed(e) for e, _, since, _ in self.parked if t - since > self.p.relink_s]
-        self.parked = [x for x in self.parked if t - x[2] <= self.p.relink_s]
-        seen = set()
-        for track, b, kind, conf in insects:
-            seen.add(track)
-            at, area = _mid(b), _area(b)
-            if track not in self.tracks:
-                e = self._resumed(at, area)
-                self.tracks[track] = {"votes": e["votes"] if e else {}, "episode": e}
-            s = self.tracks[track]
-            s["votes"][kind] = s["votes"].get(kind, 0.0) + conf
-            s |= {"at": at, "area": area, "t": t}
-            pad = self.p.touch_pad
-            on = next((k for k, f in there if f[0] - (f[2] - f[0]) * pad <= at[0] <= f[2] + (f[2] - f[0]) * pad and f[1] - (f[3] - f[1]) * pad <= at[1] <= f[3] + (f[3] - f[1]) * pad), None)
-            e = s["episode"]
-            if on is not None and e is None:
-                s["episode"] = {"flower": on, "enter": t, "last": t, "conf": conf, "n": 1, "votes": s["votes"]}
-            elif on is not None:
-                e |= {"flower": on, "last": t, "conf": e["conf"] + conf, "n": e["n"] + 1}
-            elif e is not None and t - e["last"] > self.p.grace_s:
-                out.append(self._landed(e))
-                s["episode"] = None
-        for track in [k for k in self.tracks if k not in seen]:
-            s = self.tracks[track]
-            e = s["episode"]
-            if e is not None and t - e["last"] > self.p.grace_s:
-                self.parked.append((e, s["at"], t, s["area"]))
-                del self.tracks[track]
-            elif e is None and t - s["t"] > self.idle_s:
-                del self.tracks[track]
+    p: LandingParams = LANDING
+    q: LiveParams = LiveParams()
+
+    def runs_out(self, s: Sighting) -> float:
+        """When nothing can change about a sighting that isn't seen again."""
+        return s.seen + (self.p.grace_s + self.p.relink_s if s.flower else self.q.idle_s)
+
+    def open_near(self, t: float, x: float, y: float, reach: float) -> int | None:
+        """The open landing that was last seen nearest, out of sight for longer than the grace, not run out."""
+        near = [(np.hypot(s.x - x, s.y - y), k) for k, s in self.table.items() if s.flower and s.seen + self.p.grace_s < t <= self.runs_out(s)]
+        return min((n for n in near if n[0] <= reach), default=(0.0, None))[1]
+
+    def add(self, t: float, track: int, kind: str, conf: float, box: tuple, flower: str | None) -> list[tuple]:
+        """One row; (when, landing) if a landing ends with it."""
+        x, y, area = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, max(1.0, (box[2] - box[0]) * (box[3] - box[1]))
+        k = self.current.get(track)
+        s = self.table.get(k)
+        if s is None or t - s.seen > self.p.grace_s:
+            self.made += 1
+            new = Sighting(track, t, x, y)
+            if s is not None and s.flower is None:
+                new.sums = s.sums if t - s.seen <= self.q.idle_s else {}
+                del self.table[k]
+            taken = self.open_near(t, x, y, self.p.relink_k * area**0.5) if flower else None
+            if taken is not None:
+                was = self.table.pop(taken)
+                new.flower, new.enter, new.last, new.conf, new.n, new.sums = was.flower, was.enter, was.last, was.conf, was.n, was.sums
+            self.current[track], self.table[self.made], s = self.made, new, new
+        s.seen, s.x, s.y = t, x, y
+        s.sums[kind] = s.sums.get(kind, 0.0) + conf
+        if flower:
+            s.enter = t if s.flower is None else s.enter
+            s.flower, s.last, s.conf, s.n = flower, t, s.conf + conf, s.n + 1
+        elif s.flower and t - s.last > self.p.grace_s:
+            ended = s.landing()
+            s.flower, s.enter, s.last, s.conf, s.n = None, None, None, 0.0, 0
+            return [(t, ended)]
+        return []
+
+    def expired(self, upto: float) -> list[tuple]:
+        """(when, landing) of all that has run out by then."""
+        gone = [k for k, s in self.table.items() if self.runs_out(s) <= upto]
+        out = [(self.runs_out(s), s.landing()) for s in map(self.table.pop, gone) if s.flower]
+        self.current = {t: k for t, k in self.current.items() if k in self.table}
         return out
 
-    def close(self) -> list[tuple]:
-        """What is still open or parked when the camera is silent."""
-        out = [self._landed(e) for e, _, _, _ in self.parked] + [self._landed(s["episode"]) for s in self.tracks.values() if s["episode"]]
-        self.parked, self.tracks = [], {}
-        return out
+
+def _advanced(rows: pd.DataFrame, known: dict[int, tuple], facts: list, sightings: Sightings, upto: float) -> tuple[list[tuple], dict[int, tuple]]:
+    """Rows up to a time through one camera's tables: the landings that end, and the flowers known then."""
+    done: list[tuple] = []
+    if len(rows):
+        rows = rows.sort_values(["ts", "kind", "track", *SIDES], kind="mergesort").reset_index(drop=True)
+        facts[0] = rows["ts"].iat[0] if facts[0] is None else facts[0]
+        rows["ts"] = (rows["ts"] - facts[0]).round(2)
+        under, known, facts[1] = flower_under(rows, known, facts[1], sightings.p, sightings.q)
+        insects = rows["kind"] == "insect"
+        for r, k in zip(rows[insects].itertuples(index=False), under[insects]):
+            done += sightings.add(r.ts, int(r.track), r.insect, r.conf, (r.x1, r.y1, r.x2, r.y2), None if pd.isna(k) else f"flower_{int(k)}")
+    return done + sightings.expired(upto - facts[0] if facts[0] is not None else upto), known
 
 
-def _frames(rows: list[tuple]) -> Iterator[tuple]:
-    """Rows (ts, fi, kind, track, cls, conf, box) by frame, in order."""
-    frames: dict[tuple, tuple[list, list]] = {}
-    for ts, fi, kind, track, cls, conf, b in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3] if r[3] is not None else -1, r[6])):
-        insects, flowers = frames.setdefault((ts, fi), ([], []))
-        flowers.append(b) if kind == "flower" else insects.append((track, b, cls, conf))
-    for (ts, _), x in frames.items():
-        yield ts, *x
+def _table(camera: str, done: list[tuple], facts: list, p: LandingParams) -> pd.DataFrame:
+    """Landings in the order in which they ended, numbered on."""
+    out = []
+    for _, (enter, last, flower, kind, conf) in sorted(done, key=lambda d: (d[0], d[1][:4])):
+        facts[3] += 1
+        s = round(last - enter, 2)
+        out.append((camera, facts[3], pd.Timestamp((facts[0] + last) * 1000, unit="ms"), enter, last, s, int(s >= p.real_s), flower, kind, kind.lower() in POLLINATORS, "detected", round(conf, 3)))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in LANDED.split(", ")])
 
 
-def _table(camera: str, landed: list[tuple]) -> pd.DataFrame:
-    """landed: (epoch of camera's first frame, landing)."""
-    names = [c.split()[0] for c in LANDED.split(", ")]
-    rows = [(camera, x[0], pd.Timestamp((start + x[2]) * 1000, unit="ms"), *x[1:]) for start, x in landed]
-    return pd.DataFrame(rows, columns=names)
+def _plain(b: pd.DataFrame) -> pd.DataFrame:
+    """Rows as the state keeps them."""
+    seconds = b["ts"].astype("datetime64[us]").astype("int64") / 1e6
+    return pd.DataFrame({"ts": seconds, "kind": b["kind"], "track": b["track_id"].fillna(-1).astype("int64"), "insect": b["cls"], "conf": b["conf"].astype(float)} | {c: b[c].astype(float) for c in SIDES})
 
 
 class Landings(StatefulProcessor):
-    """One camera's stream. State: the rows the watermark hasn't passed yet, and the Camera."""
+    """One camera's stream."""
 
-    def __init__(self, p: LandingParams = LANDING, silent_s: float = 10.0):
-        self.p, self.silent_s = p, silent_s
+    def __init__(self, p: LandingParams = LANDING, q: LiveParams = LiveParams()):
+        self.p, self.q = p, q
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("camera", StructType([StructField("data", BinaryType())]))
-
-    def _load(self) -> dict:
-        s = pickle.loads(self.state.get()[0]) if self.state.exists() else {"camera": {}, "waiting": [], "start": None}
-        return s | {"camera": Camera(self.p, **s["camera"])}
-
-    def _run(self, key: tuple, s: dict, upto: float, end: bool) -> pd.DataFrame:
-        ready = [r for r in s["waiting"] if end or r[0] <= upto]
-        s["waiting"] = [] if end else [r for r in s["waiting"] if r[0] > upto]
-        out = []
-        for ts, insects, flowers in _frames(ready):
-            if s["start"] is None:
-                s["start"] = ts
-            out += [(s["start"], x) for x in s["camera"].frame(round(ts - s["start"], 2), insects, flowers)]
-        if end:
-            out += [(s["start"], x) for x in s["camera"].close()]
-        self.state.update((pickle.dumps(s | {"camera": s["camera"].kept()}),))
-        return _table(key[0], out)
-
-    def _alarm(self, at_ms: int) -> None:
+        self.waiting = handle.getListState("waiting", ROW)
+        self.flowers = handle.getMapState("flowers", "id long", FLOWER)
+        self.sightings = handle.getMapState("sightings", "no long", SIGHTING)
+        self.current = handle.getMapState("current", "track long", "no long")
+        self.facts = handle.getValueState("facts", FACTS)
+
+    @staticmethod
+    def _kept(state, before: dict, now: dict) -> None:
+        """Write what changed."""
+        for k in before.keys() - now.keys():
+            state.removeKey((k,))
+        for k, v in now.items():
+            if before.get(k) != v:
+                state.updateValue((k,), v)
+
+    def _advance(self, key: tuple, new: pd.DataFrame | None, upto: float) -> pd.DataFrame:
+        names = [c.split()[0] for c in ROW.split(", ")]
+        held = pd.DataFrame([tuple(r) for r in self.waiting.get()] if self.waiting.exists() else [], columns=names)
+        rows = held if new is None else new if held.empty else pd.concat([held, new], ignore_index=True)
+        ready, later = rows[rows["ts"] <= upto], rows[rows["ts"] > upto]
+        facts = list(self.facts.get()) if self.facts.exists() else [None, 0, 0, 0]
+        flowers = {k[0]: tuple(v) for k, v in self.flowers.iterator()}
+        table = {k[0]: tuple(v) for k, v in self.sightings.iterator()}
+        current = {k[0]: v[0] for k, v in self.current.iterator()}
+        s = Sightings({k: Sighting.of(v) for k, v in table.items()}, dict(current), facts[2], self.p, self.q)
+        table = {k: Sighting.of(v).row() for k, v in table.items()}
+        done, known = _advanced(ready, dict(flowers), facts, s, upto)
+        facts[2] = s.made
+        out = _table(key[0], done, facts, self.p)
+        if len(later):
+            self.waiting.put([tuple(r) for r in later.itertuples(index=False)])
+        else:
+            self.waiting.clear()
+        self._kept(self.flowers, flowers, known)
+        self._kept(self.sightings, table, {k: x.row() for k, x in s.table.items()})
+        self._kept(self.current, {k: (v,) for k, v in current.items()}, {k: (v,) for k, v in s.current.items()})
+        self.facts.update(tuple(facts))
+        self._wake(later["ts"].min() if len(later) else None, [facts[0] + s.runs_out(x) for x in s.table.values()] if facts[0] is not None else [])
+        return out
+
+    def _wake(self, waiting: float | None, ends: list[float]) -> None:
+        """One timer, for when the watermark passes the first row that waits or the first sighting to run out."""
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        self.handle.registerTimer(at_ms)
+        first = min([*ends, *([waiting] if waiting is not None else [])], default=None)
+        if first is not None:
+            self.handle.registerTimer(int(first * 1000) + 1)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        s, last = self._load(), 0.0
-        for b in rows:
-            for r in b.itertuples(index=False):
-                ts = r.ts.timestamp()
-                last = max(last, ts)
-                track = None if pd.isna(r.track_id) else int(r.track_id)
-                s["waiting"].append((ts, int(r.fi), r.kind, track, r.cls, float(r.conf), (r.x1, r.y1, r.x2, r.y2)))
-        out = self._run(key, s, timerValues.getCurrentWatermarkInMs() / 1000, False)
-        self._alarm(int((last + self.silent_s) * 1000))
-        yield out
+        new = pd.concat([_plain(b) for b in rows], ignore_index=True)
+        yield self._advance(key, new, timerValues.getCurrentWatermarkInMs() / 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        s = self._load()
-        upto = timerValues.getCurrentWatermarkInMs() / 1000
-        silent = not any(r[0] > upto for r in s["waiting"])
-        yield self._run(key, s, upto, silent)
+        yield self._advance(key, None, timerValues.getCurrentWatermarkInMs() / 1000)
 
     def close(self) -> None:
         pass
 
 
 def live_landings(detections: DataFrame, late: str = "2 seconds", p: LandingParams = LANDING) -> DataFrame:
-    """Landings as they end; rows later than the watermark are dropped."""
-    spark = detections.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """Landings as they end; rows later than the watermark are dropped. The session needs STATE_STORE as its state store provider."""
     keyed = detections.withWatermark("ts", late).groupBy("camera")
     return keyed.transformWithStateInPandas(Landings(p), outputStructType=LANDED, outputMode="Append", timeMode="EventTime")
 
 
 def replayed(detections: DataFrame, p: LandingParams = LANDING) -> DataFrame:
-    """The same landings from a bounded table, for comparison with the stream: one camera at a time, in frame order."""
+    """The same landings from a bounded table: cameras side by side, each in time order, a batch of rows at a time."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, rows = None, []
+        name, known, facts, s, held = None, {}, [None, 0, 0, 0], Sightings(p=p), None
 
-        def done() -> pd.DataFrame:
-            camera, start, out = Camera(p), None, []
-            for ts, insects, flowers in _frames(rows):
-                start = ts if start is None else start
-                out += [(start, x) for x in camera.frame(round(ts - start, 2), insects, flowers)]
-            return _table(name, out + [(start, x) for x in camera.close()])
+        def advanced(rows: pd.DataFrame, upto: float) -> pd.DataFrame:
+            nonlocal known
+            done, known = _advanced(rows, known, facts, s, upto)
+            return _table(name, done, facts, p)
 
         for b in batches:
-            for r in b.itertuples(index=False):
-                if r.camera != name:
-                    if rows:
-                        yield done()
-                    name, rows = r.camera, []
-                track = None if pd.isna(r.track_id) else int(r.track_id)
-                rows.append((r.ts.timestamp(), int(r.fi), r.kind, track, r.cls, float(r.conf), (r.x1, r.y1, r.x2, r.y2)))
-        if rows:
-            yield done()
+            for camera, rows in b.groupby("camera", sort=False, dropna=False):
+                if camera != name:
+                    if held is not None:
+                        yield advanced(held, float("inf"))
+                    name, known, facts, s, held = camera, {}, [None, 0, 0, 0], Sightings(p=p), None
+                held = _plain(rows) if held is None else pd.concat([held, _plain(rows)], ignore_index=True)
+                last = held["ts"].max()
+                now = held["ts"] < last  # rows of the last moment may go on in the next batch
+                if now.any():
+                    yield advanced(held[now], held.loc[now, "ts"].max())
+                    held = held[~now]
+        if held is not None:
+            yield advanced(held, float("inf"))
 
     n = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return detections.repartition(n, "camera").sortWithinPartitions("camera", "ts", "fi").mapInPandas(fold, LANDED)
