@@ -22,3 +22,15 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for helper columns that clash with none of `taken`, whatever the case."""
+    out, used = [], {c.lower() for c in taken}
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in used:
+            own = f"_{own}"
+        used.add(own.lower())
+        out.append(own)
+    return out

@@ -3,15 +3,17 @@
 Words are lower-cased (A-Z) runs of anything but ASCII white space; a document's set holds its distinct shingles of
 `width` words, or the whole sequence where it has fewer. Documents are linked where |A & B| / |A | B| >= num / den.
 
-1. Every whole text becomes a set, a fingerprint of it and `TREES` * `DEPTH` minimum hashes. Equal sets form a class;
+1. Every whole text becomes a set, a fingerprint of it and `TREES` * `TURN` minimum hashes. Equal sets form a class;
    only one document of each class goes on, so exact copies cost one row each.
-2. The forest: each tree orders the signatures by its own sequence of hashes. Documents that agree on the first
-   `START` of them form a region. The sets of the whole texts go to the regions. In a region with up to `ROOM` documents
-   all pairs are compared, and a spanning forest of the links comes back, so rows stay linear in the documents.
-3. A larger region is cut into chunks by a hash, each compared like a region; the `LEADERS` documents with the most links
-   of each chunk meet again, level by level, until one chunk is left, and documents that agree to the full depth meet too.
-4. Links are joined to components. What is left of a larger region are pairs across components: all documents outside
-   its largest component meet all others, chunk by chunk. Pairs within a component can't change it.
+2. The forest: each tree sorts the signatures by a sequence of hashes of its own (the signature, turned). Documents that
+   agree on the first `START` hashes of a tree form a region, a run of its order. A region of up to `ROOM` documents is a
+   leaf. A larger one is cut into leaves along the order: of the last half of each `ROOM` documents, the cut goes where
+   neighbours have the shortest common prefix. So documents stay with those of the longest common prefix, and leaves are
+   as deep as the crowd around them needs.
+3. In a leaf all pairs are compared on the sets of the whole texts, and a spanning forest of the links comes back, so rows
+   stay linear in the documents. Links are joined to components.
+4. What leaves of a larger region don't show are pairs across components: all documents outside its largest component
+   meet all others, chunk by chunk. Pairs within a component can't change it. So nothing that shares a region is left out.
 
 Recall: a pair at similarity 0.8 shares a region of one tree with probability 0.41, of any of 16 trees with 0.9998.
 
@@ -32,11 +34,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meadow.functions.shared import staged
-from meadow.llm.common import read, small_batches
+from meadow.llm.common import fresh, read, small_batches
 from meadow.operators.components import connected_components
 
-TREES, DEPTH, START = 16, 6, 4
-ROOM, LEADERS = 256, 3
+#: A signature has TREES * TURN hashes; tree t begins at hash t * TURN.
+TREES, TURN, START = 16, 6, 4
+ROOM = 256
 #: Odd multipliers that mix the hashes of the words of a shingle.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -71,7 +74,7 @@ def shingler(width: int) -> Callable[[str | None], np.ndarray]:
 
 def _signer() -> Callable[[np.ndarray], bytes]:
     rng = np.random.default_rng(2024)
-    n = TREES * DEPTH
+    n = TREES * TURN
     mul = rng.integers(0, 1 << 62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
@@ -166,11 +169,8 @@ def _forest(ids: np.ndarray, joined: np.ndarray, alike: np.ndarray) -> list[tupl
 
 
 def _met(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """rows(region, chunk, chunks, id, joined) to region, chunk and links a, b.
-
-    Rows without b are leaders of regions with more than one chunk. Members of one value in `joined` are already linked.
-    """
-    kind = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    """rows(leaf, id, joined) to links a, b that join what isn't joined yet (members of one value in `joined` are)."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream() -> Iterator[tuple]:
@@ -178,16 +178,11 @@ def _met(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 yield from zip(*[c.to_pylist() for c in b.columns])
 
         out: list[tuple] = []
-        for (region, chunk, chunks), group in groupby(stream(), key=lambda r: r[:3]):
-            members = list({(r[3], r[5]): r[4] for r in group}.items())
+        for _, group in groupby(stream(), key=lambda r: r[0]):
+            members = list({(r[1], r[3]): r[2] for r in group}.items())
             ids, joined = np.array([k[0] for k, _ in members]), np.array([j for _, j in members])
-            most: list[int] = [0]
             if len(members) > 1 and (joined != joined[0]).any():
-                alike = _alike([np.frombuffer(k[1], np.uint64) for k, _ in members], num, den)
-                out += [(region, chunk, a, b) for a, b in _forest(ids, joined, alike)]
-                most = np.argsort(-alike.sum(1), kind="stable")[:LEADERS].tolist()
-            if chunks > 1:
-                out += [(region, chunk, i, None) for i in {int(ids[k]) for k in most}]
+                out += _forest(ids, joined, _alike([np.frombuffer(k[1], np.uint64) for k, _ in members], num, den))
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=kind)
                 out = []
@@ -195,43 +190,85 @@ def _met(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=kind)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = rows.hint("merge").join(sets, "id").select("region", "chunk", "chunks", "id", "joined", "set")
-    return staged(full.repartition(n, "region", "chunk").sortWithinPartitions("region", "chunk", "id").mapInArrow(work, "region long, chunk long, a long, b long"), "links")
+    full = rows.hint("merge").join(sets, "id").select("leaf", "id", "joined", "set")
+    return staged(full.repartition(n, "leaf").sortWithinPartitions("leaf", "id").mapInArrow(work, "a long, b long"), "links")
 
 
 def _chunks(n: str) -> Column:
     return F.ceil(F.col(n) / ROOM)
 
 
+def cut_order(orders: list[bytes], room: int) -> list[int]:
+    """Where leaves begin in a sorted run of hash sequences: leaves of up to `room`, cut where the common prefix is shortest."""
+    starts = [0]
+    while len(orders) - starts[-1] > room:
+        low = starts[-1]
+        deep = [(_common(orders[k - 1], orders[k]), -k) for k in range(low + max(room // 2, 1), low + room + 1)]
+        starts.append(-min(deep)[1])
+    return starts
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Hashes (of 4 bytes) that two sequences share at their beginning."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    differ = x != y
+    return int(differ.argmax()) if differ.any() else len(x)
+
+
+def _cut(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """large(region, tree, id) in the order of its tree, cut into leaves: leaf, id."""
+    size = 4 * TREES * TURN
+    turned = [F.concat(F.substring("sig", 4 * (t * TURN + START) + 1, size), F.substring("sig", 1, 4 * t * TURN)) for t in range(TREES)]
+    order = F.element_at(F.array(*[F.substring(x, 1, size // 2) for x in turned]), (F.col("tree") + 1).cast("int"))
+    rows = large.join(classes.select(F.col("rep").alias("id"), "sig"), "id").select("region", order.alias("order"), "id")
+    n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = pa.schema([("leaf", pa.int64()), ("id", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            for region, group in groupby(held[:], key=lambda r: r[0]):
+                run = list(group)
+                more = not last and region == held[-1][0]
+                starts = cut_order([r[1] for r in run], ROOM)
+                if more and len(starts) < 2:
+                    held = run
+                    return
+                ends = [*starts[1:], len(run)]
+                for a, z in list(zip(starts, ends))[: len(starts) - more]:
+                    leaf = xxhash.xxh3_64_intdigest(f"{region} {run[a][2]} {a}".encode()) >> 1
+                    yield pa.RecordBatch.from_arrays([pa.array([leaf] * (z - a), pa.int64()), pa.array([r[2] for r in run[a:z]], pa.int64())], schema=kind)
+                if more:
+                    held = run[starts[-1] :]
+                    return
+            held = []
+
+        for b in batches:
+            held += zip(*[c.to_pylist() for c in b.columns])
+            if len(held) > 20 * ROOM:
+                yield from cut(False)
+        if held:
+            yield from cut(True)
+
+    return rows.repartitionByRange(n, "region", "order", "id").sortWithinPartitions("region", "order", "id").mapInArrow(work, "leaf long, id long")
+
+
 def _linked(classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """links(a, b) within regions and chunks; the larger regions (region, id, n), if any; the sets of all members."""
-    step = DEPTH * 4
-    at = lambda t, depth: F.xxhash64(F.substring("sig", t * step + 1, depth * 4), F.lit(t * 8 + depth))
-    trees = F.array(*[F.struct(at(t, START).alias("wide"), at(t, DEPTH).alias("deep")) for t in range(TREES)])
-    rows = classes.select(F.col("rep").alias("id"), F.explode(trees).alias("k")).select("id", "k.wide", "k.deep")
-    shared = staged(rows.join(rows.groupBy("wide").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), "wide"), "regions")
-    small, large = shared.where(F.col("n") <= ROOM), shared.where(F.col("n") > ROOM)
-    deep = large.join(large.groupBy("deep").agg(F.count("*").alias("m")).where("m > 1"), "deep")
-    part = lambda n, key: F.pmod(F.xxhash64("id", key), _chunks(n))
-    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    dealt = (
-        small.select(F.col("wide").alias("region"), none.alias("chunk"), one.alias("chunks"), "id")
-        .unionByName(large.select(F.col("wide").alias("region"), part("n", "wide").alias("chunk"), _chunks("n").alias("chunks"), "id"))
-        .unionByName(deep.select(F.col("deep").alias("region"), part("m", "deep").alias("chunk"), one.alias("chunks"), "id"))
-    )
+    """links(a, b) within leaves; the regions of more than one leaf (region, id), if any; the sets of all members."""
+    at = lambda t: F.xxhash64(F.substring("sig", 4 * t * TURN + 1, 4 * START), F.lit(t))
+    trees = F.array(*[F.struct(at(t).alias("region"), F.lit(t).alias("tree")) for t in range(TREES)])
+    rows = classes.select(F.col("rep").alias("id"), F.explode(trees).alias("k")).select("id", "k.region", "k.tree")
+    shared = staged(rows.join(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), "region"), "regions")
     sets = staged(_sets(docs, shared.select("id"), width), "sets")
-    deepest = large.agg(F.max("n")).first()[0] or 0
-    met = _met(dealt.withColumn("joined", F.col("id")), sets, num, den)
-    links = met.where("b IS NOT NULL")
-    left = -(-deepest // ROOM)
-    while left > 1:
-        # Leaders of one region meet in chunks of ROOM again.
-        fan = ROOM // LEADERS
-        left = -(-left // fan)
-        again = met.where("b IS NULL").select("region", F.floor(F.col("chunk") / fan).alias("chunk"), F.lit(left).cast("long").alias("chunks"), F.col("a").alias("id"))
-        met = _met(again.withColumn("joined", F.col("id")), sets, num, den)
-        links = links.unionByName(met.where("b IS NOT NULL"))
-    return links.select("a", "b").distinct(), large.select(F.col("wide").alias("region"), "id", "n") if deepest else None, sets
+    large = shared.where(F.col("n") > ROOM)
+    crowded = not large.isEmpty()
+    leaves = shared.where(F.col("n") <= ROOM).select(F.col("region").alias("leaf"), "id")
+    if crowded:
+        leaves = leaves.unionByName(_cut(large, classes))
+    links = _met(leaves.withColumn("joined", F.col("id")), sets, num, den)
+    return links.distinct(), large.select("region", "id") if crowded else None, sets
 
 
 def _across(large: DataFrame, parts: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -252,8 +289,8 @@ def _across(large: DataFrame, parts: DataFrame, sets: DataFrame, num: int, den:
     second = F.transform(F.sequence(F.col("x") + 1, F.col("all") - 1), lambda j: F.col("x") * F.col("all") + j)
     none = F.array().cast("array<bigint>")
     blocks = F.concat(F.when(F.col("x") > 0, first).otherwise(none), F.when(F.col("x") < F.col("q"), second).otherwise(none))
-    rows = at.select("region", F.explode(blocks).alias("chunk"), F.lit(1).cast("long").alias("chunks"), "id", "joined")
-    return _met(rows, sets, num, den).select("a", "b").distinct()
+    rows = at.select("region", F.explode(blocks).alias("block"), "id", "joined")
+    return _met(rows.select(F.xxhash64("region", "block").alias("leaf"), "id", "joined"), sets, num, den).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -278,14 +315,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each component, of its smallest doc_id; among rows that repeat this id, the one whose text hashes lowest."""
-    nodes = staged(near_duplicates(docs, width, num, den).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")), "nodes").where("doc_id IS NOT NULL")
-    left = docs.join(nodes.where("NOT kept").select("doc_id"), "doc_id", "left_anti")
-    again = nodes.where("kept AND n > 1").select("doc_id")
+    """docs with one row of each component: that of the smallest doc_id (nulls last), then of the text that hashes lowest.
+
+    Each pair of doc_id and text is a node of its own, so a row goes only if its own text has a copy that stays. Of rows that repeat both,
+    one stays: that of the lowest hash over all columns.
+    """
+    node, turn = fresh(docs.columns, "node", "turn")
+    marked = docs.withColumn(node, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    rows = staged(marked.select(F.col(node).alias("node"), F.col("doc_id").cast("long").alias("own"), "text"), "rows")
+    parts = near_duplicates(rows.select(F.col("node").alias("doc_id"), "text"), width, num, den).select(F.col("doc_id").alias("node"), "component_id")
+    owned = rows.groupBy("node").agg(F.min("own").alias("own"), F.count("*").alias("n"))
+    least = F.coalesce(F.col("own"), F.lit((1 << 63) - 1))
+    named = staged(owned.join(parts.distinct(), "node").withColumn("own", least), "nodes")
+    first = named.groupBy("component_id").agg(F.min("own").alias("own"))
+    ties = named.join(first, ["component_id", "own"]).groupBy("component_id").agg(F.min("node").alias("node"))
+    left = marked.join(ties.select(F.col("node").alias(node)), node, "left_semi")
+    again = named.where("n > 1").select(F.col("node").alias(node))
     if not again.isEmpty():
-        turn = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-        one = left.join(again, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn")
-        left = left.join(again, "doc_id", "left_anti").unionByName(one)
+        order = Window.partitionBy(node).orderBy(F.xxhash64(*docs.columns), *[F.col(c) for c, t in docs.dtypes if not t.startswith("map")])
+        one = left.join(again, node, "left_semi").withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
+        left = left.join(again, node, "left_anti").unionByName(one)
     return left.select(*docs.columns)
 
 
