@@ -9,7 +9,8 @@ are reported whatever their score. iban (mod-97), ssn and id (national numbers)
 context words before the span, reaches `threshold`.
 
 Null texts count as empty; a text without spans has empty arrays. Rows that repeat are reported each. Only the text
-column is read, so columns of other names can't clash. An empty table gives an empty result.
+column is read; a column named as `into` gives way to the spans, and helper columns get names that clash with none. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meadow.llm.common import read
+from meadow.llm.common import fresh, read
 
 # The patterns find what the plain ones do, from left to right. Possessive quantifiers and the look-behinds keep long
 # runs of one class linear: a match can only begin where a run begins, or where the last match ended (\G).
@@ -82,17 +83,31 @@ def _matches(kind: str, text: Column) -> Column:
     return F.when(look, found)
 
 
+#: Matches whose offsets are summed in one go.
+STRIDE = 256
+
+
 def _starts(kind: str, text: Column, m: Column) -> Column:
-    """Where each match begins: what stands before it are the gaps and matches before it."""
+    """Where each match begins: what stands before it are the gaps and matches before it.
+
+    The sums run over STRIDE matches at a time, so that a text with very many of them copies short arrays only.
+    """
     gaps = F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(m))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts"))
     lengths = F.zip_with(gaps, m, lambda g, x: F.struct(F.length(g).alias("gap"), F.length(x).alias("own")))
+    none = F.array().cast("array<long>")
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         return F.struct((s + x["own"]).alias("at"), F.array_append(acc["starts"], s).alias("starts"))
 
-    return F.when(F.size(m) > 0, F.aggregate(lengths, begin, step)["starts"])
+    def stride(acc: Column, k: Column) -> Column:
+        part = F.aggregate(F.slice(lengths, k * STRIDE + 1, F.lit(STRIDE)), F.struct(acc["at"].alias("at"), none.alias("starts")), step)
+        return F.struct(part["at"].alias("at"), F.array_append(acc["parts"], part["starts"]).alias("parts"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<long>>").alias("parts"))
+    several = F.flatten(F.aggregate(F.sequence(F.lit(0), F.ceil(F.size(m) / STRIDE).cast("int") - 1), begin, stride)["parts"])
+    few = F.aggregate(lengths, F.struct(F.lit(0).cast("long").alias("at"), none.alias("starts")), step)["starts"]
+    return F.when(F.size(m) > STRIDE, several).when(F.size(m) > 0, few)
 
 
 def _scored(kind: str, text: Column, m: Column, starts: Column, threshold: float) -> Column:
@@ -116,15 +131,18 @@ def find_spans(docs: DataFrame, text: str = "text", threshold: float = 0.5, into
     """docs with an array column of (start, rank, kind, end, score), by start and then kind."""
     whole = F.coalesce(F.col(text), F.lit(""))
     # One step after the other, so that no pattern runs twice over a text.
-    found = docs.withColumns({f"_m_{k}": _matches(k, whole) for k in PATTERNS})
-    placed = found.withColumns({f"_s_{k}": _starts(k, whole, F.col(f"_m_{k}")) for k in PATTERNS})
-    kinds = [_scored(k, whole, F.col(f"_m_{k}"), F.col(f"_s_{k}"), threshold) for k in PATTERNS]
-    return placed.withColumn(into, F.array_sort(F.concat(*kinds))).drop(*[f"_{a}_{k}" for a in "ms" for k in PATTERNS])
+    m = dict(zip(PATTERNS, fresh([*docs.columns, into], *[f"m_{k}" for k in PATTERNS])))
+    s = dict(zip(PATTERNS, fresh([*docs.columns, into], *[f"s_{k}" for k in PATTERNS])))
+    found = docs.withColumns({m[k]: _matches(k, whole) for k in PATTERNS})
+    placed = found.withColumns({s[k]: _starts(k, whole, F.col(m[k])) for k in PATTERNS})
+    kinds = [_scored(k, whole, F.col(m[k]), F.col(s[k]), threshold) for k in PATTERNS]
+    return placed.withColumn(into, F.array_sort(F.concat(*kinds))).drop(*m.values(), *s.values())
 
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with every span of its text replaced by its kind in brackets; spans inside an earlier one vanish with it."""
-    found = find_spans(docs, text, threshold, "_spans")
+    spans, = fresh(docs.columns, "spans")
+    found = find_spans(docs, text, threshold, spans)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     whole = F.coalesce(F.col(text), F.lit(""))
 
@@ -133,9 +151,9 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
         new = F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.lit("["), x["kind"], F.lit("]")).alias("out"))
         return F.when(x["start"] < acc["at"], acc).otherwise(new)
 
-    end = F.aggregate(F.col("_spans"), start, step)
-    clean = F.when(F.size("_spans") == 0, F.col(text)).otherwise(F.concat(end["out"], F.substr(whole, (end["at"] + 1).cast("int"), F.length(whole))))
-    return found.withColumn(text, clean).drop("_spans")
+    end = F.aggregate(F.col(spans), start, step)
+    clean = F.when(F.size(spans) == 0, F.col(text)).otherwise(F.concat(end["out"], F.substr(whole, (end["at"] + 1).cast("int"), F.length(whole))))
+    return found.withColumn(text, clean).drop(spans)
 
 
 def _joined(spans: Column) -> Column:
