@@ -10,8 +10,8 @@ The stock template frames every turn; control strings inside a role or a text ar
 `unframed` undoes, so that the turns can be read back from the output whatever the texts say.
 
 Rows of one conversation are brought together by a hash of its id and streamed in turn order (ties by role and text,
-nulls first), so memory holds one conversation at a time. Null roles and texts count as empty; rows with a null
-conversation id form one conversation. Rows that repeat are turns of their own. Only the named columns are read.
+nulls first), so memory holds one conversation at a time. Null roles and texts count as empty; each
+row with a null conversation id is a conversation of its own, so these spread over all tasks. Rows that repeat are turns of their own. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import count, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -328,7 +328,8 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
         render = compile_template(template)
         full: list[dict] = []
         held = 0
-        for conv_id, turns in groupby(rows(batches), key=lambda r: r["conv_id"]):
+        alone = count()  # a row without an id is a conversation of its own
+        for (conv_id, _), turns in groupby(rows(batches), key=lambda r: (r["conv_id"], next(alone) if r["conv_id"] is None else 0)):
             text, spans = render({"messages": [{"role": t["role"], "text": t["text"]} for t in turns]})
             full.append({"conv_id": conv_id, "formatted": text, "spans": [{"start": a, "end": b} for a, b in spans]})
             held += len(text)
@@ -341,7 +342,8 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(render_all, FORMATTED)
+    spread = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(F.lit(0).cast("long"))
+    return turns.repartition(n, "conv_id", spread).sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(render_all, FORMATTED)
 
 
 def digests(done: DataFrame) -> DataFrame:

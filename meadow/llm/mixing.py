@@ -9,7 +9,7 @@ words taken from a source differ from its target by half the size of one of its
 
 Rows that agree in id, source and size are one unit: each of them gets the same copies. Documents without words (null,
 empty, white space) are never taken: 0 copies. Null sources form a source of their own, the last one. Columns of other
-names are not read. An empty table gives an empty result.
+names are not read, and helper columns get names that clash with none. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meadow.functions.shared import staged
-from meadow.llm.common import n_words
+from meadow.llm.common import fresh, n_words
 
 
 def source_targets(units: DataFrame, weights: tuple[float, ...], share: float, max_copies: float) -> DataFrame:
@@ -120,11 +120,12 @@ def copies(docs: DataFrame, size: str = "size", weights: tuple[float, ...] = (5,
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs with each document as often as the mix takes it; the columns stay the same."""
-    marked = docs.withColumn("_size", n_words(F.col("text")))
-    got = copies(marked, "_size", **how).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_copies")).where("_copies > 0")
-    same = marked["doc_id"].eqNullSafe(got["_d"]) & marked["source"].eqNullSafe(got["_s"]) & (marked["_size"] == got["_z"])
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return marked.join(got, same).withColumn("_t", times).select(*docs.columns)
+    size, times, d, src, z, one = fresh(docs.columns, "size", "copies", "doc", "source", "words", "one")
+    marked = docs.withColumn(size, n_words(F.col("text")))
+    got = copies(marked, size, **how).where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(src), F.col("size").alias(z), F.col("copies").alias(times))
+    same = marked["doc_id"].eqNullSafe(got[d]) & marked["source"].cast("string").eqNullSafe(got[src]) & (marked[size] == got[z])
+    each = F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))
+    return marked.join(got, same).withColumn(one, each).select(*docs.columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
