@@ -40,11 +40,12 @@ def is_bee(order: Column, family: Column) -> Column:
 
 
 def coarse_type(order: Column, family: Column) -> Column:
-    """Bee families first, then by order; wasps are the other Hymenoptera; anything else is its order in lower case."""
-    out = F.when(is_bee(order, family), "bee").when(order == "Hymenoptera", F.when(family == "Formicidae", "ant").otherwise("wasp"))
-    for o, t in TYPE_BY_ORDER.items():
+    """A bee family is a bee, whatever the order says. Then Lepidoptera, ants by their family, the other orders; wasps are the Hymenoptera
+    that are left. Anything else is its order in lower case, an insect if that is blank."""
+    out = F.when(family.isin(*BEE_FAMILIES), "bee").when(order == "Lepidoptera", TYPE_BY_ORDER["Lepidoptera"]).when(family == "Formicidae", "ant")
+    for o, t in {**TYPE_BY_ORDER, "Hymenoptera": "wasp"}.items():
         out = out.when(order == o, t)
-    return out.otherwise(F.lower(order))
+    return out.otherwise(F.coalesce(F.nullif(F.lower(order), F.lit("")), F.lit("insect")))
 
 
 def detector_class(order: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meadow.functions import taxonomy
 from meadow.operators.components import connected_components
 from meadow.params import SPLITS
 
@@ -145,6 +146,41 @@ def class_ids(rows: DataFrame, cls: str = "cls") -> DataFrame:
     return rows.join(names, cls)
 
 
+def labels(rows: DataFrame, mode: str = "species", path: str = "path", cls: str = "cls") -> DataFrame:
+    """rows with `label`: the class id by name ("species"), or 1 for what the taxon in the path says is a bee, else 0 ("is_bee")."""
+    if mode == "species":
+        return class_ids(rows, cls).withColumnRenamed("class_id", "label")
+    if mode == "is_bee":
+        taxon = taxonomy.parse_taxon(F.element_at(F.split(path, "/"), -2))
+        return rows.withColumn("label", taxonomy.is_bee(taxon["order"], taxon["family"]).cast("int"))
+    raise ValueError(f"no label mode {mode!r}")
+
+
+def numbered(rows: DataFrame, *order: str, into: str = "place") -> DataFrame:
+    """rows numbered from 1 in an order: a range-partitioned sort, the rows before each partition, and a running number in it."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    n = sorted_.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = n.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return sorted_.join(F.broadcast(before), "_part").withColumn(into, at.cast("long")).drop("_part", "_before")
+
+
+def newest(rows: DataFrame, time: str, key: str, n: int) -> DataFrame:
+    """The last n rows by time, ties by the greater key; a top-n, so nothing is sorted as a whole."""
+    return rows.orderBy(F.desc(time), F.desc(key)).limit(n)
+
+
+def pool(splits: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several labelled splits with the name of theirs; columns that one lacks are null."""
+    out = None
+    for name, rows in splits.items():
+        named = rows.withColumn("split", F.lit(name))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no splits")
+    return out
+
+
 def capped(rows: DataFrame, by: list[str], most: int, key: str, seed: int = 42) -> DataFrame:
     """Up to `most` rows of each group, in seeded order."""
     w = Window.partitionBy(*by).orderBy(shuffle_key(seed, key), key)

@@ -189,10 +189,17 @@ def sweep(fits: DataFrame, doses: list[float], by: str = "crop") -> DataFrame:
 
 
 def field_fit(rows: DataFrame, by: tuple[str, ...] = ("crop",), **how) -> DataFrame:
-    """Fit on field data: visitation V and yield as a share of its group's greatest one, every row a bin of its own."""
+    """Fit on field data: visitation V and yield as a share of its group's greatest one.
+
+    Rows of one V enter as their mean, so the grid of rates meets distinct values only; what they differ by among
+    themselves is added to the loss. The parameters are those of a fit of the rows one by one.
+    """
     top = rows.groupBy(*by).agg(F.max("y").alias("_top"))
-    share = rows.join(F.broadcast(top), list(by)).where("_top > 0").select(*by, F.col("V").alias("mean_v"), (F.col("y") / F.col("_top")).alias("rate"), F.lit(1.0).alias("n"))
-    return fitted(share, by, **how)
+    share = rows.join(top, list(by)).where("_top > 0").select(*by, F.col("V").alias("mean_v"), (F.col("y") / F.col("_top")).alias("s"))
+    rest = F.greatest(F.lit(0.0), F.sum(F.col("s") * F.col("s")) - F.sum("s") * F.sum("s") / F.count("*"))
+    bins = share.groupBy(*by, "mean_v").agg(F.avg("s").alias("rate"), F.count("*").cast("double").alias("n"), rest.alias("rest"))
+    more = bins.groupBy(*by).agg(F.sum("rest").alias("rest"))
+    return fitted(bins.drop("rest"), by, **how).join(more, list(by)).withColumn("loss", F.col("loss") + F.col("rest")).drop("rest")
 
 
 def posterior(bins: DataFrame, f0: DataFrame, fmax_prior: tuple[float, float] = (0.72, 0.10), k_prior: tuple[float, float] = (0.3, 0.5), points: int = 61, by: str = "crop") -> DataFrame:

@@ -6,6 +6,10 @@ x1, y1, x2, y2), with fi as well where they move.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +132,28 @@ def honeybee_votes(votes: DataFrame, types: DataFrame) -> DataFrame:
     return out.withColumn("cls", F.when(F.col("is_honeybee"), "honeybee").otherwise(F.col("cls"))).drop("label")
 
 
+def predicted(crops: DataFrame, predict: Callable[[list[np.ndarray]], list[str]], empty: str = "", batch: int = 64) -> DataFrame:
+    """crops(height, width, n_channels, data, ...) with `label`: what `predict` says of the pixels of each crop, (height, width, channels).
+
+    `predict` is any function of a list of crops; it runs where the rows are, a bounded number at a time. A crop without
+    pixels (null, or height or width under 1) is labelled `empty` and never reaches it.
+    """
+    rest = [c for c in crops.columns if c not in ("n_channels", "data", "label")]
+    kinds = ", ".join(f"`{c}` {t}" for c, t in crops.dtypes if c in rest)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            there = (b["data"].notna() & (b["height"] > 0) & (b["width"] > 0)).to_numpy()
+            labels = np.full(len(b), empty, object)
+            at = np.flatnonzero(there)
+            for k in range(0, len(at), batch):
+                some = b.iloc[at[k : k + batch]]
+                labels[at[k : k + batch]] = predict([np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), int(r.n_channels)) for r in some.itertuples(index=False)])
+            yield b[rest].assign(label=labels)
+
+    return crops.select(*rest, "n_channels", "data").mapInPandas(work, f"{kinds}, label string")
+
+
 def best_boxes(dets: DataFrame) -> DataFrame:
     """One row for each (video, track, frame): that of the highest confidence."""
     rest = [c for c in dets.columns if c not in ("video", "track_id", "fi")]

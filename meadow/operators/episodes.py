@@ -15,7 +15,8 @@ def landings(rows: DataFrame, types: DataFrame | None = None, p: LandingParams =
     An episode closes on a row off every flower whose time is more than the grace after the last row on one. So a row on
     a flower opens an episode if there is none before it, or if the row just before it is off and that late. The distance
     between two rows on a flower doesn't matter. An episode belongs to the last flower touched; rows without a detection
-    have confidence 0 (null). Times are rounded (half up) to 2 places, and "real" tests the rounded duration.
+    have confidence 0 (null). Times are rounded (half up) to 2 places, and "real" tests the rounded duration. Where rows
+    have a wall-clock time `ts`, an episode has that of its first row on a flower.
     """
     w = Window.partitionBy("video", "track_id").orderBy("fi")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -30,6 +31,7 @@ def landings(rows: DataFrame, types: DataFrame | None = None, p: LandingParams =
         F.round(F.max("t"), 2).alias("t_exit_s"),
         F.max("fi").alias("last_fi"),
         half_up(F.avg(F.coalesce("conf", F.lit(0.0))), 3).alias("conf_mean"),
+        *([F.min("ts").alias("ts")] if "ts" in rows.columns else []),
     )
     out = out.withColumn("landing_s", F.round(F.col("t_exit_s") - F.col("t_enter_s"), 2)).withColumn("is_real_landing", (F.col("landing_s") >= p.real_s).cast("int"))
     out = out.withColumn("flower_detected", F.lit("detected"))

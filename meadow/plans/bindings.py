@@ -1,24 +1,33 @@
-"""The driver's tables seen as detections, flowers, visits, images and reports; the same arithmetic in Spark and in SQL."""
+"""The driver's tables seen as detections, flowers, visits, images and reports; the same arithmetic in Spark and in SQL.
+
+Every user is a track and every part a flower. They are dealt to a video for every 200 parts, so that videos grow in
+number with the tables and not in how much they hold.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meadow.functions.shared import shared_dir
+
 TYPES = {"click": "bee", "view": "fly", "purchase": "butterfly", "signup": "beetle"}
 
 #: Common table expressions for the SQL of the queries.
 SQL = {
     "detections": """
+shows AS (SELECT greatest(1, count(*) // 200) AS videos FROM part),
 e0 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 e1 AS (SELECT *, (user_id * 131) % 1100 + (floor(rn / 9.0)::BIGINT % 4) * 25 + (event_id * 7) % 11 AS cx, (user_id * 71) % 600 + (floor(rn / 15.0)::BIGINT % 3) * 20 + (event_id * 5) % 9 AS cy,
   10 + (event_id * 13) % 14 AS hw, 10 + (event_id * 17) % 14 AS hh FROM e0),
-detections AS (SELECT user_id % 10 AS video, user_id AS track_id, rn + floor(rn / 12.0)::BIGINT * (user_id % 7) AS fi, round((rn + floor(rn / 12.0)::BIGINT * (user_id % 7)) * 0.05::DOUBLE, 2) AS t,
+detections AS (SELECT user_id % videos AS video, user_id AS track_id, rn + floor(rn / 12.0)::BIGINT * (user_id % 7) AS fi, round((rn + floor(rn / 12.0)::BIGINT * (user_id % 7)) * 0.05::DOUBLE, 2) AS t,
   CASE event_type WHEN 'click' THEN 'bee' WHEN 'view' THEN 'fly' WHEN 'purchase' THEN 'butterfly' WHEN 'signup' THEN 'beetle' ELSE 'bug' END AS cls,
-  0.2::DOUBLE + (event_id * 37 % 80) / 100.0::DOUBLE AS conf, (cx - hw)::DOUBLE AS x1, (cy - hh)::DOUBLE AS y1, (cx + hw)::DOUBLE AS x2, (cy + hh)::DOUBLE AS y2, ts, event_id FROM e1)""",
+  0.2::DOUBLE + (event_id * 37 % 80) / 100.0::DOUBLE AS conf, (cx - hw)::DOUBLE AS x1, (cy - hh)::DOUBLE AS y1, (cx + hw)::DOUBLE AS x2, (cy + hh)::DOUBLE AS y2, ts, event_id FROM e1, shows)""",
     "flowers": """
-f0 AS (SELECT p_partkey, (p_partkey * 137) % 1200 AS cx, (p_partkey * 89) % 680 AS cy, 40 + p_size AS h FROM part WHERE p_partkey < 300),
-flowers AS (SELECT p_partkey % 10 AS video, 'flower_' || p_partkey AS flower_id, p_partkey AS ordinal, (cx - h)::DOUBLE AS x1, (cy - h)::DOUBLE AS y1, (cx + h)::DOUBLE AS x2, (cy + h)::DOUBLE AS y2 FROM f0)""",
+f0 AS (SELECT p_partkey, (p_partkey * 137) % 1200 AS cx, (p_partkey * 89) % 680 AS cy, 15 + p_size % 20 AS h FROM part),
+flowers AS (SELECT p_partkey % (SELECT greatest(1, count(*) // 200) FROM part) AS video, 'flower_' || p_partkey AS flower_id, p_partkey AS ordinal, (cx - h)::DOUBLE AS x1, (cy - h)::DOUBLE AS y1, (cx + h)::DOUBLE AS x2, (cy + h)::DOUBLE AS y2 FROM f0)""",
     "on_flowers": """
 onf AS (SELECT d.video, d.track_id, d.fi, arg_min(f.flower_id, f.ordinal) AS flower_id FROM detections d JOIN flowers f ON f.video = d.video
   AND (d.x1 + d.x2) / 2 BETWEEN f.x1 - (f.x2 - f.x1) * 0.15 AND f.x2 + (f.x2 - f.x1) * 0.15 AND (d.y1 + d.y2) / 2 BETWEEN f.y1 - (f.y2 - f.y1) * 0.15 AND f.y2 + (f.y2 - f.y1) * 0.15 GROUP BY 1, 2, 3),
@@ -57,6 +66,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes and reads back."""
+    return f"{shared_dir(spark)}/meadow/{name}-{uuid.uuid4().hex}"
+
+
+def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: how many videos there are."""
+    return F.broadcast(table(spark, sf_dir, "part").agg(F.greatest(F.lit(1), F.expr("count(*) div 200")).alias("videos")))
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -68,17 +87,17 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     hw, hh = 10 + (F.col("event_id") * 13) % 14, 10 + (F.col("event_id") * 17) % 14
     cls = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for k in TYPES.items() for v in k]), F.col("event_type")), F.lit("bug"))
     d = lambda c, n: c.cast("double").alias(n)
-    return e.select(
-        (F.col("user_id") % 10).alias("video"), F.col("user_id").alias("track_id"), fi.alias("fi"), F.round(fi * F.lit(0.05), 2).alias("t"), cls.alias("cls"),
+    return e.crossJoin(_videos(spark, sf_dir)).select(
+        (F.col("user_id") % F.col("videos")).alias("video"), F.col("user_id").alias("track_id"), fi.alias("fi"), F.round(fi * F.lit(0.05), 2).alias("t"), cls.alias("cls"),
         (F.lit(0.2) + (F.col("event_id") * 37 % 80) / F.lit(100.0)).alias("conf"), d(cx - hw, "x1"), d(cy - hh, "y1"), d(cx + hw, "x2"), d(cy + hh, "y2"), "ts", "event_id",
     )
 
 
 def flowers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey < 300").select("p_partkey", "p_size")
-    cx, cy, h = (F.col("p_partkey") * 137) % 1200, (F.col("p_partkey") * 89) % 680, 40 + F.col("p_size")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size").crossJoin(_videos(spark, sf_dir))
+    cx, cy, h = (F.col("p_partkey") * 137) % 1200, (F.col("p_partkey") * 89) % 680, 15 + F.col("p_size") % 20
     d = lambda c, n: c.cast("double").alias(n)
-    return p.select((F.col("p_partkey") % 10).alias("video"), F.concat(F.lit("flower_"), F.col("p_partkey")).alias("flower_id"), F.col("p_partkey").alias("ordinal"), d(cx - h, "x1"), d(cy - h, "y1"), d(cx + h, "x2"), d(cy + h, "y2"))
+    return p.select((F.col("p_partkey") % F.col("videos")).alias("video"), F.concat(F.lit("flower_"), F.col("p_partkey")).alias("flower_id"), F.col("p_partkey").alias("ordinal"), d(cx - h, "x1"), d(cy - h, "y1"), d(cx + h, "x2"), d(cy + h, "y2"))
 
 
 def on_flowers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +111,8 @@ def landings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meadow.operators import detections as det
     from meadow.operators import episodes
 
-    rows = on_flowers(spark, sf_dir)
-    ts = rows.select("video", "track_id", F.col("t").alias("t_enter_s"), "ts").groupBy("video", "track_id", "t_enter_s").agg(F.min("ts").alias("ts"))
-    return episodes.landings(rows, det.class_votes(rows)).join(ts, ["video", "track_id", "t_enter_s"], "left")
+    votes = det.class_votes(detections(spark, sf_dir))
+    return episodes.landings(on_flowers(spark, sf_dir), votes)
 
 
 def trial(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,13 +25,13 @@ def query(sql: str | None = None):
     return add
 
 
-NAMES = "WITH n AS (SELECT p_partkey, p_partkey || '_Animalia_Arthropoda_Insecta_' || CASE p_partkey % 5 WHEN 0 THEN 'Hymenoptera' WHEN 1 THEN 'Diptera' WHEN 2 THEN 'Lepidoptera' WHEN 3 THEN 'Coleoptera' ELSE 'Odonata' END || '_' || CASE p_partkey % 3 WHEN 0 THEN 'Apidae' WHEN 1 THEN 'Vespidae' ELSE 'Formicidae' END || '_' || CASE p_partkey % 7 WHEN 0 THEN ' Apis' ELSE 'Bombus' END || '_' || replace(p_name, ' ', '_') AS name FROM part)\n"
+NAMES = "WITH n AS (SELECT p_partkey, p_partkey || '_Animalia_Arthropoda_Insecta_' || CASE p_partkey % 5 WHEN 0 THEN 'Hymenoptera' WHEN 1 THEN 'Diptera' WHEN 2 THEN 'Lepidoptera' WHEN 3 THEN 'Coleoptera' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'Odonata' ELSE '' END END || '_' || CASE p_partkey % 3 WHEN 0 THEN 'Apidae' WHEN 1 THEN 'Vespidae' ELSE 'Formicidae' END || '_' || CASE p_partkey % 7 WHEN 0 THEN ' Apis' ELSE 'Bombus' END || '_' || replace(p_name, ' ', '_') AS name FROM part)\n"
 
 
 def _names(spark, d):
     p = b.table(spark, d, "part")
     k = F.col("p_partkey")
-    order = F.when(k % 5 == 0, "Hymenoptera").when(k % 5 == 1, "Diptera").when(k % 5 == 2, "Lepidoptera").when(k % 5 == 3, "Coleoptera").otherwise("Odonata")
+    order = F.when(k % 5 == 0, "Hymenoptera").when(k % 5 == 1, "Diptera").when(k % 5 == 2, "Lepidoptera").when(k % 5 == 3, "Coleoptera").otherwise(F.when(k % 2 == 0, "Odonata").otherwise(""))
     family = F.when(k % 3 == 0, "Apidae").when(k % 3 == 1, "Vespidae").otherwise("Formicidae")
     genus = F.when(k % 7 == 0, " Apis").otherwise("Bombus")
     return p.select("p_partkey", F.concat_ws("_", k, F.lit("Animalia"), F.lit("Arthropoda"), F.lit("Insecta"), order, family, genus, F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"))
@@ -54,7 +54,7 @@ def p2_parse_short_taxonomy(spark, d):
 
 
 @query(TAXA + f"""SELECT p_partkey, class = 'Insecta' AS insect, ord = 'Hymenoptera' AND family IN ({BEES}) AS bee, lower(trim(genus)) = 'apis' AS honeybee,
-CASE WHEN ord = 'Hymenoptera' AND family IN ({BEES}) THEN 'bee' WHEN ord = 'Hymenoptera' THEN CASE WHEN family = 'Formicidae' THEN 'ant' ELSE 'wasp' END WHEN ord = 'Lepidoptera' THEN 'butterfly' WHEN ord = 'Diptera' THEN 'fly' WHEN ord = 'Coleoptera' THEN 'beetle' WHEN ord = 'Hemiptera' THEN 'bug' ELSE lower(ord) END AS kind,
+CASE WHEN family IN ({BEES}) THEN 'bee' WHEN ord = 'Lepidoptera' THEN 'butterfly' WHEN family = 'Formicidae' THEN 'ant' WHEN ord = 'Coleoptera' THEN 'beetle' WHEN ord = 'Diptera' THEN 'fly' WHEN ord = 'Hymenoptera' THEN 'wasp' WHEN ord = 'Hemiptera' THEN 'bug' WHEN ord = '' THEN 'insect' ELSE lower(ord) END AS kind,
 CASE ord WHEN 'Hymenoptera' THEN 'bee' WHEN 'Lepidoptera' THEN 'butterfly' WHEN 'Diptera' THEN 'fly' WHEN 'Coleoptera' THEN 'beetle' WHEN 'Hemiptera' THEN 'bug' END AS detector FROM x""")
 def p3_p4_p5_p6_taxon_rules(spark, d):
     t = _names(spark, d).select("p_partkey", tx.parse_taxon(F.col("name")).alias("t"))
@@ -173,20 +173,10 @@ def w14_renamed(spark, d):
     return c.renamed(rows, "split", "name", "id").select("id", "split", "new_name")
 
 
-@query("SELECT (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT')::BIGINT AS images, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'))::BIGINT AS annotations, (SELECT count(*) FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'))::BIGINT AS categories")
-def j11_s5_coco_filtered(spark, d):
-    o, li, s = (b.table(spark, d, t) for t in ("orders", "lineitem", "supplier"))
-    images = o.select(F.col("o_orderkey").alias("id"), F.concat(F.col("o_orderkey"), F.lit(".jpg")).alias("file_name"))
-    ann = li.select(F.col("l_orderkey").alias("image_id"), F.col("l_suppkey").alias("category_id"))
-    alive = o.where("o_orderpriority = '1-URGENT'").select(F.concat(F.col("o_orderkey"), F.lit(".jpg")).alias("file_name"))
-    i, a, k = c.coco_filtered(images, ann, s.select(F.col("s_suppkey").alias("id")), alive)
-    return i.agg(F.count("*").alias("images")).join(a.agg(F.count("*").alias("annotations"))).join(k.agg(F.count("*").alias("categories")))
-
-
-@query("SELECT o_orderkey AS id, count(l_orderkey)::INT AS n, coalesce(sum(l_linenumber), 0)::BIGINT AS total FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber <= 2 AND l_quantity > 25) ON l_orderkey = o_orderkey GROUP BY 1")
+@query("SELECT o_orderkey AS id, count(l_orderkey)::INT AS n, coalesce(sum(l_linenumber), 0)::BIGINT AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def j12_images_with_boxes(spark, d):
     images = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    boxes = b.table(spark, d, "lineitem").where("l_linenumber <= 2 AND l_quantity > 25").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("x"))
+    boxes = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("x"))
     out = c.images_with_boxes(images, boxes)
     return out.select("id", F.size("boxes").alias("n"), F.aggregate("boxes", F.lit(0).cast("long"), lambda a, x: a + x["x"]).alias("total"))
 
@@ -303,26 +293,19 @@ def t2_top_orders(spark, d):
 
 @query("SELECT doc_id, lang, source, row_number() OVER (ORDER BY lang, source, doc_id)::INT AS place FROM documents")
 def t1_manifest_order(spark, d):
-    """Places in manifest order, from a range-partitioned sort: an offset per partition, then a running number."""
-    from pyspark.sql import Window
-
-    rows = b.table(spark, d, "documents").select("doc_id", "lang", "source").repartitionByRange("lang", "source", "doc_id").sortWithinPartitions("lang", "source", "doc_id")
-    part = rows.withColumn("_p", F.spark_partition_id())
-    n = part.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = n.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    w = Window.partitionBy("_p").orderBy("lang", "source", "doc_id")
-    return part.join(F.broadcast(before), "_p").select("doc_id", "lang", "source", (F.row_number().over(w) + F.col("_before")).cast("int").alias("place"))
+    rows = b.table(spark, d, "documents").select("doc_id", "lang", "source")
+    return c.numbered(rows, "lang", "source", "doc_id").withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 25")
 def t4_newest(spark, d):
-    return b.table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(25).select("o_custkey", "o_orderkey")
+    return c.newest(b.table(spark, d, "orders"), "o_orderdate", "o_orderkey", 25).select("o_custkey", "o_orderkey")
 
 
 @query("SELECT 'documents' AS split, count(*)::BIGINT AS n FROM documents GROUP BY 1 UNION ALL SELECT 'pages', count(*) FROM pages")
 def u1_pool(spark, d):
-    a = b.table(spark, d, "documents").select(F.lit("documents").alias("split"), F.col("doc_id").alias("id"))
-    return a.unionByName(b.table(spark, d, "pages").select(F.lit("pages").alias("split"), F.col("page_id").alias("id"))).groupBy("split").agg(F.count("*").alias("n"))
+    splits = {"documents": b.table(spark, d, "documents").select(F.col("doc_id").alias("id")), "pages": b.table(spark, d, "pages").select(F.col("page_id").alias("id"))}
+    return c.pool(splits).groupBy("split").agg(F.count("*").alias("n"))
 
 
 @query("SELECT n_name AS name, n, string_split(n_name, ' ')[1] AS short, printf('%.1f%%', n * 100.0 / sum(n) OVER ()) AS pct FROM (SELECT n_name, count(*)::BIGINT AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)")

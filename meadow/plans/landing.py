@@ -55,9 +55,9 @@ def p11_plausible_insects(spark, d):
     return det.plausible_insects(b.detections(spark, d), replace(LANDING, max_insect_frac=0.001, insect_aspect=1.5)).groupBy("video", "cls").agg(F.count("*").alias("n"))
 
 
-@query(b.sql("flowers") + "SELECT video, flower_id FROM flowers WHERE (x2 - x1) * (y2 - y1) BETWEEN 0.01 * 1280 * 720 AND 0.02 * 1280 * 720 AND (x2 - x1) * (y2 - y1) <= 0.015 * 1280 * 720")
+@query(b.sql("flowers") + "SELECT video, flower_id FROM flowers WHERE (x2 - x1) * (y2 - y1) BETWEEN 0.002 * 1280 * 720 AND 0.004 * 1280 * 720 AND (x2 - x1) * (y2 - y1) <= 0.003 * 1280 * 720")
 def p12_p13_plausible_flowers(spark, d):
-    return det.not_oversized(det.plausible_flowers(b.flowers(spark, d), least=0.01, most=0.02), 0.015).select("video", "flower_id")
+    return det.not_oversized(det.plausible_flowers(b.flowers(spark, d), least=0.002, most=0.004), 0.003).select("video", "flower_id")
 
 
 @query(b.sql("detections") + """SELECT video, track_id, raw_fi, floor(raw_fi / 3.0)::BIGINT AS fi, round(floor(raw_fi / 3.0) * 3 / 60.0, 2) AS t FROM (SELECT video, track_id, fi AS raw_fi FROM detections) WHERE raw_fi % 3 = 0""")
@@ -129,13 +129,20 @@ def w5_spans(spark, d):
     return tracks.spans(b.detections(spark, d)).select("video", "track_id", "f0", "f1", "x0", "x1", "area1")
 
 
-@query(b.sql("detections") + f"SELECT a.video, a.track_id AS a, b.track_id AS b, count(*)::BIGINT AS frames, round(avg({IOU}), 6) AS iou FROM detections a JOIN detections b ON a.video = b.video AND a.fi = b.fi AND a.track_id < b.track_id GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND avg({IOU}) >= 0.05")
-def j8_u4_concurrent(spark, d):
-    from dataclasses import replace
+#: Each track twice, the second one numbered on and moved a little, so that some of the pairs are one insect.
+DOUBLED = """, twice AS (SELECT video, track_id, fi, x1, y1, x2, y2 FROM detections UNION ALL SELECT video, track_id + 1000000 AS track_id, fi, x1 + fi % 9 AS x1, y1 + track_id % 14 AS y1, x2 + fi % 9 AS x2, y2 + track_id % 14 AS y2 FROM detections)
+"""
 
-    from meadow.params import LANDING
 
-    return tracks.concurrent_edges(b.detections(spark, d), replace(LANDING, concurrent_iou=0.05)).withColumn("iou", R(F.col("iou")))
+def _doubled(spark, d):
+    rows = b.detections(spark, d).select("video", "track_id", "fi", *g.SIDES)
+    dx, dy = F.col("fi") % 9, F.col("track_id") % 14
+    return rows.unionByName(rows.select("video", (F.col("track_id") + 1000000).alias("track_id"), "fi", *[(F.col(c) + s).alias(c) for c, s in zip(g.SIDES, (dx, dy, dx, dy))]))
+
+
+@query(b.sql("detections") + DOUBLED + f"SELECT a.video, a.track_id AS a, b.track_id AS b, count(*)::BIGINT AS frames, round(avg({IOU}), 6) AS iou FROM twice a JOIN twice b ON a.video = b.video AND a.fi = b.fi AND a.track_id < b.track_id GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND avg({IOU}) >= 0.45")
+def j8_u4_concurrent(spark, d):
+    return tracks.concurrent_edges(_doubled(spark, d)).withColumn("iou", R(F.col("iou")))
 
 
 #: Tracks cut at every gap over four frames, so that there is something to link.
@@ -181,22 +188,22 @@ def w4_smoothed(spark, d):
     return tracks.smoothed(tracks.interpolated(b.detections(spark, d)), columns=("x1",)).select("video", "track_id", "fi", F.round("x1", 5).alias("x1"))
 
 
-@query(b.sql("detections") + """, s AS (SELECT video, 'f' || track_id AS flower_id, fi, x1 FROM detections WHERE track_id % 5 = 0), i AS (SELECT video, flower_id, min(fi) AS a, max(fi) AS z FROM s GROUP BY 1, 2),
+@query(b.sql("detections") + """, s AS (SELECT video, 'f' || track_id AS flower_id, fi, x1 FROM detections), i AS (SELECT video, flower_id, min(fi) AS a, max(fi) AS z FROM s GROUP BY 1, 2),
 sp AS (SELECT * FROM (SELECT video, flower_id, unnest(range(a, z + 17)) AS fi FROM i) JOIN (SELECT DISTINCT video, fi FROM detections) USING (video, fi)),
 h AS (SELECT sp.video, sp.flower_id, sp.fi, last_value(s.x1 IGNORE NULLS) OVER w AS x1, last_value(s.fi IGNORE NULLS) OVER w AS lfi FROM sp LEFT JOIN s USING (video, flower_id, fi) WINDOW w AS (PARTITION BY sp.video, sp.flower_id ORDER BY sp.fi ROWS UNBOUNDED PRECEDING))
 SELECT video, flower_id, fi, x1, fi - lfi AS age FROM h WHERE fi - lfi <= 16""")
 def w6_held(spark, d):
     rows = b.detections(spark, d)
-    seen = rows.where("track_id % 5 = 0").select("video", F.concat(F.lit("f"), F.col("track_id")).alias("flower_id"), "fi", *g.SIDES)
+    seen = rows.select("video", F.concat(F.lit("f"), F.col("track_id")).alias("flower_id"), "fi", *g.SIDES)
     return tracks.held(seen, rows, 16).select("video", "flower_id", "fi", "x1", "age")
 
 
 @query()
 def j4_assigned(spark, d):
-    rows = b.detections(spark, d)
-    a = rows.where("track_id % 2 = 0").select("video", "fi", F.col("track_id").alias("flower_id"), *g.SIDES)
-    c = rows.where("track_id % 2 = 1").select("video", "fi", F.col("track_id").alias("det"), *g.SIDES)
-    return tracking.assigned(a, c, 0.05).withColumn("iou", R(F.col("iou")))
+    rows = _doubled(spark, d)
+    a = rows.where("track_id < 1000000").select("video", "fi", F.col("track_id").alias("flower_id"), *g.SIDES)
+    c = rows.where("track_id >= 1000000").select("video", "fi", F.col("track_id").alias("det"), *g.SIDES)
+    return tracking.assigned(a, c).withColumn("iou", R(F.col("iou")))
 
 
 @query()

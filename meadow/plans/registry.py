@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meadow.plans import curating, landing, reporting, streams, yields
+from meadow.plans import curating, io, landing, reporting, streams, yields
 
-PARTS = (landing, yields, curating, reporting, streams)
+PARTS = (landing, yields, curating, reporting, io, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,19 +86,8 @@ def f11_titles(spark, d):
     return r.titles(b.table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@query(SUMMARY + "SELECT printf('%d flowers, %d real landings, %d by honeybees, score %.1f', count(*), sum(n_real_landings)::BIGINT, sum(n_honeybee)::BIGINT, round(sum(pollination_score), 1)) AS line FROM summary")
-def a32_s2_context_line(spark, d):
-    return r.context_line(a1_u2_flower_summary(spark, d))
-
-
 @query("SELECT p_partkey, round(p_retailprice / 7, 2)::DOUBLE AS x FROM part")
 def f12_rounding(spark, d):
     from meadow.functions.rounding import half_up
 
     return b.table(spark, d, "part").select("p_partkey", half_up(F.col("p_retailprice") / 7, 2).alias("x"))
-
-
-@query("SELECT l_returnflag, max_by({'k': l_orderkey, 'q': l_quantity}, {'q': l_extendedprice, 'k': -l_orderkey}).k AS l_orderkey FROM lineitem GROUP BY 1")
-def a25_s15_best_row(spark, d):
-    li = b.table(spark, d, "lineitem")
-    return li.groupBy("l_returnflag").agg(F.max_by("l_orderkey", F.struct("l_extendedprice", -F.col("l_orderkey"))).alias("l_orderkey"))

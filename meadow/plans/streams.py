@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from meadow.functions import geometry as g
 from meadow.plans import bindings as b
 from meadow.plans.landing import LANDED
+from meadow.sources import readers
 from meadow.streaming import live
 
 QUERIES, ORACLE = {}, {}
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def camera_rows(spark, d) -> DataFrame:
@@ -28,18 +30,71 @@ def st1_st2_st3_j9_replayed(spark, d):
     return live.replayed(camera_rows(spark, d))
 
 
+def _finished(query) -> None:
+    """Let a stream work off what is there, then end it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def _landed_stream(spark, d) -> DataFrame:
+    """Landings as a file stream in the layout of the live ones."""
+    at = b.folder(spark, "landed")
+    rows = b.landings(spark, d).withColumn("camera", F.col("video").cast("string")).withColumn("seq", F.col("track_id") * 10_000 + F.col("episode"))
+    none = F.lit(None).cast("boolean")
+    rows.withColumn("is_pollinator", none).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in live.LANDED.split(", ")]).write.parquet(at)
+    return spark.readStream.schema(live.LANDED).parquet(at)
+
+
+def st4_k3_s18_st8_streamed(spark, d):
+    """The live landings of a stream, appended to a table, against a replay of its rows: what only one of them has."""
+    rows_at, out, at = b.folder(spark, "detections"), b.folder(spark, "appended"), b.folder(spark, "checkpoint")
+    rows = camera_rows(spark, d)
+    rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in readers.DETECTIONS.split(", ")]).write.parquet(rows_at)
+    stored = spark.read.schema(readers.DETECTIONS).parquet(rows_at)
+    was = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, live.STATE_STORE)
+    try:
+        query = live.append_to(live.live_landings(readers.detection_stream(spark, rows_at, 1_000_000)), out, at)
+        try:
+            query.processAllAvailable()
+            # Rows of another camera, much later: the watermark passes all that is open.
+            end = stored.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+            for hours in (0, 1):
+                late = end.select(F.lit("end").alias("camera"), (F.col("ts") + F.expr(f"INTERVAL {hours} HOUR")).alias("ts"), F.lit("flower").alias("kind"), *[F.lit(0.0).alias(c) for c in g.SIDES])
+                late.select(*[(F.col(n) if n in late.columns else F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in readers.DETECTIONS.split(", "))]).coalesce(1).write.mode("append").parquet(rows_at)
+                query.processAllAvailable()
+        finally:
+            query.stop()
+    finally:
+        spark.conf.unset(PROVIDER) if was is None else spark.conf.set(PROVIDER, was)
+    names = ["camera", "seq", "t_enter_s", "t_exit_s", "flower_id", "insect_type", "conf_mean"]
+    streamed, again = spark.read.schema(live.LANDED).parquet(out).select(*names), live.replayed(stored.where("camera <> 'end'")).select(*names)
+    both = streamed.withColumn("s", F.lit(1)).withColumn("r", F.lit(0)).unionByName(again.withColumn("s", F.lit(0)).withColumn("r", F.lit(1)))
+    each = both.groupBy(*names).agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
+    return each.agg(F.count_if(F.col("s") > F.col("r")).alias("only_streamed"), F.count_if(F.col("r") > F.col("s")).alias("only_replayed"), (F.count_if(F.col("s") == F.col("r")) > 0).alias("some"))
+
+
 def st5_k4_daily_counts(spark, d):
-    rows = b.landings(spark, d).withColumn("camera", F.col("video").cast("string"))
-    return live.daily_counts(rows.select("ts", "camera", "flower_id", "is_real_landing", "insect_type"))
+    """Daily counts of a stream, kept by key in a table."""
+    out = b.folder(spark, "daily")
+    _finished(live.upsert_daily(live.daily_counts(_landed_stream(spark, d)), out, b.folder(spark, "checkpoint")))
+    kinds = "camera string, flower_id string, n_landings bigint, n_real_landings bigint, " + ", ".join(f"n_{t} bigint" for t in live.INSECT_TYPES) + ", day date"
+    return spark.read.schema(kinds).parquet(out)
 
 
 def st6_k5_recent(spark, d):
-    return b.landings(spark, d).orderBy(F.desc("ts"), F.desc("track_id"), F.desc("episode")).limit(200).select("video", "track_id", "episode", "flower_id")
+    """The rolling mirror of a stream's newest landings."""
+    out = b.folder(spark, "recent")
+    _finished(live.keep_recent(_landed_stream(spark, d), out, b.folder(spark, "checkpoint")))
+    return live.recents(spark, out).select("camera", "seq", "flower_id")
 
 
-for _f in (st1_st2_st3_j9_replayed, st5_k4_daily_counts, st6_k5_recent):
+for _f in (st1_st2_st3_j9_replayed, st4_k3_s18_st8_streamed, st5_k4_daily_counts, st6_k5_recent):
     QUERIES[_f.__name__] = _f
 
 _TYPES = ", ".join(f"(count(*) FILTER (insect_type = '{t}'))::BIGINT AS n_{t}" for t in live.INSECT_TYPES)
 ORACLE["st5_k4_daily_counts"] = b.sql(*LANDED) + f"SELECT ts::DATE AS day, video::VARCHAR AS camera, flower_id, count(*)::BIGINT AS n_landings, (count(*) FILTER (is_real_landing = 1))::BIGINT AS n_real_landings, {_TYPES} FROM landings GROUP BY 1, 2, 3"
-ORACLE["st6_k5_recent"] = b.sql(*LANDED) + "SELECT video, track_id, episode, flower_id FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, track_id DESC, episode DESC) AS k FROM landings) WHERE k <= 200"
+ORACLE["st6_k5_recent"] = b.sql(*LANDED) + "SELECT video::VARCHAR AS camera, (track_id * 10000 + episode)::BIGINT AS seq, flower_id FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, track_id DESC, episode DESC) AS k FROM landings) WHERE k <= 200"
+ORACLE["st4_k3_s18_st8_streamed"] = "SELECT 0::BIGINT AS only_streamed, 0::BIGINT AS only_replayed, true AS some"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from meadow.operators import curve, dose, mixed
 from meadow.params import DOSE
 from meadow.plans import bindings as b
 from meadow.plans.landing import LANDED, SUMMARY, a1_u2_flower_summary
+from meadow.sources import readers
 
 QUERIES, ORACLE = {}, {}
 R = lambda c, n=6: F.round(c, n)
@@ -98,22 +101,35 @@ def j10_p33_labelled(spark, d):
     return dose.labelled(flowers, labels, "doc_id")
 
 
-GRID = [1e-3 * 10 ** (4 * i / 40) for i in range(41)]
-SOLVED = f""", g AS (SELECT unnest({GRID}::DOUBLE[]) AS k), s AS (SELECT crop, k, sum(n) AS w, sum(n * (1 - exp(-k * mean_v))) AS x, sum(n * (1 - exp(-k * mean_v)) * (1 - exp(-k * mean_v))) AS xx, sum(n * rate) AS y, sum(n * (1 - exp(-k * mean_v)) * rate) AS xy, sum(n * rate * rate) AS yy FROM bins, g GROUP BY 1, 2),
-a AS (SELECT *, least(1, greatest(0, (y * xx - x * xy) / (w * xx - x * x))) AS F0 FROM s), c AS (SELECT *, least(1, greatest(0, F0 + (xy - F0 * x) / xx)) AS Fmax FROM a),
-l AS (SELECT *, yy - 2 * (F0 * y + (Fmax - F0) * xy) + F0 * F0 * w + 2 * F0 * (Fmax - F0) * x + (Fmax - F0) * (Fmax - F0) * xx AS loss FROM c),
-fit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY round(loss, 12), k) AS n FROM l) WHERE n = 1)
-"""
+def fit_sql(points: int = 81, refine: int = 2) -> str:
+    """CTEs from bins(crop, mean_v, rate, n) to fit(crop, F0, Fmax, k, loss), on the grids that curve.fitted takes."""
+    out, step = [], (math.log(DOSE.k_max) - math.log(DOSE.k_min)) / (points - 1)
+    for level in range(refine + 1):
+        if level == 0:
+            grid = f"g0 AS (SELECT bins.*, k FROM bins, (SELECT unnest({curve._log_grid(DOSE.k_min, DOSE.k_max, points)}::DOUBLE[]) AS k))"
+        else:
+            near = [math.exp(step * (2 * i / (points - 1) - 1)) for i in range(points)]
+            grid = f"g{level} AS (SELECT b.crop, b.mean_v, b.rate, b.n, least({DOSE.k_max}::DOUBLE, greatest({DOSE.k_min}::DOUBLE, o.k * z)) AS k FROM bins b JOIN o{level - 1} o ON o.crop = b.crop, (SELECT unnest({near}::DOUBLE[]) AS z))"
+            step *= 2 / (points - 1)
+        out.append(f"""{grid},
+s{level} AS (SELECT crop, k, sum(n) AS w, sum(n * x) AS x, sum(n * x * x) AS xx, sum(n * rate) AS y, sum(n * x * rate) AS xy, sum(n * rate * rate) AS yy FROM (SELECT *, 1 - exp(-k * mean_v) AS x FROM g{level}) GROUP BY 1, 2),
+a{level} AS (SELECT *, least(1, greatest(0, coalesce((y * xx - x * xy) / nullif(w * xx - x * x, 0), y / w))) AS F0 FROM s{level}), c{level} AS (SELECT *, least(1, greatest(0, F0 + coalesce((xy - F0 * x) / nullif(xx, 0), 0))) AS Fmax FROM a{level}),
+l{level} AS (SELECT *, yy - 2 * (F0 * y + (Fmax - F0) * xy) + F0 * F0 * w + 2 * F0 * (Fmax - F0) * x + (Fmax - F0) * (Fmax - F0) * xx AS loss FROM c{level}),
+o{level} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY round(loss, 12), k) AS r FROM l{level}) WHERE r = 1)""")
+    return ", " + ",\n".join(out) + f",\nfit AS (SELECT * FROM o{refine})\n"
+
 
+SOLVED = fit_sql()
 
-@query(b.sql("trial", "bins") + SOLVED + "SELECT crop, round(F0, 5) AS F0, round(Fmax, 5) AS Fmax, round(k, 5) AS k, round(loss, 5) AS loss FROM fit")
+
+@query(b.sql("trial", "bins") + SOLVED + "SELECT crop, round(F0, 3) AS F0, round(Fmax, 3) AS Fmax, round(k, 3) AS k, round(loss, 3) AS loss FROM fit")
 def m1_fitted(spark, d):
-    return rounded(curve.fitted(dose.binned(b.trial(spark, d)), points=41, refine=0), n=5)
+    return rounded(curve.fitted(dose.binned(b.trial(spark, d))), n=3)
 
 
-@query(b.sql("trial", "bins") + SOLVED + "SELECT crop, dose, round(F0 + (Fmax - F0) * (1 - exp(-k * dose)), 5) AS fruit_set FROM fit, (SELECT unnest([0.0, 5.0, 20.0, 40.0]::DOUBLE[]) AS dose)")
+@query(b.sql("trial", "bins") + SOLVED + "SELECT crop, dose, round(F0 + (Fmax - F0) * (1 - exp(-k * dose)), 4) AS fruit_set FROM fit, (SELECT unnest([0.0, 5.0, 20.0, 40.0]::DOUBLE[]) AS dose)")
 def m15_p31_sweep(spark, d):
-    return rounded(curve.sweep(curve.fitted(dose.binned(b.trial(spark, d)), points=41, refine=0), [0, 5, 20, 40]), n=5)
+    return rounded(curve.sweep(curve.fitted(dose.binned(b.trial(spark, d))), [0, 5, 20, 40]), n=4)
 
 
 @query(b.sql("trial") + "SELECT crop, CASE WHEN count(*) FILTER (V <= 1.0) >= 10 THEN round(avg(y) FILTER (V <= 1.0), 6) END AS f0_anchor FROM trial GROUP BY 1")
@@ -131,44 +147,50 @@ def m3_m4_fit_report(spark, d):
     fit = curve.fitted(bins)
     f = F.broadcast(fit.drop("loss"))
     p = rows.join(f, "crop").withColumn("p", curve.response(F.col("V"), F.col("F0"), F.col("Fmax"), F.col("k")))
-    ci = curve.intervals(curve.bootstrap(bins, draws=100, points=41, refine=1))
+    ci = curve.intervals(curve.bootstrap(bins))
     return curve.fit_report(fit, ci, dose.fit_scores(p.select("crop", "y", "p")))
 
 
 F0SQL = """, q0 AS (SELECT crop, quantile_cont(V, 0.05) AS q, count(*) FILTER (V <= 0.5) AS n FROM trial GROUP BY 1),
 f0 AS (SELECT t.crop, avg(t.y) AS f0 FROM trial t JOIN q0 q ON q.crop = t.crop WHERE t.V <= CASE WHEN q.n >= 10 THEN 0.5 ELSE q.q END GROUP BY 1)"""
-POST = b.sql("trial", "bins") + F0SQL + """, cells AS (SELECT crop, f0, (i + 0.5::DOUBLE) / 31 * 0.999::DOUBLE AS Fmax, -6 + 10 * (j + 0.5::DOUBLE) / 31 AS lk FROM f0, range(31) a(i), range(31) c(j)),
-ok AS (SELECT * FROM cells WHERE Fmax > f0),
-ll AS (SELECT o.crop, o.Fmax, o.lk, sum(hits * ln(p) + (n - hits) * ln(1 - p)) - pow((o.Fmax - 0.72) / 0.1, 2) / 2 - pow((o.lk - ln(0.3::DOUBLE)) / 0.5, 2) / 2 AS lp
-  FROM (SELECT o.*, hits, n, least(1 - 1e-9::DOUBLE, greatest(1e-9::DOUBLE, f0 + (Fmax - f0) * (1 - exp(-exp(lk) * mean_v)))) AS p FROM ok o JOIN bins b ON b.crop = o.crop) o GROUP BY 1, 2, 3),
-w AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY crop)) AS w FROM ll)
-"""
 
 
-@query(POST + "SELECT crop, round(sum(w * Fmax) / sum(w), 6) AS fmax_mean, round(sum(w * exp(lk)) / sum(w), 6) AS k_mean FROM w GROUP BY 1")
+def posterior_sql(mean: float, sd: float, name: str, points: int = 61) -> str:
+    """CTE `name`: the weighted cells of the posterior with a Normal(mean, sd) prior on Fmax."""
+    return f"""cells_{name} AS (SELECT crop, f0, (i + 0.5::DOUBLE) / {points} * 0.999::DOUBLE AS Fmax, -6 + 10 * (j + 0.5::DOUBLE) / {points} AS lk FROM f0, range({points}) a(i), range({points}) c(j)),
+ll_{name} AS (SELECT o.crop, o.Fmax, o.lk, sum(hits * ln(p) + (n - hits) * ln(1 - p)) - pow((o.Fmax - {mean}::DOUBLE) / {sd}::DOUBLE, 2) / 2 - pow((o.lk - ln(0.3::DOUBLE)) / 0.5, 2) / 2 AS lp
+  FROM (SELECT o.*, hits, n, least(1 - 1e-9::DOUBLE, greatest(1e-9::DOUBLE, f0 + (Fmax - f0) * (1 - exp(-exp(lk) * mean_v)))) AS p FROM cells_{name} o JOIN bins b ON b.crop = o.crop WHERE Fmax > f0) o GROUP BY 1, 2, 3),
+{name} AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY crop)) AS w FROM ll_{name})"""
+
+
+POST = b.sql("trial", "bins") + F0SQL + ", "
+
+
+@query(POST + posterior_sql(0.72, 0.10, "w") + " SELECT crop, round(sum(w * Fmax) / sum(w), 6) AS fmax_mean, round(sum(w * exp(lk)) / sum(w), 6) AS k_mean FROM w GROUP BY 1")
 def m5_posterior(spark, d):
     rows = b.trial(spark, d)
-    return rounded(curve.posterior(dose.binned(rows), curve.posterior_f0(rows), points=31).select("crop", "fmax_mean", "k_mean"))
+    return rounded(curve.posterior(dose.binned(rows), curve.posterior_f0(rows)).select("crop", "fmax_mean", "k_mean"))
 
 
-@query()
+@query(POST + posterior_sql(0.72, 0.25, "a") + ", " + posterior_sql(0.72, 0.05, "c") + """, x AS (SELECT crop, sum(w * Fmax) / sum(w) AS wide FROM a GROUP BY 1), y AS (SELECT crop, sum(w * Fmax) / sum(w) AS narrow FROM c GROUP BY 1)
+SELECT x.crop, round(wide, 6) AS wide, round(narrow, 6) AS narrow, round(abs(wide - narrow), 6) AS shift FROM x JOIN y ON x.crop = y.crop""")
 def m6_prior_sensitivity(spark, d):
     rows = b.trial(spark, d)
-    return rounded(curve.prior_sensitivity(dose.binned(rows), curve.posterior_f0(rows), points=31))
+    return rounded(curve.prior_sensitivity(dose.binned(rows), curve.posterior_f0(rows)))
 
 
 @query()
 def m7_mixed_model(spark, d):
-    return rounded(mixed.mixed_report(b.trial(spark, d), steps=6))
+    return rounded(mixed.mixed_report(b.trial(spark, d)))
 
 
 def _draws(spark, d):
     """Draws from the orders table: a value of each parameter per order, so that SQL has the same."""
-    o = b.table(spark, d, "orders").where("o_orderstatus IN ('F', 'O')")
+    o = b.table(spark, d, "orders")
     return o.select(F.when(F.col("o_orderstatus") == "F", "pomegranate").otherwise("cucumber").alias("crop"), F.col("o_orderkey").alias("b"), (0.1 + (F.col("o_orderkey") % 10) / 100.0).alias("F0"), (0.6 + (F.col("o_custkey") % 20) / 100.0).alias("Fmax"), (0.1 + (F.col("o_orderkey") % 7) / 50.0).alias("k"))
 
 
-DRAWS = "WITH draws AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'pomegranate' ELSE 'cucumber' END AS crop, 0.1::DOUBLE + (o_orderkey % 10) / 100.0::DOUBLE AS F0, 0.6::DOUBLE + (o_custkey % 20) / 100.0::DOUBLE AS Fmax, 0.1::DOUBLE + (o_orderkey % 7) / 50.0::DOUBLE AS k FROM orders WHERE o_orderstatus IN ('F', 'O'))\n"
+DRAWS = "WITH draws AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'pomegranate' ELSE 'cucumber' END AS crop, 0.1::DOUBLE + (o_orderkey % 10) / 100.0::DOUBLE AS F0, 0.6::DOUBLE + (o_custkey % 20) / 100.0::DOUBLE AS Fmax, 0.1::DOUBLE + (o_orderkey % 7) / 50.0::DOUBLE AS k FROM orders)\n"
 
 
 @query(DRAWS + "SELECT crop, dose, round(avg(f), 6) AS mean, round(quantile_cont(f, 0.025), 6) AS lo, round(quantile_cont(f, 0.975), 6) AS hi FROM (SELECT crop, dose, F0 + (Fmax - F0) * (1 - exp(-k * dose)) AS f FROM draws, (SELECT unnest([1.0, 5.0, 10.0]::DOUBLE[]) AS dose)) GROUP BY 1, 2")
@@ -194,7 +216,7 @@ def m10_orchard_yield(spark, d):
 
 @query()
 def m12_draws_from_report(spark, d):
-    fit = curve.fitted(dose.binned(b.trial(spark, d)), points=41, refine=0)
+    fit = curve.fitted(dose.binned(b.trial(spark, d)))
     rep = fit.select("crop", "F0", "Fmax", "k", *[(F.col(c) * s).alias(f"{c}_{n}") for c in ("F0", "Fmax", "k") for n, s in (("lo", 0.9), ("hi", 1.1))])
     return rounded(curve.intervals(curve.draws_from_report(rep)))
 
@@ -214,7 +236,11 @@ def m13_p30_estimate(spark, d):
     return e.select("crop", F.round("dose", 4).alias("dose"), "n_flowers", R(F.col("fruit_set")).alias("fruit_set"), F.round("yield_kg", 4).alias("yield_kg"), R(F.col("deficit_pct")).alias("deficit_pct"), R(F.col("gain_per_visit")).alias("gain_per_visit"))
 
 
-@query()
+@query("""WITH tops AS (SELECT p_brand, max(p_retailprice) AS top FROM part WHERE p_retailprice > 0 AND p_size > 0 GROUP BY 1), share AS (SELECT p.p_brand AS crop, p_size::DOUBLE AS mean_v, p_retailprice / top AS s FROM part p JOIN tops t ON t.p_brand = p.p_brand WHERE p_retailprice > 0 AND p_size > 0),
+bins AS (SELECT crop, mean_v, avg(s) AS rate, count(*)::DOUBLE AS n, greatest(0, sum(s * s) - sum(s) * sum(s) / count(*)) AS rest FROM share GROUP BY 1, 2), more AS (SELECT crop, sum(rest) AS rest FROM bins GROUP BY 1)""" + fit_sql() + "SELECT f.crop, round(F0, 3) AS F0, round(Fmax, 3) AS Fmax, round(loss + rest, 3) AS loss FROM fit f JOIN more m ON m.crop = f.crop")
 def m14_s16_field_fit(spark, d):
-    rows = b.table(spark, d, "part").select(F.col("p_brand").alias("crop"), F.col("p_size").cast("double").alias("V"), F.col("p_retailprice").alias("y"))
-    return rounded(curve.field_fit(rows, points=41, refine=1))
+    """Parts as a field table: written as CSV, read back with bad rows dropped, fitted by brand."""
+    at = b.folder(spark, "field")
+    b.table(spark, d, "part").select("p_brand", "p_size", "p_retailprice").write.option("header", True).csv(at)
+    rows = readers.field_table(spark, at, ["p_size", "p_retailprice"]).select(F.col("p_brand").alias("crop"), F.col("p_size").alias("V"), F.col("p_retailprice").alias("y"))
+    return rounded(curve.field_fit(rows).drop("k"), n=3)

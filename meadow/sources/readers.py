@@ -78,7 +78,12 @@ def kept_assignments(spark: SparkSession, path: str, splits: tuple[str, ...] = (
 
 
 def facts(spark: SparkSession, path: str, version: str = "1.0") -> DataFrame:
-    return spark.read.schema(FACTS).option("multiLine", True).json(path).withColumn("report_version", F.coalesce("report_version", F.lit(version)))
+    return versioned(spark.read.schema(FACTS).option("multiLine", True).json(path), version)
+
+
+def versioned(documents: DataFrame, version: str = "1.0") -> DataFrame:
+    """Documents without a version get the default one."""
+    return documents.withColumn("report_version", F.coalesce("report_version", F.lit(version)))
 
 
 def weather(spark: SparkSession, path: str) -> DataFrame:
@@ -133,10 +138,10 @@ def field_table(spark: SparkSession, path: str, numeric: list[str]) -> DataFrame
     return out
 
 
-def saved_curves(spark: SparkSession, path: str) -> DataFrame:
-    """crop and its curve, from a document that maps crops to curves."""
+def saved_curves(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """crop and its curve, from a document (or a line each) that maps crops to curves."""
     kind = f"map<string,struct<{','.join(c.replace(' ', ':') for c in CURVE.split(', '))}>>"
-    docs = spark.read.option("wholetext", True).text(path)
+    docs = spark.read.option("wholetext", not one_per_line).text(path)
     return docs.select(F.explode(F.from_json("value", kind)).alias("crop", "c")).select("crop", "c.*")
 
 

@@ -25,10 +25,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from meadow.functions.shared import staged
 from meadow.params import INSECT_TYPES, LANDING, POLLINATORS, LandingParams
 
 LANDED = "camera string, seq long, ts timestamp, t_enter_s double, t_exit_s double, landing_s double, is_real_landing int, flower_id string, insect_type string, is_pollinator boolean, flower_detected string, conf_mean double"
@@ -333,7 +334,7 @@ def upsert_daily(counts: DataFrame, path: str, checkpoint: str):
             old = spark.read.schema(batch.schema).parquet(path).join(batch.select("day").distinct(), "day", "left_semi").join(batch.select(*keys), keys, "left_anti")
             batch = old.unionByName(batch)
         # What is read is overwritten, so the rows are cut off from their files first.
-        batch.checkpoint().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        staged(batch, "upsert").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
     return counts.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).start()
 
@@ -355,6 +356,14 @@ def keep_recent(landings: DataFrame, path: str, checkpoint: str, kept: int = 200
     return landings.writeStream.outputMode("append").foreachBatch(mirror).option("checkpointLocation", checkpoint).start()
 
 
+def recents(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a rolling mirror."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs_path)]
+    newest = max((n for n in names if n.startswith("v=")), key=lambda n: int(n[2:]))
+    return spark.read.schema(LANDED).json(f"{path}/{newest}")
+
+
 def call_for_each(landings: DataFrame, on_landing, checkpoint: str):
     """on_landing(row) for every landing, on the executors."""
     return landings.writeStream.outputMode("append").foreach(on_landing).option("checkpointLocation", checkpoint).start()
