@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meadow.functions import taxonomy
+from meadow.functions.shared import staged
 from meadow.operators.components import connected_components
 from meadow.params import SPLITS
 
@@ -50,16 +51,19 @@ def from_hex(text: Column) -> Column:
 def near_hash_pairs(hashed: DataFrame, most: int = 5, bits: int = 64, cls: str = "cls", key: str = "id", hash_: str = "hash") -> DataFrame:
     """a, b, distance: rows of one class whose hashes differ in up to `most` bits.
 
-    The hash is cut into most + 1 chunks; one of them must be equal (pigeonhole), so pairs come from equi-joins on
-    (class, chunk, its bits), are verified on the whole hash, and count once.
+    Rows with equal hashes hang on the least of them, one pair each. Of the hashes that are left, the least row of each is
+    compared: the hash is cut into most + 1 chunks; one of them must be equal (pigeonhole), so pairs come from equi-joins
+    on (class, chunk, its bits), are verified on the whole hash, and count once.
     """
     n = most + 1
     cuts = [(i * bits // n, (i + 1) * bits // n - i * bits // n) for i in range(n)]
     chunks = F.array(*[F.shiftrightunsigned(hash_, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in cuts])
-    parts = hashed.select(cls, F.col(key).alias("id"), F.col(hash_).alias("h"), F.posexplode(chunks).alias("chunk", "bits"))
+    first = hashed.groupBy(cls, hash_).agg(F.min(key).alias("id"))
+    parts = first.select(cls, "id", F.col(hash_).alias("h"), F.posexplode(chunks).alias("chunk", "bits"))
     a, b = parts.select(cls, "chunk", "bits", F.col("id").alias("a"), F.col("h").alias("ha")), parts.select(cls, "chunk", "bits", F.col("id").alias("b"), F.col("h").alias("hb"))
     met = a.join(b, [cls, "chunk", "bits"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
-    return met.select("a", "b", "distance").distinct()
+    equal = hashed.select(cls, hash_, F.col(key).alias("b")).join(first.withColumnRenamed("id", "a"), [cls, hash_]).where("a <> b")
+    return met.select("a", "b", "distance").distinct().unionByName(equal.select("a", "b", F.lit(0).alias("distance")))
 
 
 def groups_of(rows: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
@@ -133,11 +137,10 @@ def grouped_split(rows: DataFrame, cls: str = "cls", grp: str = "grp", seed: int
 def folder_split(rows: DataFrame, folder: str = "folder", seed: int = 42, names: tuple[str, ...] = SPLITS) -> DataFrame:
     """rows with split: folders in seeded order; a tenth each (one at least) for validation and test. Numbers folders, not rows."""
     folders = rows.select(folder).distinct().withColumn("_o", shuffle_key(seed, folder))
-    n = F.count("*").over(Window.partitionBy())
-    at = F.row_number().over(Window.orderBy("_o", folder))
-    tenth = F.greatest(F.lit(1), F.floor(n / 10))
-    split = F.when(at <= tenth, names[1]).when(at <= 2 * tenth, names[2]).otherwise(names[0])
-    return rows.join(folders.withColumn("split", split).drop("_o"), folder)
+    tenth = folders.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).alias("_tenth"))
+    at = numbered(folders, "_o", folder, into="_at").join(F.broadcast(tenth))
+    split = F.when(F.col("_at") <= F.col("_tenth"), names[1]).when(F.col("_at") <= 2 * F.col("_tenth"), names[2]).otherwise(names[0])
+    return rows.join(at.select(folder, split.alias("split")), folder)
 
 
 def class_ids(rows: DataFrame, cls: str = "cls") -> DataFrame:
@@ -157,12 +160,15 @@ def labels(rows: DataFrame, mode: str = "species", path: str = "path", cls: str
 
 
 def numbered(rows: DataFrame, *order: str, into: str = "place") -> DataFrame:
-    """rows numbered from 1 in an order: a range-partitioned sort, the rows before each partition, and a running number in it."""
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    n = sorted_.groupBy("_part").agg(F.count("*").alias("_n"))
+    """rows numbered from 1 in an order: range partitions, the rows before each of them, and a running number in it.
+
+    The partitions are written first, as a second run of the same shuffle may cut the ranges elsewhere.
+    """
+    placed = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    n = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = n.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     at = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
-    return sorted_.join(F.broadcast(before), "_part").withColumn(into, at.cast("long")).drop("_part", "_before")
+    return placed.join(F.broadcast(before), "_part").withColumn(into, at.cast("long")).drop("_part", "_before")
 
 
 def newest(rows: DataFrame, time: str, key: str, n: int) -> DataFrame:
@@ -199,19 +205,24 @@ def downsampled(rows: DataFrame, n: int, key: str, seed: int = 42) -> tuple[Data
 
 
 def renamed(rows: DataFrame, split: str, name: str, order: str) -> DataFrame:
-    """rows with new_name, unique within the split: later files of one stem get _1, _2, ... before the extension.
+    """rows with new_name, unique within the split (case apart): later files of one name get _1, _2, ... before the extension.
 
-    A name made that way may meet a real one; rounds of the same rule settle those.
+    Numbers that make a name which a file has already are passed over, so one pass is enough: a made name can only be
+    that of its own stem and number.
     """
-    out = rows.withColumn("new_name", F.col(name))
-    for _ in range(8):
-        stem, ext = F.regexp_extract("new_name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("new_name", r"(\.[^.]*)$", 1)
-        w = Window.partitionBy(split, F.lower("new_name")).orderBy((F.col("new_name") != F.col(name)).cast("int"), order)
-        n = F.row_number().over(w) - 1
-        out = out.withColumn("_n", n).withColumn("new_name", F.when(F.col("_n") > 0, F.concat(stem, F.lit("_"), F.col("_n"), ext)).otherwise(F.col("new_name")))
-        if out.where("_n > 0").isEmpty():
-            break
-    return out.drop("_n")
+    low = F.lower(name)
+    suffix = r"^(.*)_([1-9][0-9]{0,8})(\.[^.]*)?$"
+    like = F.concat(F.regexp_extract(low, suffix, 1), F.regexp_extract(low, suffix, 3))
+    taken = rows.where(low.rlike(suffix)).select(F.col(split).alias("_s"), like.alias("_like"), F.regexp_extract(low, suffix, 2).cast("long").alias("_k"))
+    taken = taken.groupBy("_s", "_like").agg(F.sort_array(F.collect_set("_k")).alias("_taken"))
+    again = F.row_number().over(Window.partitionBy(split, low).orderBy(order)) - 1
+    out = rows.withColumn("_n", again.cast("long")).withColumn("_low", low).join(taken, F.col(split).eqNullSafe(F.col("_s")) & (F.col("_low") == F.col("_like")), "left")
+    # The n-th number that isn't taken: n and those taken below it.
+    free = F.transform("_taken", lambda t, i: t - i - 1)  # how many numbers below it are free
+    number = F.col("_n") + F.coalesce(F.size(F.filter(free, lambda x: x < F.col("_n"))), F.lit(0))
+    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    new = F.when(F.col("_n") > 0, F.concat(stem, F.lit("_"), number, ext)).otherwise(F.col(name))
+    return out.withColumn("new_name", new).drop("_n", "_low", "_s", "_like", "_taken")
 
 
 # Labels
@@ -242,7 +253,7 @@ def dense_labels(images: DataFrame, annotations: DataFrame, categories: DataFram
     """One label document per split, ids dense from 0 or 1 by name: split, images, annotations, categories."""
     cats = categories.select(F.col("id").alias("category_id"), "name", (F.row_number().over(Window.orderBy("name")) - 1).alias("cid"))
     img = images.withColumn("iid", F.row_number().over(Window.partitionBy("split").orderBy("file_name")) - 1)
-    ann = annotations.join(img.select("split", F.col("id").alias("image_id"), "iid"), "image_id").join(F.broadcast(cats), "category_id")
+    ann = annotations.join(img.select("split", F.col("id").alias("image_id"), "iid"), "image_id").join(cats, "category_id")
     ann = ann.withColumn("aid", F.row_number().over(Window.partitionBy("split").orderBy("iid", "cid")))
     a = ann.groupBy("split").agg(F.sort_array(F.collect_list(F.struct(F.col("aid").alias("id"), F.col("iid").alias("image_id"), F.col("cid").alias("category_id")))).alias("annotations"))
     i = img.groupBy("split").agg(F.sort_array(F.collect_list(F.struct(F.col("iid").alias("id"), "file_name"))).alias("images"))
@@ -332,14 +343,12 @@ def overview(rows: DataFrame) -> DataFrame:
 
 
 def spread(rows: DataFrame, c: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Min, exact median, upper median (the greater of the two middle values), max."""
-    upper = F.element_at(F.percentile(c, F.array(F.lit(0.5))), 1)
-    n = rows.groupBy(*by).agg(F.min(c).alias("low"), F.median(c).alias("median"), F.max(c).alias("top"), F.count(c).alias("n"), upper.alias("_m"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    at = rows.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("k"))
-    cum = at.withColumn("upto", F.sum("k").over(w.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("k").over(w))
-    up = cum.groupBy(*by).agg(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col(c))).alias("upper_median"))
-    return n.drop("_m").join(up, list(by)) if by else n.drop("_m").join(up)
+    """Min, exact median, upper median (the greater of the two middle values), max, all from aggregates: what the median and
+    the lower middle value (the discrete median) leave over is the upper one."""
+    low_mid = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{c}`)")
+    out = rows.groupBy(*by).agg(F.min(c).alias("low"), F.median(c).alias("median"), F.max(c).alias("top"), F.count(c).alias("n"), low_mid.alias("_mid"))
+    kind = dict(rows.dtypes)[c]
+    return out.withColumn("upper_median", (2 * F.col("median") - F.col("_mid")).cast(kind)).drop("_mid")
 
 
 def readable(rows: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def fitted(bins: DataFrame, by: tuple[str, ...] = ("crop",), p: DoseParams = DOS
             grid = bins.withColumn("k", F.explode(F.array(*[F.lit(k) for k in _log_grid(p.k_min, p.k_max, points)])))
         else:
             near = F.array(*[F.col("k0") * math.exp(step * (2 * i / (points - 1) - 1)) for i in range(points)])
-            grid = bins.join(F.broadcast(best.select(*by_, F.col("k").alias("k0"))), by_).withColumn("k", F.explode(near)).withColumn("k", _clamped(F.col("k"), p.k_min, p.k_max))
+            grid = bins.join(best.select(*by_, F.col("k").alias("k0")), by_).withColumn("k", F.explode(near)).withColumn("k", _clamped(F.col("k"), p.k_min, p.k_max))
             step *= 2 / (points - 1)
         all_ = _solved(grid, by_, f0, fmax)
         best = all_.groupBy(*by_).agg(F.min_by(F.struct("F0", "Fmax", "k", "loss"), F.struct(F.round("loss", 12), "k")).alias("_best")).select(*by_, "_best.*")
@@ -213,7 +213,7 @@ def posterior(bins: DataFrame, f0: DataFrame, fmax_prior: tuple[float, float] =
     cells = cells.withColumn("Fmax", F.col("s") * 0.999).where("Fmax > f0")
     clip = lambda c: F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), c))
     p = clip(response(F.col("mean_v"), F.col("f0"), F.col("Fmax"), F.exp("lk")))
-    ll = cells.join(F.broadcast(bins), by).groupBy(by, "Fmax", "lk").agg(F.sum(F.col("hits") * F.ln(p) + (F.col("n") - F.col("hits")) * F.ln(1 - p)).alias("ll"))
+    ll = cells.join(bins, by).groupBy(by, "Fmax", "lk").agg(F.sum(F.col("hits") * F.ln(p) + (F.col("n") - F.col("hits")) * F.ln(1 - p)).alias("ll"))
     prior = -(((F.col("Fmax") - fmax_prior[0]) / fmax_prior[1]) ** 2) / 2 - ((F.col("lk") - math.log(k_prior[0])) / k_prior[1]) ** 2 / 2
     lp = ll.withColumn("lp", F.col("ll") + prior)
     w = F.exp(F.col("lp") - F.max("lp").over(Window.partitionBy(by)))
@@ -232,7 +232,7 @@ def posterior_f0(df: DataFrame, p: DoseParams = DOSE, by: str = "crop") -> DataF
     """F0 for the posterior: the rate among V <= anchor_v if there are enough, else among the lowest 5 % of V."""
     low = df.groupBy(by).agg(F.percentile("V", F.lit(0.05)).alias("q"), F.count_if(F.col("V") <= p.anchor_v).alias("n"))
     limit = F.when(F.col("n") >= p.anchor_n, F.lit(p.anchor_v)).otherwise(F.col("q"))
-    return df.join(F.broadcast(low), by).where(F.col("V") <= limit).groupBy(by).agg(F.avg("y").alias("f0"))
+    return df.join(low, by).where(F.col("V") <= limit).groupBy(by).agg(F.avg("y").alias("f0"))
 
 
 def prior_sensitivity(bins: DataFrame, f0: DataFrame, mean: float = 0.72, wide: float = 0.25, narrow: float = 0.05, by: str = "crop", **how) -> DataFrame:

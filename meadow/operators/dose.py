@@ -31,16 +31,25 @@ def canonical_visits(table: DataFrame, p: DoseParams = DOSE) -> DataFrame:
     return table.select(*[(F.col(n) if n in have else F.lit(defaults[n])).cast(t).alias(n) for n, t in (c.split() for c in VISITS.split(", "))])
 
 
-def qualifying(visits: DataFrame, p: DoseParams = DOSE) -> tuple[DataFrame, list[str]]:
-    """visits with `qualifies`, and the gates applied. A gate whose column is null in all rows passes; a null in a column
-    that has values fails its row."""
-    gates = {"dwell_seconds": F.col("dwell_seconds") >= p.dwell_min, "velocity": F.col("velocity") <= p.velocity_max, "fraction_on": F.col("fraction_on") >= p.fraction_min}
-    filled = visits.agg(*[F.count(c).alias(c) for c in gates]).first().asDict()
-    applied = [c for c in gates if filled[c]]
+def _gates(p: DoseParams) -> dict[str, Column]:
+    return {"dwell_seconds": F.col("dwell_seconds") >= p.dwell_min, "velocity": F.col("velocity") <= p.velocity_max, "fraction_on": F.col("fraction_on") >= p.fraction_min}
+
+
+def qualifying(visits: DataFrame, p: DoseParams = DOSE) -> DataFrame:
+    """visits with `qualifies`. A gate whose column is null in all rows passes; a null in a column that has values fails its
+    row. Which columns have values is one row of counts, joined in."""
+    gates = _gates(p)
+    filled = visits.agg(*[F.count(c).alias(f"_n_{c}") for c in gates])
     ok = F.lit(True)
-    for c in applied:
-        ok = ok & F.coalesce(gates[c] & ~F.isnan(c), F.lit(False))
-    return visits.withColumn("qualifies", ok), applied
+    for c, gate in gates.items():
+        ok = ok & ((F.col(f"_n_{c}") == 0) | F.coalesce(gate & ~F.isnan(c), F.lit(False)))
+    return visits.crossJoin(F.broadcast(filled)).select(*visits.columns, ok.alias("qualifies"))
+
+
+def applied_gates(visits: DataFrame, p: DoseParams = DOSE) -> list[str]:
+    """The gates that have values to test."""
+    filled = visits.agg(*[F.count(c).alias(c) for c in _gates(p)]).first().asDict()
+    return [c for c, n in filled.items() if n]
 
 
 def effectiveness(dwell: Column, w: Column, tau: float = DOSE.tau) -> Column:
@@ -49,7 +58,7 @@ def effectiveness(dwell: Column, w: Column, tau: float = DOSE.tau) -> Column:
 
 def flower_doses(visits: DataFrame, p: DoseParams = DOSE) -> DataFrame:
     """Dose V, visits, qualifying ones, mean dwell and confidence per flower; flowers without a qualifying visit have V = 0."""
-    marked, _ = qualifying(visits, p)
+    marked = qualifying(visits, p)
     ok, eff = F.col("qualifies"), effectiveness(F.col("dwell_seconds"), F.col("weight"), p.tau)
     return marked.groupBy("flower_id").agg(
         F.coalesce(F.sum(F.when(ok, eff)), F.lit(0.0)).alias("V"),
@@ -96,7 +105,7 @@ def binned(df: DataFrame, bins: int = DOSE.bins, by: tuple[str, ...] = ("crop",)
     """
     shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
     edges = df.groupBy(*by).agg(F.array_distinct(F.percentile("V", shares)).alias("edges"))
-    placed = df.join(F.broadcast(edges), list(by))
+    placed = df.join(edges, list(by))
     at = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("V"))))
     out = placed.groupBy(*by, at.alias("bin")).agg(F.avg("V").alias("mean_v"), F.avg("y").alias("rate"), F.sum("y").cast("double").alias("hits"), F.count("*").alias("n"))
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meadow.functions.rounding import half_up
+from meadow.operators.curation import numbered
 from meadow.params import LANDING, LandingParams
 
 
@@ -85,7 +86,7 @@ def running_counts(landed: DataFrame) -> DataFrame:
 def first_seen_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
     """key, id: keys numbered from 1 by where they first appear. Numbers the distinct keys only."""
     seen = rows.groupBy(key).agg(F.min(order).alias("seen"))
-    return seen.select(key, F.dense_rank().over(Window.orderBy("seen", key)).alias("id"))
+    return numbered(seen, "seen", key, into="id").select(key, F.col("id").cast("int").alias("id"))
 
 
 def per_second(rows: DataFrame, ts: str = "ts") -> DataFrame:

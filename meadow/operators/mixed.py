@@ -1,7 +1,8 @@
 """Binomial mixed model: a standardised dose and random intercepts of two groupings, by penalised reweighted least squares.
 
-Each step is one Spark aggregate of the normal equations by (first group, second group), joined with the intercepts so
-far; the driver solves a system as large as the number of groups, whatever the number of rows.
+Each step is one Spark aggregate of the normal equations by the pairs of groups that occur, joined with the intercepts so
+far. The intercepts of the first grouping appear in a diagonal block, which is eliminated, so the driver solves a
+system as large as the second grouping (the smaller one goes there) and keeps a row for each group of the first.
 """
 
 from __future__ import annotations
@@ -10,50 +11,57 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meadow.functions.shared import staged
+
+
+def _solve(d: np.ndarray, b: np.ndarray, c: np.ndarray, r0: np.ndarray, r1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Of [[diag(d), b], [b', c]] x = [r0, r1]: both parts of x, the inverse's block at c, and its trace at d."""
+    over = b / d[:, None]
+    small = np.linalg.pinv(c - b.T @ over)
+    x1 = small @ (r1 - over.T @ r0)
+    return (r0 - b @ x1) / d, x1, small, float((1 / d).sum() + np.einsum("ij,jk,ik->", over, small, over))
+
 
 def fit_mixed(df: DataFrame, dose: str = "V", target: str = "y", groups: tuple[str, str] = ("orchard_id", "year"), steps: int = 12) -> dict:
-    """slope (log-odds per standard deviation), intercept, standard errors, and the variances of the groups."""
-    mean, sd, n = df.agg(F.avg(dose), F.stddev_pop(dose), F.count("*")).first()
+    """slope (log-odds per standard deviation), intercept, standard errors, and the variances of the groups, in their order."""
+    mean, sd, n, *many = df.agg(F.avg(dose), F.stddev_pop(dose), F.count("*"), *[F.count_distinct(F.coalesce(F.col(g).cast("string"), F.lit(""))) for g in groups]).first()
     if not n:
         return {"slope": 0.0, "intercept": 0.0, "slope_se": 0.0, "var": [0.0, 0.0], "n": 0}
-    rows = df.select((F.col(dose) - mean).alias("d"), *[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)], F.col(target).cast("double").alias("y"))
-    rows = rows.withColumn("z", F.col("d") / F.lit(sd or 1.0))
-    names = [sorted(r[0] or "" for r in rows.select(f"g{i}").distinct().collect()) for i in range(2)]
-    at = [{g: 2 + k for k, g in enumerate(names[0])}, {g: 2 + len(names[0]) + k for k, g in enumerate(names[1])}]
-    size = 2 + len(names[0]) + len(names[1])
-    beta, var = np.zeros(size), np.ones(2)
+    order = [0, 1] if many[0] >= many[1] else [1, 0]
+    key = [F.coalesce(F.col(groups[k]).cast("string"), F.lit("")).alias(f"g{i}") for i, k in enumerate(order)]
+    rows = staged(df.select(((F.col(dose) - mean) / F.lit(sd or 1.0)).alias("z"), *key, F.col(target).cast("double").alias("y")), "mixed")
+    names = [[r[0] for r in rows.select(f"g{i}").distinct().orderBy(f"g{i}").collect()] for i in range(2)]
+    at = [{g: k for k, g in enumerate(x)} for x in names]
+    u, v, fixed, var = np.zeros(len(names[0])), np.zeros(len(names[1])), np.zeros(2), np.ones(2)
     spark = df.sparkSession
     for _ in range(steps):
-        cells = [(a, b, float(beta[0] + beta[at[0][a]] + beta[at[1][b]])) for a in names[0] for b in names[1]]
-        known = F.broadcast(spark.createDataFrame(cells, "a string, b string, base double"))
-        eta = F.col("base") + F.col("z") * float(beta[1])
+        known = [spark.createDataFrame(list(zip(x, w.tolist())), f"g{i} string, u{i} double") for i, (x, w) in enumerate(zip(names, (u, v)))]
+        eta = F.lit(float(fixed[0])) + F.col("u0") + F.col("u1") + F.col("z") * float(fixed[1])
         mu = 1 / (1 + F.exp(-eta))
         w = F.greatest(mu * (1 - mu), F.lit(1e-6))
         work = w * eta + F.col("y") - mu
-        joined = rows.join(known, (F.coalesce("g0", F.lit("")) == F.col("a")) & (F.coalesce("g1", F.lit("")) == F.col("b")))
-        sums = joined.groupBy("a", "b").agg(F.sum(w).alias("w"), F.sum(w * F.col("z")).alias("wz"), F.sum(w * F.col("z") ** 2).alias("wzz"), F.sum(work).alias("r"), F.sum(work * F.col("z")).alias("rz")).collect()
-        left, right = np.zeros((size, size)), np.zeros(size)
-        for r in sums:
-            i, j = at[0][r["a"]], at[1][r["b"]]
-            for p in (0, i, j):
-                for q in (0, i, j):
-                    left[p, q] += r["w"]
-                left[p, 1] += r["wz"]
-                left[1, p] += r["wz"]
-                right[p] += r["r"]
-            left[1, 1] += r["wzz"]
-            right[1] += r["rz"]
-        for k, block in enumerate((slice(2, 2 + len(names[0])), slice(2 + len(names[0]), size))):
-            left[range(block.start, block.stop), range(block.start, block.stop)] += 1 / max(var[k], 1e-6)
-        cov = np.linalg.pinv(left)
-        new = cov @ right
-        for k, block in enumerate((slice(2, 2 + len(names[0])), slice(2 + len(names[0]), size))):
-            u = new[block]
-            var[k] = (u @ u + np.trace(cov[block, block])) / max(len(u), 1)
-        moved, beta = np.abs(new - beta).max(), new
+        joined = rows.join(known[0], "g0").join(known[1], "g1")
+        sums = joined.groupBy("g0", "g1").agg(F.sum(w).alias("w"), F.sum(w * F.col("z")).alias("wz"), F.sum(w * F.col("z") ** 2).alias("wzz"), F.sum(work).alias("r"), F.sum(work * F.col("z")).alias("rz")).collect()
+        # Unknowns: the first grouping apart; then intercept, slope and the second grouping.
+        d, side, r0 = np.full(len(u), 1 / max(var[0], 1e-6)), np.zeros((len(u), 2 + len(v))), np.zeros(len(u))
+        small, r1 = np.zeros((2 + len(v), 2 + len(v))), np.zeros(2 + len(v))
+        small[range(2, 2 + len(v)), range(2, 2 + len(v))] = 1 / max(var[1], 1e-6)
+        for s in sums:
+            i, j = at[0][s["g0"]], 2 + at[1][s["g1"]]
+            here = np.array([s["w"], s["wz"], s["w"]])
+            d[i] += s["w"]
+            side[i, [0, 1, j]] += here
+            r0[i] += s["r"]
+            small[np.ix_([0, 1, j], [0, 1, j])] += np.array([here, [s["wz"], s["wzz"], s["wz"]], here])
+            r1[[0, 1, j]] += [s["r"], s["rz"], s["r"]]
+        new, rest, cov, trace = _solve(d, side, small, r0, r1)
+        moved = max(np.abs(new - u).max(), np.abs(rest[2:] - v).max(), np.abs(rest[:2] - fixed).max())
+        u, v, fixed = new, rest[2:], rest[:2]
+        var = np.array([(u @ u + trace) / len(u), (v @ v + np.trace(cov[2:, 2:])) / len(v)])
         if moved < 1e-6:
             break
-    return {"slope": float(beta[1]), "intercept": float(beta[0]), "slope_se": float(np.sqrt(cov[1, 1])), "var": var.tolist(), "n": n}
+    shown = var if order == [0, 1] else var[::-1]
+    return {"slope": float(fixed[1]), "intercept": float(fixed[0]), "slope_se": float(np.sqrt(cov[1, 1])), "var": shown.tolist(), "n": n}
 
 
 def mixed_report(df: DataFrame, by: str = "crop", **how) -> DataFrame:

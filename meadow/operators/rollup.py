@@ -38,7 +38,8 @@ def headline_count(landings: DataFrame, seen: DataFrame, p: LandingParams = LAND
 
     seen(video, flower_id, fi, ordinal, cx, cy). The greedy pass is a fold over one video's flowers, in order of creation.
     """
-    life = seen.groupBy("video", "flower_id").agg((F.max("fi") - F.min("fi")).alias("span"), F.max_by("cx", "fi").alias("cx"), F.max_by("cy", "fi").alias("cy"), F.min("ordinal").alias("ordinal"))
+    life = seen.groupBy("video", "flower_id").agg((F.max("fi") - F.min("fi")).alias("span"), F.max(F.struct("fi", "cx", "cy")).alias("last"), F.min("ordinal").alias("ordinal"))
+    life = life.select("video", "flower_id", "span", "last.cx", "last.cy", "ordinal")
     landed = landings.where("is_real_landing = 1").select("video", "flower_id").distinct().withColumn("landed", F.lit(True))
     real = life.join(landed, ["video", "flower_id"], "left").where((F.col("span") >= p.span_s * p.fps) | F.col("landed"))
     radius = p.cluster_frac * (p.frame_w**2 + p.frame_h**2) ** 0.5
@@ -116,5 +117,5 @@ def observed(landings: DataFrame) -> DataFrame:
 
 
 def enriched(landings: DataFrame, cameras: DataFrame, weather: DataFrame) -> DataFrame:
-    """Camera side by video, and the one row of weather; both are small by nature (a row per camera, one row)."""
-    return landings.join(F.broadcast(cameras), "video", "left").join(F.broadcast(weather.limit(1)))
+    """Camera side by video, and the one row of weather; the one row is broadcast, Spark chooses about the cameras."""
+    return landings.join(cameras, "video", "left").join(F.broadcast(weather.limit(1)))

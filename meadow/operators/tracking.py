@@ -70,23 +70,39 @@ class Canonical:
 
 
 class Unknown:
-    """Landings without a flower under them: the nearest flower in reach, or an earlier made-up one, or a new one."""
+    """Landings without a flower under them: the nearest flower in reach, or the first made-up one in reach, or a new one.
+
+    Places are kept by cells of a grid, so a landing looks at what lies around it and not at all there ever was.
+    """
+
+    CELL = 64.0
 
     def __init__(self, p: LandingParams):
-        self.p, self.made = p, {}
-
-    def attribute(self, c: tuple, area: float, flowers: list[tuple]) -> str:
-        reach, best = self.p.unknown_k * area**0.5, None
-        for name, at in flowers:
-            if (d := _apart(c, at)) <= reach:
-                reach, best = d, name
-        if best is None:
-            limit = self.p.unknown_k * area**0.5
-            best = next((k for k, at in self.made.items() if _apart(c, at) <= limit), None)
-        if best is None:
-            best = f"flower_unk_{len(self.made) + 1}"
-            self.made[best] = c
-        return best
+        self.p, self.n = p, 0
+        self.flowers: dict[tuple, list] = {}
+        self.made: dict[tuple, list] = {}
+
+    def _cell(self, c: tuple) -> tuple[int, int]:
+        return int(c[0] // self.CELL), int(c[1] // self.CELL)
+
+    def _around(self, places: dict[tuple, list], c: tuple, reach: float) -> list[tuple]:
+        """(rank, distance, name) of the places in reach."""
+        (x, y), r = self._cell(c), int(reach // self.CELL) + 1
+        near = (z for i in range(x - r, x + r + 1) for j in range(y - r, y + r + 1) for z in places.get((i, j), ()))
+        return [(rank, far, name) for rank, name, at in near if (far := _apart(c, at)) <= reach]
+
+    def flower(self, name: str, c: tuple) -> None:
+        self.flowers.setdefault(self._cell(c), []).append((0, name, c))
+
+    def attribute(self, c: tuple, area: float) -> str:
+        reach = self.p.unknown_k * area**0.5
+        if near := self._around(self.flowers, c, reach):
+            return min(near, key=lambda z: (z[1], z[2]))[2]
+        if near := self._around(self.made, c, reach):
+            return min(near)[2]
+        self.n += 1
+        self.made.setdefault(self._cell(c), []).append((self.n, f"flower_unk_{self.n}", c))
+        return f"flower_unk_{self.n}"
 
 
 def _streamed(rows: DataFrame, order: list[str], fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -130,16 +146,16 @@ def attributed(landed: DataFrame, flowers: DataFrame, p: LandingParams = LANDING
     b = landed.select("video", F.col("seq").cast("long").alias("seq"), none.cast("int").alias("ordinal"), none.cast("string").alias("flower_id"), "cx", "cy", "area")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, state, there = None, Unknown(p), []
+        video, state = None, Unknown(p)
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 if r.video != video:
-                    video, state, there = r.video, Unknown(p), []
+                    video, state = r.video, Unknown(p)
                 if r.flower_id is not None:
-                    there.append((r.flower_id, (r.cx, r.cy)))
+                    state.flower(r.flower_id, (r.cx, r.cy))
                 else:
-                    out.append((video, int(r.seq), state.attribute((r.cx, r.cy), r.area, there)))
+                    out.append((video, int(r.seq), state.attribute((r.cx, r.cy), r.area)))
             yield pd.DataFrame(out, columns=["video", "seq", "flower_id"])
 
     return _streamed(a.unionByName(b), ["seq", "ordinal"], fold, f"video {kind}, seq long, flower_id string")

@@ -106,7 +106,9 @@ def d2_same_hash_groups(spark, d):
     return c.same_hash_groups(b.files(spark, d).withColumn("hash", F.md5("content")))
 
 
-@query(b.sql("vec") + "SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM vec a JOIN vec b ON a.cls = b.cls AND a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 2")
+@query(b.sql("vec") + """, f AS (SELECT cls, hash, min(id) AS id FROM vec GROUP BY 1, 2)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM f a JOIN f b ON a.cls = b.cls AND a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 2
+UNION ALL SELECT f.id, v.id, 0 FROM vec v JOIN f ON f.cls = v.cls AND f.hash = v.hash AND f.id <> v.id""")
 def d3_f10_near_hash_pairs(spark, d):
     return c.near_hash_pairs(b.vectors(spark, d), most=2, bits=16)
 
@@ -135,7 +137,14 @@ def w8_stratified(spark, d):
     return c.stratified(b.files(spark, d).select("path", "cls")).select("path", "split")
 
 
-@query()
+SPLIT = b.sql("files").replace("WITH ", "WITH RECURSIVE ", 1) + """, z AS (SELECT cls, folder, count(*)::BIGINT AS n FROM files GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5('1337|' || folder), folder) AS k, sum(n) OVER (PARTITION BY cls)::DOUBLE AS total FROM z),
+walk AS (SELECT cls, 0::BIGINT AS k, 0::DOUBLE AS a, 0::DOUBLE AS v, 0::DOUBLE AS t, NULL::VARCHAR AS folder, NULL::BIGINT AS n, NULL::VARCHAR AS split FROM (SELECT DISTINCT cls FROM files) UNION ALL
+  SELECT cls, k, CASE best WHEN 1 THEN a + n ELSE a END, CASE best WHEN 2 THEN v + n ELSE v END, CASE best WHEN 3 THEN t + n ELSE t END, folder, n, ['train', 'val', 'test'][best] FROM (
+    SELECT o.cls, o.k, w.a, w.v, w.t, o.folder, o.n, list_position([round(o.total * 0.8 - w.a, 9), round(o.total * 0.1 - w.v, 9), round(o.total * 0.1 - w.t, 9)], greatest(round(o.total * 0.8 - w.a, 9), round(o.total * 0.1 - w.v, 9), round(o.total * 0.1 - w.t, 9))) AS best FROM walk w JOIN o ON o.cls = w.cls AND o.k = w.k + 1))
+"""
+
+
+@query(SPLIT + "SELECT cls, folder AS grp, split, n FROM walk WHERE k > 0")
 def d5_grouped_split(spark, d):
     rows = b.files(spark, d).select("path", "cls", F.col("folder").alias("grp"))
     return c.grouped_split(rows).groupBy("cls", "grp", "split").agg(F.count("*").alias("n"))

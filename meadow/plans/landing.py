@@ -87,7 +87,18 @@ def j2_j3_vetoed(spark, d):
     return det.vetoed(b.detections(spark, d), b.flowers(spark, d), 0.1).select("video", "track_id", "fi")
 
 
-@query()
+NESTED = f"(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least({AREA('a')}, {AREA('b')}))"
+#: Boxes of a frame by falling confidence; one after the other stays unless it overlaps one that stayed.
+GREEDY = b.sql("detections").replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT *, row_number() OVER (PARTITION BY video, fi ORDER BY conf DESC, track_id, x1, y1, x2, y2) AS n FROM detections),
+hits AS (SELECT b.video, b.fi, b.n, list(a.n) AS over FROM o b JOIN o a ON a.video = b.video AND a.fi = b.fi AND a.n < b.n WHERE {IOU} >= 0.6 OR {NESTED} >= 0.75 GROUP BY 1, 2, 3),
+steps AS (SELECT o.video, o.fi, o.n, coalesce(h.over, []) AS over FROM o LEFT JOIN hits h ON h.video = o.video AND h.fi = o.fi AND h.n = o.n),
+walk AS (SELECT video, fi, 0::BIGINT AS n, []::BIGINT[] AS kept FROM (SELECT DISTINCT video, fi FROM detections) UNION ALL
+  SELECT w.video, w.fi, s.n, CASE WHEN len(list_intersect(w.kept, s.over)) > 0 THEN w.kept ELSE list_append(w.kept, s.n) END FROM walk w JOIN steps s ON s.video = w.video AND s.fi = w.fi AND s.n = w.n + 1),
+last AS (SELECT video, fi, arg_max(kept, n) AS kept FROM walk GROUP BY 1, 2)
+"""
+
+
+@query(GREEDY + "SELECT o.video, o.track_id, o.fi, round(o.conf, 6) AS conf FROM o JOIN last l ON l.video = o.video AND l.fi = o.fi AND list_contains(l.kept, o.n)")
 def d9_without_overlaps(spark, d):
     return det.without_overlaps(b.detections(spark, d)).select("video", "track_id", "fi", R(F.col("conf")).alias("conf"))
 
@@ -198,7 +209,16 @@ def w6_held(spark, d):
     return tracks.held(seen, rows, 16).select("video", "flower_id", "fi", "x1", "age")
 
 
-@query()
+ASSIGNED = (b.sql("detections") + DOUBLED).replace("WITH ", "WITH RECURSIVE ", 1) + f""", p AS (SELECT a.video, a.fi, a.track_id AS flower_id, b.track_id AS det, {IOU} AS iou FROM twice a JOIN twice b ON a.video = b.video AND a.fi = b.fi AND a.track_id < 1000000 AND b.track_id >= 1000000 WHERE {IOU} >= 0.3),
+o AS (SELECT *, row_number() OVER (PARTITION BY video, fi ORDER BY iou DESC, flower_id, det) AS n FROM p),
+walk AS (SELECT video, fi, 0::BIGINT AS n, []::BIGINT[] AS used, []::BIGINT[] AS kept FROM (SELECT DISTINCT video, fi FROM o) UNION ALL
+  SELECT w.video, w.fi, o.n, CASE WHEN free THEN list_concat(w.used, [o.flower_id, o.det]) ELSE w.used END, CASE WHEN free THEN list_append(w.kept, o.n) ELSE w.kept END
+  FROM (SELECT w.*, NOT (list_contains(w.used, o.flower_id) OR list_contains(w.used, o.det)) AS free FROM walk w JOIN o ON o.video = w.video AND o.fi = w.fi AND o.n = w.n + 1) w JOIN o ON o.video = w.video AND o.fi = w.fi AND o.n = w.n + 1),
+last AS (SELECT video, fi, arg_max(kept, n) AS kept FROM walk GROUP BY 1, 2)
+"""
+
+
+@query(ASSIGNED + "SELECT o.video, o.fi, o.flower_id, o.det, round(o.iou, 6) AS iou FROM o JOIN last l ON l.video = o.video AND l.fi = o.fi AND list_contains(l.kept, o.n)")
 def j4_assigned(spark, d):
     rows = _doubled(spark, d)
     a = rows.where("track_id < 1000000").select("video", "fi", F.col("track_id").alias("flower_id"), *g.SIDES)
@@ -252,19 +272,40 @@ def flagship_top_flowers(spark, d):
     return s.select("video", "flower_id", "n_landings", "n_real_landings", "pollination_score", F.row_number().over(Window.orderBy(F.desc("pollination_score"), "video", "flower_id")).cast("long").alias("rank"))
 
 
-@query()
+HEADLINE = b.sql(*LANDED).replace("WITH ", "WITH RECURSIVE ", 1) + """, life AS (SELECT video, flower_id, max(fi) - min(fi) AS span, max({'fi': fi, 'cx': (x1 + x2) / 2, 'cy': (y1 + y2) / 2}) AS spot, min(substr(flower_id, 8)::BIGINT) AS ordinal FROM on_flowers WHERE flower_id IS NOT NULL GROUP BY 1, 2),
+real AS (SELECT video, spot.cx AS cx, spot.cy AS cy, row_number() OVER (PARTITION BY video ORDER BY ordinal) AS n FROM life l WHERE span >= 20 OR EXISTS (SELECT 1 FROM landings k WHERE k.video = l.video AND k.flower_id = l.flower_id AND k.is_real_landing = 1)),
+walk AS (SELECT video, 0::BIGINT AS n, []::STRUCT(x DOUBLE, y DOUBLE)[] AS kept FROM (SELECT DISTINCT video FROM real) UNION ALL
+  SELECT w.video, r.n, CASE WHEN len([k FOR k IN w.kept IF sqrt((k.x - r.cx) * (k.x - r.cx) + (k.y - r.cy) * (k.y - r.cy)) < 0.16 * sqrt(1280 * 1280 + 720 * 720)]) > 0 THEN w.kept ELSE list_append(w.kept, {'x': r.cx, 'y': r.cy}) END FROM walk w JOIN real r ON r.video = w.video AND r.n = w.n + 1)
+"""
+
+
+@query(HEADLINE + "SELECT video, max(len(kept))::BIGINT AS flowers FROM walk GROUP BY 1")
 def a26_headline_count(spark, d):
     x, y = g.center(g.box())
     seen = b.on_flowers(spark, d).where("flower_id IS NOT NULL").select("video", "flower_id", "fi", x.alias("cx"), y.alias("cy"), F.regexp_extract("flower_id", r"(\d+)", 1).cast("long").alias("ordinal"))
     return rollup.headline_count(b.landings(spark, d), seen)
 
 
-@query()
+ENTERED = b.sql("detections", "flowers", "on_flowers").replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT *, lag(flower_id) OVER (PARTITION BY video, track_id ORDER BY fi) AS was FROM on_flowers),
+e AS (SELECT video, track_id, flower_id, fi, row_number() OVER (PARTITION BY video, track_id, flower_id ORDER BY fi) AS n FROM w WHERE flower_id IS NOT NULL AND (was IS NULL OR was <> flower_id)),
+walk AS (SELECT video, track_id, flower_id, n, fi AS last, 1::BIGINT AS visits FROM e WHERE n = 1 UNION ALL
+  SELECT e.video, e.track_id, e.flower_id, e.n, CASE WHEN e.fi - k.last > 20 THEN e.fi ELSE k.last END, k.visits + CASE WHEN e.fi - k.last > 20 THEN 1 ELSE 0 END FROM walk k JOIN e ON e.video = k.video AND e.track_id = k.track_id AND e.flower_id = k.flower_id AND e.n = k.n + 1)
+"""
+
+
+@query(ENTERED + "SELECT video, track_id, flower_id, max(visits)::INT AS visits FROM walk GROUP BY 1, 2, 3")
 def w2_entered_visits(spark, d):
     return episodes.entered_visits(b.on_flowers(spark, d).select("video", "track_id", "fi", "flower_id"))
 
 
-@query()
+STEADY = b.sql("detections").replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT video, track_id, fi, cls, row_number() OVER v AS n, """ + ", ".join(f"coalesce(sum(conf) FILTER (cls = '{t}') OVER v, 0) AS s_{t}" for t in ("bee", "fly", "butterfly", "beetle", "bug")) + """ FROM detections WINDOW v AS (PARTITION BY video, track_id ORDER BY fi, cls, conf ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT video, track_id, fi, n, cls, map {'bee': s_bee, 'fly': s_fly, 'butterfly': s_butterfly, 'beetle': s_beetle, 'bug': s_bug} AS sums FROM o),
+walk AS (SELECT video, track_id, fi, n, cls FROM s WHERE n = 1 UNION ALL
+  SELECT s.video, s.track_id, s.fi, s.n, CASE WHEN s.cls <> k.cls AND s.sums[s.cls] >= 1.5 * s.sums[k.cls] THEN s.cls ELSE k.cls END FROM walk k JOIN s ON s.video = k.video AND s.track_id = k.track_id AND s.n = k.n + 1)
+"""
+
+
+@query(STEADY + "SELECT video, track_id, fi, cls FROM walk")
 def w12_steady_labels(spark, d):
     return episodes.steady_labels(b.detections(spark, d).select("video", "track_id", "fi", "cls", "conf"))
 

@@ -45,7 +45,13 @@ def f2_f3_f4_j20_checked(spark, d):
     return out.select("doc_id", F.size("flagged").alias("flagged"), F.round(F.coalesce(F.array_max("flagged"), F.lit(0.0)) / 1e6, 4).alias("top"), "passed")
 
 
-@query()
+SAID = """WITH t AS (SELECT conv_id, coalesce(text || ' ', '') || 'A ' || ['""" + "', '".join(r.SPECIES) + """'][(turn % 6 + 1)::INT] || ' came.' AS text FROM conversations),
+s AS (SELECT conv_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM t),
+w AS (SELECT conv_id, unnest([x FOR x IN ['""" + "', '".join(r.SPECIES) + """'] IF x NOT IN ('bee', 'fly') AND regexp_matches(lower(sentence), '\\b' || x || 's?\\b')]) AS species FROM s)
+"""
+
+
+@query(SAID + "SELECT conv_id, species, count(*)::BIGINT AS n FROM w GROUP BY 1, 2")
 def f5_f9_j21_species_warnings(spark, d):
     t = b.table(spark, d, "conversations").select("conv_id", F.concat_ws(" ", F.col("text"), F.element_at(F.array(*[F.lit(f"A {s} came.") for s in r.SPECIES]), (F.col("turn") % 6 + 1).cast("int"))).alias("text"), F.array(F.lit("bee"), F.lit("fly")).alias("present"))
     return r.species_warnings(t, "conv_id").groupBy("conv_id", "species").agg(F.count("*").alias("n"))

@@ -41,7 +41,7 @@ def s1_canonical_visits(spark, d):
 
 @query(VISITS + ", g AS (SELECT *, dwell_seconds >= 2 AS qualifies FROM visits) SELECT flower_id, species, qualifies, count(*)::BIGINT AS n FROM g GROUP BY 1, 2, 3")
 def p22_qualifying(spark, d):
-    return dose.qualifying(dose.canonical_visits(b.landings(spark, d)))[0].groupBy("flower_id", "species", "qualifies").agg(F.count("*").alias("n"))
+    return dose.qualifying(dose.canonical_visits(b.landings(spark, d))).groupBy("flower_id", "species", "qualifies").agg(F.count("*").alias("n"))
 
 
 @query(VISITS + """SELECT flower_id, round(coalesce(sum(CASE WHEN dwell_seconds >= 2 THEN weight * (1 - exp(-dwell_seconds / 5)) END), 0), 6) AS V, count(*)::BIGINT AS n_visits, (count(*) FILTER (dwell_seconds >= 2))::BIGINT AS n_qualifying,

@@ -118,6 +118,7 @@ def test_images(spark, tmp_path):
 
 def test_gates_with_nulls(spark):
     rows = [("a", "bee", 3.0, 0.01, None, 1.0, 1.0), ("b", "bee", 3.0, None, None, 1.0, 1.0), ("c", "bee", 1.0, 0.01, None, 1.0, 1.0)]
-    marked, applied = dose.qualifying(spark.createDataFrame(rows, dose.VISITS))
-    assert applied == ["dwell_seconds", "velocity"]
+    table = spark.createDataFrame(rows, dose.VISITS)
+    marked = dose.qualifying(table)
+    assert dose.applied_gates(table) == ["dwell_seconds", "velocity"] and marked.columns == [*table.columns, "qualifies"]
     assert {r.flower_id: r.qualifies for r in marked.collect()} == {"a": True, "b": False, "c": False}
