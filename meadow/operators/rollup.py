@@ -24,9 +24,9 @@ def flower_summary(landings: DataFrame, flowers: DataFrame | None = None, p: Lan
         F.count("*").alias("n_landings"),
         F.count_if(real).alias("n_real_landings"),
         *[F.count_if(real & (F.col("insect_type") == t)).alias(f"n_{t}") for t in INSECT_TYPES],
-        F.round(total, 2).alias("total_landing_s"),
+        half_up(total, 2).alias("total_landing_s"),
         F.coalesce(half_up(F.try_divide(total, F.count_if(real)), 2), F.lit(0.0)).alias("mean_landing_s"),
-        F.round(F.sum(F.when(real, score).otherwise(0.0)), 2).alias("pollination_score"),
+        half_up(F.sum(F.when(real, score).otherwise(0.0)), 2).alias("pollination_score"),
     )
     if flowers is None:
         return out
@@ -60,7 +60,7 @@ def overview(visits: DataFrame, videos: DataFrame) -> DataFrame:
     facts = per.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("visits"),
         F.coalesce(F.round(F.try_divide(F.sum("good") * 100.0, F.sum("n")), 1), F.lit(0.0)).alias("pollinator_pct"),
-        F.coalesce(F.round(F.avg("n"), 2), F.lit(0.0)).alias("mean_visits"),
+        F.coalesce(half_up(F.avg("n"), 2), F.lit(0.0)).alias("mean_visits"),
         F.max_by("flower_id", F.struct("n", "flower_id")).alias("top_flower"),
     )
     return videos.where("status = 'done'").agg(F.count("*").alias("done_videos")).join(facts)

@@ -254,7 +254,7 @@ SUMMARY = b.sql(*LANDED) + """, per AS (SELECT video, flower_id, count(*)::BIGIN
 sum(CASE WHEN is_real_landing = 1 THEN landing_s ELSE 0 END) AS tot, sum(CASE WHEN is_real_landing = 1 THEN pollination_weight * least(landing_s, 30) ELSE 0 END) AS score FROM landings GROUP BY 1, 2),
 ids AS (SELECT video, flower_id FROM flowers UNION SELECT video, flower_id FROM per),
 summary AS (SELECT i.video, i.flower_id, coalesce(n_landings, 0) AS n_landings, coalesce(n_real_landings, 0) AS n_real_landings, """ + ", ".join(f"coalesce(n_{t}, 0) AS n_{t}" for t in INSECT_TYPES) + """,
-coalesce(round(tot, 2), 0) AS total_landing_s, coalesce(round((tot / nullif(n_real_landings, 0))::DECIMAL(18, 9), 2)::DOUBLE, 0) AS mean_landing_s, coalesce(round(score, 2), 0) AS pollination_score FROM ids i LEFT JOIN per p ON p.video = i.video AND p.flower_id = i.flower_id)
+coalesce(round(tot::DECIMAL(18, 9), 2)::DOUBLE, 0) AS total_landing_s, coalesce(round((tot / nullif(n_real_landings, 0))::DECIMAL(18, 9), 2)::DOUBLE, 0) AS mean_landing_s, coalesce(round(score::DECIMAL(18, 9), 2)::DOUBLE, 0) AS pollination_score FROM ids i LEFT JOIN per p ON p.video = i.video AND p.flower_id = i.flower_id)
 """
 
 
@@ -326,7 +326,7 @@ def w15_st7_per_second(spark, d):
 
 
 @query(b.sql(*LANDED) + """, f AS (SELECT flower_id, count(*) AS n, count(*) FILTER (insect_type IN ('honeybee', 'bee', 'butterfly', 'fly')) AS good FROM landings GROUP BY 1)
-SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')::BIGINT AS done_videos, sum(n)::BIGINT AS visits, round(sum(good) * 100.0 / sum(n), 1)::DOUBLE AS pollinator_pct, round(avg(n), 2) AS mean_visits, arg_max(flower_id, {'n': n, 'f': flower_id}) AS top_flower FROM f""")
+SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')::BIGINT AS done_videos, sum(n)::BIGINT AS visits, round(sum(good) * 100.0 / sum(n), 1)::DOUBLE AS pollinator_pct, round(avg(n)::DECIMAL(18, 9), 2)::DOUBLE AS mean_visits, arg_max(flower_id, {'n': n, 'f': flower_id}) AS top_flower FROM f""")
 def a8_overview(spark, d):
     videos = b.table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "done").otherwise("open").alias("status"))
     return rollup.overview(b.landings(spark, d), videos)
