@@ -100,16 +100,22 @@ def _poisson(mean: Column, *key: Column) -> Column:
     return F.when(mean <= 30, small).otherwise(F.greatest(F.lit(0.0), F.round(mean + F.sqrt(mean) * normal(*key))))
 
 
-def bootstrap(bins: DataFrame, draws: int = 400, seed: int = 42, by: tuple[str, ...] = ("crop",), **how) -> DataFrame:
+def bootstrap(bins: DataFrame, draws: int = 400, seed: int = 42, by: tuple[str, ...] = ("crop",), rebin: int | None = None, **how) -> DataFrame:
     """Fits of `draws` Poisson resamples: by, b, F0, Fmax, k.
 
-    A flower drawn Poisson(1) times makes a bin's successes Poisson(successes) and its failures Poisson(failures), so the
-    resample is one of bins, not of flowers; bin edges and mean doses stay those of the data.
+    A flower drawn Poisson(1) times makes a bin's successes Poisson(successes) and its failures Poisson(failures), so a
+    resample of flowers is one of bins, however many flowers there are. With `rebin`, `bins` are fine ones (two hundred,
+    say), and each resample is cut anew into so many bins of equal weight, as a resample of the flowers would be.
     """
     all_ = bins.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     key = [*[F.col(c) for c in by], F.col("bin"), F.col("b"), F.lit(seed)]
     hits = all_.withColumn("h", _poisson(F.col("hits"), *key, F.lit(1))).withColumn("m", _poisson(F.col("n") - F.col("hits"), *key, F.lit(2)))
-    again = hits.withColumn("n", F.col("h") + F.col("m")).where("n > 0").withColumn("rate", F.col("h") / F.col("n"))
+    again = hits.withColumn("n", F.col("h") + F.col("m")).where("n > 0")
+    if rebin:
+        one = Window.partitionBy(*by, "b")
+        upto = F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        again = again.withColumn("into", F.ceil(upto / F.sum("n").over(one) * rebin)).groupBy(*by, "b", "into").agg((F.sum(F.col("mean_v") * F.col("n")) / F.sum("n")).alias("mean_v"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    again = again.withColumn("rate", F.col("h") / F.col("n"))
     return fitted(again.select(*by, "b", "mean_v", "rate", "n"), (*by, "b"), **how).select(*by, "b", "F0", "Fmax", "k")
 
 

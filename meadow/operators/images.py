@@ -40,25 +40,26 @@ def laplacian_variance(g: np.ndarray) -> float:
     return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
 
 
-def _shrunk(g: np.ndarray, n: int = 32) -> np.ndarray:
-    """n by n means of areas."""
-    rows, cols = (np.linspace(0, s, n + 1) for s in g.shape)
-    total = np.pad(g.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+def _resized(size: int, n: int) -> np.ndarray:
+    """(n, size) weights of a Lanczos window of three lobes, stretched to the reduction when it shrinks."""
+    scale = size / n
+    wide = max(scale, 1.0)
+    center = (np.arange(n) + 0.5) * scale
+    x = (np.arange(size)[None] + 0.5 - center[:, None]) / wide
+    low, high = np.floor(np.maximum(center - 3 * wide + 0.5, 0)), np.floor(np.minimum(center + 3 * wide + 0.5, size))
+    inside = (np.arange(size)[None] >= low[:, None]) & (np.arange(size)[None] < high[:, None])
+    w = np.where(inside & (np.abs(x) < 3), np.sinc(x) * np.sinc(x / 3), 0.0)
+    return w / w.sum(1, keepdims=True)
 
-    def at(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-        y0, x0 = np.minimum(y.astype(int), g.shape[0]), np.minimum(x.astype(int), g.shape[1])
-        y1, x1 = np.minimum(y0 + 1, g.shape[0]), np.minimum(x0 + 1, g.shape[1])
-        fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-        top = total[y0][:, x0] * (1 - fx) + total[y0][:, x1] * fx
-        low = total[y1][:, x0] * (1 - fx) + total[y1][:, x1] * fx
-        return top * (1 - fy) + low * fy
 
-    s = at(rows, cols)
-    return (s[1:, 1:] - s[:-1, 1:] - s[1:, :-1] + s[:-1, :-1]) / (np.diff(rows)[:, None] * np.diff(cols)[None, :])
+def _shrunk(g: np.ndarray, n: int = 32) -> np.ndarray:
+    """n by n bytes: columns first, then rows, each rounded to whole values from 0 to 255."""
+    byte = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    return byte(_resized(g.shape[0], n) @ byte(byte(g) @ _resized(g.shape[1], n).T))
 
 
 def perceptual_hash(g: np.ndarray) -> int:
-    """64 bits: the low 8 by 8 of a 32 by 32 cosine transform, each over the median or not; the top bit is the sign."""
+    """64 bits: the low 8 by 8 of the cosine transform of the image at 32 by 32 (Lanczos), each over the median or not."""
     k = np.arange(32)
     dct = 2 * np.cos(np.pi * np.outer(k, 2 * k + 1) / 64)
     low = (dct @ _shrunk(g) @ dct.T)[:8, :8].ravel()

@@ -147,7 +147,7 @@ def m3_m4_fit_report(spark, d):
     fit = curve.fitted(bins)
     f = F.broadcast(fit.drop("loss"))
     p = rows.join(f, "crop").withColumn("p", curve.response(F.col("V"), F.col("F0"), F.col("Fmax"), F.col("k")))
-    ci = curve.intervals(curve.bootstrap(bins))
+    ci = curve.intervals(curve.bootstrap(dose.binned(rows, bins=200), rebin=DOSE.bins))
     return curve.fit_report(fit, ci, dose.fit_scores(p.select("crop", "y", "p")))
 
 

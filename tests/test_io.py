@@ -6,8 +6,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from meadow.operators import dose, images
+from meadow.operators import curation, curve, dose, images
+from meadow.operators import detections as det
 from meadow.sources import readers, sinks
 
 
@@ -116,9 +118,96 @@ def test_images(spark, tmp_path):
     assert got["noise.png"] == 5 and "blank.png" in got
 
 
+def plain_hash(g):
+    """Resize, transform and bits by loops over single values."""
+    import math
+
+    def window(x):
+        return 1.0 if x == 0 else 3 * math.sin(math.pi * x) * math.sin(math.pi * x / 3) / (math.pi * x) ** 2 if abs(x) < 3 else 0.0
+
+    def line(v, n):
+        out = []
+        for i in range(n):
+            scale = len(v) / n
+            wide, c = max(scale, 1), (i + 0.5) * scale
+            at = range(max(0, int(c - 3 * wide + 0.5)), min(len(v), int(c + 3 * wide + 0.5)))
+            w = [window((k + 0.5 - c) / wide) for k in at]
+            out.append(min(255, max(0, math.floor(sum(a * v[k] for a, k in zip(w, at)) / sum(w) + 0.5))))
+        return out
+
+    rows = [line(r, 32) for r in g]
+    small = list(zip(*[line(c, 32) for c in zip(*rows)]))
+    low = [sum(small[y][x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = (sorted(low)[31] + sorted(low)[32]) / 2
+    return int("".join("1" if z > middle else "0" for z in low), 2)
+
+
+@pytest.mark.parametrize("shape", [(32, 32), (60, 47), (200, 90), (20, 24)])
+def test_perceptual_hash(shape):
+    rng = np.random.default_rng(shape[0])
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    g = np.clip(128 + 90 * np.sin(x / 9.0) * np.cos(y / 13.0) + rng.normal(0, 12, shape), 0, 255).round()
+    assert images.perceptual_hash(g) % (1 << 64) == plain_hash(g.tolist())
+    assert bin((images.perceptual_hash(g) ^ images.perceptual_hash(np.clip(g + 3, 0, 255))) % (1 << 64)).count("1") <= 4
+
+
+def test_predicted_crops(spark):
+    rows = [("a", 2, 2, 1, bytes([9, 9, 9, 9])), ("b", 0, 0, 1, b""), ("c", None, None, None, None)] + [(f"d{k}", 1, 1, 3, bytes([200, 200, 200])) for k in range(150)]
+    crops = spark.createDataFrame(rows, "path string, height int, width int, n_channels int, data binary").withColumn("label", F.lit("mine"))
+    got = {r.path: r.label for r in det.predicted(crops, lambda c: [f"{p.shape[2]}:{int(p.mean())}" for p in c], empty="none").collect()}
+    assert got["a"] == "1:9" and got["b"] == got["c"] == "none" and {got[f"d{k}"] for k in range(150)} == {"3:200"}
+
+
 def test_gates_with_nulls(spark):
     rows = [("a", "bee", 3.0, 0.01, None, 1.0, 1.0), ("b", "bee", 3.0, None, None, 1.0, 1.0), ("c", "bee", 1.0, 0.01, None, 1.0, 1.0)]
     table = spark.createDataFrame(rows, dose.VISITS)
     marked = dose.qualifying(table)
     assert dose.applied_gates(table) == ["dwell_seconds", "velocity"] and marked.columns == [*table.columns, "qualifies"]
     assert {r.flower_id: r.qualifies for r in marked.collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_renaming_passes_over_taken_names(spark):
+    names = ["a.jpg", "a.jpg", "A.jpg", "a_1.jpg", "a_3.jpg", "a_3.jpg", "b", "b", "b_2"]
+    rows = spark.createDataFrame([(i, "train", n) for i, n in enumerate(names)], "id int, split string, name string")
+    got = [r.new_name for r in curation.renamed(rows, "split", "name", "id").orderBy("id").collect()]
+    assert got == ["a.jpg", "a_2.jpg", "A_4.jpg", "a_1.jpg", "a_3.jpg", "a_3_1.jpg", "b", "b_1", "b_2"]
+
+
+def test_bootstrap_covers_the_truth(spark):
+    """Intervals of resampled flowers hold the curve that made the labels, with new bins and without."""
+    rng = np.random.default_rng(3)
+    v = rng.uniform(0, 40, 6000)
+    y = (rng.random(6000) < 0.2 + 0.5 * (1 - np.exp(-0.15 * v))).astype(int)
+    rows = spark.createDataFrame([("c", float(a), int(b)) for a, b in zip(v, y)], "crop string, V double, y int")
+    new = curve.intervals(curve.bootstrap(dose.binned(rows, bins=200), draws=200, rebin=20)).first()
+    old = curve.intervals(curve.bootstrap(dose.binned(rows), draws=200)).first()
+    for x in (new, old):
+        assert x.F0_lo <= 0.2 <= x.F0_hi and x.Fmax_lo <= 0.7 <= x.Fmax_hi and x.k_lo <= 0.15 <= x.k_hi
+        assert 0.01 < x.Fmax_hi - x.Fmax_lo < 0.1
+
+
+def test_pools_and_label_modes(spark):
+    a, b = spark.createDataFrame([(1, "x")], "id int, u string"), spark.createDataFrame([(2,)], "id int")
+    assert sorted((r.split, r.id, r.u) for r in curation.pool({"p": a, "q": b}).collect()) == [("p", 1, "x"), ("q", 2, None)]
+    with pytest.raises(ValueError):
+        curation.pool({})
+    with pytest.raises(ValueError):
+        curation.labels(a, "nope")
+
+
+@pytest.mark.parametrize("kind", ["orchards", "years"])
+def test_mixed_model_finds_the_slope(spark, kind):
+    """Known slope and group shifts, with either grouping the larger one."""
+    from meadow.operators import mixed
+
+    rng = np.random.default_rng(5)
+    many, few = rng.normal(0, 0.6, 40), rng.normal(0, 0.4, 5)
+    rows = []
+    for _ in range(8000):
+        i, j, z = rng.integers(40), rng.integers(5), rng.normal()
+        p = 1 / (1 + np.exp(-(0.3 + 0.8 * z + many[i] + few[j])))
+        g = (str(i), str(j)) if kind == "orchards" else (str(j), str(i))
+        rows.append((float(z), *g, int(rng.random() < p)))
+    got = mixed.fit_mixed(spark.createDataFrame(rows, "V double, orchard_id string, year string, y int"))
+    large = got["var"][0 if kind == "orchards" else 1]
+    assert abs(got["slope"] - 0.8) < 4 * got["slope_se"] + 0.03 and 0.15 < large < 0.8 and got["slope_se"] < 0.05
