@@ -6,13 +6,17 @@ nearest sum of half distances first. How many cells it visits follows from the t
 to exactly the wanted cosine in random directions, and the visits must reach the cell they land in at that share. Pairs
 found are verified by cosine in double precision.
 
-Equal vectors form a class and only one of them goes on; links count all of them. Cells are cut into blocks of bounded
-size, members against visitors, so a crowded cell spreads over many tasks. A block returns the number of links of each
-visitor and the forest of its links, never its pairs.
+A vector visits its own cell and those of the traversal that come after it in the numbering of the cells, so each pair is
+met from one side only and counts for both ends. Equal vectors form a class and only one of them goes on; links count all
+of them. Cells are cut into blocks of bounded size, members against visitors, so a crowded cell spreads over many tasks.
+A block returns the number of links of each vector and the forest of its links, never its pairs.
 
-Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; so do vectors of other
-lengths than the sample's most common one. Rows that repeat an id are one node. Rows with a null id are left alone
-(component null, kept). Only the named columns are read; an empty table gives an empty result.
+Only vectors of one length can link. Each length with more than `few` classes has a grid of its own; the vectors of a
+rarer length share a cell. Of length 1 there are two directions only, so the sign is the class.
+
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Rows that repeat an id are
+one node; if they hold different vectors, these are tied to one component. Rows with a null id are left alone (component
+null, kept). Only the named columns are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from meadow.functions.shared import staged
 from meadow.llm.common import read
 from meadow.operators.components import connected_components
 
-SAMPLE, PER_CELL, MEMBERS, VISITORS = 16_384, 256, 256, 512
+SAMPLE, PER_CELL, FEW, MEMBERS, VISITORS = 16_384, 1024, 4096, 1024, 2048
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) -> np.ndarray:
@@ -65,10 +69,10 @@ def traverse(d1: np.ndarray, d2: np.ndarray, count: int) -> list[tuple[int, int]
 class Grid:
     """Two codebooks, and how many cells a vector visits."""
 
-    def __init__(self, sample: np.ndarray, rows: int, cosine: float, recall: float, seed: int = 3):
+    def __init__(self, sample: np.ndarray, rows: int, cosine: float, recall: float, per_cell: int = PER_CELL, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.half = sample.shape[1] // 2
-        k = int(np.clip(np.sqrt(rows / PER_CELL), 1, 4096))
+        k = int(np.clip(np.sqrt(rows / per_cell), 1, 4096))
         k = min(k, max(1, len(sample) // 4))
         self.books = [_kmeans(sample[:, : self.half], k, rng), _kmeans(sample[:, self.half :], k, rng)]
         probe = sample[rng.choice(len(sample), min(len(sample), 2000), replace=False)]
@@ -89,8 +93,10 @@ class Grid:
         return i * len(self.books[1]) + j
 
     def visited(self, x: np.ndarray) -> list[list[int]]:
+        """Of each vector, its own cell and the later ones of its traversal."""
         d1, d2 = (_distances(h, b) for h, b in zip(self._halves(x), self.books))
-        return [[i * self.k + j for i, j in traverse(a, b, self.visits)] for a, b in zip(d1, d2)]
+        ways = ([i * self.k + j for i, j in traverse(a, b, self.visits)] for a, b in zip(d1, d2))
+        return [[own, *(c for c in way if c > own)] for own, way in zip(self.cells(x).tolist(), ways)]
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -104,7 +110,9 @@ def _block(cosine: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
             return pd.DataFrame({"id": [], "links": [], "root": []})
         m, v = members["id"].to_numpy(np.int64), visitors["id"].to_numpy(np.int64)
         close = (_unit(visitors["vec"]) @ _unit(members["vec"]).T >= cosine) & (v[:, None] != m[None, :])
-        links = close @ members["weight"].to_numpy(np.int64)
+        away = ~visitors["home"].to_numpy(bool)
+        out = close @ members["weight"].to_numpy(np.int64)
+        back = close[away].T @ visitors["weight"].to_numpy(np.int64)[away]
         i, j = np.nonzero(close)
         nodes, at = np.unique(np.concatenate([v[i], m[j]]), return_inverse=True)
         a, b, low = at[: len(i)], at[len(i) :], np.arange(len(nodes))
@@ -116,60 +124,81 @@ def _block(cosine: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
             if (then == low).all():
                 break
             low = then
-        hit = links > 0
-        return pd.DataFrame({"id": np.concatenate([v[hit], nodes]), "links": np.concatenate([links[hit], np.zeros(len(nodes), np.int64)]), "root": np.concatenate([v[hit], nodes[low]])})
+        hit, met = out > 0, back > 0
+        ids = np.concatenate([v[hit], m[met], nodes])
+        return pd.DataFrame({"id": ids, "links": np.concatenate([out[hit], back[met], np.zeros(len(nodes), np.int64)]), "root": np.concatenate([v[hit], m[met], nodes[low]])})
 
     return block
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.9995, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+FOUND = "id long, links long, root long"
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.9995, vec_id: str = "vec_id", embedding: str = "embedding", per_cell: int = PER_CELL, few: int = FEW) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of vectors."""
-    spark = vectors.sparkSession
     vec = F.transform(F.col(embedding), lambda x: x.cast("double"))
     fine = F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0), F.lit(False))
-    rows = staged(vectors.select(F.col(vec_id).cast("long").alias("id"), F.when(fine, vec).alias("vec")), "vectors")
+    one = F.when(F.size(vec) == 1, F.transform(vec, lambda x: F.signum(x))).otherwise(vec)
+    # Components that are floats stay exact as floats, at half the size.
+    as_was = "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.when(fine, one).cast(as_was).alias("vec"))
+    # Two hashes stand for a vector wherever the vector itself isn't needed.
+    key = ["h", "g"]
+    rows = staged(rows.select("id", "vec", F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("g")), "vectors")
     named = rows.where("id IS NOT NULL AND vec IS NOT NULL")
-    common = named.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
-    dims = common[0]["n"] if common else 0
-    classes = staged(named.where(F.size("vec") == dims).groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
-    sample = classes.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE).select("vec").toPandas()["vec"]
-    empty = "id long, links long, root long"
-    if len(sample) > 1 and dims > 1:
-        found = _found(classes, Grid(_unit(sample), classes.count(), cosine, recall), cosine, empty)
-    else:
-        found = spark.createDataFrame([], empty)
-    found = staged(found, "found")
+    classes = named.groupBy(*key).agg(F.min("id").alias("own"), F.count("*").alias("weight"), F.any_value("vec").alias("vec"))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), "own", "weight", "vec", *key), "classes")
+    dims = classes.groupBy(F.size("vec").alias("dims")).agg(F.count("*").alias("n"))
+    placed = [classes.join(dims.where(F.col("n") <= few), F.size("vec") == F.col("dims")).select("id", "weight", "vec", (-F.col("dims")).cast("long").alias("cell"), F.array((-F.col("dims")).cast("long")).alias("visited"))]
+    first = 0
+    for size, n in dims.where(F.col("n") > few).orderBy("dims").collect():
+        some = classes.where(F.size("vec") == size)
+        sample = some.orderBy(F.xxhash64("own", F.lit(1)), "own", "id").limit(SAMPLE).select("vec").toPandas()["vec"]
+        grid = Grid(_unit(sample), n, cosine, recall, per_cell)
+        placed.append(_coded(some, grid, first))
+        first += grid.k * grid.k
+    table = placed[0]
+    for p in placed[1:]:
+        table = table.unionByName(p)
+    found = staged(_found(staged(table, "cells"), cosine), "found")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    ids = named.where(F.size("vec") == dims).select(F.col("id").alias("own"), "vec").distinct()
-    edges = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    reps = classes.select("id", "own")
+    edges = found.where("id <> root").join(reps, "id").select(F.col("root").alias("id"), F.col("own").alias("a")).join(reps, "id").select("a", F.col("own").alias("b"))
     # Ids with several vectors tie the classes of these together.
-    split = ids.groupBy("own").agg(F.count("*").alias("n")).where("n > 1").select("own")
-    ties = ids.join(split, "own").join(classes, "vec").select(F.col("own").alias("a"), F.col("id").alias("b"))
+    ids = named.select(F.col("id").alias("node"), *key).distinct()
+    split = ids.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    ties = ids.join(split, "node").join(classes.select(*key, "own"), key).select(F.col("node").alias("a"), F.col("own").alias("b"))
     parts = connected_components(edges.unionByName(ties))
-    done = classes.join(counts, "id", "left").join(parts, classes["id"] == parts["node"], "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
-    out = rows.join(done, "vec", "left")
+    done = classes.select("id", "own", "weight", *key).join(counts, "id", "left").join(parts, F.col("own") == F.col("node"), "left").select(*key, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "own").alias("c"))
+    out = rows.select("id", *[F.when(F.col("vec").isNotNull(), F.col(c)).alias(c) for c in key]).join(done, key, "left")
     alone = F.col("id").isNull()
     component = F.when(~alone, F.coalesce("c", "id"))
     return out.select(F.col("id").alias("vec_id"), F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _found(classes: DataFrame, grid: Grid, cosine: float, schema: str) -> DataFrame:
+def _coded(classes: DataFrame, grid: Grid, first: int) -> DataFrame:
+    """Classes of one length with their cell and the cells they visit, numbered from `first` on."""
+
     @pandas_udf("struct<cell:long,visited:array<long>>")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = _unit(b)
-            yield pd.DataFrame({"cell": grid.cells(x), "visited": grid.visited(x)})
+            yield pd.DataFrame({"cell": grid.cells(x) + first, "visited": [[c + first for c in v] for v in grid.visited(x)]})
+
+    return classes.withColumn("at", coded("vec")).select("id", "weight", "vec", "at.cell", "at.visited")
+
 
-    placed = staged(classes.withColumn("at", coded("vec")).select("id", "weight", "vec", "at.cell", "at.visited"), "cells")
-    visits = placed.select(F.explode("visited").alias("cell"), "id", "vec")
+def _found(placed: DataFrame, cosine: float) -> DataFrame:
+    visits = placed.select("id", "weight", "vec", F.col("cell").alias("own"), F.explode("visited").alias("cell")).withColumn("home", F.col("own") == F.col("cell"))
     # Blocks: a cell's members in parts of MEMBERS, its visitors in parts of VISITORS, every part against every other.
     n_m = placed.groupBy("cell").agg(F.ceil(F.count("*") / MEMBERS).alias("ms"))
-    n_v = visits.groupBy("cell").agg(F.ceil(F.count("*") / VISITORS).alias("vs"))
+    n_v = placed.select(F.explode("visited").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / VISITORS).alias("vs"))
     plan = staged(n_m.join(n_v, "cell"), "plan")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     members = placed.join(plan, "cell").select("cell", F.pmod(F.xxhash64("id"), "ms").alias("m"), every("vs").alias("v"), "id", "weight", "vec")
-    visitors = visits.join(plan, "cell").select("cell", every("ms").alias("m"), F.pmod(F.xxhash64("id", F.lit(9)), "vs").alias("v"), F.col("id").alias("id"), F.col("vec").alias("vec"))
-    return members.groupBy("cell", "m", "v").cogroup(visitors.groupBy("cell", "m", "v")).applyInPandas(_block(cosine), schema)
+    own = [F.col(c).alias(c) for c in ("id", "weight", "home", "vec")]  # columns apart from those of the members
+    visitors = visits.join(plan, "cell").select("cell", every("ms").alias("m"), F.pmod(F.xxhash64("id", F.lit(9)), "vs").alias("v"), *own)
+    return members.groupBy("cell", "m", "v").cogroup(visitors.groupBy("cell", "m", "v")).applyInPandas(_block(cosine), FOUND)
 
 
 def op2_vectors(spark, sf_dir: str) -> DataFrame:
