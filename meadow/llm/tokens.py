@@ -1,12 +1,13 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary, and delta-maintained token totals.
 
 Rollups are kept as a log of signed deltas. A change is +1 (a document arrives), -1 (it goes) or a revision (the old
-count goes, the new one arrives). `commit` sums the changes of a batch by source, language and tokenizer version and
-writes them as one folder, named by the batch; a batch that is there already is left alone, so a commit can be repeated
-after a failure or sent twice. `totals` adds the deltas up; `compact` folds all batches into one.
+count goes, the new one arrives). `commit` sums the changes of a batch by source, language and tokenizer version, writes
+them to a folder of its own and then renames this to the batch's name, which one writer only can do. A batch that is
+there already is left alone, so a commit can be repeated after a failure or sent twice. `totals` adds the deltas up;
+`compact` folds all batches into the first one of another log, which keeps the names of those it holds and refuses them.
 
 Null sources and languages are groups of their own; null texts count 0 tokens. Repeated rows count each. Groups whose
-documents have all gone disappear from the totals. Only the named columns are read.
+documents have all gone disappear from the totals; an empty log has none. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ import base64
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import public_tokenizers
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from meadow.functions.shared import shared_dir
-from meadow.llm.common import read, small_batches
+from meadow.functions.shared import shared_dir, staged
+from meadow.llm.common import n_words, read, small_batches
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks.
@@ -86,30 +89,72 @@ class TokenTotals:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def committed(self, batch: str) -> bool:
-        path, fs = self._path(f"batch={batch}/_SUCCESS")
+    def _there(self, name: str) -> bool:
+        path, fs = self._path(name)
         return fs.exists(path)
 
+    @staticmethod
+    def _folder(batch: str) -> str:
+        return f"batch={quote(batch, safe='')}"
+
+    def folded(self) -> list[str]:
+        """Batches that a compaction put into this log."""
+        if not self._there("folded"):
+            return []
+        return [r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.at}/folded").collect()]
+
+    def batches(self) -> list[str]:
+        """Names of all batches that were committed, folded ones included."""
+        path, fs = self._path("")
+        found = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted({unquote(n.removeprefix("batch=")) for n in found if n.startswith("batch=")} | set(self.folded()))
+
+    def committed(self, batch: str) -> bool:
+        return self._there(self._folder(batch)) or batch in self.folded()
+
+    def _publish(self, rows: DataFrame, name: str) -> bool:
+        """rows as the folder `name`, all at once; False if another writer was first."""
+        attempt, fs = self._path(f"attempt-{uuid.uuid4().hex}")
+        rows.write.parquet(attempt.toString())
+        target, _ = self._path(name)
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        no_overwrite = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(attempt, target, no_overwrite)
+        except Py4JJavaError as e:
+            if not self._there(name):
+                raise e
+            fs.delete(attempt, True)
+            return False
+        return True
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """changes(source, lang, tokenizer, sign, n_tokens); False if the batch was there already."""
         if self.committed(batch):
             return False
         signed = F.col("sign") * F.col("n_tokens")
         sums = changes.groupBy(*KEY).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(signed).cast("long").alias("n_tokens"))
-        # A batch that broke off has no _SUCCESS file and is written anew.
-        sums.where("n_docs <> 0 OR n_tokens <> 0").write.mode("overwrite").parquet(f"{self.at}/batch={batch}")
-        return True
+        return self._publish(sums.where("n_docs <> 0 OR n_tokens <> 0"), self._folder(batch))
 
     def deltas(self) -> DataFrame:
-        return self.spark.read.schema(f"{DELTAS}, batch string").option("basePath", self.at).parquet(f"{self.at}/batch=*")
+        path, fs = self._path("")
+        if not fs.exists(path) or not any(f.getPath().getName().startswith("batch=") for f in fs.listStatus(path)):
+            return self.spark.createDataFrame([], DELTAS)
+        return self.spark.read.schema(DELTAS).parquet(f"{self.at}/batch=*")
 
     def totals(self) -> DataFrame:
         sums = self.deltas().groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self, into: "TokenTotals", batch: str) -> None:
-        """The totals so far as the first batch of another log."""
-        self.totals().write.mode("overwrite").parquet(f"{into.at}/batch={batch}")
+        """The totals so far as the first batch of another log, which is to be used once this has returned.
+
+        The names go first: a compaction that breaks off can be repeated, and no folded batch is ever taken twice.
+        """
+        names = [(b,) for b in self.batches()]
+        into._publish(self.spark.createDataFrame(names, "batch string"), "folded")
+        into._publish(self.totals(), self._folder(batch))
 
 
 def inserts(counted: DataFrame) -> DataFrame:
@@ -126,20 +171,25 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
     return deletes(before).select(*cols).unionByName(inserts(after).select(*cols))
 
 
-def counted(docs: DataFrame, version: str, ranks: str = RANKS, tokenizer: str | None = TOKENIZER) -> DataFrame:
-    """docs(doc_id, text, source, lang) as doc_id, source, lang, tokenizer, n_tokens."""
+def counted(docs: DataFrame, version: str, *more: Column, ranks: str = RANKS, tokenizer: str | None = TOKENIZER) -> DataFrame:
+    """docs(doc_id, text, source, lang) as doc_id, source, lang, tokenizer, n_tokens and `more` columns."""
     small_batches(docs.sparkSession)
     group = lambda c: F.col(c).cast("string").alias(c)
-    return docs.select("doc_id", group("source"), group("lang"), F.lit(version).alias("tokenizer"), n_tokens(F.col("text"), ranks, tokenizer).alias("n_tokens"))
+    return docs.select("doc_id", group("source"), group("lang"), F.lit(version).alias("tokenizer"), n_tokens(F.col("text"), ranks, tokenizer).alias("n_tokens"), *more)
 
 
 def op4_tokens(spark, sf_dir: str) -> DataFrame:
-    """Totals after three batches: every document arrives, the first batch is sent again, documents without a token go."""
+    """Totals after a history of batches.
+
+    Every document arrives with its words as first count, and this batch is sent twice; the tokenizer's counts replace
+    these; documents that labels mark as toxic go and, after review, come back; documents without a token go.
+    """
     log = TokenTotals(spark, f"{shared_dir(spark)}/meadow/totals-{uuid.uuid4().hex}")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    counts = counted(docs, "byte_bpe_50k")
-    log.commit("0-load", inserts(counts))
-    log.commit("0-load", inserts(counts))
-    empty = docs.where("text IS NULL OR text = ''").withColumn("tokenizer", F.lit("byte_bpe_50k")).withColumn("n_tokens", F.lit(0).cast("long"))
-    log.commit("1-empty", deletes(empty))
+    both = staged(counted(docs, "byte_bpe_50k", n_words(F.col("text")).alias("n_words")), "counts")
+    words, ids = both.withColumn("tokenizer", F.lit("words")).withColumn("n_tokens", F.col("n_words")), both.drop("n_words")
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    marked = ids.join(toxic, "doc_id", "left_semi")
+    for batch, changes in (("load", inserts(words)), ("load", inserts(words)), ("recount", revisions(words, ids)), ("review", deletes(marked)), ("reviewed", inserts(marked)), ("empty", deletes(ids.where("n_tokens = 0")))):
+        log.commit(batch, changes)
     return log.totals()
