@@ -3,6 +3,8 @@
 import re
 
 import corpus_pipeline as p
+from pyspark.sql import functions as F
+
 from meadow.functions.shared import staged
 from meadow.llm.common import WORD
 from tests.llm.test_operators import distance, exact_components
@@ -49,3 +51,35 @@ def test_stages(spark, sf):
             for r in rows:
                 fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
             assert max(fill.values()) <= 1024 and {r.doc_id for r in rows} == set(before)
+
+
+def test_stages_of_hard_rows(spark, sf):
+    """Nulls in every column, empty and long texts, repeated rows and ids, a clashing column; then no rows at all."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _size int, _removed int"
+    good = "The committee met on Tuesday and agreed on a plan for the new library, which opens in spring. "
+    rows = [
+        (1, None, None, None, None, 1, 1), (2, "", "en", "a", 0, 2, 2), (None, good * 3, "en", "a", 9, 3, 3), (None, good * 3, "en", "a", 9, 3, 3), (4, good * 3 + "\nIt was well attended, with many questions from the floor.", None, "b", 9, 4, 4),
+        (5, "word " * 60_000, "en", None, 9, 5, 5), (6, "one text of its own under an id that stands twice, about rivers", "en", "a", 9, 6, 6), (6, "another text of its own under the same id, about mountains", "en", "a", 9, 7, 7), (6, "another text of its own under the same id, about mountains", "en", "a", 9, 7, 7),
+    ]
+    docs = spark.createDataFrame(rows, columns)
+    names = [c.split()[0] for c in columns.split(", ")]
+    for name, stage in p.STAGES:
+        out = staged(stage(spark, docs, sf), name)
+        none = stage(spark, docs.limit(0), sf)
+        assert none.count() == 0
+        if name == "pack":
+            got = out.collect()
+            fill = {}
+            for r in got:
+                fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+            assert max(fill.values()) <= 1024
+            continue
+        assert out.columns == names == none.columns
+        got = out.collect()
+        if name == "lines":
+            kept = {(r.doc_id, r._size): r.text for r in got}
+            assert kept[(1, 1)] is None and kept[(2, 2)] == "" and (6, 6) in kept and (6, 7) in kept and all(r._size == r._removed for r in got)
+        if name == "near":
+            texts = [r.text for r in got]
+            assert len([t for t in texts if t and "mountains" in t]) == 1 and len([t for t in texts if t and "rivers" in t]) == 1 and sum(bool(t) and good in t for t in texts) == 1
+        docs = docs if name == "quality" else out  # the classifier judges these as it likes
