@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meadow.functions.shared import staged
 from meadow.llm import lines, mixing, neardup, packing, quality
-from meadow.llm.common import read
+from meadow.llm.common import fresh, read
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines leave their documents; n_chars follows. Documents that had a text and have none left go."""
-    out = lines.without_repeated_lines(docs, count="_removed")
-    left = out.where("_removed = 0 OR length(trim(text)) > 0")
-    chars = F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    (removed,) = fresh(docs.columns, "removed")
+    out = lines.without_repeated_lines(docs, count=removed)
+    left = out.where((F.col(removed) == 0) | (F.length(F.trim("text")) > 0))
+    chars = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", chars).select(*docs.columns)
 
 
