@@ -29,7 +29,9 @@ def fit_mixed(df: DataFrame, dose: str = "V", target: str = "y", groups: tuple[s
         return {"slope": 0.0, "intercept": 0.0, "slope_se": 0.0, "var": [0.0, 0.0], "n": 0}
     order = [0, 1] if many[0] >= many[1] else [1, 0]
     key = [F.coalesce(F.col(groups[k]).cast("string"), F.lit("")).alias(f"g{i}") for i, k in enumerate(order)]
-    rows = staged(df.select(((F.col(dose) - mean) / F.lit(sd or 1.0)).alias("z"), *key, F.col(target).cast("double").alias("y")), "mixed")
+    # Rows of one dose and one pair of groups count together.
+    rows = df.select(((F.col(dose) - mean) / F.lit(sd or 1.0)).alias("z"), *key, F.col(target).cast("double").alias("y"))
+    rows = staged(rows.groupBy("z", "g0", "g1").agg(F.count("*").alias("m"), F.sum("y").alias("y")), "mixed")
     names = [[r[0] for r in rows.select(f"g{i}").distinct().orderBy(f"g{i}").collect()] for i in range(2)]
     at = [{g: k for k, g in enumerate(x)} for x in names]
     u, v, fixed, var = np.zeros(len(names[0])), np.zeros(len(names[1])), np.zeros(2), np.ones(2)
@@ -38,8 +40,8 @@ def fit_mixed(df: DataFrame, dose: str = "V", target: str = "y", groups: tuple[s
         known = [spark.createDataFrame(list(zip(x, w.tolist())), f"g{i} string, u{i} double") for i, (x, w) in enumerate(zip(names, (u, v)))]
         eta = F.lit(float(fixed[0])) + F.col("u0") + F.col("u1") + F.col("z") * float(fixed[1])
         mu = 1 / (1 + F.exp(-eta))
-        w = F.greatest(mu * (1 - mu), F.lit(1e-6))
-        work = w * eta + F.col("y") - mu
+        w = F.col("m") * F.greatest(mu * (1 - mu), F.lit(1e-6))
+        work = w * eta + F.col("y") - F.col("m") * mu
         joined = rows.join(known[0], "g0").join(known[1], "g1")
         sums = joined.groupBy("g0", "g1").agg(F.sum(w).alias("w"), F.sum(w * F.col("z")).alias("wz"), F.sum(w * F.col("z") ** 2).alias("wzz"), F.sum(work).alias("r"), F.sum(work * F.col("z")).alias("rz")).collect()
         # Unknowns: the first grouping apart; then intercept, slope and the second grouping.

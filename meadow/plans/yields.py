@@ -190,7 +190,7 @@ def _draws(spark, d):
     return o.select(F.when(F.col("o_orderstatus") == "F", "pomegranate").otherwise("cucumber").alias("crop"), F.col("o_orderkey").alias("b"), (0.1 + (F.col("o_orderkey") % 10) / 100.0).alias("F0"), (0.6 + (F.col("o_custkey") % 20) / 100.0).alias("Fmax"), (0.1 + (F.col("o_orderkey") % 7) / 50.0).alias("k"))
 
 
-DRAWS = "WITH draws AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'pomegranate' ELSE 'cucumber' END AS crop, 0.1::DOUBLE + (o_orderkey % 10) / 100.0::DOUBLE AS F0, 0.6::DOUBLE + (o_custkey % 20) / 100.0::DOUBLE AS Fmax, 0.1::DOUBLE + (o_orderkey % 7) / 50.0::DOUBLE AS k FROM orders)\n"
+DRAWS = "WITH draws AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'pomegranate' ELSE 'cucumber' END AS crop, o_orderkey AS b, 0.1::DOUBLE + (o_orderkey % 10) / 100.0::DOUBLE AS F0, 0.6::DOUBLE + (o_custkey % 20) / 100.0::DOUBLE AS Fmax, 0.1::DOUBLE + (o_orderkey % 7) / 50.0::DOUBLE AS k FROM orders)\n"
 
 
 @query(DRAWS + "SELECT crop, dose, round(avg(f), 6) AS mean, round(quantile_cont(f, 0.025), 6) AS lo, round(quantile_cont(f, 0.975), 6) AS hi FROM (SELECT crop, dose, F0 + (Fmax - F0) * (1 - exp(-k * dose)) AS f FROM draws, (SELECT unnest([1.0, 5.0, 10.0]::DOUBLE[]) AS dose)) GROUP BY 1, 2")
@@ -208,10 +208,17 @@ def m9_yield_band_noise(spark, d):
     return rounded(curve.yield_band(_draws(spark, d), 4.0, 1000, 0.3), n=4)
 
 
-@query()
+ORCHARD = b.sql("trial") + DRAWS.replace("WITH ", ", ", 1) + """, doses AS (SELECT CASE WHEN crop = 'F' THEN 'pomegranate' ELSE 'cucumber' END AS crop, round(V, 0) AS V, count(*) AS n FROM trial GROUP BY 1, 2),
+f AS (SELECT d.crop, d.b, d.F0, d.Fmax, d.k, n, V, F0 + (Fmax - F0) * (1 - exp(-k * V)) AS f FROM doses o JOIN draws d ON d.crop = o.crop),
+one AS (SELECT crop, b, F0, Fmax, k, sum(n * f * 0.3::DOUBLE * (1 + 0.25::DOUBLE * (f - F0))) AS kg, sum(n * f) / sum(n) AS mean_f, sum(n * V) / sum(n) AS mean_v, sum(n) AS n FROM f GROUP BY 1, 2, 3, 4, 5)
+"""
+
+
+@query(ORCHARD + "SELECT crop, round(avg(kg), 3) AS mean_kg, round(quantile_cont(kg, 0.025), 3) AS lo_kg, round(quantile_cont(kg, 0.975), 3) AS hi_kg, round(avg(F0 + (Fmax - F0) * (1 - exp(-k * mean_v)) - mean_f), 4) AS jensen, max(n)::BIGINT AS n_flowers FROM one GROUP BY 1")
 def m10_orchard_yield(spark, d):
     flowers = b.trial(spark, d).select(F.when(F.col("crop") == "F", "pomegranate").otherwise("cucumber").alias("crop"), F.round("V", 0).alias("V"))
-    return rounded(curve.orchard_yield(_draws(spark, d), flowers, 0.3, 0.25), n=4)
+    out = curve.orchard_yield(_draws(spark, d), flowers, 0.3, 0.25)
+    return out.select("crop", *[F.round(c, 3).alias(c) for c in ("mean_kg", "lo_kg", "hi_kg")], F.round("jensen", 4).alias("jensen"), "n_flowers")
 
 
 @query()

@@ -63,35 +63,41 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def flower_under(rows: pd.DataFrame, known: dict[int, tuple], made: int, p: LandingParams = LANDING, q: LiveParams = LiveParams()) -> tuple[pd.Series, dict[int, tuple], int]:
     """Flower number (or none) of each insect row of one camera, in time order; the flowers known after them, and how many there ever were."""
-    under: dict[int, int] = {}
-    for t, now in rows.groupby("ts", sort=True):
+    ts, sides = rows["ts"].to_numpy(float), rows[SIDES].to_numpy(float)
+    is_flower = (rows["kind"] == "flower").to_numpy(bool)
+    under = np.zeros(len(rows), int)
+    order = np.argsort(ts, kind="stable")
+    for now in np.split(order, np.flatnonzero(np.diff(ts[order])) + 1) if len(rows) else ():
+        t = float(ts[now[0]])
         known = {k: f for k, f in known.items() if t - f[4] <= q.forgotten_s}
-        boxes = now.loc[now["kind"] == "flower", SIDES].to_numpy(float)
+        boxes = sides[now[is_flower[now]]]
         if len(boxes):
             ids = list(known)
-            owner = np.zeros(len(boxes), int)
+            owner = [0] * len(boxes)
             if ids:
                 iou = overlaps(boxes, np.array([known[k][:4] for k in ids]))
-                while iou.size and iou.max() >= q.same_iou:
-                    i, j = np.unravel_index(iou.argmax(), iou.shape)
-                    owner[i] = ids[j]
-                    iou[i], iou[:, j] = -1, -1
-            for box, k in zip(boxes, owner.tolist()):
+                i, j = np.nonzero(iou >= q.same_iou)
+                taken = set()
+                for z in np.argsort(-iou[i, j], kind="stable").tolist():
+                    if not owner[i[z]] and j[z] not in taken:
+                        owner[i[z]] = ids[j[z]]
+                        taken.add(j[z])
+            for box, k in zip(boxes, owner):
                 if k:
                     mean = p.flower_ema * np.array(known[k][:4]) + (1 - p.flower_ema) * box
                     known[k] = (*mean.tolist(), t, known[k][5] + 1)
                 else:
                     made += 1
                     known[made] = (*box.tolist(), t, 1)
-        ids = sorted(k for k, f in known.items() if t - f[4] <= q.shown_s and f[5] >= q.least_hits)
-        insects = now[now["kind"] == "insect"]
-        if ids and len(insects):
+        insects = now[~is_flower[now]]
+        ids = sorted(k for k, f in known.items() if t - f[4] <= q.shown_s and f[5] >= q.least_hits) if len(insects) else []
+        if ids:
             f = np.array([known[k][:4] for k in ids])
             pad = (f[:, 2:] - f[:, :2]) * p.touch_pad
-            c = (insects[["x1", "y1"]].to_numpy(float) + insects[["x2", "y2"]].to_numpy(float)) / 2
+            c = (sides[insects, :2] + sides[insects, 2:]) / 2
             inside = ((c[:, None] >= f[None, :, :2] - pad) & (c[:, None] <= f[None, :, 2:] + pad)).all(2)
-            under |= {at: ids[hit.argmax()] for at, hit in zip(insects.index, inside) if hit.any()}
-    return rows.index.to_series().map(under), known, made
+            under[insects] = np.where(inside.any(1), np.array(ids)[inside.argmax(1)], 0)
+    return pd.Series(under, rows.index).replace(0, np.nan), known, made
 
 
 @dataclass
