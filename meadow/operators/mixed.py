@@ -22,55 +22,88 @@ def _solve(d: np.ndarray, b: np.ndarray, c: np.ndarray, r0: np.ndarray, r1: np.n
     return (r0 - b @ x1) / d, x1, small, float((1 / d).sum() + np.einsum("ij,jk,ik->", over, small, over))
 
 
-def fit_mixed(df: DataFrame, dose: str = "V", target: str = "y", groups: tuple[str, str] = ("orchard_id", "year"), steps: int = 12) -> dict:
-    """slope (log-odds per standard deviation), intercept, standard errors, and the variances of the groups, in their order."""
-    mean, sd, n, *many = df.agg(F.avg(dose), F.stddev_pop(dose), F.count("*"), *[F.count_distinct(F.coalesce(F.col(g).cast("string"), F.lit(""))) for g in groups]).first()
-    if not n:
-        return {"slope": 0.0, "intercept": 0.0, "slope_se": 0.0, "var": [0.0, 0.0], "n": 0}
-    order = [0, 1] if many[0] >= many[1] else [1, 0]
-    key = [F.coalesce(F.col(groups[k]).cast("string"), F.lit("")).alias(f"g{i}") for i, k in enumerate(order)]
-    # Rows of one dose and one pair of groups count together.
-    rows = df.select(((F.col(dose) - mean) / F.lit(sd or 1.0)).alias("z"), *key, F.col(target).cast("double").alias("y"))
-    rows = staged(rows.groupBy("z", "g0", "g1").agg(F.count("*").alias("m"), F.sum("y").alias("y")), "mixed")
-    names = [[r[0] for r in rows.select(f"g{i}").distinct().orderBy(f"g{i}").collect()] for i in range(2)]
-    at = [{g: k for k, g in enumerate(x)} for x in names]
-    u, v, fixed, var = np.zeros(len(names[0])), np.zeros(len(names[1])), np.zeros(2), np.ones(2)
-    spark = df.sparkSession
-    for _ in range(steps):
-        known = [spark.createDataFrame(list(zip(x, w.tolist())), f"g{i} string, u{i} double") for i, (x, w) in enumerate(zip(names, (u, v)))]
-        eta = F.lit(float(fixed[0])) + F.col("u0") + F.col("u1") + F.col("z") * float(fixed[1])
-        mu = 1 / (1 + F.exp(-eta))
-        w = F.col("m") * F.greatest(mu * (1 - mu), F.lit(1e-6))
-        work = w * eta + F.col("y") - F.col("m") * mu
-        joined = rows.join(known[0], "g0").join(known[1], "g1")
-        sums = joined.groupBy("g0", "g1").agg(F.sum(w).alias("w"), F.sum(w * F.col("z")).alias("wz"), F.sum(w * F.col("z") ** 2).alias("wzz"), F.sum(work).alias("r"), F.sum(work * F.col("z")).alias("rz")).collect()
+class _Model:
+    """The intercepts and variances of one crop, and a step of theirs from the sums by pairs of groups."""
+
+    def __init__(self, mean: float, sd: float | None, n: int, many: list[int]):
+        self.mean, self.sd, self.n = mean, sd or 1.0, n
+        self.order = [0, 1] if many[0] >= many[1] else [1, 0]  # the larger grouping first
+        self.fixed, self.var, self.cov, self.done = np.zeros(2), np.ones(2), np.zeros((2, 2)), False
+
+    def begin(self, names: list[list[str]]) -> None:
+        self.names = [names[k] for k in self.order]
+        self.at = [{g: k for k, g in enumerate(x)} for x in self.names]
+        self.u, self.v = np.zeros(len(self.names[0])), np.zeros(len(self.names[1]))
+
+    def intercepts(self, which: int) -> list[tuple[str, float]]:
+        k = self.order.index(which)
+        return list(zip(self.names[k], (self.u, self.v)[k].tolist()))
+
+    def step(self, sums: list) -> None:
         # Unknowns: the first grouping apart; then intercept, slope and the second grouping.
-        d, side, r0 = np.full(len(u), 1 / max(var[0], 1e-6)), np.zeros((len(u), 2 + len(v))), np.zeros(len(u))
+        u, v = self.u, self.v
+        d, side, r0 = np.full(len(u), 1 / max(self.var[0], 1e-6)), np.zeros((len(u), 2 + len(v))), np.zeros(len(u))
         small, r1 = np.zeros((2 + len(v), 2 + len(v))), np.zeros(2 + len(v))
-        small[range(2, 2 + len(v)), range(2, 2 + len(v))] = 1 / max(var[1], 1e-6)
+        small[range(2, 2 + len(v)), range(2, 2 + len(v))] = 1 / max(self.var[1], 1e-6)
         for s in sums:
-            i, j = at[0][s["g0"]], 2 + at[1][s["g1"]]
+            i, j = self.at[0][s[f"g{self.order[0]}"]], 2 + self.at[1][s[f"g{self.order[1]}"]]
             here = np.array([s["w"], s["wz"], s["w"]])
             d[i] += s["w"]
             side[i, [0, 1, j]] += here
             r0[i] += s["r"]
             small[np.ix_([0, 1, j], [0, 1, j])] += np.array([here, [s["wz"], s["wzz"], s["wz"]], here])
             r1[[0, 1, j]] += [s["r"], s["rz"], s["r"]]
-        new, rest, cov, trace = _solve(d, side, small, r0, r1)
-        moved = max(np.abs(new - u).max(), np.abs(rest[2:] - v).max(), np.abs(rest[:2] - fixed).max())
-        u, v, fixed = new, rest[2:], rest[:2]
-        var = np.array([(u @ u + trace) / len(u), (v @ v + np.trace(cov[2:, 2:])) / len(v)])
-        if moved < 1e-6:
+        new, rest, self.cov, trace = _solve(d, side, small, r0, r1)
+        moved = max(np.abs(new - u).max(), np.abs(rest[2:] - v).max(), np.abs(rest[:2] - self.fixed).max())
+        self.u, self.v, self.fixed = new, rest[2:], rest[:2]
+        self.var = np.array([(new @ new + trace) / len(u), (self.v @ self.v + np.trace(self.cov[2:, 2:])) / len(v)])
+        self.done = moved < 1e-6
+
+    def report(self) -> dict:
+        shown = self.var if self.order == [0, 1] else self.var[::-1]
+        return {"slope": float(self.fixed[1]), "intercept": float(self.fixed[0]), "slope_se": float(np.sqrt(self.cov[1, 1])), "var": shown.tolist(), "n": self.n}
+
+
+def fit_by(df: DataFrame, by: str, dose: str = "V", target: str = "y", groups: tuple[str, str] = ("orchard_id", "year"), steps: int = 12) -> dict:
+    """A fit for each value of `by` (few): slope (log-odds per standard deviation), intercept, standard error, and the
+    variances of the groups, in their order. All of them take a step in one pass over the rows."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = df.select(F.col(by).alias("c"), F.col(dose).cast("double").alias("dose"), *[text(g).alias(f"g{i}") for i, g in enumerate(groups)], F.col(target).cast("double").alias("y"))
+    # Rows of one dose and one pair of groups count together.
+    rows = staged(rows.groupBy("c", "dose", "g0", "g1").agg(F.count("*").alias("m"), F.sum("y").alias("y")), "mixed")
+    m, d = F.col("m"), F.col("dose")
+    mean = F.sum(m * d) / F.sum("m")
+    facts = rows.groupBy("c").agg(mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(m * d * d) / F.sum("m") - mean * mean)).alias("sd"), F.sum("m").alias("n"), F.collect_set("g0").alias("g0"), F.collect_set("g1").alias("g1")).collect()
+    models = {r["c"]: _Model(r["mean"], r["sd"], r["n"], [len(r["g0"]), len(r["g1"])]) for r in facts}
+    for r in facts:
+        models[r["c"]].begin([sorted(r["g0"]), sorted(r["g1"])])
+    spark, kind = df.sparkSession, dict(rows.dtypes)["c"]
+    for _ in range(steps):
+        left = {c: x for c, x in models.items() if not x.done}
+        if not left:
             break
-    shown = var if order == [0, 1] else var[::-1]
-    return {"slope": float(fixed[1]), "intercept": float(fixed[0]), "slope_se": float(np.sqrt(cov[1, 1])), "var": shown.tolist(), "n": n}
+        known = [spark.createDataFrame([(c, g, u) for c, x in left.items() for g, u in x.intercepts(i)], f"c {kind}, g{i} string, u{i} double") for i in range(2)]
+        whole = spark.createDataFrame([(c, x.mean, x.sd, *x.fixed.tolist()) for c, x in left.items()], f"c {kind}, mean double, sd double, base double, slope double")
+        z = (d - F.col("mean")) / F.col("sd")
+        eta = F.col("base") + F.col("u0") + F.col("u1") + z * F.col("slope")
+        mu = 1 / (1 + F.exp(-eta))
+        w = m * F.greatest(mu * (1 - mu), F.lit(1e-6))
+        work = w * eta + F.col("y") - m * mu
+        joined = rows.join(F.broadcast(whole), "c").join(known[0], ["c", "g0"]).join(known[1], ["c", "g1"])
+        sums = joined.groupBy("c", "g0", "g1").agg(F.sum(w).alias("w"), F.sum(w * z).alias("wz"), F.sum(w * z * z).alias("wzz"), F.sum(work).alias("r"), F.sum(work * z).alias("rz")).collect()
+        for c, x in left.items():
+            x.step([s for s in sums if s["c"] == c])
+    return {c: x.report() for c, x in models.items()}
+
+
+def fit_mixed(df: DataFrame, **how) -> dict:
+    """The fit of all rows together."""
+    fits = fit_by(df.withColumn("_all", F.lit("all")), "_all", **how)
+    return fits.get("all", {"slope": 0.0, "intercept": 0.0, "slope_se": 0.0, "var": [0.0, 0.0], "n": 0})
 
 
 def mixed_report(df: DataFrame, by: str = "crop", **how) -> DataFrame:
-    """One row per crop. Crops are few; each is a run of its own."""
-    crops = [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
-    rows = []
-    for c in crops:
-        f = fit_mixed(df.where(F.col(by) == c), **how)
-        rows.append((c, f["slope"], f["intercept"], f["slope_se"], f["var"][0], f["var"][1], f["n"]))
+    """One row per crop."""
+    fits = fit_by(df.where(F.col(by).isNotNull()), by, **how)
+    rows = [(c, f["slope"], f["intercept"], f["slope_se"], *f["var"], f["n"]) for c, f in sorted(fits.items())]
     return df.sparkSession.createDataFrame(rows, f"{by} string, slope double, intercept double, slope_se double, var_0 double, var_1 double, n long")
