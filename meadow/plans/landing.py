@@ -332,9 +332,9 @@ def a8_overview(spark, d):
     return rollup.overview(b.landings(spark, d), videos)
 
 
-@query(b.sql(*LANDED) + "SELECT flower_id, (count(*) FILTER (insect_type IN ('honeybee', 'bee', 'butterfly', 'fly')))::BIGINT AS pollinators, (count(*) FILTER (insect_type NOT IN ('honeybee', 'bee', 'butterfly', 'fly')))::BIGINT AS others, count(*)::BIGINT AS total FROM landings WHERE video = 3 GROUP BY ROLLUP (flower_id)")
+@query(b.sql(*LANDED) + "SELECT flower_id, (count(*) FILTER (insect_type IN ('honeybee', 'bee', 'butterfly', 'fly')))::BIGINT AS pollinators, (count(*) FILTER (insect_type NOT IN ('honeybee', 'bee', 'butterfly', 'fly')))::BIGINT AS others, count(*)::BIGINT AS total FROM landings WHERE video = 0 GROUP BY ROLLUP (flower_id)")
 def a9_p26_visits_by_flower(spark, d):
-    return rollup.visits_by_flower(b.landings(spark, d), video=3)
+    return rollup.visits_by_flower(b.landings(spark, d), video=0)
 
 
 @query(b.sql(*LANDED) + "SELECT ts::DATE AS day, count(*)::BIGINT AS visits FROM landings GROUP BY 1")
