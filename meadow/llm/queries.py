@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meadow.llm import chat, lines, mixing, neardup, packing, pii, quality, search, tokens, vectors
+from meadow.llm import chat, lines, mixing, neardup, packing, pii, quality, search, substrings, tokens, vectors
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_chat": chat.op9_chat,
     "op10_pii": pii.op10_pii,
+    "op11_substrings": substrings.op11_substrings,
 }
 ORACLE = {
     "op1_neardup": neardup.OP1_SQL,
@@ -22,4 +23,5 @@ ORACLE = {
     "op3_lines": lines.OP3_SQL,
     "op5_search": search.OP5_SQL,
     "op9_chat": chat.OP9_SQL,
+    "op11_substrings": substrings.OP11_SQL,
 }
