@@ -329,9 +329,11 @@ def _firsts(rows: DataFrame, *more: str) -> DataFrame:
 def repeated_windows(nodes: DataFrame, window: int = WINDOW, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """doc, h, start, mask: bit j of mask says that the window from word start + j on stands earlier too. nodes: doc, h, text."""
     segments = staged(_segments(nodes, window), "segments")
-    twice = segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # A table of its own, so that the join with it is one whose hot keys Spark can split.
+    twice = staged(segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
     met = staged(segments.join(twice.hint("merge"), "anchor"), "met")
-    drop_staged(segments)
+    for table in (segments, twice):
+        drop_staged(table)
     classes = staged(_firsts(met, "wins"), "classes")
     crowded = classes.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
     wanted = classes.join(crowded, "anchor", "left").select("anchor", "seg", "wins", "first.*", F.coalesce("hot", F.lit(False)).alias("hot"))
