@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meadow.llm import chat, lines, mixing, neardup, packing, pii, quality, search, substrings, tokens, vectors
+from meadow.llm import chat, lines, mixing, neardup, packing, pii, quality, search, spelling, substrings, tokens, vectors
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_pii": pii.op10_pii,
     "op11_substrings": substrings.op11_substrings,
+    "op12_spelling": spelling.op12_spelling,
 }
 ORACLE = {
     "op1_neardup": neardup.OP1_SQL,
@@ -24,4 +25,5 @@ ORACLE = {
     "op5_search": search.OP5_SQL,
     "op9_chat": chat.OP9_SQL,
     "op11_substrings": substrings.OP11_SQL,
+    "op12_spelling": spelling.OP12_SQL,
 }
