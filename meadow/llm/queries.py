@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meadow.llm import chat, lines, mixing, neardup, packing, pii, quality, search, spelling, substrings, tokens, vectors
+from meadow.llm import chat, lines, mixing, neardup, negatives, packing, pii, quality, search, spelling, substrings, tokens, vectors
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_substrings": substrings.op11_substrings,
     "op12_spelling": spelling.op12_spelling,
+    "op13_negatives": negatives.op13_negatives,
 }
 ORACLE = {
     "op1_neardup": neardup.OP1_SQL,
@@ -26,4 +27,5 @@ ORACLE = {
     "op9_chat": chat.OP9_SQL,
     "op11_substrings": substrings.OP11_SQL,
     "op12_spelling": spelling.OP12_SQL,
+    "op13_negatives": negatives.OP13_SQL,
 }
