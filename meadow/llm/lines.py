@@ -17,13 +17,13 @@ Candidates are verified by a banded, bit-parallel edit distance: the state is on
 of one line match the other's within 0, 1, .. `edits` edits, on the 2 * edits + 1 diagonals of the band; each character
 moves all of them at once.
 
-A line stays if it is the first of its class (by doc_id, then place in the text) and no class with an earlier first line
-is within `edits` edits of it. The others leave their documents. A text without removed lines is unchanged; one without
-any line left is empty.
+A line stays if it is the first of its class (by doc_id, then a hash of the text, then place in the text) and no class
+with an earlier first line is within `edits` edits of it. The others leave their documents. A text without removed lines
+is unchanged; one without any line left is empty.
 
-Null texts stay null and empty ones empty. Rows that repeat a doc_id are one document: they share the decisions on the
-same line at the same place. A null doc_id comes before all others. Columns of other names are kept as they are, helper
-columns get names of their own; an empty table gives an empty result.
+Null texts stay null and empty ones empty. Each different text of a doc_id, or of the rows without one, is a document of
+its own; rows that repeat both are one document and share its decisions. A null doc_id comes before all others. Columns of
+other names are kept as they are, helper columns get names of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,13 +157,18 @@ def _close(a: str, b: str, edits: int) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc (null: the least number), pos, line: the lines that take part."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc")
-    return docs.select(doc, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
+    """doc (null: the least number), own (hash of the text), pos, line: the lines that take part."""
+    node = _node()
+    return docs.select(node[0].alias("doc"), node[1].alias("own"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
 
 
-#: Where a line stands as one number that sorts by document, then place.
-PLACE = "CAST(doc AS DECIMAL(20, 0)) * 2147483648 + pos"
+def _node() -> list[Column]:
+    """What makes a row's document."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")]
+
+
+#: Where a line stands as one number that sorts by document, 31 bits of its text's hash, then place.
+PLACE = "CAST(doc AS DECIMAL(20, 0)) * 4611686018427387904 + ((own & 2147483647) * 2147483648 + pos)"
 
 
 def _shadowed(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
@@ -233,19 +238,19 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, room: int = ROOM) -> DataFrame:
-    """doc, gone: the places of the lines that leave each document."""
+    """doc, own, gone: the places of the lines that leave each document."""
     classes = line_classes(docs, edits, min_chars, room)
-    lines = _lines(docs, min_chars).select("doc", "pos", F.expr(PLACE).alias("place"), *_hashes())
+    lines = _lines(docs, min_chars).select("doc", "own", "pos", F.expr(PLACE).alias("place"), *_hashes())
     gone = lines.join(classes, ["h", "g"]).where(F.col("shadowed") | (F.col("first") != F.col("place")))
-    return gone.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    return gone.groupBy("doc", "own").agg(F.collect_set("pos").alias("gone"))
 
 
 def without_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, count: str | None = None, room: int = ROOM) -> DataFrame:
     """docs with repeated lines taken out of text; `count` names a column for how many, if wanted."""
-    doc, places = fresh([*docs.columns, *([count] if count else [])], "doc", "gone")
-    gone = removed_lines(docs, edits, min_chars, room).withColumnRenamed("doc", doc).withColumnRenamed("gone", places)
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
-    joined = docs.join(gone, key == gone[doc], "left")
+    doc, own, places = fresh([*docs.columns, *([count] if count else [])], "doc", "own", "gone")
+    gone = removed_lines(docs, edits, min_chars, room).withColumnsRenamed({"doc": doc, "own": own, "gone": places})
+    node = _node()
+    joined = docs.join(gone, (node[0] == gone[doc]) & (node[1] == gone[own]), "left")
     stays = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(places), i))
     text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     out = joined.withColumn("text", text)
