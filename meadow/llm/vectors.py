@@ -11,8 +11,8 @@ met from one side only and counts for both ends. Equal vectors form a class and
 of them. Cells are cut into blocks of bounded size, members against visitors, so a crowded cell spreads over many tasks.
 A block returns the number of links of each vector and the forest of its links, never its pairs.
 
-Only vectors of one length can link. Each length with more than `few` classes has a grid of its own; the vectors of a
-rarer length share a cell. Of length 1 there are two directions only, so the sign is the class.
+Only vectors of one length can link. Each length has a grid of its own, of LEAST codewords for each half or more; the
+vectors of a length with no more than `few` (too few to fit them) share a cell. Of length 1 there are two directions only, so the sign is the class.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Rows that repeat an id are
 one node; if they hold different vectors, these are tied to one component. Rows with a null id are left alone (component
@@ -34,7 +34,9 @@ from meadow.functions.shared import staged
 from meadow.llm.common import read
 from meadow.operators.components import connected_components
 
-SAMPLE, PER_CELL, FEW, MEMBERS, VISITORS = 16_384, 1024, 4096, 1024, 2048
+SAMPLE, PER_CELL, MEMBERS, VISITORS = 16_384, 1024, 1024, 2048
+#: Codewords of a half at least, and vectors of a length that are too few for as many.
+LEAST, FEW = 4, 64
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) -> np.ndarray:
@@ -72,7 +74,7 @@ class Grid:
     def __init__(self, sample: np.ndarray, rows: int, cosine: float, recall: float, per_cell: int = PER_CELL, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.half = sample.shape[1] // 2
-        k = int(np.clip(np.sqrt(rows / per_cell), 1, 4096))
+        k = int(np.clip(np.sqrt(rows / per_cell), LEAST, 4096))
         k = min(k, max(1, len(sample) // 4))
         self.books = [_kmeans(sample[:, : self.half], k, rng), _kmeans(sample[:, self.half :], k, rng)]
         probe = sample[rng.choice(len(sample), min(len(sample), 2000), replace=False)]
@@ -101,6 +103,8 @@ class Grid:
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.array([np.asarray(v, float) for v in vectors])
+    # By a power of two, which changes no digit; else squares may overflow or vanish.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
