@@ -137,24 +137,29 @@ class TokenTotals:
         sums = changes.groupBy(*KEY).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(signed).cast("long").alias("n_tokens"))
         return self._publish(sums.where("n_docs <> 0 OR n_tokens <> 0"), self._folder(batch))
 
-    def deltas(self) -> DataFrame:
+    def deltas(self, only: list[str] | None = None) -> DataFrame:
+        """Changes of all batches that have a folder, or of those named in `only`."""
         path, fs = self._path("")
-        if not fs.exists(path) or not any(f.getPath().getName().startswith("batch=") for f in fs.listStatus(path)):
+        there = {f.getPath().getName() for f in fs.listStatus(path)} if fs.exists(path) else set()
+        names = sorted(n for n in there if n.startswith("batch=") and (only is None or unquote(n.removeprefix("batch=")) in only))
+        if not names:
             return self.spark.createDataFrame([], DELTAS)
-        return self.spark.read.schema(DELTAS).parquet(f"{self.at}/batch=*")
+        return self.spark.read.schema(DELTAS).parquet(*[f"{self.at}/{n}" for n in names])
 
-    def totals(self) -> DataFrame:
-        sums = self.deltas().groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    def totals(self, only: list[str] | None = None) -> DataFrame:
+        sums = self.deltas(only).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self, into: "TokenTotals", batch: str) -> None:
         """The totals so far as the first batch of another log, which is to be used once this has returned.
 
-        The names go first: a compaction that breaks off can be repeated, and no folded batch is ever taken twice.
+        The names go first, once and for all, and the totals are those of exactly the batches named there. So a compaction
+        that breaks off can be repeated, two can run at once, and a batch that arrives meanwhile isn't folded: the new log
+        doesn't know it and takes it when it is committed there.
         """
         names = [(b,) for b in self.batches()]
         into._publish(self.spark.createDataFrame(names, "batch string"), "folded")
-        into._publish(self.totals(), self._folder(batch))
+        into._publish(self.totals(into.folded()), self._folder(batch))
 
 
 def inserts(counted: DataFrame) -> DataFrame:
