@@ -83,8 +83,8 @@ def _matches(kind: str, text: Column) -> Column:
     return F.when(look, found)
 
 
-#: Matches whose offsets are summed in one go.
-STRIDE = 256
+#: Matches whose offsets are summed in one go; texts with more of a kind are looked up by blocks of so many characters.
+STRIDE, BLOCK = 256, 512
 
 
 def _starts(kind: str, text: Column, m: Column) -> Column:
@@ -110,14 +110,23 @@ def _starts(kind: str, text: Column, m: Column) -> Column:
     return F.when(F.size(m) > STRIDE, several).when(F.size(m) > 0, few)
 
 
-def _scored(kind: str, text: Column, m: Column, starts: Column, threshold: float) -> Column:
+def _before(text: Column, blocks: Column, start: Column, chars: int = 40) -> Column:
+    """The characters before a place. A substring is found by walking to it, in a text with many matches only from the
+    beginning of its block."""
+    size, at = F.least(start, F.lit(chars)).cast("int"), F.greatest(start - chars, F.lit(0))
+    block, off = F.floor(at / BLOCK).cast("int"), F.pmod(at, F.lit(BLOCK))
+    near = F.concat(F.get(blocks, block), F.coalesce(F.get(blocks, block + 1), F.lit("")))
+    return F.when(blocks.isNull(), F.substr(text, (at + 1).cast("int"), size)).otherwise(F.substr(near, (off + 1).cast("int"), size))
+
+
+def _scored(kind: str, text: Column, m: Column, starts: Column, blocks: Column, threshold: float) -> Column:
     """Array of (start, rank, kind, end, score) of the matches that are confirmed."""
     none = F.array().cast("array<struct<start:long,rank:int,kind:string,end:long,score:double>>")
     rank = list(PATTERNS).index(kind)
     pairs = F.filter(F.zip_with(m, starts, lambda x, s: F.struct(x.alias("m"), s.alias("s"))), lambda x: _confirmed(kind, x["m"]))
 
     def score(x: Column) -> Column:
-        before = F.lower(F.substr(text, F.greatest(x["s"] - 39, F.lit(1)).cast("int"), F.least(x["s"], F.lit(40)).cast("int")))
+        before = F.lower(_before(text, blocks, x["s"]))
         sure = F.least(F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), RAISE).otherwise(0.0), F.lit(1.0))
         return F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), sure.alias("score"))
 
@@ -135,8 +144,11 @@ def find_spans(docs: DataFrame, text: str = "text", threshold: float = 0.5, into
     s = dict(zip(PATTERNS, fresh([*docs.columns, into], *[f"s_{k}" for k in PATTERNS])))
     found = docs.withColumns({m[k]: _matches(k, whole) for k in PATTERNS})
     placed = found.withColumns({s[k]: _starts(k, whole, F.col(m[k])) for k in PATTERNS})
-    kinds = [_scored(k, whole, F.col(m[k]), F.col(s[k]), threshold) for k in PATTERNS]
-    return placed.withColumn(into, F.array_sort(F.concat(*kinds))).drop(*m.values(), *s.values())
+    blocks, = fresh([*placed.columns, into], "blocks")
+    many = F.greatest(*[F.coalesce(F.size(m[k]), F.lit(0)) for k in PATTERNS]) > STRIDE
+    placed = placed.withColumn(blocks, F.when(many, F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    kinds = [_scored(k, whole, F.col(m[k]), F.col(s[k]), F.col(blocks), threshold) for k in PATTERNS]
+    return placed.withColumn(into, F.array_sort(F.concat(*kinds))).drop(*m.values(), *s.values(), blocks)
 
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
