@@ -1,33 +1,24 @@
 """Trackers whose next step depends on their last one.
 
-Rows of one video are brought together by a hash of it and streamed in frame order; what is held is the tracker's own
-state, the flowers now in view. Each is checked in the tests against a plain loop.
+What can be said without the order comes first, as joins. The rest of a video is brought together by a hash of it and
+streamed in order; what is held is the tracker's own state. Each is checked against SQL and against a plain loop.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meadow.functions import geometry as g
+from meadow.functions.shared import staged
+from meadow.operators.nearest import nearest_within
 from meadow.params import LANDING, LandingParams
 
 
-def _area(b: tuple) -> float:
-    return max(1.0, (b[2] - b[0]) * (b[3] - b[1]))
-
-
-def _mid(b: tuple) -> tuple[float, float]:
-    return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
-
-
-def _apart(a: tuple, b: tuple) -> float:
-    return ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5
-
-
 def assigned(tracks: DataFrame, dets: DataFrame, least: float = 0.3) -> DataFrame:
     """One-to-one matches of tracks (video, fi, flower_id, box) and dets (video, fi, det, box): best IoU first.
 
@@ -44,33 +35,41 @@ def assigned(tracks: DataFrame, dets: DataFrame, least: float = 0.3) -> DataFram
     return frames.select("video", "fi", F.explode(kept).alias("m")).select("video", "fi", "m.flower_id", "m.det", "m.iou")
 
 
-class Canonical:
-    """Flowers of one video: a detection near a known flower is that flower again."""
+class InView:
+    """The flowers of one video that are in view, as arrays: a number, a box and the last frame of each."""
 
     def __init__(self, p: LandingParams):
-        self.p, self.known, self.n = p, {}, 0
-
-    def frame(self, fi: int, boxes: list[tuple]) -> list[tuple]:
-        used: set[int] = set()
-        for b in boxes:
-            reach, best = self.p.merge_k * _area(b) ** 0.5, None
-            for k, (box, _) in self.known.items():
-                if k not in used and (d := _apart(_mid(b), _mid(box))) <= reach:
-                    reach, best = d, k
-            if best is None:
-                self.n += 1
-                best, mean = self.n, b
-            else:
-                keep = self.p.flower_ema
-                mean = tuple(keep * o + (1 - keep) * x for o, x in zip(self.known[best][0], b))
-            self.known[best] = (mean, fi)
-            used.add(best)
-        self.known = {k: v for k, v in self.known.items() if fi - v[1] <= self.p.hold_s * max(1.0, self.p.fps)}
-        return [(k, *box) for k, (box, _) in self.known.items()]
-
-
-class Unknown:
-    """Landings without a flower under them: the nearest flower in reach, or the first made-up one in reach, or a new one.
+        self.p, self.made = p, 0
+        self.number, self.box, self.last = np.empty(0, np.int64), np.empty((0, 4)), np.empty(0, np.int64)
+
+    def seen(self, frame: int, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and boxes in view after a frame with these boxes (n x 4).
+
+        All distances are taken at once. The pairs in reach, in the order of the boxes and then of their distance (ties:
+        the newer flower), are gone through once, and a pair holds if both sides are still free.
+        """
+        middle, centers = (boxes[:, :2] + boxes[:, 2:]) / 2, (self.box[:, :2] + self.box[:, 2:]) / 2
+        size = boxes[:, 2:] - boxes[:, :2]
+        reach = self.p.merge_k * np.sqrt(np.maximum(1.0, size[:, 0] * size[:, 1]))
+        far = np.sqrt(((middle[:, None] - centers[None]) ** 2).sum(2))
+        b, f = np.nonzero(far <= reach[:, None])
+        to, free = np.full(len(boxes), -1), np.ones(len(self.number), bool)
+        for k in np.lexsort((-self.number[f], far[b, f], b)):
+            if to[b[k]] < 0 and free[f[k]]:
+                to[b[k]], free[f[k]] = f[k], False
+        again = to >= 0
+        self.box[to[again]] = self.p.flower_ema * self.box[to[again]] + (1 - self.p.flower_ema) * boxes[again]
+        self.last[to[again]] = frame
+        new = np.arange(self.made + 1, self.made + 1 + int((~again).sum()))
+        self.made += len(new)
+        self.number, self.box, self.last = np.append(self.number, new), np.concatenate([self.box, boxes[~again]]), np.append(self.last, np.full(len(new), frame))
+        stays = frame - self.last <= self.p.hold_s * max(1.0, self.p.fps)
+        self.number, self.box, self.last = self.number[stays], self.box[stays], self.last[stays]
+        return self.number, self.box
+
+
+class MadeUp:
+    """Places of one video where something landed and no flower is: the first one in reach, or a new one.
 
     Places are kept by cells of a grid, so a landing looks at what lies around it and not at all there ever was.
     """
@@ -79,30 +78,18 @@ class Unknown:
 
     def __init__(self, p: LandingParams):
         self.p, self.n = p, 0
-        self.flowers: dict[tuple, list] = {}
-        self.made: dict[tuple, list] = {}
-
-    def _cell(self, c: tuple) -> tuple[int, int]:
-        return int(c[0] // self.CELL), int(c[1] // self.CELL)
-
-    def _around(self, places: dict[tuple, list], c: tuple, reach: float) -> list[tuple]:
-        """(rank, distance, name) of the places in reach."""
-        (x, y), r = self._cell(c), int(reach // self.CELL) + 1
-        near = (z for i in range(x - r, x + r + 1) for j in range(y - r, y + r + 1) for z in places.get((i, j), ()))
-        return [(rank, far, name) for rank, name, at in near if (far := _apart(c, at)) <= reach]
+        self.cells: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
 
-    def flower(self, name: str, c: tuple) -> None:
-        self.flowers.setdefault(self._cell(c), []).append((0, name, c))
-
-    def attribute(self, c: tuple, area: float) -> str:
+    def number(self, x: float, y: float, area: float) -> int:
         reach = self.p.unknown_k * area**0.5
-        if near := self._around(self.flowers, c, reach):
-            return min(near, key=lambda z: (z[1], z[2]))[2]
-        if near := self._around(self.made, c, reach):
-            return min(near)[2]
-        self.n += 1
-        self.made.setdefault(self._cell(c), []).append((self.n, f"flower_unk_{self.n}", c))
-        return f"flower_unk_{self.n}"
+        i, j, r = int(x // self.CELL), int(y // self.CELL), int(reach // self.CELL) + 1
+        around = (z for a in range(i - r, i + r + 1) for b in range(j - r, j + r + 1) for z in self.cells.get((a, b), ()))
+        first = min((n for n, u, v in around if ((x - u) ** 2 + (y - v) ** 2) ** 0.5 <= reach), default=None)
+        if first is None:
+            self.n += 1
+            first = self.n
+            self.cells.setdefault((i, j), []).append((first, x, y))
+        return first
 
 
 def _streamed(rows: DataFrame, order: list[str], fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -110,52 +97,63 @@ def _streamed(rows: DataFrame, order: list[str], fold: Callable[[Iterator[pd.Dat
     return rows.repartition(n, "video").sortWithinPartitions("video", *order).mapInPandas(fold, schema)
 
 
+def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by video and frame, one frame after another, wherever the batches end."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        change = (b["video"] != b["video"].shift()) | (b["fi"] != b["fi"].shift())
+        for _, part in b.groupby(change.cumsum(), sort=False):
+            if held and (held[-1]["video"].iloc[0], held[-1]["fi"].iloc[0]) != (part["video"].iloc[0], part["fi"].iloc[0]):
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)
+
+
 def canonical_flowers(boxes: DataFrame, p: LandingParams = LANDING) -> DataFrame:
-    """boxes(video, fi, ordinal, x1..y2) to the flowers in view on each of these frames, with steady ids and boxes."""
+    """boxes(video, fi, ordinal, x1..y2) to the flowers in view on each of these frames, with steady ids and boxes.
+
+    A box takes the nearest flower in view that is in reach and not yet taken on this frame, or is a new one; flowers move by
+    an exponential mean and vanish when they weren't seen for hold_s.
+    """
     kind = boxes.schema["video"].dataType.simpleString()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, state, frame, held = None, Canonical(p), None, []
-        names = ["video", "fi", "flower_id", *g.SIDES]
-
-        def close() -> list[tuple]:
-            return [(video, frame, f"flower_{k}", *box) for k, *box in state.frame(frame, held)] if held else []
-
-        for b in batches:
-            out: list[tuple] = []
-            for r in b.itertuples(index=False):
-                if r.video != video or r.fi != frame:
-                    out += close()
-                    held = []
-                    if r.video != video:
-                        state = Canonical(p)
-                    video, frame = r.video, r.fi
-                held.append((r.x1, r.y1, r.x2, r.y2))
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(close(), columns=names)
+        video, state = None, InView(p)
+        for frame in _frames(batches):
+            if frame["video"].iloc[0] != video:
+                video, state = frame["video"].iloc[0], InView(p)
+            fi = int(frame["fi"].iloc[0])
+            number, box = state.seen(fi, frame[list(g.SIDES)].to_numpy(float))
+            yield pd.DataFrame({"video": video, "fi": fi, "flower_id": [f"flower_{n}" for n in number], **dict(zip(g.SIDES, box.T))})
 
     cols = boxes.select("video", F.col("fi").cast("long").alias("fi"), "ordinal", *g.SIDES)
     return _streamed(cols, ["fi", "ordinal"], fold, f"video {kind}, fi long, flower_id string, x1 double, y1 double, x2 double, y2 double")
 
 
 def attributed(landed: DataFrame, flowers: DataFrame, p: LandingParams = LANDING) -> DataFrame:
-    """landed(video, seq, cx, cy, area) with the flower of each landing that no box holds. flowers(video, flower_id, ordinal, cx, cy)."""
+    """landed(video, seq, cx, cy, area) with the flower of each landing that no box holds. flowers(video, flower_id, ordinal, cx, cy).
+
+    The nearest flower in reach comes from a join by growing rings of cells. Only landings without one are put in order and
+    get a made-up flower: the first in reach, or a new one where they are.
+    """
     kind = landed.schema["video"].dataType.simpleString()
-    none = F.lit(None)
-    a = flowers.select("video", none.cast("long").alias("seq"), "ordinal", "flower_id", "cx", "cy", none.cast("double").alias("area"))
-    b = landed.select("video", F.col("seq").cast("long").alias("seq"), none.cast("int").alias("ordinal"), none.cast("string").alias("flower_id"), "cx", "cy", "area")
+    points = landed.select("video", F.col("seq").cast("long").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"), "area", (p.unknown_k * F.sqrt("area")).alias("reach"))
+    places = flowers.select("video", F.col("flower_id").alias("name"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    near = staged(nearest_within(points, places).select("video", F.col("id").alias("seq"), "near", "x", "y", "area"), "attributed")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, state = None, Unknown(p)
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if r.video != video:
-                    video, state = r.video, Unknown(p)
-                if r.flower_id is not None:
-                    state.flower(r.flower_id, (r.cx, r.cy))
-                else:
-                    out.append((video, int(r.seq), state.attribute((r.cx, r.cy), r.area)))
-            yield pd.DataFrame(out, columns=["video", "seq", "flower_id"])
-
-    return _streamed(a.unionByName(b), ["seq", "ordinal"], fold, f"video {kind}, seq long, flower_id string")
+        video, state = None, MadeUp(p)
+        for b in batches:
+            names = []
+            for v, x, y, area in zip(b["video"], b["x"], b["y"], b["area"]):
+                if v != video:
+                    video, state = v, MadeUp(p)
+                names.append(f"flower_unk_{state.number(x, y, area)}")
+            yield pd.DataFrame({"video": b["video"], "seq": b["seq"], "flower_id": names})
+
+    made = _streamed(near.where("near IS NULL").drop("near"), ["seq"], fold, f"video {kind}, seq long, flower_id string")
+    return near.where("near IS NOT NULL").select("video", "seq", F.col("near").alias("flower_id")).unionByName(made)

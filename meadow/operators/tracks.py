@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil, log10
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meadow.functions import geometry as g
+from meadow.functions.shared import staged
 from meadow.operators.components import connected_components
 from meadow.operators.detections import best_boxes
 from meadow.params import LANDING, LandingParams
@@ -32,43 +35,81 @@ def concurrent_edges(dets: DataFrame, p: LandingParams = LANDING, least_frames:
     return pairs.where((F.col("frames") >= least_frames) & (F.col("iou") >= p.concurrent_iou))
 
 
-def relink_edges(ends: DataFrame, groups: DataFrame | None = None, p: LandingParams = LANDING) -> DataFrame:
-    """video, later, earlier, gap: each track with the earlier one it most likely continues.
+def relink_pairs(ends: DataFrame, p: LandingParams = LANDING) -> DataFrame:
+    """video, later, earlier, gap, l_f0, e_f0: each track with every earlier one that it may continue.
 
-    The earlier track ended at most relink_s before, near by for the larger of the two sizes; the smallest gap wins, then
-    the one that began first. Tracks of one group (video, track_id, grp) don't link. Candidates meet by video and a
+    The earlier track ended at most relink_s before, near by for the larger of the two sizes. Candidates meet by video and a
     bucket of frames as long as the longest gap, so the interval join is an equi-join on two buckets.
     """
     longest = int(p.relink_s * p.fps)
-    if groups is not None:
-        ends = ends.join(groups.select("video", "track_id", "grp"), ["video", "track_id"], "left").withColumn("grp", F.coalesce("grp", "track_id"))
-    else:
-        ends = ends.withColumn("grp", F.col("track_id"))
     bucket = lambda c: F.floor(F.col(c) / max(longest, 1))
-    late = ends.select("video", F.col("track_id").alias("later"), F.col("f0").alias("l_f0"), F.col("x0").alias("lx"), F.col("y0").alias("ly"), F.col("area1").alias("la"), F.col("grp").alias("lg"), F.explode(F.array(bucket("f0"), bucket("f0") - 1)).alias("bucket"))
-    early = ends.select("video", F.col("track_id").alias("earlier"), F.col("f0").alias("e_f0"), F.col("f1").alias("e_f1"), F.col("x1").alias("ex"), F.col("y1").alias("ey"), F.col("area1").alias("ea"), F.col("grp").alias("eg"), bucket("f1").alias("bucket"))
+    late = ends.select("video", F.col("track_id").alias("later"), F.col("f0").alias("l_f0"), F.col("x0").alias("lx"), F.col("y0").alias("ly"), F.col("area1").alias("la"), F.explode(F.array(bucket("f0"), bucket("f0") - 1)).alias("bucket"))
+    early = ends.select("video", F.col("track_id").alias("earlier"), F.col("f0").alias("e_f0"), F.col("f1").alias("e_f1"), F.col("x1").alias("ex"), F.col("y1").alias("ey"), F.col("area1").alias("ea"), bucket("f1").alias("bucket"))
     gap = F.col("l_f0") - F.col("e_f1")
     near = g.distance(F.col("lx"), F.col("ly"), F.col("ex"), F.col("ey")) <= p.relink_k * F.sqrt(F.greatest("ea", "la"))
-    pairs = late.join(early, ["video", "bucket"]).where((F.col("lg") != F.col("eg")) & (F.col("later") != F.col("earlier")) & gap.between(0, longest) & near)
-    best = F.min_by(F.struct("earlier", gap.alias("gap")), F.struct(gap, "e_f0", "earlier"))
-    return pairs.groupBy("video", "later").agg(best.alias("b")).select("video", "later", "b.earlier", "b.gap")
+    pairs = late.join(early, ["video", "bucket"]).where((F.col("later") != F.col("earlier")) & gap.between(0, longest) & near)
+    return pairs.select("video", "later", "earlier", gap.alias("gap"), "l_f0", "e_f0")
+
+
+#: Of several earlier tracks: the smallest gap, then the one that began first.
+BEST = ("gap", "e_f0", "earlier")
+
+
+def relink_edges(ends: DataFrame, p: LandingParams = LANDING) -> DataFrame:
+    """video, later, earlier, gap: each track with the earlier one it most likely continues."""
+    best = F.min(F.struct(*BEST))
+    return relink_pairs(ends, p).groupBy("video", "later").agg(best.alias("b")).select("video", "later", "b.earlier", "b.gap")
+
+
+def _named(video: Column | str, n: Column | str) -> Column:
+    """A node of the components: a track or group of a video."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.struct(col(video).cast("string").alias("v"), col(n).cast("long").alias("t"))
+
+
+def _regrouped(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """groups(video, track_id, grp) after edges(video, a, b) between groups; a group has its smallest track's name."""
+    parts = connected_components(edges.select(_named("video", "a").alias("a"), _named("video", "b").alias("b")))
+    parts = parts.select(F.col("node").alias("n"), F.col("component.t").alias("into"))
+    out = groups.withColumn("n", _named("video", "grp")).join(parts, "n", "left")
+    return staged(out.select("video", "track_id", F.coalesce("into", "grp").alias("grp")), "groups")
+
+
+def continued(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """groups(video, track_id, grp) after each track, in the order of its first frame (then its id), has joined the group of the
+    best of its pairs(video, later, earlier, gap, l_f0, e_f0) that is not of its own group by then.
+
+    What a track finds depends on those before it only through its own group. So in each round all those tracks decide whose
+    group no earlier undecided track could touch, by belonging to it or by a pair that leads into it. The first undecided track
+    of a video is always one of them; a track that is alone in its group almost always is. Pairs inside a group are void.
+    """
+    order = F.struct("l_f0", "later")
+    pending = staged(pairs, "pairs")
+    while True:
+        of = lambda track, name: groups.select("video", F.col("track_id").alias(track), F.col("grp").alias(name))
+        live = pending.join(of("later", "lg"), ["video", "later"]).join(of("earlier", "eg"), ["video", "earlier"]).where("lg <> eg")
+        live = staged(live.select("video", "later", "earlier", "gap", "l_f0", "e_f0", "lg", "eg"), "pending")
+        if live.isEmpty():
+            return groups
+        touching = live.select("video", F.col("lg").alias("grp"), order.alias("o")).unionByName(live.select("video", F.col("eg").alias("grp"), order.alias("o")))
+        first = touching.groupBy("video", "grp").agg(F.min("o").alias("first"))
+        ready = staged(live.join(first.withColumnRenamed("grp", "lg"), ["video", "lg"]).where(F.col("first") == order).drop("first"), "ready")
+        best = ready.groupBy("video", "later").agg(F.min(F.struct(*BEST, "lg", "eg")).alias("b"))
+        groups = _regrouped(groups, best.select("video", F.col("b.lg").alias("a"), F.col("b.eg").alias("b")))
+        pending = live.drop("lg", "eg").join(ready.select("video", "later").distinct(), ["video", "later"], "left_anti")
 
 
 def unified(dets: DataFrame, p: LandingParams = LANDING) -> DataFrame:
     """dets with track_id replaced by the smallest one of the tracks it belongs with; one box for each frame.
 
-    First tracks that run side by side are joined, then each track to the one it continues. A track whose best earlier
-    track is of its own group is not offered the next best one, so the result doesn't depend on the order of the joins.
+    First tracks that run side by side are joined; then each track, in order, to the best earlier one that isn't of its group yet.
     """
-    key = lambda c: F.struct(F.col("video").cast("string").alias("v"), F.col(c).cast("long").alias("t"))
-    side = concurrent_edges(dets, p).select(key("a").alias("a"), key("b").alias("b"))
-    groups = connected_components(side).select(F.col("node").alias("n"), F.col("component.t").alias("grp"))
-    ends = spans(dets)
-    tagged = ends.select("video", "track_id", key("track_id").alias("n")).join(groups, "n").select("video", "track_id", "grp")
-    on = relink_edges(ends, tagged, p).select(key("later").alias("a"), key("earlier").alias("b"))
-    parts = connected_components(side.unionByName(on)).select(F.col("node").alias("n"), F.col("component.t").alias("into"))
-    joined = dets.withColumn("n", key("track_id")).join(parts, "n", "left").withColumn("track_id", F.coalesce("into", "track_id")).select(*dets.columns)
-    return best_boxes(joined)
+    ends = staged(spans(dets), "spans")
+    alone = ends.select("video", F.col("track_id").cast("long").alias("track_id"), F.col("track_id").cast("long").alias("grp"))
+    groups = continued(_regrouped(alone, concurrent_edges(dets, p)), relink_pairs(ends, p))
+    joined = dets.withColumn("k", F.col("track_id").cast("long")).join(groups.select("video", F.col("track_id").alias("k"), "grp"), ["video", "k"], "left")
+    kind = dets.schema["track_id"].dataType
+    return best_boxes(joined.withColumn("track_id", F.coalesce("grp", "k").cast(kind)).select(*dets.columns))
 
 
 def interpolated(dets: DataFrame) -> DataFrame:
@@ -81,20 +122,31 @@ def interpolated(dets: DataFrame) -> DataFrame:
     return dense.select("video", "track_id", F.col("at").alias("fi"), F.when(F.col("at") == F.col("fi"), F.col("conf")).alias("conf"), *[v.alias(s) for v, s in zip(moved, g.SIDES)])
 
 
-def smoothed(rows: DataFrame, alpha: float = LANDING.insect_ema, columns: tuple[str, ...] = g.SIDES, reach: int | None = None) -> DataFrame:
-    """Exponential means alpha * before + (1 - alpha) * now along a track.
+def smoothed(rows: DataFrame, alpha: float = LANDING.insect_ema, columns: tuple[str, ...] = g.SIDES) -> DataFrame:
+    """Exponential means alpha * before + (1 - alpha) * now along a track, as a scan of affine steps.
 
-    A window of `reach` rows holds all that matters: the weight of what lies farther back is under 1e-16.
+    A track is cut into blocks of so many rows that alpha**block is under 1e-17. Inside a block the mean that starts from
+    nothing is a running sum of values scaled by alpha**-place; terms of one sign lose no digits by that. A row then adds
+    what came out of the block before, faded by its place; what came out of earlier blocks has faded to nothing. All of it
+    is windows in one order, linear in the rows for any alpha.
     """
-    if reach is None:
-        reach = next(k for k in range(1, 5000) if alpha**k < 1e-16)
-    w = Window.partitionBy("video", "track_id").orderBy("fi").rowsBetween(-reach, 0)
-
-    def mean(c: str) -> Column:
-        kept = F.collect_list(F.col(c).cast("double")).over(w)
-        return F.aggregate(F.slice(kept, F.lit(2), F.size(kept)), F.element_at(kept, 1), lambda a, x: alpha * a + (1 - alpha) * x)
-
-    return rows.select(*[c for c in rows.columns if c not in columns], *[mean(c).alias(c) for c in columns]).select(*rows.columns)
+    if not 0 <= alpha <= 1:
+        raise ValueError("alpha must be 0 to 1")
+    along = Window.partitionBy("video", "track_id").orderBy("fi")
+    others = [c for c in rows.columns if c not in columns]
+    if alpha in (0, 1):
+        mean = lambda c: F.first(F.col(c).cast("double")).over(along.rowsBetween(Window.unboundedPreceding, 0)) if alpha else F.col(c).cast("double")
+        return rows.select(*others, *[mean(c).alias(c) for c in columns]).select(*rows.columns)
+    block = ceil(-17 / log10(alpha))
+    numbered = rows.withColumn("_at", F.row_number().over(along) - 1).withColumn("_block", F.floor(F.col("_at") / block)).withColumn("_place", F.col("_at") % block)
+    inside = Window.partitionBy("video", "track_id", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.when(F.col("_at") == 0, 1.0).otherwise(1 - alpha)
+    fade = F.pow(F.lit(float(alpha)), F.col("_place"))
+    own = numbered.withColumns({f"_{c}": fade * F.sum(F.col(c).cast("double") * weight / fade).over(inside) for c in columns})
+    last = {f"_out_{c}": F.when(F.col("_place") == block - 1, F.col(f"_{c}")) for c in columns}
+    came = {c: F.coalesce(F.last(f"_out_{c}", True).over(before), F.lit(0.0)) for c in columns}
+    return own.withColumns(last).select(*others, *[(F.col(f"_{c}") + alpha * fade * came[c]).alias(c) for c in columns]).select(*rows.columns)
 
 
 def held(seen: DataFrame, frames: DataFrame, hold: int) -> DataFrame:

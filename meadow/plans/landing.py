@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from meadow.functions import geometry as g
 from meadow.operators import detections as det
 from meadow.operators import episodes, rollup, tracking, tracks
-from meadow.params import INSECT_TYPES
+from meadow.params import INSECT_TYPES, LANDING
 from meadow.plans import bindings as b
 
 R = lambda c, n=6: F.round(c, n)
@@ -178,7 +180,24 @@ def j7_relinked(spark, d):
     return tracks.relink_edges(tracks.spans(_cut(spark, d)))
 
 
-@query()
+D10 = (b.sql("detections") + CUT).replace("WITH ", "WITH RECURSIVE ", 1) + """, sizes AS (SELECT *, greatest(1, (x2 - x1) * (y2 - y1)) AS area FROM cut),
+shared AS (SELECT a.video, a.track_id AS a, c.track_id AS c, count(*) AS frames, avg(""" + IOU.replace("b.", "c.") + """) AS iou FROM sizes a JOIN sizes c ON a.video = c.video AND a.fi = c.fi AND a.track_id < c.track_id GROUP BY 1, 2, 3),
+side AS (SELECT video, a, c FROM shared WHERE frames >= 2 AND iou >= 0.45 UNION SELECT video, c, a FROM shared WHERE frames >= 2 AND iou >= 0.45),
+reach AS (SELECT video, track_id, track_id AS at_track FROM ends UNION SELECT r.video, r.track_id, s.c FROM reach r JOIN side s ON s.video = r.video AND s.a = r.at_track),
+grouped AS (SELECT video, track_id, min(at_track) AS grp FROM reach GROUP BY 1, 2),
+placed AS (SELECT e.*, g.grp, row_number() OVER (PARTITION BY e.video ORDER BY e.f0, e.track_id) AS n FROM ends e JOIN grouped g ON g.video = e.video AND g.track_id = e.track_id),
+offers AS (SELECT l.video, l.n, list({'gap': l.f0 - e.f1, 'f0': e.f0, 'id': e.track_id, 'n': e.n} ORDER BY l.f0 - e.f1, e.f0, e.track_id) AS offers
+  FROM placed l JOIN placed e ON e.video = l.video AND e.track_id <> l.track_id AND l.f0 - e.f1 BETWEEN 0 AND 100 AND sqrt((l.x0 - e.x9) * (l.x0 - e.x9) + (l.y0 - e.y9) * (l.y0 - e.y9)) <= 4 * sqrt(greatest(e.area1, l.area1)) GROUP BY 1, 2),
+walk AS (SELECT video, 0::BIGINT AS n, list(grp ORDER BY n) AS grps FROM placed GROUP BY video UNION ALL
+  SELECT video, n, CASE WHEN to_grp IS NULL THEN grps ELSE list_transform(grps, lambda g: CASE WHEN g = to_grp OR g = own THEN least(own, to_grp) ELSE g END) END FROM (
+    SELECT w.video, w.n + 1 AS n, w.grps, w.grps[w.n + 1] AS own, list_filter(list_transform(o.offers, lambda x: w.grps[x.n]), lambda g: g <> w.grps[w.n + 1])[1] AS to_grp
+    FROM walk w LEFT JOIN offers o ON o.video = w.video AND o.n = w.n + 1 WHERE w.n < len(w.grps))),
+done AS (SELECT video, arg_max(grps, n) AS grps FROM walk GROUP BY video),
+merged AS (SELECT p.video, p.track_id, d.grps[p.n] AS grp FROM placed p JOIN done d ON d.video = p.video)
+"""
+
+
+@query(D10 + "SELECT c.video, m.grp AS track_id, count(DISTINCT c.fi) AS frames, min(c.fi) AS f0, max(c.fi) AS f1 FROM cut c JOIN merged m ON m.video = c.video AND m.track_id = c.track_id GROUP BY 1, 2")
 def d10_unified(spark, d):
     """Cut tracks put together again: one row per unified track."""
     return tracks.unified(_cut(spark, d)).groupBy("video", "track_id").agg(F.count("*").alias("frames"), F.min("fi").alias("f0"), F.max("fi").alias("f1"))
@@ -226,19 +245,44 @@ def j4_assigned(spark, d):
     return tracking.assigned(a, c).withColumn("iou", R(F.col("iou")))
 
 
-@query()
+J5 = b.sql("detections").replace("WITH ", "WITH RECURSIVE ", 1) + """, boxes AS (SELECT video, fi, x1, y1, x2, y2, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, 1.6 * sqrt(greatest(1, (x2 - x1) * (y2 - y1))) AS reach,
+  row_number() OVER (PARTITION BY video ORDER BY fi, track_id) AS n, lead(fi) OVER (PARTITION BY video ORDER BY fi, track_id) IS DISTINCT FROM fi AS closes FROM detections),
+walk AS (SELECT video, 0::BIGINT AS n, NULL::BIGINT AS fi, false AS closes, 0::BIGINT AS made, []::STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, last BIGINT)[] AS known FROM boxes GROUP BY video UNION ALL
+  SELECT video, n, fi, closes, made, CASE WHEN closes THEN list_filter(known, lambda k: bfi - k.last <= 16) ELSE known END FROM (
+    SELECT video, n, fi, fi AS bfi, closes, CASE WHEN best IS NULL THEN made + 1 ELSE made END AS made,
+      CASE WHEN best IS NULL THEN list_append(known, {'id': made + 1, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'last': fi}) ELSE list_transform(known, lambda k: CASE WHEN k.id <> best THEN k ELSE
+        {'id': k.id, 'x1': 0.85::DOUBLE * k.x1 + (1 - 0.85::DOUBLE) * x1, 'y1': 0.85::DOUBLE * k.y1 + (1 - 0.85::DOUBLE) * y1, 'x2': 0.85::DOUBLE * k.x2 + (1 - 0.85::DOUBLE) * x2, 'y2': 0.85::DOUBLE * k.y2 + (1 - 0.85::DOUBLE) * y2, 'last': fi} END) END AS known FROM (
+      SELECT b.*, w.made, w.known, -(list_min(list_filter(list_transform(w.known, lambda k: {'far': sqrt((b.cx - (k.x1 + k.x2) / 2) * (b.cx - (k.x1 + k.x2) / 2) + (b.cy - (k.y1 + k.y2) / 2) * (b.cy - (k.y1 + k.y2) / 2)), 'id': -k.id, 'used': k.last = b.fi}),
+        lambda k: NOT k.used AND k.far <= b.reach)).id) AS best
+      FROM walk w JOIN boxes b ON b.video = w.video AND b.n = w.n + 1)))
+"""
+
+
+@query(J5 + "SELECT video, 'flower_' || k.id AS flower_id, count(*) AS frames, min(fi) AS f0, max(fi) AS f1, round(sum(k.x1), 3) AS sum_x1 FROM (SELECT video, fi, unnest(known) AS k FROM walk WHERE closes) GROUP BY 1, 2")
 def j5_canonical_flowers(spark, d):
     boxes = b.detections(spark, d).select("video", "fi", F.col("track_id").alias("ordinal"), *g.SIDES)
-    return tracking.canonical_flowers(boxes).groupBy("video", "flower_id").agg(F.count("*").alias("frames"), F.min("fi").alias("f0"), F.max("fi").alias("f1"))
+    seen = tracking.canonical_flowers(boxes).groupBy("video", "flower_id")
+    return seen.agg(F.count("*").alias("frames"), F.min("fi").alias("f0"), F.max("fi").alias("f1"), F.round(F.sum("x1"), 3).alias("sum_x1"))
+
+
+J6 = b.sql("detections", "flowers").replace("WITH ", "WITH RECURSIVE ", 1) + """, landed AS (SELECT video, event_id AS seq, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, 0.8 * sqrt(greatest(1, (x2 - x1) * (y2 - y1))) AS reach FROM detections),
+met AS (SELECT l.video, l.seq, f.flower_id, sqrt((l.x - (f.x1 + f.x2) / 2) * (l.x - (f.x1 + f.x2) / 2) + (l.y - (f.y1 + f.y2) / 2) * (l.y - (f.y1 + f.y2) / 2)) AS far, l.reach FROM landed l JOIN flowers f ON f.video = l.video),
+near AS (SELECT video, seq, arg_min(flower_id, {'far': far, 'id': flower_id}) AS flower_id FROM met WHERE far <= reach GROUP BY 1, 2),
+rest AS (SELECT l.*, row_number() OVER (PARTITION BY l.video ORDER BY l.seq) AS n FROM landed l ANTI JOIN near m ON m.video = l.video AND m.seq = l.seq),
+walk AS (SELECT video, 0::BIGINT AS n, NULL::BIGINT AS seq, 0::BIGINT AS took, []::STRUCT(x DOUBLE, y DOUBLE)[] AS made FROM rest GROUP BY video UNION ALL
+  SELECT video, n, seq, coalesce(hit, len(made) + 1), CASE WHEN hit IS NULL THEN list_append(made, {'x': x, 'y': y}) ELSE made END FROM (
+    SELECT r.*, w.made, list_position(list_transform(w.made, lambda m: sqrt((r.x - m.x) * (r.x - m.x) + (r.y - m.y) * (r.y - m.y)) <= r.reach), true) AS hit FROM walk w JOIN rest r ON r.video = w.video AND r.n = w.n + 1))
+"""
 
 
-@query()
+@query(J6 + "SELECT video, seq, flower_id FROM near UNION ALL SELECT video, seq, 'flower_unk_' || took FROM walk WHERE n > 0")
 def j6_attributed(spark, d):
+    """With a shorter reach than landings have, so that some find no flower."""
     rows = b.detections(spark, d)
     x, y = g.center(g.box())
     landed = rows.select("video", F.col("event_id").alias("seq"), x.alias("cx"), y.alias("cy"), g.area(g.box()).alias("area"))
     there = b.flowers(spark, d).select("video", "flower_id", "ordinal", x.alias("cx"), y.alias("cy"))
-    return tracking.attributed(landed, there)
+    return tracking.attributed(landed, there, replace(LANDING, unknown_k=0.8))
 
 
 LANDED = ("detections", "flowers", "on_flowers", "votes", "landings")
