@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meadow.functions.randoms import normal, uniform
 from meadow.params import DOSE, DoseParams
 
 #: Crop tables: F0, Fmax, the dose of 95 % saturation, seed-set coupling of the fruit mass, mass in kg.
@@ -82,18 +83,9 @@ def anchors(df: DataFrame, by: tuple[str, ...] = ("crop",), p: DoseParams = DOSE
     return df.groupBy(*by).agg(F.when(F.count_if(low) >= p.anchor_n, F.avg(F.when(low, F.col("y")))).alias("f0_anchor"))
 
 
-def _uniform(*key: Column) -> Column:
-    """Between 0 and 1, from a hash of the key: the same for the same key, however the rows lie."""
-    return (F.pmod(F.xxhash64(*key), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-
-
-def normal(*key: Column) -> Column:
-    return F.sqrt(-2 * F.ln(_uniform(*key, F.lit(1)))) * F.cos(2 * math.pi * _uniform(*key, F.lit(2)))
-
-
 def _poisson(mean: Column, *key: Column) -> Column:
     """Poisson draw: its inverse by a running sum up to 30, beyond that the rounded normal one."""
-    u = _uniform(*key)
+    u = uniform(*key)
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
     step = lambda a, i: F.when(a["c"] < u, F.struct((a["p"] * mean / i).alias("p"), (a["c"] + a["p"] * mean / i).alias("c"), i.alias("n"))).otherwise(a)
     small = F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step)["n"].cast("double")

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from meadow.functions.randoms import quantile_sql, uniform_sql
 from meadow.operators import curve, dose, mixed
 from meadow.params import DOSE
 from meadow.plans import bindings as b
@@ -203,7 +204,12 @@ def m9_m11_yield_band(spark, d):
     return rounded(curve.yield_band(_draws(spark, d), 4.0, 1000, 0.3, noise=False), n=4)
 
 
-@query()
+NOISY = "WITH " + DRAWS.removeprefix("WITH ").rstrip() + f""", drawn AS (SELECT *, {uniform_sql("crop", "b", "42")} AS u, F0 + (Fmax - F0) * (1 - exp(-k * 4.0::DOUBLE)) AS f FROM draws),
+noisy AS (SELECT crop, greatest(0, least(1000, 1000 * f + sqrt(1000 * f * (1 - f)) * ({quantile_sql("u")}))) * 0.3::DOUBLE AS kg FROM drawn)
+"""
+
+
+@query(NOISY + "SELECT crop, round(avg(kg), 4) AS mean_kg, round(quantile_cont(kg, 0.025), 4) AS lo_kg, round(quantile_cont(kg, 0.975), 4) AS hi_kg FROM noisy GROUP BY 1")
 def m9_yield_band_noise(spark, d):
     return rounded(curve.yield_band(_draws(spark, d), 4.0, 1000, 0.3), n=4)
 
@@ -221,9 +227,21 @@ def m10_orchard_yield(spark, d):
     return out.select("crop", *[F.round(c, 3).alias(c) for c in ("mean_kg", "lo_kg", "hi_kg")], F.round("jensen", 4).alias("jensen"), "n_flowers")
 
 
-@query()
+def _z(i: int) -> str:
+    return quantile_sql(f"u{i}")
+
+
+REDRAWN = b.sql("trial", "bins") + SOLVED + f""", saved AS (SELECT crop, round(F0, 3) AS F0, round(Fmax, 3) AS Fmax, round(k, 3) AS k FROM fit),
+drawn AS (SELECT *, {uniform_sql("crop", "b", "42", "1")} AS u1, {uniform_sql("crop", "b", "42", "2")} AS u2, {uniform_sql("crop", "b", "42", "3")} AS u3 FROM saved, range(1, 401) r(b)),
+again AS (SELECT crop, least(1, greatest(0, F0 + (F0 * 1.1::DOUBLE - F0 * 0.9::DOUBLE) / 3.92::DOUBLE * ({_z(1)}))) AS F0, least(1, greatest(0, Fmax + (Fmax * 1.1::DOUBLE - Fmax * 0.9::DOUBLE) / 3.92::DOUBLE * ({_z(2)}))) AS Fmax,
+  greatest({DOSE.k_min}::DOUBLE, k + (k * 1.1::DOUBLE - k * 0.9::DOUBLE) / 3.92::DOUBLE * ({_z(3)})) AS k FROM drawn)
+"""
+
+
+@query(REDRAWN + "SELECT crop, " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_{n}" for c in ("F0", "Fmax", "k") for n, q in (("lo", 0.025), ("hi", 0.975))) + " FROM again GROUP BY 1")
 def m12_draws_from_report(spark, d):
-    fit = curve.fitted(dose.binned(b.trial(spark, d)))
+    """From a curve saved with three places."""
+    fit = curve.fitted(dose.binned(b.trial(spark, d))).select("crop", *[F.round(c, 3).alias(c) for c in ("F0", "Fmax", "k")])
     rep = fit.select("crop", "F0", "Fmax", "k", *[(F.col(c) * s).alias(f"{c}_{n}") for c in ("F0", "Fmax", "k") for n, s in (("lo", 0.9), ("hi", 1.1))])
     return rounded(curve.intervals(curve.draws_from_report(rep)))
 
