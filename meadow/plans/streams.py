@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import replace
+
+from pyarrow import fs as files
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meadow.functions import geometry as g
+from meadow.functions.shared import staged
+from meadow.params import LANDING
 from meadow.plans import bindings as b
 from meadow.plans.landing import LANDED
 from meadow.sources import readers
@@ -47,41 +54,107 @@ def _landed_stream(spark, d) -> DataFrame:
     return spark.readStream.schema(live.LANDED).parquet(at)
 
 
+#: Rules under which a stream and the batch landings are the same: nothing is taken up, and no centre lies on a padded edge.
+PLAIN = replace(LANDING, relink_s=0.0, touch_pad=0.1503)
+
+
+def _still_flowers(spark, d) -> DataFrame:
+    """A camera's insects, and its flowers on every fifth frame of its time, whether or not an insect is there."""
+    rows = camera_rows(spark, d).where("kind = 'insect'")
+    spine = rows.groupBy("camera").agg(F.max("fi").alias("end")).select("camera", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end"), F.lit(5).cast("long"))).alias("fi"))
+    there = b.flowers(spark, d).select(F.col("video").cast("string").alias("camera"), *g.SIDES)
+    none = F.lit(None)
+    seen = spine.join(there, "camera").select("camera", F.timestamp_micros((F.col("fi") * 50_000).cast("long")).alias("ts"), "fi", F.lit("flower").alias("kind"), none.cast("long").alias("track_id"), none.cast("string").alias("cls"), F.lit(0.9).alias("conf"), *g.SIDES)
+    # An hour later, as a stream takes nothing at the beginning of time.
+    return rows.unionByName(seen).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+
+
+def _shaped(rows: DataFrame) -> DataFrame:
+    """With the columns of detections, missing ones null."""
+    return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in readers.DETECTIONS.split(", "))])
+
+
+def _after(rows: DataFrame, hours: int) -> DataFrame:
+    """A row of another camera, much later, so that the watermark passes all that is open."""
+    end = rows.agg((F.max("ts") + F.expr(f"INTERVAL {24 + hours} HOUR")).alias("ts"))
+    return _shaped(end.select(F.lit("end").alias("camera"), "ts", F.lit("flower").alias("kind"), *[F.lit(0.0).alias(c) for c in g.SIDES])).coalesce(1)
+
+
 def st4_k3_s18_st8_streamed(spark, d):
-    """The live landings of a stream, appended to a table, against a replay of its rows: what only one of them has."""
+    """Landings that a stream appends to a table. It is stopped in the middle of its rows and goes on from its checkpoint; rows
+    that come again, hours too late, are dropped."""
     rows_at, out, at = b.folder(spark, "detections"), b.folder(spark, "appended"), b.folder(spark, "checkpoint")
-    rows = camera_rows(spark, d)
-    rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in readers.DETECTIONS.split(", ")]).write.parquet(rows_at)
-    stored = spark.read.schema(readers.DETECTIONS).parquet(rows_at)
+    rows = staged(_shaped(_still_flowers(spark, d)), "camera")
+    half = rows.agg(F.percentile("fi", F.lit(0.5))).first()[0] or 0
+    add = lambda df: df.write.mode("append").parquet(rows_at)
     was = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, live.STATE_STORE)
+
+    def run() -> None:
+        _finished(live.append_to(live.live_landings(readers.detection_stream(spark, rows_at, 1_000_000), p=PLAIN), out, at))
+
     try:
-        query = live.append_to(live.live_landings(readers.detection_stream(spark, rows_at, 1_000_000)), out, at)
-        try:
-            query.processAllAvailable()
-            # Rows of another camera, much later: the watermark passes all that is open.
-            end = stored.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
-            for hours in (0, 1):
-                late = end.select(F.lit("end").alias("camera"), (F.col("ts") + F.expr(f"INTERVAL {hours} HOUR")).alias("ts"), F.lit("flower").alias("kind"), *[F.lit(0.0).alias(c) for c in g.SIDES])
-                late.select(*[(F.col(n) if n in late.columns else F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in readers.DETECTIONS.split(", "))]).coalesce(1).write.mode("append").parquet(rows_at)
-                query.processAllAvailable()
-        finally:
-            query.stop()
+        add(rows.where(F.col("fi") <= half))
+        run()
+        add(rows.where(F.col("fi") > half))
+        run()
+        add(_after(rows, 0))
+        run()
+        add(rows.where(F.col("fi") <= half).withColumn("x1", F.col("x1") - 5))
+        run()
+        add(_after(rows, 1))
+        run()
     finally:
         spark.conf.unset(PROVIDER) if was is None else spark.conf.set(PROVIDER, was)
-    names = ["camera", "seq", "t_enter_s", "t_exit_s", "flower_id", "insect_type", "conf_mean"]
-    streamed, again = spark.read.schema(live.LANDED).parquet(out).select(*names), live.replayed(stored.where("camera <> 'end'")).select(*names)
-    both = streamed.withColumn("s", F.lit(1)).withColumn("r", F.lit(0)).unionByName(again.withColumn("s", F.lit(0)).withColumn("r", F.lit(1)))
-    each = both.groupBy(*names).agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
-    return each.agg(F.count_if(F.col("s") > F.col("r")).alias("only_streamed"), F.count_if(F.col("r") > F.col("s")).alias("only_replayed"), (F.count_if(F.col("s") == F.col("r")) > 0).alias("some"))
+    return spark.read.schema(live.LANDED).parquet(out).where("camera <> 'end'").select("camera", "t_enter_s", "t_exit_s", "landing_s", "is_real_landing", "flower_id", "conf_mean")
+
+
+def st7_throughput_streamed(spark, d):
+    """Rows per second of event time, as a stream counts them."""
+    rows_at, out, at = b.folder(spark, "detections"), b.folder(spark, "counts"), b.folder(spark, "checkpoint")
+    rows = _shaped(camera_rows(spark, d).where("kind = 'insect'"))
+    for part in (rows, _after(rows, 0), _after(rows, 1)):
+        part.write.mode("append").parquet(rows_at)
+        counts = live.throughput(readers.detection_stream(spark, rows_at, 1_000_000))
+        _finished(counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", at).start(out))
+    last = rows.agg(F.max("ts").alias("last"))
+    return spark.read.schema("second timestamp, n long").parquet(out).join(last, F.col("second") <= F.col("last")).select("second", "n")
+
+
+class _Noted:
+    """A callback that notes the landings it gets in a file for each task."""
+
+    def __init__(self, at: str):
+        self.at = at
+
+    def open(self, partition: int, epoch: int) -> None:
+        self.rows = []
+
+    def __call__(self, row) -> None:
+        self.rows.append({"camera": row.camera, "seq": row.seq, "flower_id": row.flower_id})
+
+    def close(self, error) -> None:
+        if self.rows:
+            system, path = files.FileSystem.from_uri(self.at if "://" in self.at else f"file://{self.at}")
+            system.create_dir(path, recursive=True)
+            with system.open_output_stream(f"{path}/{uuid.uuid4().hex}.json") as f:
+                f.write("".join(json.dumps(r) + "\n" for r in self.rows).encode())
+
+
+def x1_called(spark, d):
+    """What a callback for each landing of a stream was called with."""
+    out, at = b.folder(spark, "called"), b.folder(spark, "checkpoint")
+    landed = _landed_stream(spark, d)
+    for _ in range(2):  # started again, the stream calls nothing twice
+        _finished(live.call_for_each(landed, _Noted(out), at))
+    return spark.read.schema("camera string, seq long, flower_id string").json(out).groupBy("camera", "seq", "flower_id").agg(F.count("*").alias("calls"))
 
 
 def st5_k4_daily_counts(spark, d):
     """Daily counts of a stream, kept by key in a table."""
     out = b.folder(spark, "daily")
     _finished(live.upsert_daily(live.daily_counts(_landed_stream(spark, d)), out, b.folder(spark, "checkpoint")))
-    kinds = "camera string, flower_id string, n_landings bigint, n_real_landings bigint, " + ", ".join(f"n_{t} bigint" for t in live.INSECT_TYPES) + ", day date"
-    return spark.read.schema(kinds).parquet(out)
+    return live.daily_table(spark, out).read()
 
 
 def st6_k5_recent(spark, d):
@@ -91,10 +164,21 @@ def st6_k5_recent(spark, d):
     return live.recents(spark, out).select("camera", "seq", "flower_id")
 
 
-for _f in (st1_st2_st3_j9_replayed, st4_k3_s18_st8_streamed, st5_k4_daily_counts, st6_k5_recent):
+for _f in (st1_st2_st3_j9_replayed, st4_k3_s18_st8_streamed, st5_k4_daily_counts, st6_k5_recent, st7_throughput_streamed, x1_called):
     QUERIES[_f.__name__] = _f
 
 _TYPES = ", ".join(f"(count(*) FILTER (insect_type = '{t}'))::BIGINT AS n_{t}" for t in live.INSECT_TYPES)
 ORACLE["st5_k4_daily_counts"] = b.sql(*LANDED) + f"SELECT ts::DATE AS day, video::VARCHAR AS camera, flower_id, count(*)::BIGINT AS n_landings, (count(*) FILTER (is_real_landing = 1))::BIGINT AS n_real_landings, {_TYPES} FROM landings GROUP BY 1, 2, 3"
 ORACLE["st6_k5_recent"] = b.sql(*LANDED) + "SELECT video::VARCHAR AS camera, (track_id * 10000 + episode)::BIGINT AS seq, flower_id FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, track_id DESC, episode DESC) AS k FROM landings) WHERE k <= 200"
-ORACLE["st4_k3_s18_st8_streamed"] = "SELECT 0::BIGINT AS only_streamed, 0::BIGINT AS only_replayed, true AS some"
+ORACLE["x1_called"] = b.sql(*LANDED) + "SELECT video::VARCHAR AS camera, (track_id * 10000 + episode)::BIGINT AS seq, flower_id, 1::BIGINT AS calls FROM landings"
+ORACLE["st7_throughput_streamed"] = b.sql("detections") + "SELECT make_timestamp((fi // 20 * 1000000)::BIGINT) AS second, count(*)::BIGINT AS n FROM detections GROUP BY 1"
+#: Batch landings with flowers named by the order of their boxes, on from their second frame.
+ORACLE["st4_k3_s18_st8_streamed"] = b.sql("detections", "flowers") + """, named AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY x1, y1, x2, y2) AS k FROM flowers),
+onf AS (SELECT d.video, d.track_id, d.fi, min(f.k) AS k FROM detections d JOIN named f ON f.video = d.video AND d.fi >= 5
+  AND (d.x1 + d.x2) / 2 BETWEEN f.x1 - (f.x2 - f.x1) * 0.1503::DOUBLE AND f.x2 + (f.x2 - f.x1) * 0.1503::DOUBLE AND (d.y1 + d.y2) / 2 BETWEEN f.y1 - (f.y2 - f.y1) * 0.1503::DOUBLE AND f.y2 + (f.y2 - f.y1) * 0.1503::DOUBLE GROUP BY 1, 2, 3),
+r AS (SELECT d.video, d.track_id, d.fi, d.t, d.conf, o.k FROM detections d LEFT JOIN onf o ON o.video = d.video AND o.track_id = d.track_id AND o.fi = d.fi),
+l0 AS (SELECT *, lag(k IS NOT NULL) OVER w AS was_on, lag(t) OVER w AS was_t, last_value(CASE WHEN k IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY video, track_id ORDER BY fi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_on
+  FROM r WINDOW w AS (PARTITION BY video, track_id ORDER BY fi)),
+l1 AS (SELECT *, sum(CASE WHEN k IS NOT NULL AND (last_on IS NULL OR (NOT was_on AND was_t - last_on > 0.5)) THEN 1 ELSE 0 END) OVER (PARTITION BY video, track_id ORDER BY fi ROWS UNBOUNDED PRECEDING) AS episode FROM l0)
+SELECT video::VARCHAR AS camera, round(min(t), 2) AS t_enter_s, round(max(t), 2) AS t_exit_s, round(max(t) - min(t), 2) AS landing_s, CASE WHEN round(max(t) - min(t), 2) >= 2 THEN 1 ELSE 0 END AS is_real_landing, 'flower_' || arg_max(k, fi) AS flower_id, round(avg(conf), 3) AS conf_mean
+FROM l1 WHERE k IS NOT NULL GROUP BY video, track_id, episode"""

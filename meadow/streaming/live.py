@@ -31,6 +31,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from meadow.functions.shared import staged
 from meadow.params import INSECT_TYPES, LANDING, POLLINATORS, LandingParams
+from meadow.streaming.callbacks import Ledger, Once
+from meadow.streaming.versions import Versions
 
 LANDED = "camera string, seq long, ts timestamp, t_enter_s double, t_exit_s double, landing_s double, is_real_landing int, flower_id string, insect_type string, is_pollinator boolean, flower_detected string, conf_mean double"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -329,18 +331,20 @@ def append_to(landings: DataFrame, path: str, checkpoint: str):
     return landings.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).start(path)
 
 
+DAILY = "day date, camera string, flower_id string, n_landings long, n_real_landings long, " + ", ".join(f"n_{t} long" for t in INSECT_TYPES)
+
+
+def daily_table(spark: SparkSession, path: str) -> Versions:
+    """The daily counts that upsert_daily keeps; read() gives the newest whole version."""
+    return Versions(spark, path, "day", DAILY)
+
+
 def upsert_daily(counts: DataFrame, path: str, checkpoint: str):
-    """Daily counts kept as one folder per day; a batch replaces the rows it has by key, and only the days it touches."""
+    """Daily counts in versions: a batch replaces the rows it has by key, only in the days it touches, and shows all at once."""
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        keys = ["day", "camera", "flower_id"]
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-            old = spark.read.schema(batch.schema).parquet(path).join(batch.select("day").distinct(), "day", "left_semi").join(batch.select(*keys), keys, "left_anti")
-            batch = old.unionByName(batch)
-        # What is read is overwritten, so the rows are cut off from their files first.
-        staged(batch, "upsert").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    def upsert(batch: DataFrame, n: int) -> None:
+        # The old rows are read and the batch is taken twice, so it is cut off from the stream's plan first.
+        daily_table(batch.sparkSession, path).upsert(staged(batch, "upsert"), ["day", "camera", "flower_id"], n)
 
     return counts.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).start()
 
@@ -370,6 +374,7 @@ def recents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LANDED).json(f"{path}/{newest}")
 
 
-def call_for_each(landings: DataFrame, on_landing, checkpoint: str):
-    """on_landing(row) for every landing, on the executors."""
-    return landings.writeStream.outputMode("append").foreach(on_landing).option("checkpointLocation", checkpoint).start()
+def call_for_each(landings: DataFrame, on_landing, checkpoint: str, every: int = 100):
+    """on_landing(row) once for every landing, on the executors; the ledger of calls lies beside the checkpoint."""
+    once = Once(on_landing, Ledger(f"{checkpoint.rstrip('/')}-calls"), every)
+    return landings.writeStream.outputMode("append").foreach(once).option("checkpointLocation", checkpoint).start()

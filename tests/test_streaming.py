@@ -197,12 +197,12 @@ def test_daily_counts_and_recents(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     total = spark.read.parquet(str(tmp_path / "land")).count()
-    daily = spark.read.parquet(str(tmp_path / "daily"))
+    daily = live.daily_table(spark, str(tmp_path / "daily")).read()
     assert total > 0 and daily.groupBy().sum("n_landings").first()[0] == total
     q = live.upsert_daily(live.daily_counts(stream()), str(tmp_path / "daily"), str(tmp_path / "cp1"))
     q.processAllAvailable()
     q.stop()
-    assert spark.read.parquet(str(tmp_path / "daily")).groupBy().sum("n_landings").first()[0] == total
+    assert live.daily_table(spark, str(tmp_path / "daily")).read().groupBy().sum("n_landings").first()[0] == total
     q = live.keep_recent(stream(), str(tmp_path / "recent"), str(tmp_path / "cp2"), kept=2)
     q.processAllAvailable()
     q.stop()
