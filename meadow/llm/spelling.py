@@ -12,8 +12,9 @@ are compared, character by character.
 
 The upper levels are shared by all tasks: while a node holds more than `room` words, its words and its visitors go down a
 level more, by joins. A node that is small enough is a subtrie of its own; a task builds it and searches it for a bounded
-number of visitors. Words of one vector stay together at any number and are dealt in parts then. Every pair is met once,
-where the later word (by number) lies, and a task returns the count and the best of each word's near ones, never its pairs.
+number of visitors. Words of one vector stay together at any number and are dealt in parts then. A pair is met once: a visitor spends its
+surplus first, so it finds words that have more at the first level where they differ, and of words of its own vector the
+later ones (by number). A task returns the count and the best of each word's near ones, never its pairs.
 
 A word's form is its near word of the largest count (ties: the least in code-point order) if that count is at least `times`
 the word's own; its root is where the forms end, found by doubling steps.
@@ -35,7 +36,7 @@ from meadow.llm.common import read
 #: Letters of a word, and of which an upper-case one is changed.
 LETTERS = [*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-GROUPS, ROOM, VISITORS, STEPS = 12, 4096, 32_768, 2
+GROUPS, ROOM, VISITORS, STEPS = 12, 8192, 65_536, 2
 #: A run loses a code point if this divides its hash.
 NOISE = 97
 #: Nodes of fewer words are searched at once; words that are longer are compared one by one.
@@ -73,7 +74,7 @@ def _down(visitors: DataFrame, depth: int) -> DataFrame:
     def child(by: int) -> Column:
         return F.struct((own + by).alias("count"), (F.col("surplus") + int(by > 0)).cast("int").alias("surplus"), (F.col("deficit") + int(by < 0)).cast("int").alias("deficit"))
 
-    ways = F.array(child(0), F.when(F.col("surplus") < 1, child(1)), F.when((F.col("deficit") < 1) & (own > 0), child(-1)))
+    ways = F.array(child(0), F.when(F.col("surplus") < 1, child(1)), F.when((F.col("surplus") > 0) & (F.col("deficit") < 1) & (own > 0), child(-1)))
     rows = visitors.withColumn("to", F.explode(F.filter(ways, lambda x: x.isNotNull())))
     return rows.select("id", "word", "n", "counts", F.concat_ws(",", "node", F.col("to.count").cast("string")).alias("node"), "to.surplus", "to.deficit")
 
@@ -106,7 +107,7 @@ def subtries(words: DataFrame, room: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _search(trie: np.ndarray, visit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (visitor, member) within budget; trie: members' counts in lexicographic order, row by row."""
+    """Pairs (visitor, member) within budget, surplus first; trie: members' counts in lexicographic order, row by row."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     levels = trie.shape[1]
     stack = [(0, len(trie), 0, np.arange(len(visit)), np.zeros(len(visit), np.int8), np.zeros(len(visit), np.int8))]
@@ -115,8 +116,10 @@ def _search(trie: np.ndarray, visit: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if level == levels or high - low < FEW:
             for m in range(low, high):
                 by = trie[m, level:] - visit[who, level:]
-                fits = (surplus + np.maximum(by, 0).sum(1) <= 1) & (deficit - np.minimum(by, 0).sum(1) <= 1)
-                found.append((who[fits], np.full(int(fits.sum()), m)))
+                more, less = surplus + np.maximum(by, 0).sum(1), deficit - np.minimum(by, 0).sum(1)
+                fits = np.flatnonzero((more <= 1) & (less <= 1))
+                fits = fits[((surplus - deficit)[fits, None] + np.cumsum(by[fits], 1) >= 0).all(1)]
+                found.append((who[fits], np.full(len(fits), m)))
             continue
         counts = trie[low:high, level]
         starts = np.flatnonzero(np.concatenate([[True], counts[1:] != counts[:-1]])) + low
@@ -124,7 +127,7 @@ def _search(trie: np.ndarray, visit: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), high]):
             by = int(trie[a, level]) - own
             more, less = surplus + (by == 1), deficit + (by == -1)
-            go = (np.abs(by) <= 1) & (more <= 1) & (less <= 1)
+            go = (np.abs(by) <= 1) & (more <= 1) & (less <= more)
             if go.any():
                 stack.append((a, b, level + 1, who[go], more[go], less[go]))
     if not found:
@@ -175,7 +178,7 @@ def _subtrie(pdf: pd.DataFrame) -> pd.DataFrame:
     members = members.iloc[np.lexsort(counts.T[::-1])]
     trie, visit = np.array(members["counts"].tolist(), np.int16), np.array(visitors["counts"].tolist(), np.int16)
     i, j = _search(trie, visit)
-    once = visitors["id"].to_numpy()[i] < members["id"].to_numpy()[j]
+    once = (visitors["id"].to_numpy()[i] < members["id"].to_numpy()[j]) | (visit[i] != trie[j]).any(1)
     i, j = i[once], j[once]
     if not len(i):
         return empty
