@@ -6,8 +6,10 @@ under 1.2e-9) makes a normal one. Each has its SQL beside it, in the same order
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,20 @@ def normal(*key: Column) -> Column:
     return quantile(uniform(*key))
 
 
+def uniform_of(*key) -> float:
+    """uniform() of plain values, for use inside tasks."""
+    text = "|".join("" if k is None else str(k) for k in key)
+    return (int(hashlib.md5(text.encode()).hexdigest()[: BITS // 4], 16) + 0.5) / float(1 << BITS)
+
+
+def quantiles(u: np.ndarray) -> np.ndarray:
+    """quantile() of an array."""
+    mid, far = u - 0.5, np.sqrt(-2.0 * np.log(np.minimum(u, 1.0 - u)))
+    middle = np.polyval(MIDDLE_TOP, mid * mid) * mid / np.polyval(MIDDLE_LOW, mid * mid)
+    tail = np.polyval(TAIL_TOP, far) / np.polyval(TAIL_LOW, far)
+    return np.where(u < TAIL, tail, np.where(u > 1 - TAIL, -tail, middle))
+
+
 def uniform_sql(*key: str) -> str:
     return f"((('0x' || substr(md5(concat_ws('|', {', '.join(key)})), 1, {BITS // 4}))::BIGINT + 0.5::DOUBLE) / {float(1 << BITS)!r}::DOUBLE)"
 

@@ -7,11 +7,14 @@ curve is linear, so k runs over a grid and the other two come from sums; the los
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meadow.functions.randoms import normal, uniform
+from meadow.functions.randoms import normal, quantiles, uniform, uniform_of
 from meadow.params import DOSE, DoseParams
 
 #: Crop tables: F0, Fmax, the dose of 95 % saturation, seed-set coupling of the fruit mass, mass in kg.
@@ -111,6 +114,105 @@ def bootstrap(bins: DataFrame, draws: int = 400, seed: int = 42, by: tuple[str,
     return fitted(again.select(*by, "b", "mean_v", "rate", "n"), (*by, "b"), **how).select(*by, "b", "F0", "Fmax", "k")
 
 
+#: Doses of a group that a resample tells apart: a square number.
+FLOWERS = 4096
+
+
+def flower_values(rows: DataFrame, by: tuple[str, ...] = ("crop",), most: int = FLOWERS) -> DataFrame:
+    """by, at, V, hits, n of rows(by, V, y): flowers that are alike, numbered by V.
+
+    A group with no more than `most` different doses keeps them all. In others the doses are put into that many ranges, with
+    edges from Spark's mergeable quantile sketch, so that ranks are off by 1.1 in `most` at most, and stand at their means.
+    """
+    alike = rows.groupBy(*by, "V").agg(F.sum("y").cast("double").alias("hits"), F.count("*").cast("double").alias("n"))
+    few = alike.groupBy(*by).agg(F.count("*").alias("doses")).withColumn("few", F.col("doses") <= most).select(*by, "few")
+    marked = alike.join(few, list(by))
+    exact = marked.where("few").withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("V")))
+    root = math.isqrt(most)
+    sketch = rows.join(few.where("NOT few"), list(by)).groupBy(*by).agg(F.percentile_approx("V", F.array(*[F.lit(i / most) for i in range(1, most)]), 10 * most).alias("edges"))
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(root), F.size("edges"), F.lit(root)), lambda i: F.element_at("edges", i)), lambda e: e < F.col("V")))
+    fine = F.size(F.filter(F.slice("edges", coarse * root + 1, F.lit(root)), lambda e: e < F.col("V")))
+    ranged = marked.where("NOT few").join(sketch, list(by)).withColumn("at", coarse * root + fine)
+    ranged = ranged.groupBy(*by, "at").agg((F.sum(F.col("V") * F.col("n")) / F.sum("n")).alias("V"), F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    columns = [*by, "at", "V", "hits", "n"]
+    return exact.select(*columns).unionByName(ranged.select(*columns))
+
+
+def _poissons(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson draws of uniform numbers: the inverse by a running sum up to 30, beyond that the rounded normal one."""
+    p = np.exp(-mean)
+    below, n = p.copy(), np.zeros(len(mean))
+    for i in range(1, 91):
+        more = below < u
+        p = np.where(more, p * mean / i, p)
+        below, n = np.where(more, below + p, below), np.where(more, i, n)
+    return np.where(mean <= 30, n, np.maximum(0, np.floor(mean + np.sqrt(mean) * quantiles(u) + 0.5)))
+
+
+def _cut_again(v: np.ndarray, hits: np.ndarray, n: np.ndarray, bins: int) -> tuple[np.ndarray, ...]:
+    """mean V, rate and n of the quantile bins of values v (ascending) that occur n times."""
+    there = n > 0
+    v, hits, n = v[there], hits[there], n[there]
+    upto = np.cumsum(n)
+    place = np.arange(bins + 1) / bins * (upto[-1] - 1)
+    low, high = (v[np.searchsorted(upto, f(place), "right")] for f in (np.floor, np.ceil))
+    edges = np.unique(low + (high - low) * (place - np.floor(place)))
+    into = np.maximum(1, np.searchsorted(edges, v, "left"))
+    sums = [np.bincount(into, x)[1:] for x in (n, n * v, hits)]
+    some = sums[0] > 0
+    size, total, hit = (x[some] for x in sums)
+    return total / size, hit / size, size
+
+
+def _best_curve(v: np.ndarray, rate: np.ndarray, n: np.ndarray, p: DoseParams, points: int, refine: int) -> tuple[float, float, float]:
+    """F0, Fmax, k of one set of bins, on the grids of fitted()."""
+    step, best, k = (math.log(p.k_max) - math.log(p.k_min)) / (points - 1), None, np.array(_log_grid(p.k_min, p.k_max, points))
+    for level in range(refine + 1):
+        if level:
+            k = np.clip(best[2] * np.exp(step * (2 * np.arange(points) / (points - 1) - 1)), p.k_min, p.k_max)
+            step *= 2 / (points - 1)
+        x = 1 - np.exp(-k[:, None] * v)
+        w, sx, sxx, y, xy, yy = n.sum(), (n * x).sum(1), (n * x * x).sum(1), (n * rate).sum(), (n * x * rate).sum(1), (n * rate * rate).sum()
+        with np.errstate(all="ignore"):
+            det = w * sxx - sx * sx
+            f0 = np.clip(np.where(det == 0, y / w, (y * sxx - sx * xy) / det), 0, 1)
+            fmax = np.clip(f0 + np.where(sxx == 0, 0, (xy - f0 * sx) / sxx), 0, 1)
+        c = fmax - f0
+        loss = yy - 2 * (f0 * y + c * xy) + f0 * f0 * w + 2 * f0 * c * sx + c * c * sxx
+        i = np.lexsort([k, np.floor(loss * 1e12 + 0.5)])[0]
+        best = f0[i], fmax[i], k[i]
+    return best
+
+
+def bootstrap_flowers(rows: DataFrame, draws: int = 400, seed: int = 42, by: tuple[str, ...] = ("crop",), bins: int = DOSE.bins, p: DoseParams = DOSE, points: int = 81, refine: int = 2, block: int = 10) -> DataFrame:
+    """Fits of `draws` resamples of the flowers of rows(by, V, y): by, b, F0, Fmax, k.
+
+    A flower is drawn Poisson(1) times. Flowers of one dose and outcome are alike, so their number in a resample is one Poisson
+    draw, from a hash of (by, dose, draw). Each resample has quantile edges of its own and is cut and fitted like the flowers.
+    A group is one row of bounded size here, and its draws are dealt to tasks in blocks.
+    """
+    values = flower_values(rows, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "V", "hits", "n"))).alias("values"))
+    parts = values.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(block))))
+    n = max(1, min(-(-draws // block), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                at = [x["at"] for x in r["values"]]
+                v, hits, all_ = (np.array([x[c] for x in r["values"]]) for c in ("V", "hits", "n"))
+                group = [r[c] for c in by]
+                for b in range(r["first"], min(r["first"] + block, draws + 1)):
+                    u = [np.array([uniform_of(*group, a, b, seed, side) for a in at]) for side in (1, 2)]
+                    hit, miss = _poissons(hits, u[0]), _poissons(all_ - hits, u[1])
+                    if (hit + miss).sum() > 0:
+                        out.append((*group, b, *_best_curve(*_cut_again(v, hit, hit + miss, bins), p, points, refine)))
+            yield pd.DataFrame(out, columns=[*by, "b", "F0", "Fmax", "k"])
+
+    return parts.repartition(n, *by, "first").mapInPandas(work, f"{kinds}, b int, F0 double, Fmax double, k double")
+
+
 def intervals(draws: DataFrame, by: tuple[str, ...] = ("crop",), level: float = 0.95) -> DataFrame:
     low, high = (1 - level) / 2, (1 + level) / 2
     return draws.groupBy(*by).agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in ("F0", "Fmax", "k") for n, q in (("lo", low), ("hi", high))])

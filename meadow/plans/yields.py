@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -140,16 +141,47 @@ def m2_anchors(spark, d):
     return rounded(curve.anchors(b.trial(spark, d), p=replace(DOSE, anchor_v=1.0)))
 
 
-@query()
+def poisson_sql(mean: str, u: str) -> str:
+    step = "{'p': a.p * " + mean + " / x.n, 'c': a.c + a.p * " + mean + " / x.n, 'n': x.n}"
+    small = f"list_reduce([{{'p': exp(-{mean}), 'c': exp(-{mean}), 'n': 0.0::DOUBLE}}] || list_transform(range(1, 91), lambda i: {{'p': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'n': i::DOUBLE}}), lambda a, x: CASE WHEN a.c < {u} THEN {step} ELSE a END).n"
+    return f"CASE WHEN {mean} <= 30 THEN {small} ELSE greatest(0, floor({mean} + sqrt({mean}) * ({quantile_sql(u)}) + 0.5::DOUBLE)) END"
+
+
+def bootstrap_sql(draws: int = 400, bins: int = DOSE.bins) -> str:
+    """CTEs after trial and fit: redrawn(crop, F0, Fmax, k), a row for each resample of the flowers."""
+    again = fit_sql().replace(", g0 AS", "g0 AS", 1)
+    for name in ("fit", *(f"{c}{level}" for level in range(3) for c in "gsaclo")):
+        again = re.sub(rf"\b{name}\b", f"b_{name}", again)
+    again = re.sub(r"\bbins\b", "b_bins", again)
+    return f""", alike AS (SELECT crop, V, sum(y)::DOUBLE AS hits, count(*)::DOUBLE AS n, row_number() OVER (PARTITION BY crop ORDER BY V) AS at_v FROM trial GROUP BY 1, 2),
+us AS (SELECT crop, at_v, b, V, hits, n - hits AS misses, {uniform_sql("crop", "at_v", "b", "42", "1")} AS u1, {uniform_sql("crop", "at_v", "b", "42", "2")} AS u2 FROM alike, range(1, {draws + 1}) r(b)),
+drawn AS (SELECT crop, at_v, b, V, {poisson_sql("hits", "u1")} AS h, {poisson_sql("misses", "u2")} AS m FROM us),
+there AS (SELECT crop || '|' || b AS crop, V, h, h + m AS n, sum(h + m) OVER (PARTITION BY crop, b ORDER BY V ROWS UNBOUNDED PRECEDING) AS upto FROM drawn WHERE h + m > 0),
+sizes AS (SELECT crop, max(upto) AS all_n FROM there GROUP BY 1), places AS (SELECT crop, q / {float(bins)}::DOUBLE * (all_n - 1) AS place FROM sizes, range({bins + 1}) r(q)),
+ends AS (SELECT p.crop, p.place, min(t.V) FILTER (t.upto > floor(p.place)) AS low, min(t.V) FILTER (t.upto > ceil(p.place)) AS high FROM places p JOIN there t ON t.crop = p.crop GROUP BY 1, 2),
+b_edges AS (SELECT crop, list(DISTINCT low + (high - low) * (place - floor(place))) AS edges FROM ends GROUP BY 1),
+b_bins AS (SELECT crop, sum(n * V) / sum(n) AS mean_v, sum(h) / sum(n) AS rate, sum(n) AS n FROM (SELECT t.*, greatest(1, len(list_filter(e.edges, lambda x: x < t.V))) AS bin FROM there t JOIN b_edges e ON e.crop = t.crop) GROUP BY crop, bin),
+{again}, redrawn AS (SELECT split_part(crop, '|', 1) AS crop, F0, Fmax, k FROM b_fit)
+"""
+
+
+REPORT = b.sql("trial", "bins") + SOLVED + bootstrap_sql() + """, ci AS (SELECT crop, """ + ", ".join(f"quantile_cont({c}, {q}) AS {c}_{n}" for c in ("F0", "Fmax", "k") for n, q in (("lo", 0.025), ("hi", 0.975))) + """ FROM redrawn GROUP BY 1),
+pr AS (SELECT t.crop, t.y, least(1 - 1e-9::DOUBLE, greatest(1e-9::DOUBLE, F0 + (Fmax - F0) * (1 - exp(-k * V)))) AS p FROM trial t JOIN fit f ON f.crop = t.crop),
+sc AS (SELECT crop, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS ll, avg(y) AS r, count(*)::BIGINT AS n, least(sum(y), count(*) - sum(y))::BIGINT AS events FROM pr GROUP BY 1)
+"""
+
+
+@query(REPORT + "SELECT f.crop, round(F0, 3) AS F0, round(Fmax, 3) AS Fmax, round(k, 3) AS k, round(3 / k, 2) AS v_star, " + ", ".join(f"round({c}_{n}, 3) AS {c}_{n}" for c in ("F0", "Fmax", "k") for n in ("lo", "hi")) + ", round(ll, 4) AS logloss, round(6 + 2 * ll * n, 1) AS aic, events, n FROM fit f JOIN ci ON ci.crop = f.crop JOIN sc ON sc.crop = f.crop")
 def m3_m4_fit_report(spark, d):
-    """Curve, bootstrap intervals and scores."""
+    """Curve, intervals of 400 resamples of the flowers, and scores."""
     rows = b.trial(spark, d)
     bins = dose.binned(rows)
     fit = curve.fitted(bins)
     f = F.broadcast(fit.drop("loss"))
     p = rows.join(f, "crop").withColumn("p", curve.response(F.col("V"), F.col("F0"), F.col("Fmax"), F.col("k")))
-    ci = curve.intervals(curve.bootstrap(dose.binned(rows, bins=200), rebin=DOSE.bins))
-    return curve.fit_report(fit, ci, dose.fit_scores(p.select("crop", "y", "p")))
+    out = curve.fit_report(fit, curve.intervals(curve.bootstrap_flowers(rows)), dose.fit_scores(p.select("crop", "y", "p")))
+    three = [F.round(c, 3).alias(c) for c in ("F0", "Fmax", "k", *(f"{c}_{n}" for c in ("F0", "Fmax", "k") for n in ("lo", "hi")))]
+    return out.select("crop", *three, F.round("v_star", 2).alias("v_star"), F.round("logloss", 4).alias("logloss"), F.round("aic", 1).alias("aic"), "events", "n")
 
 
 F0SQL = """, q0 AS (SELECT crop, quantile_cont(V, 0.05) AS q, count(*) FILTER (V <= 0.5) AS n FROM trial GROUP BY 1),
