@@ -144,9 +144,9 @@ def folder_split(rows: DataFrame, folder: str = "folder", seed: int = 42, names:
 
 
 def class_ids(rows: DataFrame, cls: str = "cls") -> DataFrame:
-    """rows with class_id: 0, 1, ... by name. Names are numbered alone and joined back."""
-    names = rows.select(cls).distinct().withColumn("class_id", F.dense_rank().over(Window.orderBy(cls)) - 1)
-    return rows.join(names, cls)
+    """rows with class_id: 0, 1, ... by name. Names are numbered alone, by ranges of them, and joined back."""
+    names = numbered(rows.select(cls).distinct(), cls, into="class_id")
+    return rows.join(names.withColumn("class_id", (F.col("class_id") - 1).cast("int")), cls)
 
 
 def labels(rows: DataFrame, mode: str = "species", path: str = "path", cls: str = "cls") -> DataFrame:

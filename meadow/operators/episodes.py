@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,19 +65,27 @@ def entered_visits(rows: DataFrame, debounce: int = 20) -> DataFrame:
 
 def steady_labels(votes: DataFrame, factor: float = 1.5) -> DataFrame:
     """The label shown at each frame of votes (video, track_id, fi, cls, conf): it changes only to one whose summed
-    confidence reaches `factor` times that of the label shown. A fold over a track's votes in frame order."""
-    rows = votes.groupBy("video", "track_id").agg(F.sort_array(F.collect_list(F.struct("fi", "cls", F.col("conf").cast("double").alias("conf")))).alias("votes"))
-    kind = "struct<shown:string,sums:map<string,double>,out:array<struct<fi:bigint,cls:string>>>"
-    start = F.struct(F.lit(None).cast("string").alias("shown"), F.create_map().cast("map<string,double>").alias("sums"), F.array().cast("array<struct<fi:bigint,cls:string>>").alias("out")).cast(kind)
-
-    def step(a, v):
-        of = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0.0))
-        sums = F.map_concat(F.map_filter(a["sums"], lambda k, x: k != v["cls"]), F.create_map(v["cls"], of(a["sums"], v["cls"]) + v["conf"]))
-        mine = of(a["sums"], v["cls"]) + v["conf"]
-        shown = F.when(a["shown"].isNull() | (mine >= factor * of(a["sums"], a["shown"])) & (v["cls"] != a["shown"]), v["cls"]).otherwise(a["shown"])
-        return F.struct(shown.alias("shown"), sums.alias("sums"), F.array_append(a["out"], F.struct(v["fi"].cast("bigint").alias("fi"), shown.alias("cls"))).alias("out")).cast(kind)
-
-    return rows.select("video", "track_id", F.explode(F.aggregate("votes", start, step)["out"]).alias("o")).select("video", "track_id", "o.fi", F.col("o.cls").alias("cls"))
+    confidence reaches `factor` times that of the label shown. Tracks are streamed in frame order; what is held is one sum
+    for each label."""
+    kinds = {c: votes.schema[c].dataType.simpleString() for c in ("video", "track_id")}
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        track, shown, sums = None, None, {}
+        for b in batches:
+            out = []
+            for video, t, cls, conf in zip(b["video"], b["track_id"], b["cls"], b["conf"]):
+                if (video, t) != track:
+                    track, shown, sums = (video, t), None, {}
+                sums[cls] = sums.get(cls, 0.0) + conf
+                if shown is None or cls != shown and sums[cls] >= factor * sums[shown]:
+                    shown = cls
+                out.append(shown)
+            yield b[["video", "track_id", "fi"]].assign(cls=out)
+
+    n = int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = votes.select("video", "track_id", F.col("fi").cast("bigint").alias("fi"), "cls", F.col("conf").cast("double").alias("conf"))
+    ordered = rows.repartition(n, "video", "track_id").sortWithinPartitions("video", "track_id", "fi", "cls", "conf")
+    return ordered.mapInPandas(fold, f"video {kinds['video']}, track_id {kinds['track_id']}, fi bigint, cls string")
 
 
 def running_counts(landed: DataFrame) -> DataFrame:

@@ -16,9 +16,19 @@ STATS = "path string, height int, width int, brightness double, contrast double,
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """path, height, width, n_channels, data: every file below `path`."""
-    rows = spark.read.format("image").option("recursiveFileLookup", "true").load(path)
-    return rows.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.data")
+    """path, height, width, n_channels, data: every file below `path`.
+
+    Spark's readers pass over files without a byte; its file index (on the driver, names only) has them, and they are added as
+    files that can't be decoded.
+    """
+    recursive = {"recursiveFileLookup": "true"}
+    rows = spark.read.format("image").options(**recursive).load(path)
+    read = rows.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.data")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    listed = spark.createDataFrame([(n,) for n in rows.inputFiles()], "path string")
+    there = spark.read.format("binaryFile").options(**recursive).load(path).select(plain("path").alias("there"))
+    none = listed.join(there, plain("path") == F.col("there"), "left_anti")
+    return read.unionByName(none.select("path", *[F.lit(-1).alias(c) for c in ("height", "width", "n_channels")], F.lit(b"").alias("data")))
 
 
 def corrupt(rows: DataFrame) -> DataFrame:

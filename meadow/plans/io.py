@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,9 +202,40 @@ def pictures(spark, d) -> DataFrame:
     )
 
 
+def picture_files(spark, d) -> str:
+    """The pictures as PNG files, in a folder for each label; every 50th holds other bytes, and beside them lie notes."""
+    at = b.folder(spark, "pictures")
+    rows = pictures(spark, d).withColumn("vec_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long")).join(b.table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    named = rows.withColumn("path", F.concat(F.col("label").cast("string"), F.lit("/"), F.col("path"), F.lit(".png"))).withColumn("data", F.coalesce("data", F.encode(F.lit("no picture"), "utf-8")))
+    notes = rows.groupBy("label").agg(F.lit(-1).alias("height"), F.lit(-1).alias("width"), F.lit(-1).alias("n_channels"), F.encode(F.lit("a note"), "utf-8").alias("data")).withColumn("path", F.concat(F.col("label").cast("string"), F.lit("/notes.txt")))
+    written = sinks.pictures(named, at).count(), sinks.pictures(notes, at).count()
+    if not written[0]:
+        raise ValueError("there are no pictures")
+    return at
+
+
+def seen_pictures(spark, d) -> DataFrame:
+    """The picture files as Spark's image source reads them, named like their vectors."""
+    read = images.images(spark, picture_files(spark, d)).where(F.col("path").endswith(".png"))
+    return read.withColumn("path", F.regexp_extract("path", r"([^/]+)\.png$", 1))
+
+
+@query("SELECT 'vec_' || vec_id AS name, label::VARCHAR AS cls FROM embeddings")
+def s6_image_tree(spark, d):
+    """A tree of image files: their names and the folders that are their classes, notes left out."""
+    return readers.image_files(spark, picture_files(spark, d)).where("bytes > 0").select(F.regexp_extract("path", r"([^/]+)\.png$", 1).alias("name"), "cls")
+
+
+@query(f"WITH {BYTES} SELECT path, 8 AS height, 8 AS width, 1 AS n_channels, list_sum([p[i] * i FOR i IN range(1, 65)])::BIGINT AS pixels FROM px WHERE vec_id % 50 <> 0")
+def s7_decoded(spark, d):
+    """Size, channels and pixels (a sum weighted by place) of the files that can be decoded."""
+    byte = lambda i: F.conv(F.hex(F.substring("data", i, 1)), 16, 10).cast("long")
+    return seen_pictures(spark, d).where("height > 0").select("path", "height", "width", "n_channels", sum((byte(i) * i for i in range(2, 65)), byte(1)).alias("pixels"))
+
+
 @query("SELECT 'vec_' || vec_id AS path, 'can''t be decoded' AS error FROM embeddings WHERE vec_id % 50 = 0")
 def i1_corrupt(spark, d):
-    return images.corrupt(pictures(spark, d))
+    return images.corrupt(seen_pictures(spark, d))
 
 
 LOOKS = f"""WITH {BYTES}, lap AS (SELECT path, p, [p[i - 8] + p[i + 8] + p[i - 1] + p[i + 1] - 4 * p[i] FOR i IN [(k // 6 + 1) * 8 + k % 6 + 2 FOR k IN range(36)]] AS l FROM px WHERE vec_id % 50 <> 0),
@@ -213,19 +245,34 @@ looks AS (SELECT path, list_avg(p) AS brightness, list_stddev_pop(p) AS contrast
 
 @query(LOOKS + "SELECT path, round(brightness, 6) AS brightness, round(contrast, 6) AS contrast, round(blur, 4) AS blur, 'L' AS mode, true AS grayscale, contrast < 1 AS blank FROM looks")
 def i2_i3_x3_statistics(spark, d):
-    s = images.statistics(pictures(spark, d))
+    s = images.statistics(seen_pictures(spark, d))
     return s.select("path", R(F.col("brightness")).alias("brightness"), R(F.col("contrast")).alias("contrast"), F.round("blur", 4).alias("blur"), "mode", "grayscale", "blank")
 
 
 @query(LOOKS + ", q AS (SELECT quantile_cont(blur, 0.05) AS p5 FROM looks) SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS grayscale, (count(*) FILTER (contrast < 1))::BIGINT AS blank, (count(*) FILTER (blur <= p5))::BIGINT AS blurred, (count(*) FILTER (brightness < 30))::BIGINT AS dark, (count(*) FILTER (brightness > 225))::BIGINT AS bright FROM looks, q")
 def p34_quality_flags(spark, d):
-    return images.quality_flags(images.statistics(pictures(spark, d)))
+    return images.quality_flags(images.statistics(seen_pictures(spark, d)))
+
+
+def hash_sql(size: int = 8, n: int = 32, low: int = 8) -> str:
+    """CTEs after px: hashes(path, hash), from the weights of the shrinking and of the cosine transform."""
+    lists = lambda m: "[" + ", ".join(str([float(x) for x in row]) for row in m) + "]::DOUBLE[][]"
+    wave = 2 * np.cos(np.pi * np.outer(np.arange(low), 2 * np.arange(n) + 1) / (2 * n))
+    byte = lambda x: f"least(255, greatest(0, floor({x} + 0.5::DOUBLE)))"
+    return f"""weights AS (SELECT {lists(images._resized(size, n))} AS w, {lists(wave)} AS c),
+wide AS (SELECT path, w, c, [[{byte(f"list_dot_product(p[{size} * i + 1:{size} * i + {size}], w[k + 1])")} FOR i IN range({size})] FOR k IN range({n})] AS m FROM px, weights WHERE vec_id % 50 <> 0),
+small AS (SELECT path, c, [[{byte("list_dot_product(m[k + 1], w[r + 1])")} FOR r IN range({n})] FOR k IN range({n})] AS s FROM wide),
+half AS (SELECT path, c, [[list_dot_product(s[k + 1], c[u + 1]) FOR k IN range({n})] FOR u IN range({low})] AS h FROM small),
+turned AS (SELECT path, flatten([[list_dot_product(h[u + 1], c[v + 1]) FOR v IN range({low})] FOR u IN range({low})]) AS t FROM half),
+bits AS (SELECT path, list_sum([CASE WHEN t[i + 1] > list_median(t) THEN (2::HUGEINT ** (63 - i))::HUGEINT ELSE 0::HUGEINT END FOR i IN range(64)]) AS b FROM turned),
+hashes AS (SELECT path, (CASE WHEN b >= 9223372036854775808::HUGEINT THEN b - 18446744073709551616::HUGEINT ELSE b END)::BIGINT AS hash FROM bits)
+"""
 
 
-@query()
+@query(f"WITH {BYTES}, {hash_sql()} SELECT path, CASE WHEN right(path, 1) IN ('0', '3', '6', '9') THEN 7 ELSE hash END AS hash FROM hashes")
 def i4_i5_hashed(spark, d):
     """Perceptual hashes; every third is in the cache already."""
-    rows = pictures(spark, d)
+    rows = staged(seen_pictures(spark, d), "pictures")
     cache = rows.where(F.substring("path", -1, 1).isin("0", "3", "6", "9") & (F.col("height") > 0)).select("path", F.lit(7).cast("long").alias("hash"))
     return images.hashed(rows, cache)
 

@@ -211,3 +211,16 @@ def test_mixed_model_finds_the_slope(spark, kind):
     got = mixed.fit_mixed(spark.createDataFrame(rows, "V double, orchard_id string, year string, y int"))
     large = got["var"][0 if kind == "orchards" else 1]
     assert abs(got["slope"] - 0.8) < 4 * got["slope_se"] + 0.03 and 0.15 < large < 0.8 and got["slope_se"] < 0.05
+
+
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_pictures_go_to_files_and_back(spark, tmp_path, channels):
+    rng = np.random.default_rng(channels)
+    rows = [(f"a/p{k}.png", 5 + k, 3, channels, rng.integers(0, 256, (5 + k) * 3 * channels).astype(np.uint8).tobytes()) for k in range(4)] + [("b/broken.png", -1, -1, -1, b"\x89PNG nothing"), ("b/empty.png", None, None, None, None)]
+    table = spark.createDataFrame(rows, "path string, height int, width int, n_channels int, data binary")
+    for _ in range(2):  # again, as a task may be
+        assert sinks.pictures(table, str(tmp_path / "x")).count() == 6
+    assert sorted(p.name for p in (tmp_path / "x").rglob("*") if p.is_file()) == ["broken.png", "empty.png", "p0.png", "p1.png", "p2.png", "p3.png"]
+    got = {r.path.rpartition("/")[2]: (r.height, r.width, r.n_channels, bytes(r.data)) for r in images.images(spark, str(tmp_path / "x")).where("height > 0").collect()}
+    assert got == {p.rpartition("/")[2]: (h, w, c, d) for p, h, w, c, d in rows[:4]}
+    assert {r.path.rpartition("/")[2] for r in images.corrupt(images.images(spark, str(tmp_path / "x"))).collect()} == {"broken.png", "empty.png"}
