@@ -54,19 +54,22 @@ def _landed_stream(spark, d) -> DataFrame:
     return spark.readStream.schema(live.LANDED).parquet(at)
 
 
+#: No centre lies on a padded edge.
+OFF_EDGES = replace(LANDING, touch_pad=0.1503)
 #: Rules under which a stream and the batch landings are the same: nothing is taken up, and no centre lies on a padded edge.
 PLAIN = replace(LANDING, relink_s=0.0, touch_pad=0.1503)
 
 
-def _still_flowers(spark, d) -> DataFrame:
-    """A camera's insects, and its flowers on every fifth frame of its time, whether or not an insect is there."""
-    rows = camera_rows(spark, d).where("kind = 'insect'")
-    spine = rows.groupBy("camera").agg(F.max("fi").alias("end")).select("camera", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end"), F.lit(5).cast("long"))).alias("fi"))
+def _still_flowers(spark, d, every: int = 5, slower: int = 1) -> DataFrame:
+    """A camera's insects, and its flowers on every n-th frame of its time, whether or not an insect is there."""
+    # An hour later, as a stream takes nothing at the beginning of time.
+    ts = (F.timestamp_micros((F.col("fi") * 50_000 * slower).cast("long")) + F.expr("INTERVAL 1 HOUR")).alias("ts")
+    rows = camera_rows(spark, d).where("kind = 'insect'").withColumn("ts", ts)
+    spine = rows.groupBy("camera").agg(F.max("fi").alias("end")).select("camera", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end"), F.lit(every).cast("long"))).alias("fi"))
     there = b.flowers(spark, d).select(F.col("video").cast("string").alias("camera"), *g.SIDES)
     none = F.lit(None)
-    seen = spine.join(there, "camera").select("camera", F.timestamp_micros((F.col("fi") * 50_000).cast("long")).alias("ts"), "fi", F.lit("flower").alias("kind"), none.cast("long").alias("track_id"), none.cast("string").alias("cls"), F.lit(0.9).alias("conf"), *g.SIDES)
-    # An hour later, as a stream takes nothing at the beginning of time.
-    return rows.unionByName(seen).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    seen = spine.join(there, "camera").select("camera", ts, "fi", F.lit("flower").alias("kind"), none.cast("long").alias("track_id"), none.cast("string").alias("cls"), F.lit(0.9).alias("conf"), *g.SIDES)
+    return rows.unionByName(seen)
 
 
 def _shaped(rows: DataFrame) -> DataFrame:
@@ -109,6 +112,13 @@ def st4_k3_s18_st8_streamed(spark, d):
     return spark.read.schema(live.LANDED).parquet(out).where("camera <> 'end'").select("camera", "t_enter_s", "t_exit_s", "landing_s", "is_real_landing", "flower_id", "conf_mean")
 
 
+def st1_st2_st3_j9_still(spark, d):
+    """Landings by all live rules over flowers that stand still. A frame takes 0.2 s, so tracks pause for longer than the grace
+    and what they leave is taken up."""
+    out = live.replayed(_still_flowers(spark, d, 2, 4), OFF_EDGES)
+    return out.select("camera", "t_enter_s", "t_exit_s", "landing_s", "is_real_landing", "flower_id", "insect_type", "is_pollinator")
+
+
 def st7_throughput_streamed(spark, d):
     """Rows per second of event time, as a stream counts them."""
     rows_at, out, at = b.folder(spark, "detections"), b.folder(spark, "counts"), b.folder(spark, "checkpoint")
@@ -164,7 +174,7 @@ def st6_k5_recent(spark, d):
     return live.recents(spark, out).select("camera", "seq", "flower_id")
 
 
-for _f in (st1_st2_st3_j9_replayed, st4_k3_s18_st8_streamed, st5_k4_daily_counts, st6_k5_recent, st7_throughput_streamed, x1_called):
+for _f in (st1_st2_st3_j9_replayed, st1_st2_st3_j9_still, st4_k3_s18_st8_streamed, st5_k4_daily_counts, st6_k5_recent, st7_throughput_streamed, x1_called):
     QUERIES[_f.__name__] = _f
 
 _TYPES = ", ".join(f"(count(*) FILTER (insect_type = '{t}'))::BIGINT AS n_{t}" for t in live.INSECT_TYPES)
@@ -182,3 +192,31 @@ l0 AS (SELECT *, lag(k IS NOT NULL) OVER w AS was_on, lag(t) OVER w AS was_t, la
 l1 AS (SELECT *, sum(CASE WHEN k IS NOT NULL AND (last_on IS NULL OR (NOT was_on AND was_t - last_on > 0.5)) THEN 1 ELSE 0 END) OVER (PARTITION BY video, track_id ORDER BY fi ROWS UNBOUNDED PRECEDING) AS episode FROM l0)
 SELECT video::VARCHAR AS camera, round(min(t), 2) AS t_enter_s, round(max(t), 2) AS t_exit_s, round(max(t) - min(t), 2) AS landing_s, CASE WHEN round(max(t) - min(t), 2) >= 2 THEN 1 ELSE 0 END AS is_real_landing, 'flower_' || arg_max(k, fi) AS flower_id, round(avg(conf), 3) AS conf_mean
 FROM l1 WHERE k IS NOT NULL GROUP BY video, track_id, episode"""
+
+_SIGHTING = "STRUCT(no BIGINT, track BIGINT, seen DOUBLE, x DOUBLE, y DOUBLE, flower BIGINT, enter_t DOUBLE, last_t DOUBLE, conf DOUBLE, n BIGINT, sums STRUCT(kind VARCHAR, total DOUBLE)[])"
+#: The rows of a camera one by one, with its sightings as a list: which is gone on with, what is taken up, what ends.
+ORACLE["st1_st2_st3_j9_still"] = b.sql("detections", "flowers").replace("WITH ", "WITH RECURSIVE ", 1) + f""", named AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY x1, y1, x2, y2) AS k FROM flowers),
+onf AS (SELECT d.video, d.track_id, d.fi, min(f.k) AS k FROM detections d JOIN named f ON f.video = d.video AND d.fi >= 2
+  AND (d.x1 + d.x2) / 2 BETWEEN f.x1 - (f.x2 - f.x1) * 0.1503::DOUBLE AND f.x2 + (f.x2 - f.x1) * 0.1503::DOUBLE AND (d.y1 + d.y2) / 2 BETWEEN f.y1 - (f.y2 - f.y1) * 0.1503::DOUBLE AND f.y2 + (f.y2 - f.y1) * 0.1503::DOUBLE GROUP BY 1, 2, 3),
+r AS (SELECT d.video, d.track_id, round(d.fi * 0.2::DOUBLE, 2) AS t, d.cls, d.conf, (d.x1 + d.x2) / 2 AS x, (d.y1 + d.y2) / 2 AS y, 4 * sqrt(greatest(1, (d.x2 - d.x1) * (d.y2 - d.y1))) AS reach, o.k,
+  row_number() OVER (PARTITION BY d.video ORDER BY d.fi, d.track_id, d.x1, d.y1, d.x2, d.y2) AS i FROM detections d LEFT JOIN onf o ON o.video = d.video AND o.track_id = d.track_id AND o.fi = d.fi),
+walk AS (SELECT video, 0::BIGINT AS i, 0::BIGINT AS made, []::{_SIGHTING}[] AS tab, []::STRUCT(track BIGINT, no BIGINT)[] AS cur, NULL::{_SIGHTING} AS ended FROM r GROUP BY video UNION ALL
+  SELECT video, i, made, CASE WHEN closes THEN list_append(others, {{'no': e.no, 'track': e.track, 'seen': t, 'x': x, 'y': y, 'flower': NULL, 'enter_t': NULL, 'last_t': NULL, 'conf': 0.0, 'n': 0, 'sums': e.sums}}) ELSE list_append(others, e) END,
+    CASE WHEN fresh THEN list_append(list_filter(cur, lambda c: c.track <> track_id), {{'track': track_id, 'no': made}}) ELSE cur END, CASE WHEN closes THEN e END FROM (
+    SELECT *, k IS NULL AND e.flower IS NOT NULL AND t - e.last_t > 0.5 AS closes FROM (
+      SELECT video, i, made, cur, fresh, others, track_id, t, x, y, k, {{'no': base.no, 'track': track_id, 'seen': t, 'x': x, 'y': y, 'flower': coalesce(k, base.flower), 'enter_t': CASE WHEN k IS NOT NULL AND base.flower IS NULL THEN t ELSE base.enter_t END,
+        'last_t': CASE WHEN k IS NOT NULL THEN t ELSE base.last_t END, 'conf': base.conf + CASE WHEN k IS NOT NULL THEN conf ELSE 0 END, 'n': base.n + CASE WHEN k IS NOT NULL THEN 1 ELSE 0 END,
+        'sums': CASE WHEN list_contains(list_transform(base.sums, lambda z: z.kind), cls) THEN list_transform(base.sums, lambda z: {{'kind': z.kind, 'total': z.total + CASE WHEN z.kind = cls THEN conf ELSE 0 END}}) ELSE list_append(base.sums, {{'kind': cls, 'total': conf}}) END}}::{_SIGHTING} AS e FROM (
+        SELECT *, list_filter(tab, lambda z: z.no <> coalesce(was.no, -1) AND z.no <> base.no) AS others FROM (
+          SELECT *, CASE WHEN NOT fresh THEN s WHEN was IS NOT NULL THEN {{'no': made, 'track': track_id, 'seen': t, 'x': x, 'y': y, 'flower': was.flower, 'enter_t': was.enter_t, 'last_t': was.last_t, 'conf': was.conf, 'n': was.n, 'sums': was.sums}}::{_SIGHTING}
+            ELSE {{'no': made, 'track': track_id, 'seen': t, 'x': x, 'y': y, 'flower': NULL, 'enter_t': NULL, 'last_t': NULL, 'conf': 0.0, 'n': 0, 'sums': CASE WHEN s IS NOT NULL AND s.flower IS NULL AND t - s.seen <= 5 THEN s.sums ELSE [] END}}::{_SIGHTING} END AS base FROM (
+            SELECT *, CASE WHEN near IS NOT NULL THEN list_filter(tab, lambda z: z.no = near)[1] END AS was FROM (
+              SELECT * REPLACE (CASE WHEN fresh AND s IS NOT NULL AND s.flower IS NULL THEN list_filter(tab, lambda z: z.no <> s.no) ELSE tab END AS tab, CASE WHEN fresh THEN made + 1 ELSE made END AS made),
+                CASE WHEN fresh AND k IS NOT NULL THEN list_min(list_transform(list_filter(tab, lambda z: z.flower IS NOT NULL AND z.seen + 0.5 < t AND t <= z.seen + 5.5 AND sqrt((z.x - x) * (z.x - x) + (z.y - y) * (z.y - y)) <= reach),
+                  lambda z: {{'far': sqrt((z.x - x) * (z.x - x) + (z.y - y) * (z.y - y)), 'no': z.no}})).no END AS near FROM (
+                SELECT *, s IS NULL OR t - s.seen > 0.5 AS fresh FROM (
+                  SELECT r.*, w.made, w.tab, w.cur, list_filter(w.tab, lambda z: z.no = list_filter(w.cur, lambda c: c.track = r.track_id)[1].no)[1] AS s FROM walk w JOIN r ON r.video = w.video AND r.i = w.i + 1))))))))),
+landed AS (SELECT video, ended AS e FROM walk WHERE ended IS NOT NULL UNION ALL SELECT video, e FROM (SELECT video, unnest(arg_max(tab, i)) AS e FROM walk GROUP BY video) WHERE e.flower IS NOT NULL),
+kinds AS (SELECT *, list_filter(e.sums, lambda z: z.total = list_max(list_transform(e.sums, lambda q: q.total)))[1].kind AS kind FROM landed)
+SELECT video::VARCHAR AS camera, e.enter_t AS t_enter_s, e.last_t AS t_exit_s, round(e.last_t - e.enter_t, 2) AS landing_s, CASE WHEN round(e.last_t - e.enter_t, 2) >= 2 THEN 1 ELSE 0 END AS is_real_landing, 'flower_' || e.flower AS flower_id,
+  kind AS insect_type, kind IN ('honeybee', 'bee', 'butterfly', 'fly') AS is_pollinator FROM kinds"""
