@@ -8,8 +8,8 @@ pages of `page` rows; runs of FANOUT boxes make the boxes above. A box holds the
 products: the interval by which whole subtrees are left out.
 
 The roots' boxes are met first, in blocks of roots and anchors; trees that no score window of an anchor reaches are never
-sent that anchor. For positives each anchor first goes to the tree of the greatest bound; its k-th best there is the bar that
-the other trees' bounds must reach. Within a tree a queue opens the box with the greatest possible score first; a box is left
+sent that anchor. An anchor first goes to the tree of the greatest bound; its k-th best there is the bar that the other
+trees must reach. Within a tree a queue opens the box with the greatest possible score first; a box is left
 out if its interval misses the window or lies strictly below the k-th best so far. A page's rows are scored at once.
 
 An anchor's positives are the `positives` best other rows of its label. For each of them the `negatives` best rows of
@@ -278,8 +278,14 @@ def hard_negatives(vectors: DataFrame, label: Column, every: int = 50, positives
     bounds = chosen.select("id", "slot", F.ceil(score * low / 100).cast("long").alias("low"), F.floor(score * high / 100).cast("long").alias("high")).where("low <= high")
     windows = bounds.groupBy("id").agg(F.collect_list(F.struct("slot", "low", "high")).alias("windows"))
     asked = staged(rows.join(windows, "id"), "asked")
-    reached = _routed(asked, forest, False).select("id", "tree")
-    best = _first(_search(reached, asked, forest, False, negatives), negatives)
+    reached = _routed(asked, forest, False)
+    home = staged(reached.groupBy("id").agg(F.max_by("tree", F.struct("bound", "tree")).alias("tree")), "home")
+    began = _search(home, asked, forest, False, negatives)
+    # The other trees are asked for what is not below the k-th best of the first one.
+    bars = began.groupBy("id", "slot").agg(F.count("*").alias("n"), F.min("score").alias("bar")).where(F.col("n") == negatives).select("id", "slot", "bar")
+    narrow = bounds.join(bars, ["id", "slot"], "left").withColumn("low", F.greatest("low", "bar")).groupBy("id").agg(F.collect_list(F.struct("slot", "low", "high")).alias("windows"))
+    again = staged(asked.drop("windows").join(narrow, "id"), "again")
+    best = _first(began.unionByName(_search(reached.join(home, ["id", "tree"], "left_anti").select("id", "tree"), again, forest, False, negatives)), negatives)
     named = rows.select("id", F.col("vec_id").alias("anchor_id"))
     out = best.select("id", "slot", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")).join(chosen, ["id", "slot"]).join(named, "id")
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
