@@ -224,3 +224,29 @@ def test_pictures_go_to_files_and_back(spark, tmp_path, channels):
     got = {r.path.rpartition("/")[2]: (r.height, r.width, r.n_channels, bytes(r.data)) for r in images.images(spark, str(tmp_path / "x")).where("height > 0").collect()}
     assert got == {p.rpartition("/")[2]: (h, w, c, d) for p, h, w, c, d in rows[:4]}
     assert {r.path.rpartition("/")[2] for r in images.corrupt(images.images(spark, str(tmp_path / "x"))).collect()} == {"broken.png", "empty.png"}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_mixed_model_is_the_dense_one(spark, turned):
+    """The elimination by groups against the whole system solved at once, on pairs of groups that don't all occur."""
+    from meadow.operators import mixed
+
+    rng = np.random.default_rng(6)
+    g, h, z = rng.integers(0, 60, 3000), rng.integers(0, 4, 3000), rng.normal(2, 3, 3000)
+    h = np.where(g < 20, 0, h)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(0.2 * z + rng.normal(0, 0.5, 60)[g])))).astype(int)
+    rows = [(float(a), *((str(j), str(i)) if turned else (str(i), str(j))), int(b)) for a, i, j, b in zip(z, g, h, y)]
+    got = mixed.fit_mixed(spark.createDataFrame(rows, "V double, orchard_id string, year string, y int"), steps=4)
+    x = np.concatenate([np.ones((3000, 1)), ((z - z.mean()) / z.std())[:, None], np.eye(60)[g], np.eye(4)[h]], axis=1)
+    beta, var = np.zeros(66), np.ones(2)
+    for _ in range(4):
+        eta = x @ beta
+        mu = 1 / (1 + np.exp(-eta))
+        w = np.maximum(mu * (1 - mu), 1e-6)
+        penalty = np.concatenate([[0, 0], np.full(60, 1 / var[0]), np.full(4, 1 / var[1])])
+        inverse = np.linalg.inv((x * w[:, None]).T @ x + np.diag(penalty))
+        beta = inverse @ (x.T @ (w * eta + y - mu))
+        spread = np.diag(inverse)
+        var = np.array([(beta[2:62] @ beta[2:62] + spread[2:62].sum()) / 60, (beta[62:] @ beta[62:] + spread[62:].sum()) / 4])
+    assert np.allclose([got["intercept"], got["slope"], got["slope_se"]], [beta[0], beta[1], spread[1] ** 0.5], rtol=1e-6)
+    assert np.allclose(got["var"], var[::-1] if turned else var, rtol=1e-6)
