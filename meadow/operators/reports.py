@@ -17,11 +17,14 @@ def numbers_in(text: Column) -> Column:
     return F.array_compact(F.transform(found, lambda x: F.rtrim(x, F.lit("%")).try_cast("double")))
 
 
-def fact_numbers(values: Column, texts: Column) -> Column:
-    """values (array of double) and the numbers inside texts (array of string), and each share in [0, 1] also as percent."""
+def fact_numbers(values: Column, texts: Column, counts: Column | None = None) -> Column:
+    """values (array of double) and the numbers inside texts (array of string), and each share in [0, 1] also as percent.
+
+    counts (array of double) are facts that are no shares, whatever their size."""
     inside = F.flatten(F.transform(texts, numbers_in))
     all_ = F.concat(F.array_compact(values), inside)
-    return F.array_distinct(F.concat(all_, F.transform(F.filter(all_, lambda x: x.between(0, 1)), lambda x: x * 100)))
+    more = [] if counts is None else [F.array_compact(counts)]
+    return F.array_distinct(F.concat(*more, all_, F.transform(F.filter(all_, lambda x: x.between(0, 1)), lambda x: x * 100)))
 
 
 def identifier_numbers(name: Column) -> Column:
