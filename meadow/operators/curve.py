@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meadow.functions.randoms import normal, quantiles, uniform, uniform_of
+from meadow.operators.dose import alike
 from meadow.params import DOSE, DoseParams
 
 #: Crop tables: F0, Fmax, the dose of 95 % saturation, seed-set coupling of the fruit mass, mass in kg.
@@ -124,15 +125,15 @@ def flower_values(rows: DataFrame, by: tuple[str, ...] = ("crop",), most: int =
     A group with no more than `most` different doses keeps them all. In others the doses are put into that many ranges, with
     edges from Spark's mergeable quantile sketch, so that ranks are off by 1.1 in `most` at most, and stand at their means.
     """
-    alike = rows.groupBy(*by, "V").agg(F.sum("y").cast("double").alias("hits"), F.count("*").cast("double").alias("n"))
-    few = alike.groupBy(*by).agg(F.count("*").alias("doses")).withColumn("few", F.col("doses") <= most).select(*by, "few")
-    marked = alike.join(few, list(by))
+    doses = alike(rows, by).select(*by, "V", "hits", F.col("n").cast("double").alias("n"))
+    few = doses.groupBy(*by).agg(F.count("*").alias("doses")).withColumn("few", F.col("doses") <= most).select(*by, "few")
+    marked = doses.join(F.broadcast(few), list(by))
     exact = marked.where("few").withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("V")))
     root = math.isqrt(most)
-    sketch = rows.join(few.where("NOT few"), list(by)).groupBy(*by).agg(F.percentile_approx("V", F.array(*[F.lit(i / most) for i in range(1, most)]), 10 * most).alias("edges"))
+    sketch = rows.join(F.broadcast(few.where("NOT few")), list(by)).groupBy(*by).agg(F.percentile_approx("V", F.array(*[F.lit(i / most) for i in range(1, most)]), 10 * most).alias("edges"))
     coarse = F.size(F.filter(F.transform(F.sequence(F.lit(root), F.size("edges"), F.lit(root)), lambda i: F.element_at("edges", i)), lambda e: e < F.col("V")))
     fine = F.size(F.filter(F.slice("edges", coarse * root + 1, F.lit(root)), lambda e: e < F.col("V")))
-    ranged = marked.where("NOT few").join(sketch, list(by)).withColumn("at", coarse * root + fine)
+    ranged = marked.where("NOT few").join(F.broadcast(sketch), list(by)).withColumn("at", coarse * root + fine)
     ranged = ranged.groupBy(*by, "at").agg((F.sum(F.col("V") * F.col("n")) / F.sum("n")).alias("V"), F.sum("hits").alias("hits"), F.sum("n").alias("n"))
     columns = [*by, "at", "V", "hits", "n"]
     return exact.select(*columns).unionByName(ranged.select(*columns))
@@ -330,9 +331,10 @@ def posterior(bins: DataFrame, f0: DataFrame, fmax_prior: tuple[float, float] =
 
 def posterior_f0(df: DataFrame, p: DoseParams = DOSE, by: str = "crop") -> DataFrame:
     """F0 for the posterior: the rate among V <= anchor_v if there are enough, else among the lowest 5 % of V."""
-    low = df.groupBy(by).agg(F.percentile("V", F.lit(0.05)).alias("q"), F.count_if(F.col("V") <= p.anchor_v).alias("n"))
-    limit = F.when(F.col("n") >= p.anchor_n, F.lit(p.anchor_v)).otherwise(F.col("q"))
-    return df.join(low, by).where(F.col("V") <= limit).groupBy(by).agg(F.avg("y").alias("f0"))
+    doses = alike(df, (by,))
+    low = doses.groupBy(by).agg(F.percentile("V", F.lit(0.05), F.col("n")).alias("q"), F.sum(F.when(F.col("V") <= p.anchor_v, F.col("n"))).alias("low"))
+    limit = F.when(F.col("low") >= p.anchor_n, F.lit(p.anchor_v)).otherwise(F.col("q"))
+    return doses.join(F.broadcast(low), by).where(F.col("V") <= limit).groupBy(by).agg(F.try_divide(F.sum("hits"), F.sum("rated")).alias("f0"))
 
 
 def prior_sensitivity(bins: DataFrame, f0: DataFrame, mean: float = 0.72, wide: float = 0.25, narrow: float = 0.05, by: str = "crop", **how) -> DataFrame:

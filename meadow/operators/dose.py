@@ -97,18 +97,24 @@ def cleaned(df: DataFrame, top: float = 0.99) -> DataFrame:
     return fine.join(F.broadcast(most)).withColumn("V", F.least("_top", F.greatest(F.lit(0.0), F.col("V")))).drop("_top")
 
 
+def alike(df: DataFrame, by: tuple[str, ...] = ("crop",)) -> DataFrame:
+    """by, V, hits, rated, n: flowers of one dose as one row, with the sum of y, how many have a y, and how many there are."""
+    return df.groupBy(*by, "V").agg(F.sum("y").cast("double").alias("hits"), F.count("y").alias("rated"), F.count("*").alias("n"))
+
+
 def binned(df: DataFrame, bins: int = DOSE.bins, by: tuple[str, ...] = ("crop",)) -> DataFrame:
     """Quantile bins of V within each group: mean V, rate of y, successes and rows.
 
     Edges are exact linear quantiles, equal ones counting once; bins are closed on the right, the first on both sides.
-    The edges are one small row for each group.
+    The edges are one small row for each group, so they are sent to the doses; groups are few, and no task gets all rows of one.
     """
     shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile("V", shares)).alias("edges"))
-    placed = df.join(edges, list(by))
+    doses = alike(df, by)
+    edges = doses.groupBy(*by).agg(F.array_distinct(F.percentile("V", shares, F.col("n"))).alias("edges"))
+    placed = doses.join(F.broadcast(edges), list(by))
     at = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("V"))))
-    out = placed.groupBy(*by, at.alias("bin")).agg(F.avg("V").alias("mean_v"), F.avg("y").alias("rate"), F.sum("y").cast("double").alias("hits"), F.count("*").alias("n"))
-    return out
+    there = F.sum(F.when(F.col("V").isNotNull(), F.col("n")))
+    return placed.groupBy(*by, at.alias("bin")).agg((F.sum(F.col("V") * F.col("n")) / there).alias("mean_v"), F.try_divide(F.sum("hits"), F.sum("rated")).alias("rate"), F.sum("hits").alias("hits"), F.sum("n").alias("n"))
 
 
 def fit_scores(df: DataFrame, by: tuple[str, ...] = ("crop",)) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from meadow.operators import curve, dose
 from meadow.plans import registry
 from meadow.streaming import live
 from tests.compare import same
@@ -25,3 +27,20 @@ def test_confidence_of_a_landing_is_half_up():
     done = [(1.0, (0.0, 1.0, "flower_1", "bee", c)) for c in (0.4125, 0.6275, 0.5, 0.7765)]
     got = sorted(live._table("cam", done, [0.0, 0, 0, 0], live.LANDING)["conf_mean"])
     assert got == [0.413, 0.5, 0.628, 0.777]
+
+
+def test_bins_meet_doses_not_rows(spark):
+    """No shuffle is by the group alone, and what crosses one is doses, however many rows share them."""
+    rows = spark.range(200_000).select(F.floor(F.col("id") / 100_000).cast("string").alias("crop"), (F.col("id") % 50).cast("double").alias("V"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    auto = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(auto)
+    spark.conf.set(auto, "-1")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (dose.binned(rows), curve.posterior_f0(rows))]
+    finally:
+        spark.conf.set(auto, was)
+    assert all("SortMergeJoin" not in p and "BroadcastHashJoin" in p for p in plans)
+    odd = rows.unionByName(spark.createDataFrame([("0", None, 1), ("0", 7.0, None)], rows.schema))
+    first = dose.binned(odd).where("bin = 1 AND crop = '0'").first()
+    assert first["n"] == 3 * 2000 + 1 and first["mean_v"] == 1.0 and first["hits"] == rows.where("V <= 2 AND y = 1 AND crop = '0'").count() + 1
+    assert dose.binned(odd).agg(F.sum("n")).first()[0] == 200_002
