@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meadow.functions.shared import staged
+
 STATS = "path string, height int, width int, brightness double, contrast double, aspect double, mode string, grayscale boolean, blank boolean, blur double, phash long"
 
 
@@ -95,7 +97,9 @@ def statistics(rows: DataFrame) -> DataFrame:
 
 
 def quality_flags(stats: DataFrame) -> DataFrame:
-    """One row: how many are grayscale, blank, dark, bright, and as blurred as the lowest 5 %."""
+    """One row: how many are grayscale, blank, dark, bright, and as blurred as the lowest 5 %. The figures are read twice, the
+    images once: what is needed of them is staged."""
+    stats = staged(stats.select("grayscale", "blank", "blur", "brightness"), "looks")
     limit = stats.agg(F.percentile("blur", F.lit(0.05)).alias("p5"))
     return stats.join(F.broadcast(limit)).agg(
         F.count("*").alias("n"),

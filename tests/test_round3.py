@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from meadow.operators import curve, dose
+from meadow.operators import curve, dose, images
 from meadow.plans import registry
 from meadow.streaming import live
 from tests.compare import same
@@ -44,3 +44,17 @@ def test_bins_meet_doses_not_rows(spark):
     first = dose.binned(odd).where("bin = 1 AND crop = '0'").first()
     assert first["n"] == 3 * 2000 + 1 and first["mean_v"] == 1.0 and first["hits"] == rows.where("V <= 2 AND y = 1 AND crop = '0'").count() + 1
     assert dose.binned(odd).agg(F.sum("n")).first()[0] == 200_002
+
+
+def test_quality_flags_decode_once(spark):
+    """Each image goes through the statistics once, though the blur's quantile is needed before the counts."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(40).select(F.col("id").cast("string").alias("path"), *[F.lit(n).alias(c) for c, n in (("height", 4), ("width", 4), ("n_channels", 1))], F.lit(b"0123456789abcdef").alias("data"))
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    out = images.quality_flags(images.statistics(rows).mapInPandas(counted, images.STATS)).first()
+    assert out["n"] == out["grayscale"] == out["blurred"] == 40 and seen.value == 40
