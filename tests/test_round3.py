@@ -1,9 +1,11 @@
 """What the review of round 3 found: ties of rounding and counts that look like shares."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meadow.llm import quality
 from meadow.operators import curve, dose, images
 from meadow.plans import registry
 from meadow.streaming import live
@@ -58,3 +60,18 @@ def test_quality_flags_decode_once(spark):
 
     out = images.quality_flags(images.statistics(rows).mapInPandas(counted, images.STATS)).first()
     assert out["n"] == out["grayscale"] == out["blurred"] == 40 and seen.value == 40
+
+
+def test_quality_learns_from_every_label(spark):
+    """What only rows beyond the start of the fit show is learned all the same: digits are bad, as most labels say."""
+    rows = [(k, ("plain words of a text " if k % 2 else "plain 12345 67890 text ") * 3 + "ab" * (k % 5)) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    one = quality.fit(docs, labels, max_rows=1, steps=4)
+    all_ = quality.fit(docs, labels, max_rows=600)
+    assert np.abs(one.weights - all_.weights).max() < 0.02 * np.abs(all_.weights).max()
+    z = [float(quality.features(t) @ one.weights) for _, t in rows]
+    assert sum(v < one.threshold for v in z) == 300 and all((v > one.threshold) == (k % 2 == 1) for k, v in enumerate(z))
+    n = {r["good"]: r["n"] for r in quality.learned(docs, labels).groupBy("good").count().withColumnRenamed("count", "n").collect()}
+    blocks = quality.in_blocks(quality.learned(docs, labels), n[True], n[False], block_rows=50).collect()
+    assert len(blocks) == 12 and sum(np.frombuffer(b["first"], bool).sum() for b in blocks) == 600
