@@ -7,6 +7,7 @@ streamed in order; what is held is the tracker's own state. Each is checked agai
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,12 +52,15 @@ class InView:
         middle, centers = (boxes[:, :2] + boxes[:, 2:]) / 2, (self.box[:, :2] + self.box[:, 2:]) / 2
         size = boxes[:, 2:] - boxes[:, :2]
         reach = self.p.merge_k * np.sqrt(np.maximum(1.0, size[:, 0] * size[:, 1]))
-        far = np.sqrt(((middle[:, None] - centers[None]) ** 2).sum(2))
+        far = np.sqrt((middle[:, :1] - centers[:, 0]) ** 2 + (middle[:, 1:] - centers[:, 1]) ** 2)
         b, f = np.nonzero(far <= reach[:, None])
-        to, free = np.full(len(boxes), -1), np.ones(len(self.number), bool)
-        for k in np.lexsort((-self.number[f], far[b, f], b)):
-            if to[b[k]] < 0 and free[f[k]]:
-                to[b[k]], free[f[k]] = f[k], False
+        to, taken = [-1] * len(boxes), set()
+        order = np.lexsort((-self.number[f], far[b, f], b))
+        for i, j in zip(b[order].tolist(), f[order].tolist()):
+            if to[i] < 0 and j not in taken:
+                to[i] = j
+                taken.add(j)
+        to = np.array(to)
         again = to >= 0
         self.box[to[again]] = self.p.flower_ema * self.box[to[again]] + (1 - self.p.flower_ema) * boxes[again]
         self.last[to[again]] = frame
@@ -65,7 +69,7 @@ class InView:
         self.number, self.box, self.last = np.append(self.number, new), np.concatenate([self.box, boxes[~again]]), np.append(self.last, np.full(len(new), frame))
         stays = frame - self.last <= self.p.hold_s * max(1.0, self.p.fps)
         self.number, self.box, self.last = self.number[stays], self.box[stays], self.last[stays]
-        return self.number, self.box
+        return self.number, self.box.copy()
 
 
 class MadeUp:
@@ -97,20 +101,12 @@ def _streamed(rows: DataFrame, order: list[str], fold: Callable[[Iterator[pd.Dat
     return rows.repartition(n, "video").sortWithinPartitions("video", *order).mapInPandas(fold, schema)
 
 
-def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by video and frame, one frame after another, wherever the batches end."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        if not len(b):
-            continue
-        change = (b["video"] != b["video"].shift()) | (b["fi"] != b["fi"].shift())
-        for _, part in b.groupby(change.cumsum(), sort=False):
-            if held and (held[-1]["video"].iloc[0], held[-1]["fi"].iloc[0]) != (part["video"].iloc[0], part["fi"].iloc[0]):
-                yield pd.concat(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held)
+def _in_view(videos: np.ndarray, frames: np.ndarray, seen: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """One table of what is in view on many frames: (a row of the frame, numbers, boxes) each."""
+    if seen:
+        at = np.repeat([i for i, _, _ in seen], [len(n) for _, n, _ in seen])
+        number, box = np.concatenate([n for _, n, _ in seen]), np.concatenate([x for _, _, x in seen])
+        yield pd.DataFrame({"video": videos[at], "fi": frames[at], "flower_id": [f"flower_{n}" for n in number.tolist()], **dict(zip(g.SIDES, box.T))})
 
 
 def canonical_flowers(boxes: DataFrame, p: LandingParams = LANDING) -> DataFrame:
@@ -122,13 +118,22 @@ def canonical_flowers(boxes: DataFrame, p: LandingParams = LANDING) -> DataFrame
     kind = boxes.schema["video"].dataType.simpleString()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, state = None, InView(p)
-        for frame in _frames(batches):
-            if frame["video"].iloc[0] != video:
-                video, state = frame["video"].iloc[0], InView(p)
-            fi = int(frame["fi"].iloc[0])
-            number, box = state.seen(fi, frame[list(g.SIDES)].to_numpy(float))
-            yield pd.DataFrame({"video": video, "fi": fi, "flower_id": [f"flower_{n}" for n in number], **dict(zip(g.SIDES, box.T))})
+        video, state, held = None, InView(p), None
+        for b in chain(batches, [None]):
+            rows = held if b is None else b if held is None else pd.concat([held, b], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            videos, frames, sides = rows["video"].to_numpy(), rows["fi"].to_numpy(), rows[list(g.SIDES)].to_numpy(float)
+            starts = np.flatnonzero(np.append(True, (videos[1:] != videos[:-1]) | (frames[1:] != frames[:-1])))
+            held = None if b is None else rows.iloc[starts[-1]:]  # the last frame may go on in the next batch
+            ends = np.append(starts[1:], len(rows))
+            out = []
+            for i, j in zip(starts.tolist(), ends.tolist()) if b is None else zip(starts[:-1].tolist(), ends[:-1].tolist()):
+                if videos[i] != video:
+                    video, state = videos[i], InView(p)
+                number, box = state.seen(int(frames[i]), sides[i:j])
+                out.append((i, number, box))
+            yield from _in_view(videos, frames, out)
 
     cols = boxes.select("video", F.col("fi").cast("long").alias("fi"), "ordinal", *g.SIDES)
     return _streamed(cols, ["fi", "ordinal"], fold, f"video {kind}, fi long, flower_id string, x1 double, y1 double, x2 double, y2 double")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meadow.llm import quality
-from meadow.operators import curve, dose, images
+from meadow.operators import curve, dose, images, tracking
 from meadow.plans import registry
 from meadow.streaming import live
 from tests.compare import same
@@ -75,3 +75,21 @@ def test_quality_learns_from_every_label(spark):
     n = {r["good"]: r["n"] for r in quality.learned(docs, labels).groupBy("good").count().withColumnRenamed("count", "n").collect()}
     blocks = quality.in_blocks(quality.learned(docs, labels), n[True], n[False], block_rows=50).collect()
     assert len(blocks) == 12 and sum(np.frombuffer(b["first"], bool).sum() for b in blocks) == 600
+
+
+def test_canonical_flowers_come_in_whole_tables(spark):
+    """A task gives a table for a batch of rows, not one for each frame, and frames that end with a batch or go on in the next are whole."""
+    rows = spark.range(4000).select((F.col("id") % 2).alias("video"), F.floor(F.col("id") / 10).alias("fi"), F.col("id").alias("ordinal"), *[(F.col("id") % 10 * 100 + n).cast("double").alias(c) for c, n in (("x1", 0), ("y1", 0), ("x2", 30), ("y2", 30))])
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, sizes = spark.conf.get(name), []
+    real = tracking._in_view
+    for n in (10_000, 7):
+        spark.conf.set(name, n)
+        try:
+            sizes.append(sorted(tuple(r) for r in tracking.canonical_flowers(rows).collect()))
+        finally:
+            spark.conf.set(name, was)
+    assert sizes[0] == sizes[1] and len(sizes[0]) == 4000 and len({r[2] for r in sizes[0]}) == 5
+    at = [(i, np.array([1, 2]), np.zeros((2, 4))) for i in range(300)]
+    (one,) = real(np.zeros(300, int), np.arange(300), at)
+    assert len(one) == 600 and not list(real(np.zeros(0), np.zeros(0), []))
