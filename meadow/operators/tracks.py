@@ -150,10 +150,14 @@ def smoothed(rows: DataFrame, alpha: float = LANDING.insect_ema, columns: tuple[
 
 
 def held(seen: DataFrame, frames: DataFrame, hold: int) -> DataFrame:
-    """Boxes of seen (video, flower_id, fi, ...) on every frame of frames (video, fi), carried on for up to `hold` frames."""
-    ids = seen.groupBy("video", "flower_id").agg(F.min("fi").alias("f0"), F.max("fi").alias("f1"))
-    spine = ids.select("video", "flower_id", F.explode(F.sequence(F.col("f0"), F.col("f1") + hold)).alias("fi")).join(frames.select("video", "fi").distinct(), ["video", "fi"])
-    back = Window.partitionBy("video", "flower_id").orderBy("fi").rowsBetween(Window.unboundedPreceding, 0)
-    there = spine.join(seen.select("video", "flower_id", "fi", F.struct(*g.SIDES).alias("b"), F.col("fi").alias("last")), ["video", "flower_id", "fi"], "left")
-    on = there.withColumn("b", F.last("b", True).over(back)).withColumn("last", F.last("last", True).over(back))
-    return on.where(F.col("fi") - F.col("last") <= hold).select("video", "flower_id", "fi", *[F.col("b")[s].alias(s) for s in g.SIDES], (F.col("fi") - F.col("last")).alias("age"))
+    """Boxes of seen (video, flower_id, fi, ...) on every frame of frames (video, fi), carried on for up to `hold` frames.
+
+    A box goes to the frames before the next one of its flower."""
+    along = Window.partitionBy("video", "flower_id").orderBy("fi")
+    most = F.col("fi") + hold
+    to = F.greatest("fi", F.least(F.coalesce(F.lead("fi").over(along) - 1, most), most))
+    carried = seen.where("flower_id IS NOT NULL").select("video", "flower_id", F.col("fi").alias("last"), to.alias("to"), *g.SIDES)
+    on = carried.withColumn("fi", F.explode(F.sequence("last", "to")))
+    # A frame is one narrow row, so the table of a task's frames is small; what is carried needn't be sorted.
+    there = on.join(frames.select("video", "fi").distinct().hint("shuffle_hash"), ["video", "fi"])
+    return there.select("video", "flower_id", "fi", *g.SIDES, (F.col("fi") - F.col("last")).alias("age"))
