@@ -27,11 +27,18 @@ def spans(dets: DataFrame) -> DataFrame:
 def concurrent_edges(dets: DataFrame, p: LandingParams = LANDING, least_frames: int = 2) -> DataFrame:
     """video, a, b: tracks with `least_frames` frames in common whose mean IoU over these is high enough.
 
-    An equi-join on (video, frame); pairs are summed before the shuffle by pair.
+    An equi-join on (video, frame). Boxes that don't cross add nothing to a sum, so only those that do are shuffled by pair. That
+    leaves few pairs whose sum could do, and for these the frames in common are counted.
     """
     side = lambda k: dets.select("video", "fi", F.col("track_id").alias(k), *[F.col(s).alias(f"{k}_{s}") for s in g.SIDES])
-    both = side("a").join(side("b"), ["video", "fi"]).where("a < b")
-    pairs = both.groupBy("video", "a", "b").agg(F.count("*").alias("frames"), F.avg(g.iou(g.box("a_"), g.box("b_"))).alias("iou"))
+    both = side("a").join(side("b"), ["video", "fi"]).where("a < b").select("video", "a", "b", g.iou(g.box("a_"), g.box("b_")).alias("iou"))
+    if p.concurrent_iou > 0:
+        both = both.where("iou > 0")
+    sums = both.groupBy("video", "a", "b").agg(F.sum("iou").alias("sum"), F.count("*").alias("hits"))
+    may = staged(sums.where(F.col("sum") / F.col("hits") >= p.concurrent_iou).select("video", "a", "b", "sum"), "crossing")
+    on = lambda k: may.join(dets.select("video", F.col("track_id").alias(k), "fi"), ["video", k]).groupBy("video", "a", "b", "fi").agg(F.count("*").alias(f"{k}_n"))
+    shared = on("a").join(on("b"), ["video", "a", "b", "fi"]).groupBy("video", "a", "b").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("frames"))
+    pairs = may.join(shared, ["video", "a", "b"]).select("video", "a", "b", "frames", (F.col("sum") / F.col("frames")).alias("iou"))
     return pairs.where((F.col("frames") >= least_frames) & (F.col("iou") >= p.concurrent_iou))
 
 
@@ -75,6 +82,20 @@ def _regrouped(groups: DataFrame, edges: DataFrame) -> DataFrame:
     return staged(out.select("video", "track_id", F.coalesce("into", "grp").alias("grp")), "groups")
 
 
+def _hung(groups: DataFrame, up: DataFrame) -> DataFrame:
+    """groups(video, track_id, grp) after every lg of up(video, lg, eg) has joined its eg, where an lg has one eg and no way leads
+    back to it: all jump to where their eg goes until each has its root, in as many rounds as the longest way has binary digits."""
+    while True:
+        further = up.select("video", F.col("lg").alias("eg"), F.col("eg").alias("next"))
+        jumped = staged(up.join(further, ["video", "eg"], "left").select("video", "lg", F.coalesce("next", "eg").alias("eg"), F.col("next").isNotNull().alias("moved")), "jumped")
+        if jumped.where("moved").isEmpty():
+            break
+        up = jumped.drop("moved")
+    roots = up.groupBy("video", "eg").agg(F.min("lg").alias("least")).select("video", "eg", F.least("least", "eg").alias("into"))
+    parts = up.join(roots, ["video", "eg"]).select("video", F.col("lg").alias("grp"), "into").unionByName(roots.select("video", F.col("eg").alias("grp"), "into"))
+    return staged(groups.join(parts, ["video", "grp"], "left").select("video", "track_id", F.coalesce("into", "grp").alias("grp")), "groups")
+
+
 def continued(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """groups(video, track_id, grp) after each track, in the order of its first frame (then its id), has joined the group of the
     best of its pairs(video, later, earlier, gap, l_f0, e_f0) that is not of its own group by then.
@@ -82,21 +103,25 @@ def continued(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     What a track finds depends on those before it only through its own group. So in each round all those tracks decide whose
     group no earlier undecided track could touch, by belonging to it or by a pair that leads into it. The first undecided track
     of a video is always one of them; a track that is alone in its group almost always is. Pairs inside a group are void.
+
+    A group has one deciding track at most, and where it goes, the deciding track is an earlier one, as this pair touches that
+    group too. So the ways of a round end in roots.
     """
     order = F.struct("l_f0", "later")
-    pending = staged(pairs, "pairs")
+    pending = pairs
     while True:
         of = lambda track, name: groups.select("video", F.col("track_id").alias(track), F.col("grp").alias(name))
         live = pending.join(of("later", "lg"), ["video", "later"]).join(of("earlier", "eg"), ["video", "earlier"]).where("lg <> eg")
         live = staged(live.select("video", "later", "earlier", "gap", "l_f0", "e_f0", "lg", "eg"), "pending")
         if live.isEmpty():
             return groups
-        touching = live.select("video", F.col("lg").alias("grp"), order.alias("o")).unionByName(live.select("video", F.col("eg").alias("grp"), order.alias("o")))
-        first = touching.groupBy("video", "grp").agg(F.min("o").alias("first"))
-        ready = staged(live.join(first.withColumnRenamed("grp", "lg"), ["video", "lg"]).where(F.col("first") == order).drop("first"), "ready")
-        best = ready.groupBy("video", "later").agg(F.min(F.struct(*BEST, "lg", "eg")).alias("b"))
-        groups = _regrouped(groups, best.select("video", F.col("b.lg").alias("a"), F.col("b.eg").alias("b")))
-        pending = live.drop("lg", "eg").join(ready.select("video", "later").distinct(), ["video", "later"], "left_anti")
+        best = live.groupBy("video", "later").agg(F.min(order).alias("o"), F.min(F.struct(*BEST, "lg", "eg")).alias("b"))
+        best = staged(best.select("video", "later", "o", "b.lg", "b.eg"), "best")
+        touching = best.select("video", F.col("lg").alias("grp"), "o").unionByName(live.select("video", F.col("eg").alias("grp"), order.alias("o")))
+        first = touching.groupBy("video", "grp").agg(F.min("o").alias("first")).withColumnRenamed("grp", "lg")
+        ready = staged(best.join(first, ["video", "lg"]).where(F.col("first") == F.col("o")).select("video", "later", "lg", "eg"), "ready")
+        groups = _hung(groups, ready.drop("later"))
+        pending = live.drop("lg", "eg").join(ready.select("video", "later"), ["video", "later"], "left_anti")
 
 
 def unified(dets: DataFrame, p: LandingParams = LANDING) -> DataFrame:
@@ -104,6 +129,7 @@ def unified(dets: DataFrame, p: LandingParams = LANDING) -> DataFrame:
 
     First tracks that run side by side are joined; then each track, in order, to the best earlier one that isn't of its group yet.
     """
+    dets = staged(dets, "dets")
     ends = staged(spans(dets), "spans")
     alone = ends.select("video", F.col("track_id").cast("long").alias("track_id"), F.col("track_id").cast("long").alias("grp"))
     groups = continued(_regrouped(alone, concurrent_edges(dets, p)), relink_pairs(ends, p))

@@ -200,7 +200,8 @@ merged AS (SELECT p.video, p.track_id, d.grps[p.n] AS grp FROM placed p JOIN don
 @query(D10 + "SELECT c.video, m.grp AS track_id, count(DISTINCT c.fi) AS frames, min(c.fi) AS f0, max(c.fi) AS f1 FROM cut c JOIN merged m ON m.video = c.video AND m.track_id = c.track_id GROUP BY 1, 2")
 def d10_unified(spark, d):
     """Cut tracks put together again: one row per unified track."""
-    return tracks.unified(_cut(spark, d)).groupBy("video", "track_id").agg(F.count("*").alias("frames"), F.min("fi").alias("f0"), F.max("fi").alias("f1"))
+    rows = _cut(spark, d).select("video", "track_id", "fi", "conf", *g.SIDES)
+    return tracks.unified(rows).groupBy("video", "track_id").agg(F.count("*").alias("frames"), F.min("fi").alias("f0"), F.max("fi").alias("f1"))
 
 
 INTER = """, n0 AS (SELECT *, coalesce(lead(fi) OVER w, fi + 1) AS nfi, coalesce(lead(x1) OVER w, x1) AS nx1, coalesce(lead(y2) OVER w, y2) AS ny2 FROM detections WINDOW w AS (PARTITION BY video, track_id ORDER BY fi)),

@@ -1,6 +1,7 @@
 """What the review of round 3 found: ties of rounding and counts that look like shares."""
 
 import time
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -136,3 +137,45 @@ def test_carried_boxes_are_not_sorted_by_frame(spark):
     there = {i for i in range(60) if i % 7} | {0}
     want = sorted((f"f{k}", i, i - max(j for j in s if j <= i)) for k, s in seen_at.items() for i in there for _ in range(max(1, s.count(i))) if any(j <= i <= j + 16 for j in s))
     assert sorted((r["flower_id"], r["fi"], r["age"]) for r in got.collect()) == want
+
+
+def test_only_crossing_boxes_are_summed_by_pair(spark, monkeypatch):
+    """Edges are as loops say, zeros, repeats and null sides in the mean; pairs that never cross aren't shuffled by pair."""
+    boxes = [(1, f, 0.0, 0.0, 10.0, 10.0) for f in range(6)] + [(2, f, 1.0, 0.0, 11.0, 10.0) for f in range(6)] + [(3, f, 0.0 if f < 2 else 50.0, 0.0, 10.0 if f < 2 else 60.0, 10.0) for f in range(6)]
+    boxes += [(4, 0, 0.0, 0.0, 10.0, 10.0), (5, 2, 50.0, 0.0, 60.0, 10.0), (5, 2, 50.0, 1.0, 60.0, 11.0), (6, 4, 0.0, None, 10.0, 10.0), (6, 5, 0.0, 0.0, 10.0, None)]
+    boxes += [(k, f, 100.0 * k, 0.0, 100.0 * k + 10, 10.0) for k in range(7, 30) for f in range(6)]
+    df = spark.createDataFrame([(0, *b) for b in boxes], "video long, track_id long, fi long, x1 double, y1 double, x2 double, y2 double")
+    a, b = (df.select("video", "fi", F.col("track_id").alias(k), *[F.col(s).alias(f"{k}_{s}") for s in tracks.g.SIDES]) for k in "ab")
+    pairs = a.join(b, ["video", "fi"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("frames"), F.avg(tracks.g.iou(tracks.g.box("a_"), tracks.g.box("b_"))).alias("iou"))
+    want = {(r.a, r.b): (r.frames, round(r.iou, 9)) for r in pairs.collect()}
+    written, real = {}, tracks.staged
+    monkeypatch.setattr(tracks, "staged", lambda rows, name="stage": written.setdefault(name, real(rows, name)))
+    for iou in (0.45, 0.2, 0.0):
+        for least in (1, 2):
+            written.clear()
+            got = {(r.a, r.b): (r.frames, round(r.iou, 9)) for r in tracks.concurrent_edges(df, replace(tracks.LANDING, concurrent_iou=iou), least).collect()}
+            assert got == {k: v for k, v in want.items() if v[0] >= least and v[1] >= iou} and (1, 2) in got
+            assert iou == 0 or written["crossing"].count() < 15 < len(want)
+
+
+def test_tracks_continue_by_jumps(spark, monkeypatch):
+    """A chain of 200 tracks is one track after as many jumps as its length has binary digits; components are only for tracks side by side."""
+    count = {"parts": 0, "jumped": 0}
+    parts, real = tracks.connected_components, tracks.staged
+
+    def counted(name, f):
+        def run(*args):
+            key = name or args[1]
+            count[key] = count.get(key, 0) + 1
+            return f(*args)
+
+        return run
+
+    monkeypatch.setattr(tracks, "connected_components", counted("parts", parts))
+    monkeypatch.setattr(tracks, "staged", counted(None, real))
+    ids = [(k * 37) % 200 for k in range(200)]
+    rows = [(v, t + 5, 3 * n + s, "bee", 0.5, 0.0, 0.0, 10.0, 10.0) for v in range(2) for n, t in enumerate(ids) for s in range(2)]
+    df = spark.createDataFrame(rows, "video long, track_id long, fi long, cls string, conf double, x1 double, y1 double, x2 double, y2 double")
+    got = tracks.unified(df, replace(tracks.LANDING, relink_s=0.1)).select("video", "track_id", "fi").collect()
+    assert sorted(tuple(r) for r in got) == sorted((v, 5, f) for v, _, f, *_ in rows)
+    assert count["parts"] == 1 and count["dets"] == 1 and 0 < count["jumped"] <= 9
