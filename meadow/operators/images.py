@@ -6,9 +6,12 @@ Files come from Spark's image reader (it gives height -1 for what it can't decod
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +20,25 @@ from meadow.functions.shared import staged
 STATS = "path string, height int, width int, brightness double, contrast double, aspect double, mode string, grayscale boolean, blank boolean, blur double, phash long"
 
 
+#: Files that a task reads, if there are more than a few tasks a core.
+FILES_PER_TASK = 512
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """path, height, width, n_channels, data: every file below `path`.
 
     Spark's readers pass over files without a byte; its file index (on the driver, names only) has them, and they are added as
-    files that can't be decoded.
+    files that can't be decoded. The names come from the JVM as one text (they are encoded, so without line ends). Readers put a few dozen files into a task however small they are, so
+    tasks are put together until they have FILES_PER_TASK; Arrow batches are bounded in bytes.
     """
     recursive = {"recursiveFileLookup": "true"}
     rows = spark.read.format("image").options(**recursive).load(path)
-    read = rows.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.data")
+    names = [n for n in spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", rows._jdf.inputFiles()).split("\n") if n]
+    tasks = max(4 * spark.sparkContext.defaultParallelism, ceil(len(names) / FILES_PER_TASK))
+    read = rows.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.data").coalesce(tasks)
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    listed = spark.createDataFrame([(n,) for n in rows.inputFiles()], "path string")
-    there = spark.read.format("binaryFile").options(**recursive).load(path).select(plain("path").alias("there"))
+    listed = spark.createDataFrame(pa.table({"path": pa.array(names, pa.string())}))
+    there = spark.read.format("binaryFile").options(**recursive).load(path).select(plain("path").alias("there")).coalesce(tasks)
     none = listed.join(there, plain("path") == F.col("there"), "left_anti")
     return read.unionByName(none.select("path", *[F.lit(-1).alias(c) for c in ("height", "width", "n_channels")], F.lit(b"").alias("data")))
 
@@ -52,6 +62,7 @@ def laplacian_variance(g: np.ndarray) -> float:
     return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
 
 
+@lru_cache(64)
 def _resized(size: int, n: int) -> np.ndarray:
     """(n, size) weights of a Lanczos window of three lobes, stretched to the reduction when it shrinks."""
     scale = size / n

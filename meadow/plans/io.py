@@ -192,23 +192,29 @@ def k2_merge_tables(spark, d):
 BYTES = "px AS (SELECT 'vec_' || vec_id AS path, vec_id, [least(255, greatest(0, floor((x + 3) / 6 * 255)))::DOUBLE FOR x IN embedding::DOUBLE[]] AS p FROM embeddings)"
 
 
-def pictures(spark, d) -> DataFrame:
-    """What images.images gives; every 50th can't be decoded."""
+def _drawn(spark, d) -> DataFrame:
     byte = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 3) / 6 * 255))).cast("int")
     data = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(byte(x)), 2, "0")), ""))
     bad = F.col("vec_id") % 50 == 0
     return b.table(spark, d, "embeddings").select(
-        F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("path"), F.when(bad, -1).otherwise(8).alias("height"), F.when(bad, -1).otherwise(8).alias("width"), F.when(bad, -1).otherwise(1).alias("n_channels"), F.when(~bad, data).alias("data")
+        F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("path"), F.when(bad, -1).otherwise(8).alias("height"), F.when(bad, -1).otherwise(8).alias("width"), F.when(bad, -1).otherwise(1).alias("n_channels"), F.when(~bad, data).alias("data"), "label"
     )
 
 
+def pictures(spark, d) -> DataFrame:
+    """What images.images gives; every 50th can't be decoded."""
+    return _drawn(spark, d).drop("label")
+
+
 def picture_files(spark, d) -> str:
-    """The pictures as PNG files, in a folder for each label; every 50th holds other bytes, and beside them lie notes."""
+    """The pictures as PNG files, in a folder for each label; every 50th holds other bytes, and beside them lie notes.
+
+    Rows are few bytes and files take time, so rows are dealt over the cores."""
     at = b.folder(spark, "pictures")
-    rows = pictures(spark, d).withColumn("vec_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long")).join(b.table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    rows = _drawn(spark, d).where("path IS NOT NULL")
     named = rows.withColumn("path", F.concat(F.col("label").cast("string"), F.lit("/"), F.col("path"), F.lit(".png"))).withColumn("data", F.coalesce("data", F.encode(F.lit("no picture"), "utf-8")))
     notes = rows.groupBy("label").agg(F.lit(-1).alias("height"), F.lit(-1).alias("width"), F.lit(-1).alias("n_channels"), F.encode(F.lit("a note"), "utf-8").alias("data")).withColumn("path", F.concat(F.col("label").cast("string"), F.lit("/notes.txt")))
-    written = sinks.pictures(named, at).count(), sinks.pictures(notes, at).count()
+    written = sinks.pictures(named.drop("label").repartition(4 * spark.sparkContext.defaultParallelism), at).count(), sinks.pictures(notes, at).count()
     if not written[0]:
         raise ValueError("there are no pictures")
     return at

@@ -90,12 +90,15 @@ def pictures(rows: DataFrame, folder: str) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, top = files.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        made = set()
         for b in batches:
             sizes = []
             for r in b.itertuples(index=False):
                 body = png(int(r.height), int(r.width), int(r.n_channels), r.data) if r.height is not None and r.height > 0 else bytes(r.data or b"")
                 at = f"{top}/{r.path}"
-                system.create_dir(at.rpartition("/")[0], recursive=True)
+                if (below := at.rpartition("/")[0]) not in made:
+                    system.create_dir(below, recursive=True)
+                    made.add(below)
                 with system.open_output_stream(f"{at}.part") as f:
                     f.write(body)
                 system.move(f"{at}.part", at)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from meadow.llm import quality
 from meadow.operators import curve, dose, images, tracking, tracks
 from meadow.plans import registry
+from meadow.sources import sinks
 from meadow.streaming import live
 from tests.compare import same
 
@@ -179,3 +180,18 @@ def test_tracks_continue_by_jumps(spark, monkeypatch):
     got = tracks.unified(df, replace(tracks.LANDING, relink_s=0.1)).select("video", "track_id", "fi").collect()
     assert sorted(tuple(r) for r in got) == sorted((v, 5, f) for v, _, f, *_ in rows)
     assert count["parts"] == 1 and count["dets"] == 1 and 0 < count["jumped"] <= 9
+
+
+def test_small_images_share_tasks(spark, tmp_path):
+    """1,200 small files take no more than a few tasks a core; empty files are found under odd names too; figures are of all files."""
+    for k in range(1200):
+        (tmp_path / f"{k}.png").write_bytes(sinks.png(3, 4, 1, bytes([k % 251] * 12)))
+    (tmp_path / "em pty, 100%.png").write_bytes(b"")
+    (tmp_path / "bad.png").write_bytes(b"none")
+    rows = images.images(spark, str(tmp_path))
+    stats = images.statistics(rows)
+    assert stats.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    got = {r["path"].rsplit("/", 1)[1]: r["brightness"] for r in stats.select("path", "brightness").collect()}
+    assert got == {f"{k}.png": float(k % 251) for k in range(1200)}
+    bad = sorted(r["path"].rsplit("/", 1)[1] for r in images.corrupt(rows).collect())
+    assert len(bad) == 2 and bad[0] == "bad.png" and bad[1].startswith("em") and bad[1].endswith(".png")
