@@ -71,6 +71,12 @@ def patterns(edits: int, agree: int) -> list[tuple[int, tuple[tuple[int, int, in
     return list(out)
 
 
+def _sorted(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join at every size, as both sides grow with the documents. Spark judges a side before it runs by the size of its files,
+    in which rows that repeat themselves take little room and the keys of a line aren't counted, and would send millions of rows through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _keys(lines: DataFrame, edits: int, agree: int, probe: bool = True) -> DataFrame:
     """id, key, own (the line's own index): a row for each pattern of each line(id, n, line).
 
@@ -104,7 +110,7 @@ def _keys(lines: DataFrame, edits: int, agree: int, probe: bool = True) -> DataF
 def _met(lines: DataFrame, edits: int, agree: int) -> DataFrame:
     """key, id, own, held (lines in the index of the key), one (the least of these): rows of lines that meet another."""
     index = _keys(lines, edits, agree, False).groupBy("key").agg(F.count("*").alias("held"), F.min("id").alias("one"))
-    return staged(_keys(lines, edits, agree).join(index, "key").where("held > 1 OR id <> one"), "met")
+    return staged(_sorted(_keys(lines, edits, agree), index, "key").where("held > 1 OR id <> one"), "met")
 
 
 def _bits(chars: Column) -> tuple[Column, Column]:
@@ -176,7 +182,7 @@ def _shadowed(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = {x: known.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("chars", "first", "signs", "twos")]) for x in "ab"}
     later = F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a"))
-    near = both.join(side["a"], "a").join(side["b"], "b").where(_close("_a", "_b", edits) & within(F.col("chars_a"), F.col("chars_b"), edits))
+    near = _sorted(_sorted(both, side["a"], "a"), side["b"], "b").where(_close("_a", "_b", edits) & within(F.col("chars_a"), F.col("chars_b"), edits))
     return staged(near.select(later.alias("id")).distinct(), "shadowed")
 
 
@@ -186,18 +192,19 @@ def _hot(groups: DataFrame, room: int) -> DataFrame:
 
 def _leaders(groups: DataFrame, known: DataFrame) -> DataFrame:
     """a, b: every line with the earliest line of its key's index, every line of an index with its earliest prober."""
-    placed = groups.join(known.select("id", "first"), "id")
+    placed = _sorted(groups, known.select("id", "first"), "id")
     lead = placed.groupBy("key").agg(F.min_by("id", "first").alias("prober"), F.min_by(F.when(F.col("own"), F.col("id")), F.when(F.col("own"), F.col("first"))).alias("holder"))
-    met = groups.join(lead, "key")
+    # Written first, as Spark splits a large key's rows only where both sides come from a shuffle of their own.
+    met = _sorted(groups, staged(lead, "lead"), "key")
     return met.select(F.col("id").alias("a"), F.col("holder").alias("b")).unionByName(met.where("own").select(F.col("id").alias("a"), F.col("prober").alias("b"))).where("a <> b")
 
 
 def _pairs(groups: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     """a, b: lines under one key whose bits are close; the later one is open."""
     facts = known.select("id", "first", "signs", "twos", "open")
-    one, two = (rows.join(facts, "id").select("key", F.col("id").alias(x), *[F.col(c).alias(c + x) for c in ("first", "signs", "twos", "open")]) for x, rows in (("a", groups.where("own")), ("b", groups)))
+    one, two = (_sorted(rows, facts, "id").select("key", F.col("id").alias(x), *[F.col(c).alias(c + x) for c in ("first", "signs", "twos", "open")]) for x, rows in (("a", groups.where("own")), ("b", groups)))
     matters = (F.col("a") != F.col("b")) & F.when(F.col("firsta") < F.col("firstb"), F.col("openb")).otherwise(F.col("opena"))
-    return one.join(two, "key").where(matters & _close("a", "b", edits)).select("a", "b")
+    return _sorted(one, two, "key").where(matters & _close("a", "b", edits)).select("a", "b")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, room: int = ROOM) -> DataFrame:
@@ -211,26 +218,25 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     met = _met(classes, edits, 1)
     ids = met.select("id").unionByName(met.select(F.col("one").alias("id"))).distinct()
     chars = F.transform(F.split("line", ""), lambda c: F.ascii(c))
-    # Both sides grow with the documents, so it is a sort-merge join at every size.
-    known = classes.select("id", "n", "first", "line").join(ids.hint("merge"), "id").withColumn("chars", chars)
+    known = _sorted(classes.select("id", "n", "first", "line"), ids, "id").withColumn("chars", chars)
     signs, twos = _bits(F.col("chars"))
     known = staged(known.withColumn("signs", signs).withColumn("twos", twos).withColumn("open", F.lit(True)), "known")
     groups = met.where("held > 1").select("key", "id", "own")
-    hot = staged(groups.join(_hot(groups, room), "key", "left_semi"), "hot")
-    cold = groups.join(hot.select("key").distinct(), "key", "left_anti")
+    hot = staged(_sorted(groups, _hot(groups, room), "key", "left_semi"), "hot")
+    cold = _sorted(groups, hot.select("key").distinct(), "key", "left_anti")
     met_one = met.where("held = 1").select(F.col("id").alias("a"), F.col("one").alias("b"))
     done = _shadowed(met_one.unionByName(_pairs(cold, known, edits)).unionByName(_leaders(hot, known)), known, edits)
     if not hot.isEmpty():
         # Those under a hot key once more, by larger parts of them.
-        some = known.join(hot.select("id").distinct(), "id", "left_semi").drop("open").join(done.withColumn("open", F.lit(False)), "id", "left")
+        some = _sorted(_sorted(known, hot.select("id").distinct(), "id", "left_semi").drop("open"), done.withColumn("open", F.lit(False)), "id", "left")
         some = staged(some.withColumn("open", F.coalesce("open", F.lit(True))), "open")
         deep = _met(some, edits, DEEPER)
         again, met_one = deep.where("held > 1").select("key", "id", "own"), deep.where("held = 1").select(F.col("id").alias("a"), F.col("one").alias("b"))
         led = _shadowed(met_one.unionByName(_leaders(again, some)), some, edits)
-        some = some.drop("open").join(done.unionByName(led).distinct().withColumn("open", F.lit(False)), "id", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+        some = _sorted(some.drop("open"), done.unionByName(led).distinct().withColumn("open", F.lit(False)), "id", "left").withColumn("open", F.coalesce("open", F.lit(True)))
         rest = _shadowed(_pairs(again, some, edits), some, edits)
         done = done.unionByName(led).unionByName(rest).distinct()
-    marked = classes.select("id", "h", "g", "first").join(done.withColumn("shadowed", F.lit(True)).hint("merge"), "id", "left")
+    marked = _sorted(classes.select("id", "h", "g", "first"), done.withColumn("shadowed", F.lit(True)), "id", "left")
     out = staged(marked.select("h", "g", "first", F.coalesce("shadowed", F.lit(False)).alias("shadowed")), "classes")
     for table in (classes, met, known):
         drop_staged(table)
@@ -241,7 +247,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     """doc, own, gone: the places of the lines that leave each document."""
     classes = line_classes(docs, edits, min_chars, room)
     lines = _lines(docs, min_chars).select("doc", "own", "pos", F.expr(PLACE).alias("place"), *_hashes())
-    gone = lines.join(classes, ["h", "g"]).where(F.col("shadowed") | (F.col("first") != F.col("place")))
+    gone = _sorted(lines, classes, ["h", "g"]).where(F.col("shadowed") | (F.col("first") != F.col("place")))
     return gone.groupBy("doc", "own").agg(F.collect_set("pos").alias("gone"))
 
 
