@@ -1,8 +1,11 @@
-"""What the driver holds while lines are compared."""
+"""What the driver holds while lines are compared; what a query of a search reads."""
 
 import random
 
-from meadow.llm import lines
+import numpy as np
+import pytest
+
+from meadow.llm import lines, search
 from tests.llm.test_hard_rows import docs
 
 
@@ -31,3 +34,42 @@ def test_no_table_of_lines_goes_through_the_driver(spark, monkeypatch):
     assert sorted(x.doc for x in gone.collect()) == list(range(60, 65))
     assert [name for name, _ in plans].count("met") == 2  # the second round took place
     assert not [name for name, plan in plans if "Broadcast" in plan]
+
+
+def crowd(n=600, seed=6):
+    """Counted documents whose words are mostly common ones, and queries of many words."""
+    rng = np.random.default_rng(seed)
+    counted = []
+    for _ in range(n):
+        w = np.unique(rng.zipf(1.3, 80).astype(np.uint64) % np.uint64(3000))
+        counted.append((w, rng.integers(1, 5, len(w))))
+    asked = [(w, 0.01 + rng.random(len(w))) for w in (np.unique(rng.zipf(1.2, 60).astype(np.uint64) % np.uint64(3500)) for _ in range(40))]
+    return counted, [*asked, (np.array([], np.uint64), np.array([])), (np.array([3400], np.uint64), np.array([1.0]))]
+
+
+@pytest.mark.parametrize("window,common", [(256, 1 << 23), (2, 1 << 23), (3, 2000), (1, 0)])
+def test_a_batch_of_queries_finds_what_a_loop_finds(monkeypatch, window, common):
+    monkeypatch.setattr(search, "WINDOW", window)
+    monkeypatch.setattr(search, "COMMON", common)
+    counted, asked = crowd()
+    shard = search.Shard(list(range(len(counted))), list(counted), 60.0)
+    for k in (1, 10, 700):
+        for (words, weight), got in zip(asked, shard.best_of(asked, k), strict=True):
+            w, scores = dict(zip(words.tolist(), weight)), []
+            for i, (t, n) in enumerate(counted):
+                x = search.K1 * (1 - search.B + search.B * n.sum() / 60.0)
+                if s := sum(w[y] * c * (search.K1 + 1) / (c + x) for y, c in zip(t.tolist(), n.tolist()) if y in w):
+                    scores.append((-s, i))
+            best = sorted(scores)[:k]
+            assert [i for i, _ in got] == [i for _, i in best] and np.allclose([s for _, s in got], [-s for s, _ in best], atol=2e-9)
+
+
+def test_postings_of_common_words_are_not_walked_for_each_query():
+    counted, asked = crowd()
+    shard, read = search.Shard(list(range(len(counted))), list(counted), 60.0), []
+    plain = shard._score
+    shard._score = lambda runs, w: read.append(int((shard.run[runs + 1] - shard.run[runs]).sum())) or plain(runs, w)
+    for words, weight in asked:
+        shard.best(words, weight, 10)
+    there = np.concatenate([w for w, _ in counted])
+    assert sum(read) < sum(np.isin(there, words).sum() for words, _ in asked) / 4
