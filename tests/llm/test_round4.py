@@ -5,23 +5,29 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from meadow.llm import lines, search
 from tests.llm.test_hard_rows import docs
 
 
-def test_no_table_of_lines_goes_through_the_driver(spark, monkeypatch):
+def families(each):
+    """Three families of documents of a line, whose lines share two thirds and are far from each other; five near copies."""
     r = random.Random(3)
     word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     rows = []
-    for _ in range(3):  # families whose lines share two thirds and are far from each other
+    for _ in range(3):
         base = [word(6) for _ in range(15)]
-        for _ in range(20):
+        for _ in range(each):
             own = list(base)
             third = r.randrange(3)
             for k in r.sample(range(third * 5, third * 5 + 5), 2):
                 own[k] = word(6)
             rows.append((len(rows), " ".join(own)))
-    rows += [(len(rows) + k, rows[k][1] + "x") for k in range(5)]
+    return rows + [(len(rows) + k, rows[k][1] + "x") for k in range(5)]
+
+
+def test_no_table_of_lines_goes_through_the_driver(spark, monkeypatch):
+    rows = families(20)
     plans, write = [], lines.staged
 
     def noted(df, name):
@@ -36,6 +42,14 @@ def test_no_table_of_lines_goes_through_the_driver(spark, monkeypatch):
     assert not [name for name, plan in plans if "Broadcast" in plan]
 
 
+def test_the_stage_of_lines_sends_no_table_through_the_driver(spark, monkeypatch):
+    rows, plans, write = families(100), [], lines.staged
+    monkeypatch.setattr(lines, "staged", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or write(df, name))
+    left = corpus_pipeline.line_dedup(spark, docs(spark, rows), "").select("doc_id").collect()
+    assert sorted(x.doc_id for x in left) == list(range(300))
+    assert [name for name, _ in plans].count("met") == 2 and not [name for name, plan in plans if "Broadcast" in plan]
+
+
 def crowd(n=600, seed=6):
     """Counted documents whose words are mostly common ones, and queries of many words."""
     rng = np.random.default_rng(seed)
